@@ -8,19 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality_rules, simhash
-from .common import held_out, table
+from . import bpe, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity
+from .common import held_out, new_path, table
 
 #: A vocabulary file outside the repository; a parameter of the operators.
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: Shards that op1 deals documents into.
+SHARDS = 24
+
+
+def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.place(table(spark, sf_dir, "documents"), SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.describe(media.store(table(spark, sf_dir, "documents")))
+    last = F.element_at("keyframes", -1)
+    feature = F.format_string("%s;%d samples;%.2f s;%d keyframes;last at %d+%d", F.trim("codec"), "n_samples", "seconds", F.size("keyframes"), last["offset"], last["length"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", "seconds", "keyframes")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = [F.col(f"s.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select("doc_id", *base, "base_failed", "kept", "reason")
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return resampling.resample(table(spark, sf_dir, "documents"), good)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
@@ -30,6 +51,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,8 +68,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token_files")
+    token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), path)
+    return token_files.read_files(spark.read.parquet(path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_rules, op5_mixing, op6_bpe, op8_simhash, op9_language_id]
+    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files]
     return {f.__name__: f for f in found}
 
 
