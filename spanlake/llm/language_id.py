@@ -110,7 +110,7 @@ class Model:
         total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         codes, owner = symbols(texts)
         key, last = grams(codes, owner, len(self.hashes))
-        if len(key):
+        if len(key) and self.languages:
             row, logs = self._log(key, len(self.hashes))
             who = owner[last]
             start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
@@ -133,7 +133,7 @@ class Model:
     def _below(self, key: np.ndarray, order: int) -> np.ndarray:
         """Log-probability of n-grams that no language has at this order."""
         if order == 1:
-            return np.full((len(key), len(self.languages)), self.unseen)
+            return np.repeat(self.back[0][:1].astype(np.float64) + self.unseen, len(key), axis=0)
         context = mixed(key >> np.uint64(16))
         c = self.contexts[order - 1]
         at = np.searchsorted(c, context)

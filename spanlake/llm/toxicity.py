@@ -25,8 +25,8 @@ LENGTHS, BITS = (3, 4, 5, 6), 20
 #: Documents of either label that the classifier is fitted on, at most: those of least hash.
 TOXIC_SAMPLE, OTHER_SAMPLE = 4096, 8192
 #: n-grams that enter the regression, and in how many documents one must occur.
-KEPT, LEAST = 4096, 3
-SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 400
+KEPT, LEAST = 1024, 5
+SMOOTHING, PENALTY, STEPS = 1.0, 1.0, 400
 THRESHOLD = 0.3
 
 
@@ -78,7 +78,9 @@ class Model:
 def regression(row: np.ndarray, at: np.ndarray, toxic: np.ndarray, ratio: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on features `ratio` where present, by gradient steps with momentum.
 
-    share: share of toxic documents among all labelled ones; samples weigh so as to restore it.
+    share: share of toxic documents among all labelled ones; samples weigh so as
+    to restore it. The penalty draws weights to their mean, where the ratios
+    alone decide.
     """
     n, y = len(toxic), toxic.astype(float)
     each = np.where(toxic, share / max(1, toxic.sum()), (1 - share) / max(1, (~toxic).sum()))
@@ -86,7 +88,7 @@ def regression(row: np.ndarray, at: np.ndarray, toxic: np.ndarray, ratio: np.nda
     for step in range(1, STEPS + 1):
         z = b + np.bincount(row, weights=(w * ratio)[at], minlength=n)
         error = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.r_[np.bincount(at, weights=error[row], minlength=len(ratio)) * ratio + PENALTY * w / len(ratio), error.sum()]
+        g = np.r_[np.bincount(at, weights=error[row], minlength=len(ratio)) * ratio + PENALTY * (w - w.mean()) / len(ratio), error.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
