@@ -1 +1,9 @@
+"""User-facing jobs over the given tables, by group."""
 
+from .base import Book
+
+
+def books() -> list[Book]:
+    from . import timeline_queries
+
+    return [timeline_queries.book]
