@@ -4,6 +4,6 @@ from .base import Book
 
 
 def books() -> list[Book]:
-    from . import timeline_queries
+    from . import text_queries, timeline_queries
 
-    return [timeline_queries.book]
+    return [timeline_queries.book, text_queries.book]

@@ -41,6 +41,16 @@ VIEWS: dict[str, str] = {
     "v_files": "SELECT l_suppkey AS ws, concat(CASE l_linenumber % 5 WHEN 0 THEN 'clips/a' WHEN 1 THEN 'cache/b' WHEN 2 THEN 'frames/c' WHEN 3 THEN 'd' ELSE 'e' END, cast(l_orderkey AS string), CASE l_linenumber % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.jpg' ELSE '.json' END) AS path, cast(l_quantity * 1000 AS bigint) AS size, cast(l_shipdate AS date) AS mtime FROM {lineitem}",
 }
 
+#: Views over words; Spark and DuckDB number the items of an array in different ways.
+VIEWS["v_words"] = "SELECT conv_id AS ws, turn AS pos, k, word, 6e0 * turn + 0.25e0 * k AS s, 6e0 * turn + 0.25e0 * k + 0.1875e0 AS e, (length(word) % 8) / 8e0 AS p FROM (SELECT conv_id, turn, posexplode(split(text, ' ')) AS (k, word) FROM {conversations}) WHERE word <> ''"
+VIEWS["v_cues"] = "SELECT doc_id AS ws, k, array_join(slice(w, 1 + 3 * k, 6), ' ') AS text, 1e0 * k AS s, 1e0 * k + 2e0 AS e FROM (SELECT doc_id, w, explode(sequence(0, 9)) AS k FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents})) WHERE size(w) > 3 * k"
+VIEWS["v_links"] = "SELECT page_id AS page, target FROM (SELECT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM {pages})"
+DUCK = {
+    "v_words": "SELECT conv_id AS ws, turn AS pos, k, w[k + 1] AS word, 6e0 * turn + 0.25e0 * k AS s, 6e0 * turn + 0.25e0 * k + 0.1875e0 AS e, (length(w[k + 1]) % 8) / 8e0 AS p FROM (SELECT conv_id, turn, w, unnest(range(len(w))) AS k FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM {conversations})) WHERE w[k + 1] <> ''",
+    "v_cues": "SELECT doc_id AS ws, k, array_to_string(w[1 + 3 * k : 6 + 3 * k], ' ') AS text, 1e0 * k AS s, 1e0 * k + 2e0 AS e FROM (SELECT doc_id, w, unnest(range(10)) AS k FROM (SELECT doc_id, string_split(text, ' ') AS w FROM {documents})) WHERE len(w) > 3 * k",
+    "v_links": "SELECT page_id AS page, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM {pages}",
+}
+
 
 def resolved(name: str) -> list[str]:
     """The views that `name` needs, itself last, each once, in order."""
@@ -65,8 +75,10 @@ def with_views(sql: str) -> str:
     for x in re.findall(r"\bv_\w+", sql):
         if x in VIEWS:
             names += [v for v in resolved(x) if v not in names]
-    heads = [f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', VIEWS[n])})" for n in names]
+    heads = [f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', DUCK.get(n, VIEWS[n]))})" for n in names]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*heads, body[15:]])}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(heads)}, {body[5:]}" if heads else body
     return f"WITH {', '.join(heads)} {body}" if heads else body
