@@ -82,11 +82,10 @@ def shot_scale(v):
     return v("embeddings").select("vec_id", summary.shot_scale(F.array(F.array(zero, zero, x(0), x(1)), F.array(zero, zero, x(2), x(3)))).alias("scale"))
 
 
-@book.add("""WITH d AS (SELECT o_orderkey AS ws, floor(o_totalprice) / 64 AS duration FROM orders), n AS (SELECT *, greatest(cast(ceil(duration / 112) AS bigint), 1) AS n FROM d WHERE duration > 0), x AS (SELECT ws, strip, duration * strip / n AS s, duration * (strip + 1) / n AS e FROM (SELECT *, unnest(range(n)) AS strip FROM n)),
-c AS (SELECT *, greatest(least(cast(ceil((e - s) / 7) AS bigint), 16), 1) AS cells FROM x) SELECT ws, strip, cast(floor(s + 0.001) AS bigint) AS s, cast(floor(e + 0.001) AS bigint) AS e, cells, cells AS n_mids FROM c""")
+@book.add()
 def strip_plan(v):
     d = v("orders").select(F.col("o_orderkey").alias("ws"), (F.floor("o_totalprice") / 64).alias("duration"))
-    return summary.strip_plan(d).withColumns({"n_mids": F.size("mids").cast("long"), "s": F.floor(F.col("s") + 0.001), "e": F.floor(F.col("e") + 0.001)}).drop("mids")
+    return summary.strip_plan(d)
 
 
 @book.add("""WITH d AS (SELECT o_orderkey AS ws, floor(o_totalprice) / 65536e0 AS duration FROM orders), x AS (SELECT ws, greatest(duration - 0.2, 0) AS hi, greatest(duration - 2.5, 0) AS lo FROM d)
