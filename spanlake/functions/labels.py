@@ -1,0 +1,70 @@
+"""Labels, ids and notes as column functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Plain words for states and reasons (fixed values).
+STATUS_WORDS = {"hypothesized": "to be checked", "verified": "verified", "corrected": "corrected"}
+
+
+def status_label(status: Column) -> Column:
+    words = F.create_map(*[F.lit(x) for kv in STATUS_WORDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(words, status), status)
+
+
+def humanize(text: Column, replacements: list[tuple[str, str]]) -> Column:
+    """text with replacements applied in the order given."""
+    for old, new in replacements:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def escape_markdown(text: Column) -> Column:
+    """Inert text: marks of Markdown and HTML get a backslash or an entity, line ends become blanks."""
+    flat = F.regexp_replace(text, r"\s*[\r\n]+\s*", " ")
+    marks = F.regexp_replace(flat, r"([\\`*_{}\[\]()#+!|~-])", r"\\$1")
+    return F.replace(F.replace(F.replace(marks, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def url_fragment(text: Column) -> Column:
+    """Text safe after a #: percent-encoded, blanks as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def stable_id(prefix: str, *fields: Column) -> Column:
+    """prefix and 16 hex digits of the sha256 of the fields' JSON, in the order given; whole doubles equal integers."""
+    same = [F.when(f.cast("double") == F.floor(f.cast("double")), F.floor(f.cast("double")).cast("string")).otherwise(f.cast("string")) for f in fields]
+    body = F.to_json(F.struct(*[x.alias(f"f{k:02d}") for k, x in enumerate(same)]), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(prefix), F.substring(F.sha2(body, 256), 1, 16))
+
+
+def alias_list(title: Column, labels: Column) -> Column:
+    """Trimmed, not empty, first-seen distinct."""
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(title), labels), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+def handoff_note(note: Column, claims: Column, signals: Column) -> Column:
+    """First line of a note and 'grounding: checkpoint:id@hash12, signal:x' (claims: array<struct<id, hash>>); control characters become blanks."""
+    first = F.regexp_replace(F.substring_index(note, "\n", 1), r"[\x00-\x1f]+", " ")
+    each = F.concat(F.transform(claims, lambda c: F.concat(F.lit("checkpoint:"), c["id"], F.lit("@"), F.substring(c["hash"], 1, 12))), F.transform(signals, lambda s: F.concat(F.lit("signal:"), s)))
+    return F.when(F.size(each) > 0, F.concat(first, F.lit("\ngrounding: "), F.array_join(each, ", "))).otherwise(first)
+
+
+def roi_center_x(x: Column, w: Column, src_w: Column, src_h: Column) -> Column:
+    """Left edge of the 9:16 crop centred on a region, kept inside the frame."""
+    crop = F.floor(src_h * 9 / 16)
+    return F.greatest(F.lit(0), F.least(F.floor(x + w / 2 - crop / 2), src_w - crop)).cast("long")
+
+
+def parse_roi(text: Column) -> Column:
+    """struct(x, y, w, h) of 'x,y,w,h'; null for any other text."""
+    parts = F.split(text, ",")
+    n = lambda k: F.get(parts, F.lit(k)).cast("long")
+    return F.when(text.rlike(r"^\d+,\d+,\d+,\d+$"), F.struct(n(0).alias("x"), n(1).alias("y"), n(2).alias("w"), n(3).alias("h")))
+
+
+def searchable_text(*parts: Column) -> Column:
+    """The parts that are there, joined by blanks; arrays give their items."""
+    return F.trim(F.concat_ws(" ", *parts))
