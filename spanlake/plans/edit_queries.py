@@ -229,17 +229,17 @@ CATEGORY = "CASE WHEN regexp_matches(path, '(^|/)clips/') THEN 'clips' WHEN rege
 
 
 @book.add(f"""WITH f AS (SELECT *, {CATEGORY} AS category FROM v_files) SELECT ws, coalesce(sum(size) FILTER (category = 'media'), 0) AS media, coalesce(sum(size) FILTER (category = 'captures'), 0) AS captures, coalesce(sum(size) FILTER (category = 'clips'), 0) AS clips,
-coalesce(sum(size) FILTER (category = 'text'), 0) AS text, sum(size) AS total FROM f GROUP BY ROLLUP (ws)""")
+coalesce(sum(size) FILTER (category = 'text'), 0) AS text, sum(size) AS total FROM f GROUP BY ROLLUP (ws)""", long="media captures clips text total")
 def storage_report(v):
     return storage.storage_report(v("v_files"))
 
 
-@book.add("SELECT ws, date_diff('day', max(mtime), DATE '2030-01-01') AS age_days, sum(size) AS size FROM v_files GROUP BY ws HAVING date_diff('day', max(mtime), DATE '2030-01-01') > 30")
+@book.add("SELECT ws, date_diff('day', max(mtime), DATE '2030-01-01') AS age_days, sum(size) AS size FROM v_files GROUP BY ws HAVING date_diff('day', max(mtime), DATE '2030-01-01') > 30", long="size")
 def stale_workspaces(v):
     return storage.stale(v("v_files"), F.to_date(F.lit("2030-01-01")), 30)
 
 
-@book.add(f"SELECT ws, {CATEGORY} AS category, count(*) AS files, sum(size) AS size FROM v_files WHERE {CATEGORY} IN ('media', 'clips') GROUP BY ALL")
+@book.add(f"SELECT ws, {CATEGORY} AS category, count(*) AS files, sum(size) AS size FROM v_files WHERE {CATEGORY} IN ('media', 'clips') GROUP BY ALL", long="size")
 def purge_plan(v):
     return storage.purge_plan(v("v_files"), ["media", "clips"])
 
@@ -326,7 +326,7 @@ def prior_terms(v):
 
 
 @book.add("""SELECT l_orderkey, l_linenumber, l_quantity, concat(cast(cast(l_quantity AS bigint) // 60 AS varchar), ':', lpad(cast(cast(l_quantity AS bigint) % 60 AS varchar), 2, '0')) AS clock, cast(l_quantity AS double) AS seconds, printf('00:00:%02d.500', cast(l_quantity AS bigint) % 60) AS stamp,
-  CASE WHEN l_quantity * 123457 >= 1048576 THEN printf('%.1f MB', l_quantity * 123457 / 1048576) WHEN l_quantity * 123457 >= 1024 THEN printf('%.1f KB', l_quantity * 123457 / 1024) END AS size FROM lineitem""")
+  CASE WHEN l_quantity * 123457 >= 1048576 THEN printf('%.1f MB', l_quantity * 123457 / 1048576) WHEN l_quantity * 123457 >= 1024 THEN printf('%.1f KB', l_quantity * 123457 / 1024) END AS size FROM lineitem""", long="l_linenumber")
 def times_and_sizes(v):
     q = F.col("l_quantity").cast("long")
     clock = F.concat(F.floor(q / 60).cast("string"), F.lit(":"), F.lpad((q % 60).cast("string"), 2, "0"))

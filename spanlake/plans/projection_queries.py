@@ -28,7 +28,7 @@ wn AS (SELECT ws, pos, s, CASE WHEN s2 - e1 <= 5 THEN e2 ELSE e1 END AS e, CASE
 
 
 @book.add(f"""WITH {REPLAY}, {WINDOWS} SELECT family, source, count(*) AS docs, sum(length(text)) AS chars FROM (SELECT 'transcript' AS family, 'transcript' AS source, text FROM v_seg UNION ALL SELECT 'transcript', 'window', text FROM wn
-UNION ALL SELECT 'understanding', 'checkpoint', hypothesis FROM latest UNION ALL SELECT 'screen', 'ocr', concat('sign ', role) FROM v_seg WHERE pos % 3 = 0) GROUP BY ALL""")
+UNION ALL SELECT 'understanding', 'checkpoint', hypothesis FROM latest UNION ALL SELECT 'screen', 'ocr', concat('sign ', role) FROM v_seg WHERE pos % 3 = 0) GROUP BY ALL""", long="chars")
 def search_docs(v):
     return all_docs(v).groupBy("family", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
@@ -43,7 +43,7 @@ def search_with_windows(v):
     return search.fuse(search.narrowed(hits, d, t), 10)
 
 
-@book.add(f"WITH {REPLAY}, w AS (SELECT * FROM (VALUES ('cp-004', 1), ('cp-001', 2), ('cp-099', 3)) t(cp_id, place)) SELECT l.ws, l.cp_id, w.place, l.s FROM latest l JOIN w USING (cp_id)")
+@book.add(f"WITH {REPLAY}, w AS (SELECT * FROM (VALUES ('cp-004', 1), ('cp-001', 2), ('cp-099', 3)) t(cp_id, place)) SELECT l.ws, l.cp_id, w.place, l.s FROM latest l JOIN w USING (cp_id)", long="place")
 def select_claims(v):
     return projections.select_claims(claims(v), ["cp-004", "cp-001", "cp-004", "cp-099"])[0].select("ws", "cp_id", "place", "s")
 

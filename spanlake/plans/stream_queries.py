@@ -35,7 +35,7 @@ def in_parts(table: DataFrame, order: str, n: int = 3) -> DataFrame:
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@book.add("SELECT user_id AS ws, date_trunc('day', ts) AS start, count(*) AS n, sum(cast(floor(value) AS bigint)) AS total FROM events GROUP BY ALL")
+@book.add("SELECT user_id AS ws, date_trunc('day', ts) AS start, count(*) AS n, sum(cast(floor(value) AS bigint)) AS total FROM events GROUP BY ALL", long="total")
 def stream_loudness(v):
     e = v("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ws"), F.floor("value").alias("value"))
     return jobs.drain(jobs.loudness(stream(e)), folder(e.sparkSession), "complete")

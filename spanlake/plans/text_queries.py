@@ -28,7 +28,7 @@ def folder(spark: SparkSession) -> str:
 
 @book.add("""SELECT ws, pos, s, CASE WHEN s2 - e1 <= 5 THEN e2 ELSE e1 END AS e, CASE WHEN s2 - e1 <= 5 THEN concat_ws(' ', text, t1, t2) ELSE concat_ws(' ', text, t1) END AS text,
   CASE WHEN s2 - e1 <= 5 THEN 3 ELSE 2 END AS members FROM (SELECT *, lead(s, 1) OVER w AS s1, lead(e, 1) OVER w AS e1, lead(text, 1) OVER w AS t1, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2, lead(text, 2) OVER w AS t2
-  FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY pos)) WHERE s1 - e <= 5""")
+  FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY pos)) WHERE s1 - e <= 5""", long="members")
 def transcript_windows(v):
     return transcript.windows(v("v_seg")).withColumn("members", F.size("members"))
 
@@ -57,7 +57,7 @@ def assign_words(v):
 
 
 @book.add(f"""WITH {ASSIGNED}, n AS (SELECT *, CASE WHEN word_s - lag(word_e) OVER (PARTITION BY ws, pos ORDER BY word_s, k) > 0.05 THEN 1 ELSE 0 END AS nw FROM asg), r AS (SELECT *, sum(nw) OVER (PARTITION BY ws, pos ORDER BY word_s, k ROWS UNBOUNDED PRECEDING) AS part FROM n)
-SELECT ws, pos, part, min(word_s) AS s, max(word_e) AS e, string_agg(word, ' ' ORDER BY word_s, k) AS text, round(avg(p), 3) AS conf FROM r GROUP BY ws, pos, part""")
+SELECT ws, pos, part, min(word_s) AS s, max(word_e) AS e, string_agg(word, ' ' ORDER BY word_s, k) AS text, round(avg(p), 3) AS conf FROM r GROUP BY ws, pos, part""", long="part")
 def split_on_gaps(v):
     """Cut at pauses over 0.05 s, which these words have."""
     return transcript.split_on_gaps(assigned(v), 0.05)
@@ -267,7 +267,7 @@ def unique_slugs(v):
     return knowledge.unique_slugs(v("v_label").select("label").distinct(), tx.slug(F.split("label", " ")[0]))
 
 
-@book.add("SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims FROM (SELECT v.ws, v.grp, v.duration, c.claims FROM v_videos v JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) c ON c.ws = v.ws) GROUP BY ROLLUP (grp)")
+@book.add("SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims FROM (SELECT v.ws, v.grp, v.duration, c.claims FROM v_videos v JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) c ON c.ws = v.ws) GROUP BY ROLLUP (grp)", long="claims")
 def group_index(v):
     n = v("v_cp_log").groupBy("ws").agg(F.count("*").alias("claims"))
     return knowledge.group_index(v("v_videos").join(n, "ws"))
