@@ -30,8 +30,7 @@ def top_entities(index: DataFrame, labels: DataFrame, top: int = 400) -> DataFra
 def relation_graph(triples: DataFrame, top: int = 60) -> DataFrame:
     """(subj, pred, obj, total): the first `top` distinct triples in order, with the number of all."""
     distinct = triples.filter("subj IS NOT NULL AND pred IS NOT NULL AND obj IS NOT NULL").select("subj", "pred", "obj").distinct()
-    total = distinct.agg(F.count("*").alias("total"))
-    return distinct.orderBy("subj", "pred", "obj").limit(top).join(F.broadcast(total))
+    return distinct.orderBy("subj", "pred", "obj").limit(top).withColumn("total", F.lit(distinct.count()))
 
 
 def relation_candidates(claims: DataFrame) -> DataFrame:

@@ -64,9 +64,8 @@ def improvement_queue(durable: DataFrame, noted: DataFrame, least: int = 3) -> D
 def layer_metrics(durable: DataFrame, triples: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row: entities, durable, candidates, relations, alias_groups."""
     a = durable.agg(F.count("*").alias("entities"), F.count_if("durable").alias("durable"), F.count_if(~F.col("durable")).alias("candidates"))
-    b = triples.agg(F.count("*").alias("relations"))
-    groups = aliases.groupBy("leader").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("alias_groups"))
-    return a.join(b).join(groups)
+    groups = aliases.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1")
+    return a.withColumns({"relations": F.lit(triples.count()), "alias_groups": F.lit(groups.count())})
 
 
 def verification_points(claims: DataFrame, segments: DataFrame, bursts: DataFrame, scenes: DataFrame, silence: float = 20.0) -> DataFrame:
@@ -130,5 +129,5 @@ def keywords(tags: str | Column, labels: str | Column, first: int = 6, cap: int
 
 def index_rows(rows: DataFrame, limit_bytes: int, share: float = 0.6) -> DataFrame:
     """rows (grp, ws, name, line) in order of name, with folded: whether the lines of all together exceed the share of the limit and only groups are listed."""
-    total = rows.agg(F.sum(F.octet_length("line")).alias("bytes"))
-    return rows.join(F.broadcast(total)).select("grp", "ws", "name", (F.col("bytes") > share * limit_bytes).alias("folded")).orderBy("name")
+    total = rows.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    return rows.select("grp", "ws", "name", F.lit(total > share * limit_bytes).alias("folded")).orderBy("name")
