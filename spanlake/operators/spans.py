@@ -24,11 +24,15 @@ def merge_spans(spans: DataFrame, keys: list[str] = ["ws"], duration: Column | N
 
 
 def gaps(islands: DataFrame, bounds: DataFrame, keys: list[str] = ["ws"]) -> DataFrame:
-    """Uncovered stretches (keys, s, e) of bounds (keys, lo, hi), head and tail included; islands lie inside the bounds."""
-    marks = islands.select(*keys, "s", "e").unionByName(bounds.select(*keys, F.col("hi").alias("s"), F.col("hi").alias("e")))
+    """Uncovered stretches (keys, s, e) of bounds (keys, lo, hi), head and tail included; islands lie inside the bounds.
+
+    Both ends of the bounds stand in line with the islands, so that one window
+    over the keys finds every gap.
+    """
+    ends = bounds.select(*keys, F.explode(F.array("lo", "hi")).alias("s")).withColumn("e", F.col("s"))
+    marks = islands.select(*keys, "s", "e").unionByName(ends)
     before = F.lag("e").over(Window.partitionBy(*keys).orderBy("s", "e"))
-    low = bounds.select(*keys, "lo")
-    return marks.withColumn("before", before).join(low, keys).select(*keys, F.coalesce("before", "lo").alias("s"), F.col("s").alias("e")).filter("e > s")
+    return marks.withColumn("before", before).filter("before < s").select(*keys, F.col("before").alias("s"), F.col("s").alias("e"))
 
 
 def coverage_gaps(spans: DataFrame, videos: DataFrame, least: float = 3.0) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import times as tm
-from ..operators import edits, images, ledger, signals, storage, terms
+from ..operators import edits, images, signals, storage, terms
+from ..sources.tables import saved
 from .base import Book
-from .timeline_queries import HITS, REPLAY, islands_sql
+from .timeline_queries import HITS, REPLAY, claims, islands_sql
 
 book = Book()
 
@@ -70,10 +71,6 @@ def refs(v):
     return cuts.select("ws", "seq_id", "ord", "cp_id").union(cuts.select("ws", "seq_id", "ord", after)).distinct()
 
 
-def claims(v):
-    return ledger.latest(v("v_cp_log"))
-
-
 @book.add(f"""WITH {REPLAY}, {REFS}, h AS (SELECT rf.ws, rf.seq_id, rf.ord, c.s, c.e, l.s AS cs, l.e AS ce FROM rf JOIN v_cuts c ON c.ws = rf.ws AND c.seq_id = rf.seq_id AND c.ord = rf.ord LEFT JOIN latest l ON l.ws = rf.ws AND l.cp_id = rf.cp_id),
 ins AS (SELECT ws, seq_id, ord, greatest(cs, s) AS s, least(ce, e) AS e FROM h WHERE cs IS NOT NULL), {islands_sql("ins", "isl", "ws, seq_id, ord")},
 mk AS (SELECT ws, seq_id, ord, s, e FROM isl UNION ALL SELECT ws, seq_id, ord, e, e FROM v_cuts),
@@ -157,7 +154,7 @@ def events(v):
 
 
 def image_catalog_of(v):
-    return images.catalog(events(v), v("v_image_events").filter("line_no % 3 = 0"), ["t", "kind"])
+    return saved(images.catalog(events(v), v("v_image_events").filter("line_no % 3 = 0"), ["t", "kind"]), "catalog")
 
 
 def links_of(v):

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
-from ..operators import edits, knowledge, ledger, projections, search, summary
+from ..operators import edits, knowledge, projections, search, summary
+from ..sources.tables import folder, saved
 from .base import Book
 from .edit_queries import claims, refs
-from .text_queries import SEARCH, folder, names, terms
+from .text_queries import names, terms
 from .timeline_queries import LEVELS, REPLAY, grounded
 
 book = Book()
@@ -36,9 +37,9 @@ def search_docs(v):
 @book.add()
 def search_with_windows(v):
     """Corpus search over all families, window hits narrowed to the member that says most of the query."""
-    d = all_docs(v).withColumn("folded", tx.fold(F.col("text")))
+    d = saved(all_docs(v).withColumn("folded", tx.fold(F.col("text"))), "docs")
     t = terms(v)
-    ranked = search.bm25(d, t, 40)
+    ranked = saved(search.bm25(d, t, 40), "ranked")
     hits = ranked.unionByName(search.substring_rank(d, t, ranked, 40))
     return search.fuse(search.narrowed(hits, d, t), 10)
 
@@ -118,7 +119,7 @@ def layer_metrics(v):
     part = v("part").withColumnRenamed("p_name", "label").limit(0)
     durable = knowledge.durable(knowledge.entity_index(v("v_label")), part, part)
     labels = names(v)
-    pairs = knowledge.alias_pairs(labels)
+    pairs = saved(knowledge.alias_pairs(labels), "pairs")
     groups = knowledge.alias_leaders(labels, pairs, knowledge.components(pairs, folder(labels.sparkSession)))
     return summary.layer_metrics(durable, v("v_edge"), groups).drop("alias_groups")
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
+from ..sources.tables import folder
 from .base import Book
-from .text_queries import folder
 from .timeline_queries import REPLAY
 
 book = Book()

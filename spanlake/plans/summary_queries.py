@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, knowledge, ledger, sequences, signals, summary, transcript
+from ..operators import evidence, knowledge, sequences, signals, summary, transcript
 from .base import Book
-from .timeline_queries import COVERAGE, HITS, REPLAY
+from .timeline_queries import COVERAGE, HITS, REPLAY, claims
 
 book = Book()
 
@@ -31,7 +31,7 @@ def content_mode(v):
 
 @book.add(COVERAGE.rstrip() + f", {FACTS} SELECT md.*, s.* EXCLUDE (ws) FROM md LEFT JOIN status s ON s.ws = md.ws")
 def brief(v):
-    status = evidence.coverage_status(ledger.latest(v("v_cp_log")), v("v_videos"))
+    status = evidence.coverage_status(claims(v), v("v_videos"))
     return summary.brief(facts(v), status)
 
 
@@ -67,7 +67,7 @@ def improvement_queue(v):
 @book.add(f"WITH {REPLAY}, {HITS}, g AS (SELECT *, lag(e) OVER w AS b, lag(role) OVER w AS sp FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY s, pos)) SELECT ws, s AS t, 'weak_claim' AS why FROM latest WHERE confidence < 0.7 UNION ALL SELECT ws, s, 'weak_segment' FROM g WHERE conf < 0.6 UNION ALL SELECT ws, b, 'silence' FROM g WHERE s - b >= 5 UNION ALL SELECT ws, s, 'speaker_change' FROM g WHERE sp <> role UNION ALL SELECT ws, t, 'burst' FROM v_hits WHERE conf >= 0.9 UNION ALL SELECT ws, t, 'scene_change' FROM hits")
 def verification_points(v):
     seg = v("v_seg").withColumnRenamed("role", "speaker")
-    return summary.verification_points(ledger.latest(v("v_cp_log")), seg, v("v_hits").filter("conf >= 0.9").withColumnRenamed("t", "s"), signals.scene_hits(v("v_scene"), 0.25), 5.0)
+    return summary.verification_points(claims(v), seg, v("v_hits").filter("conf >= 0.9").withColumnRenamed("t", "s"), signals.scene_hits(v("v_scene"), 0.25), 5.0)
 
 
 @book.add(f"WITH {HITS} SELECT v.ws, count(h.t) AS scenes, count(h.t) / (max(v.duration) / 60) >= 10 AS montage FROM v_videos v LEFT JOIN hits h ON h.ws = v.ws GROUP BY v.ws")
@@ -145,7 +145,7 @@ def latest_sequences_mixed(v):
 
 @book.add(f"WITH {REPLAY}, {SEQ} SELECT DISTINCT sr.ws, sr.line_no, sr.seq_id, sr.cp_id FROM sr WHERE event_id % 31 <> 0 AND (ws, cp_id) NOT IN (SELECT (ws, cp_id) FROM latest)")
 def unknown_claims(v):
-    return sequences.unknown_claims(lines(v), ledger.latest(v("v_cp_log")))
+    return sequences.unknown_claims(lines(v), claims(v))
 
 
 @book.add("""WITH n AS (SELECT s.ws, sum(e - s) AS spoken, count(*) AS segments, count(DISTINCT trim(text)) / count(*) AS uniq, avg(CASE WHEN contains(text, 'the') OR contains(text, 'ing') THEN 1e0 ELSE 0e0 END) AS hit FROM v_seg s GROUP BY ws), t AS (SELECT ws, sum(e - s) AS speech FROM v_turns GROUP BY ws)

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import knowledge, search, transcript
+from ..sources.tables import folder, saved
 from .base import Book
 
 book = Book()
 
-_own: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of this process only where none is set (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-        found = _own[0]
-    return found.rstrip("/")
-
-
 @book.add("""SELECT ws, pos, s, CASE WHEN s2 - e1 <= 5 THEN e2 ELSE e1 END AS e, CASE WHEN s2 - e1 <= 5 THEN concat_ws(' ', text, t1, t2) ELSE concat_ws(' ', text, t1) END AS text,
   CASE WHEN s2 - e1 <= 5 THEN 3 ELSE 2 END AS members FROM (SELECT *, lead(s, 1) OVER w AS s1, lead(e, 1) OVER w AS e1, lead(text, 1) OVER w AS t1, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2, lead(text, 2) OVER w AS t2
   FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY pos)) WHERE s1 - e <= 5""", long="members")
@@ -114,14 +100,15 @@ def dedupe_rolling_cues(v):
 
 
 def docs(v) -> DataFrame:
+    """Folded once and kept as a table, as an archive that many queries search would be."""
     seg = v("v_seg")
     name = F.concat(F.col("ws").cast("string"), F.lit("-"), F.col("pos").cast("string"))
-    return seg.select(F.col("role").alias("family"), name.alias("doc"), "ws", F.col("role").alias("source"), "s", "e", "text", tx.fold(F.col("text")).alias("folded"))
+    return saved(seg.select(F.col("role").alias("family"), name.alias("doc"), "ws", F.col("role").alias("source"), "s", "e", "text", tx.fold(F.col("text")).alias("folded")), "docs")
 
 
 def terms(v) -> DataFrame:
     first = F.slice(tx.tokens(tx.fold(F.col("text"))), 1, 2)
-    return v("benchmark").select(F.col("item_id").alias("query"), F.explode(first).alias("term")).distinct()
+    return saved(v("benchmark").select(F.col("item_id").alias("query"), F.explode(first).alias("term")).distinct(), "terms")
 
 
 SEARCH = r"""
@@ -156,7 +143,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DE
 def corpus_search(v):
     """Ranked families of all queries, narrowed to members and fused by rank."""
     d, t = docs(v), terms(v)
-    ranked = search.bm25(d, t, 40)
+    ranked = saved(search.bm25(d, t, 40), "ranked")
     hits = ranked.unionByName(search.substring_rank(d, t, ranked, 40))
     members = F.array().cast("array<struct<s:double,e:double,text:string>>")
     return search.fuse(search.narrowed(hits, d.withColumn("members", members), t), 10)
@@ -211,7 +198,7 @@ def alias_pairs(v):
 @book.add()
 def alias_groups(v):
     labels = names(v)
-    pairs = knowledge.alias_pairs(labels)
+    pairs = saved(knowledge.alias_pairs(labels), "pairs")
     return knowledge.alias_leaders(labels, pairs, knowledge.components(pairs, folder(labels.sparkSession)))
 
 
@@ -247,6 +234,7 @@ onl AS (SELECT ws, term FROM (SELECT ws, marked, unnest(w) AS term FROM mk WHERE
 
 def narrative(v) -> tuple[DataFrame, DataFrame]:
     rows = v("documents").filter("lang = 'en'").select(F.col("lang").alias("ws"), "doc_id", F.explode(tx.clauses(F.col("text"), False)).alias("clause"))
+    rows = saved(rows, "clauses")
     return rows, knowledge.qualified_only(rows.filter("doc_id % 2 = 0"), ["was", "for"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence, ledger, signals, spans
+from ..sources.tables import saved
 from .base import Book
 
 book = Book()
@@ -44,14 +45,15 @@ NAMES = "ws, line_no, cp_id, status, s, e, confidence"
 
 
 def claims(v):
-    return ledger.latest(v("v_cp_log"))
+    """The ledger replayed once; audits read the table of its latest claims."""
+    return saved(ledger.latest(v("v_cp_log")), "claims")
 
 
 @book.add(COVERAGE + """SELECT *, round(0.4 * covered_ratio + 0.4 * verified_ratio + 0.2 * least(coalesce(mean_confidence, 0), 1), 3) AS score,
   CASE WHEN gaps > 0 OR covered_ratio < 0.999 THEN 'cover_gaps' WHEN verified_ratio < 0.6 THEN 'verify_more' ELSE 'converged' END AS advice FROM status""")
 def coverage_status(v):
     """Ledger to readiness: replay, islands, gaps, ratios, advice."""
-    return evidence.readiness(evidence.coverage_status(claims(v), v("v_videos")))
+    return evidence.readiness(evidence.coverage_status(claims(v), saved(v("v_videos"), "videos")))
 
 
 @book.add("""SELECT ws, line_no, cp_id, CASE WHEN status NOT IN ('hypothesized', 'verified', 'corrected') THEN 'status' WHEN NOT (s >= 0 AND s < e) THEN 'order' WHEN e > duration THEN 'duration' END AS reason,
@@ -123,6 +125,7 @@ def grounded(v):
         (idx % 11 != 0).alias("decodable"), F.array().cast("array<double>").alias("timestamps"), F.when(idx % 4 != 0, idx * 4.0 + idx % 5).alias("t"), F.lit(None).cast("double").alias("span_s"), F.lit(None).cast("double").alias("span_e"),
     )
     visual = evidence.visual_evidence(c, refs, images)
+    visual = saved(visual, "visual")
     levels = evidence.support_levels(c.withColumn("note", F.lit(None).cast("string")), evidence.transcript_support(c, one.unionByName(two), segs), visual)
     return levels, visual
 
