@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import pieces, record_batch
 
 #: Encoded words that a Python worker keeps before it starts anew.
-STORE = 600_000
+STORE = 200_000
 #: Over any token id.
 WIDE = 1 << 31
 

@@ -69,7 +69,7 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with at most about so many bytes of text, and their texts (null: '').
 
     A text longer than that makes a slice of its own: it is never cut.
