@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text as tx
 from spanlake.functions import times as tm
-from spanlake.operators import images, ledger, sequences, signals, spans, summary, transcript
+from spanlake.operators import images, knowledge, ledger, search, sequences, signals, spans, summary, transcript
 from spanlake.sources import readers
 from spanlake.sources.adapters import view
 from spanlake.streaming import jobs
@@ -218,3 +218,25 @@ def test_results_do_not_depend_on_row_order(spark, tiny):
     b = signals.audio_events(hits.orderBy(F.rand(3)).repartition(7)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert np.all([r["s"] < r["e"] for r in a])
+
+
+def test_alias_leaders_equal_a_greedy_pass(spark, tmp_path):
+    rng = random.Random(7)
+    names = sorted({" ".join(rng.sample(["red", "blue", "cold", "old", "big", "bolt", "rod", "gear"], rng.randint(1, 4))) for _ in range(60)})
+    labels = spark.createDataFrame([(n,) for n in names], "label string")
+    pairs = knowledge.alias_pairs(labels)
+    roots = knowledge.components(pairs, f"file://{tmp_path}")
+    alike = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) >= 0.5
+    want, leaders = {}, []
+    for n in names:
+        want[n] = next((x for x in leaders if alike(n, x)), n)
+        if want[n] == n:
+            leaders.append(n)
+    assert {r["label"]: r["leader"] for r in knowledge.alias_leaders(labels, pairs, roots).collect()} == want
+
+
+def test_windows_are_narrowed_to_the_member_that_says_it(spark):
+    docs = spark.createDataFrame([("t", "w1", 1, "window", 0.0, 9.0, [(0.0, 3.0, "one thing"), (3.0, 6.0, "Thing and thing"), (6.0, 9.0, "thing thing")]), ("t", "t2", 1, "transcript", 3.0, 6.0, [])], "family string, doc string, ws int, source string, s double, e double, members array<struct<s:double,e:double,text:string>>")
+    hits = spark.createDataFrame([(1, "t", "w1", 2.0, 1), (1, "t", "t2", 1.0, 2)], "query int, family string, doc string, score double, place long")
+    out = search.narrowed(hits, docs, spark.createDataFrame([(1, "thing")], "query int, term string")).collect()
+    assert [(r["source"], r["s"], r["e"], r["place"]) for r in out] == [("transcript", 3.0, 6.0, 1)]
