@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,26 +107,41 @@ def dedupe_rolling(cues: DataFrame, longest: float = 12.0) -> DataFrame:
     Overlap is the longest run of words that ends the merged text and begins
     the cue; they merge while the span stays within `longest` seconds. Beyond
     that a cue wholly contained still extends the end, any other stands alone.
-    A fold in order, one Arrow group per video.
+    A fold in order over partitions that hold videos whole, in order of time;
+    what is in work is one merged cue, however long a video is.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for s, e, text in rows.sort_values(["s", "e"])[["s", "e", "text"]].itertuples(index=False):
-            words = text.split()
-            if out:
-                last = out[-1]
-                n = next((k for k in range(min(len(words), len(last[2])), 0, -1) if last[2][-k:] == words[:k]), 0)
-                if n == len(words):
-                    last[1] = max(last[1], e)
-                    continue
-                if n and e - last[0] <= longest:
-                    last[1], last[2] = max(last[1], e), last[2] + words[n:]
-                    continue
-            out.append([s, e, words])
-        return pd.DataFrame({"ws": rows["ws"].iloc[0], "s": [x[0] for x in out], "e": [x[1] for x in out], "text": [" ".join(x[2]) for x in out]})
-
-    return cues.select("ws", "s", "e", "text").groupBy("ws").applyInPandas(fold, f"ws {cues.schema['ws'].dataType.simpleString()}, s double, e double, text string")
+    kind = cues.schema["ws"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list | None = None  # ws, s, e, words
+        for batch in batches:
+            done = []
+            for ws, s, e, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                words = text.split()
+                if last and last[0] == ws:
+                    held = last[3]
+                    n = next((k for k in range(min(len(words), len(held)), 0, -1) if held[-k:] == words[:k]), 0)
+                    if n == len(words):
+                        last[2] = max(last[2], e)
+                        continue
+                    if n and e - last[1] <= longest:
+                        last[2] = max(last[2], e)
+                        held += words[n:]
+                        continue
+                if last:
+                    done.append(last)
+                last = [ws, s, e, words]
+            if done:
+                yield merged(done, batch.schema)
+        if last:
+            yield merged([last], batch.schema)
+
+    def merged(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+        ws, s, e, words = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ws, s, e, [" ".join(w) for w in words]), schema, strict=True)], schema.names)
+
+    rows = cues.select("ws", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), "text")
+    return rows.repartition("ws").sortWithinPartitions("ws", "s", "e", "text").mapInArrow(fold, f"ws {kind}, s double, e double, text string")
 
 
 def prefix_speech(speech: DataFrame, segments: DataFrame) -> DataFrame:

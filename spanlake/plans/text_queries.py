@@ -91,9 +91,20 @@ def prefix_speech(v):
     return transcript.prefix_speech(v("v_turns"), v("v_seg")).select("ws", "stall", "heard", "spoken", "healthy")
 
 
+def cues(v) -> DataFrame:
+    """Rolling captions of whole documents: 6 words at a stride of 3 up to the last word; v_cues has the first ten alone.
+
+    Windows are cut before they are exploded, so no row carries the text.
+    """
+    words = v("documents").select(F.col("doc_id").alias("ws"), F.split("text", " ").alias("w"))
+    starts = F.sequence(F.lit(0), (F.ceil(F.size("w") / 3) - 1).cast("int"))
+    each = words.select("ws", F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice("w", 1 + 3 * k, F.lit(6)), " "))).alias("k", "text"))
+    return each.select("ws", "k", "text", F.col("k").cast("double").alias("s"), (F.col("k") + 2.0).alias("e"))
+
+
 @book.add()
 def dedupe_rolling_cues(v):
-    return transcript.dedupe_rolling(v("v_cues"))
+    return transcript.dedupe_rolling(cues(v))
 
 
 # search: transcript documents by role, queries from the first two words of each benchmark item
