@@ -16,12 +16,18 @@ from .timeline_queries import LEVELS, REPLAY, grounded
 book = Book()
 
 
+def every_screen(v):
+    """A sign for each turn."""
+    return v("v_seg").select("ws", "pos", "s", (F.col("s") + 2).alias("e"), F.concat(F.lit("sign "), "role").alias("text"))
+
+
 def screen(v):
-    return v("v_seg").filter("pos % 3 = 0").select("ws", "s", (F.col("s") + 2).alias("e"), F.concat(F.lit("sign "), "role").alias("text"))
+    """The signs that the SQL of search_docs has."""
+    return every_screen(v).filter("pos % 3 = 0")
 
 
-def all_docs(v):
-    return projections.search_docs(v("v_seg"), claims(v).withColumn("text", F.col("hypothesis")), screen(v))
+def all_docs(v, signs):
+    return projections.search_docs(v("v_seg"), claims(v).withColumn("text", F.col("hypothesis")), signs)
 
 
 WINDOWS = """lw AS (SELECT *, lead(s, 1) OVER w AS s1, lead(e, 1) OVER w AS e1, lead(text, 1) OVER w AS t1, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2, lead(text, 2) OVER w AS t2 FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY pos)),
@@ -31,13 +37,13 @@ wn AS (SELECT ws, pos, s, CASE WHEN s2 - e1 <= 5 THEN e2 ELSE e1 END AS e, CASE
 @book.add(f"""WITH {REPLAY}, {WINDOWS} SELECT family, source, count(*) AS docs, sum(length(text)) AS chars FROM (SELECT 'transcript' AS family, 'transcript' AS source, text FROM v_seg UNION ALL SELECT 'transcript', 'window', text FROM wn
 UNION ALL SELECT 'understanding', 'checkpoint', hypothesis FROM latest UNION ALL SELECT 'screen', 'ocr', concat('sign ', role) FROM v_seg WHERE pos % 3 = 0) GROUP BY ALL""", long="chars")
 def search_docs(v):
-    return all_docs(v).groupBy("family", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    return all_docs(v, screen(v)).groupBy("family", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
 @book.add()
 def search_with_windows(v):
     """Corpus search over all families, window hits narrowed to the member that says most of the query."""
-    d = saved(all_docs(v).withColumn("folded", tx.fold(F.col("text"))), "docs")
+    d = saved(all_docs(v, every_screen(v)).withColumn("folded", tx.fold(F.col("text"))), "docs")
     t = terms(v)
     ranked = saved(search.bm25(d, t, 40), "ranked")
     hits = ranked.unionByName(search.substring_rank(d, t, ranked, 40))

@@ -17,3 +17,11 @@ def test_late_repeats_reach_the_rolling_fold(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     last = entry.queries()["dedupe_rolling_cues"](spark, str(tmp_path)).orderBy("s").collect()[-1]
     assert last["e"] == 31.0 and last["text"].endswith("same same same") and last["text"].split().count("same") < 30
+
+
+def test_search_reads_the_signs_of_every_turn(spark, tiny, tmp_path):
+    spark.createDataFrame([(1, k, "user", "hello") for k in range(6)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "sign user")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{tiny}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    found = entry.queries()["search_with_windows"](spark, str(tmp_path)).collect()
+    assert sorted((r["source"], r["s"]) for r in found) == [("ocr", 6.0 * k) for k in range(6)]
