@@ -1,12 +1,12 @@
 """Quality rules: a learned decision list over text statistics.
 
 Everything here is DataFrame work. Statistics are one expression per row.
-Sequential covering runs on a table of labelled rows whose statistics are
-binned at approximate quantiles: to grow a rule, one aggregation gives the
-labels per (statistic, bin) of the rows still covered, a few hundred numbers
-from which the driver picks the threshold with the best FOIL gain; pruning
-counts the prefixes of the rule on rows kept apart. The result is an ordered
-list of threshold conjunctions, applied as one CASE WHEN.
+Sequential covering runs on a bounded sample of labelled rows whose statistics
+are binned at approximate quantiles and written once: to grow a rule, one
+aggregation gives the labels per (statistic, bin) of the rows still covered, a
+few hundred numbers from which the driver picks the threshold with the best
+FOIL gain; pruning counts the prefixes of the rule on rows kept apart. The
+result is an ordered list of threshold conjunctions, applied as one CASE WHEN.
 """
 
 from __future__ import annotations
@@ -131,7 +131,8 @@ Rule = tuple[Test, ...]
 class Learner:
     """Parameters of sequential covering."""
 
-    bins: int = 32  # thresholds tried per statistic, at most
+    max_labelled: int = 100_000  # labelled documents that rules are fitted on, at most: those of least hash
+    bins: int = 32  # thresholds tried per statistic and label, at most
     max_rules: int = 12
     max_tests: int = 4
     min_covered: int = 4  # bad rows that a rule must cover
@@ -146,7 +147,7 @@ def all_of(rule: Rule, f: Column) -> Column:
 
 
 def _best(counts: dict, cuts: dict[str, list[float]], bad: int, good: int) -> tuple[float, Test] | None:
-    """The test with the most FOIL gain; counts: bad and good rows by (feature, bin)."""
+    """The test with the most FOIL gain; counts: bad and good rows by (feature, bin). Ties: first feature, least cut, '<'."""
     found, info = None, math.log2(bad / (bad + good))
     for feature, edges in cuts.items():
         below_bad = below_good = 0
@@ -161,48 +162,73 @@ def _best(counts: dict, cuts: dict[str, list[float]], bad: int, good: int) -> tu
     return found
 
 
-def learn(stats: DataFrame, labels: DataFrame, how: Learner = Learner()) -> list[Rule]:
-    """Rules for quality 0, in order. stats: (doc_id, s: struct of statistics); labels: (doc_id, quality).
+def fitting_labels(labels: DataFrame, how: Learner = Learner()) -> DataFrame:
+    """(id, bad) of the documents that rules are fitted on: max_labelled at most, those of least hash.
 
-    Learns from all labelled rows that the base rules pass and that
-    crc32(doc_id) mod 4 = 2 does not hold out; a third of them prunes. Rows
-    with a null label are ignored. No labels, or no bad ones: no rules.
+    Rows with a null label or doc_id, and ids that crc32(doc_id) mod 4 = 2
+    holds out, are left out. A doc_id with several labels counts once, and as
+    bad if any of them says so.
+    """
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    once = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.min("quality") == 0).cast("int").alias("bad"))
+    return once.orderBy(F.xxhash64("id"), "id").limit(how.max_labelled)
+
+
+def labelled_statistics(stats: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(bad, prune, f) of the chosen documents that the base rules pass, from stats (doc_id, s). Repeated rows count as often.
+
+    `chosen` has Learner.max_labelled rows at most, so it is broadcast and the corpus stays where it is.
+    """
+    joined = stats.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("id")).filter(~base_failed(F.col("s")))
+    return joined.select("bad", (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune"), features(F.col("s")).alias("f"))
+
+
+def learn(labelled: DataFrame, how: Learner = Learner()) -> list[Rule]:
+    """Rules for bad rows, in order, from (bad, prune, f: struct of FEATURES); rows with prune are kept apart.
+
+    Statistics are binned once; one row per (labelled row, statistic) is
+    written once, with all of the row's bins, so that each grown test is one
+    scan, filter and count of that table. No rows, or none that are bad: no rules.
     """
-    joined = stats.select("doc_id", "s").join(labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality"), "doc_id")
-    table = joined.filter(~base_failed(F.col("s")) & ~held_out(F.col("doc_id"))).select((F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), features(F.col("s")).alias("f"))
-    table = materialize(table, "labelled")
     quantiles = [i / how.bins for i in range(1, how.bins)]
-    row = table.select(*[F.percentile_approx(F.when(F.col("bad") == b, F.col(f"f.{x}")), quantiles, 2000).alias(f"{x}{b}") for x in FEATURES for b in (0, 1)]).first()
+    row = labelled.select(*[F.percentile_approx(F.when(F.col("bad") == b, F.col(f"f.{x}")), quantiles, 2000).alias(f"{x}{b}") for x in FEATURES for b in (0, 1)]).first()
     cuts = {x: sorted({float(v) for b in (0, 1) for v in (row[f"{x}{b}"] or [])}) for x in FEATURES}
 
-    def binned_as(x: str) -> Column:
-        return F.struct(F.lit(x).alias("feature"), F.size(F.filter(F.lit(cuts[x] or [0.0]), lambda c: c <= F.col(f"f.{x}"))).alias("bin"))
+    def bin_of(x: str) -> Column:
+        return F.size(F.filter(F.lit(cuts[x] or [0.0]), lambda c: c <= F.col(f"f.{x}"))).cast("byte")
+
+    bins = F.array(*map(bin_of, FEATURES))
+    wide = materialize(labelled.select("bad", "prune", bins.alias("bins")), "binned")
+    long = materialize(wide.select("*", F.posexplode("bins").alias("feature", "bin")), "binned_long")
+
+    def holds(rule: Rule) -> Column:
+        out = F.lit(True)
+        for t in rule:  # a statistic is at least its k-th cut where its bin is above k
+            bin_, k = F.col("bins")[FEATURES.index(t.feature)], cuts[t.feature].index(t.cut)
+            out = out & (bin_ > k if t.at_least else bin_ <= k)
+        return out
 
-    binned = F.explode(F.array(*[binned_as(x) for x in FEATURES])).alias("e")
     rules: list[Rule] = []
-    f = F.col("f")
     while len(rules) < how.max_rules:
-        open_rows = table
+        still_open = F.lit(True)
         for r in rules:
-            open_rows = open_rows.filter(~all_of(r, f))
+            still_open = still_open & ~holds(r)
         rule: Rule = ()
         while len(rule) < how.max_tests:
-            seen = open_rows.filter(~F.col("prune") & all_of(rule, f)).select("bad", binned).groupBy("e.feature", "e.bin").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g")).collect()
-            counts = {(r["feature"], r["bin"]): (r["b"], r["g"]) for r in seen}
+            seen = long.filter(~F.col("prune") & still_open & holds(rule)).groupBy("feature", "bin").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g")).collect()
+            counts = {(FEATURES[r["feature"]], r["bin"]): (r["b"], r["g"]) for r in seen}
             bad, good = (sum(v[i] for (x, _), v in counts.items() if x == FEATURES[0]) for i in (0, 1))
-            if not bad or not good:
-                break
-            best = _best(counts, cuts, bad, good)
+            best = _best(counts, cuts, bad, good) if bad and good else None
             if best is None:
                 break
             rule = (*rule, best[1])
         if not rule:
             break
         heads = [rule[:k] for k in range(1, len(rule) + 1)]
-        held = open_rows.agg(*[F.sum((all_of(h, f) & (F.col("bad") == b) & (F.col("prune") == p)).cast("int")).alias(f"c{k}_{b}_{int(p)}") for k, h in enumerate(heads) for b in (0, 1) for p in (False, True)]).first()
+        held = wide.filter(still_open).agg(*[F.count_if(holds(h) & (F.col("bad") == b) & (F.col("prune") == p)).alias(f"c{k}_{b}_{int(p)}") for k, h in enumerate(heads) for b in (0, 1) for p in (False, True)]).first()
         worth = lambda k: (held[f"c{k}_1_1"] - held[f"c{k}_0_1"]) / max(1, held[f"c{k}_1_1"] + held[f"c{k}_0_1"])
         k = max(range(len(heads)), key=lambda i: (worth(i), -i))
-        grown, apart = [[held[f"c{k}_{b}_{p}"] or 0 for b in (1, 0)] for p in (0, 1)]
+        grown, apart = [[held[f"c{k}_{b}_{p}"] for b in (1, 0)] for p in (0, 1)]
         if grown[0] < how.min_covered or any(p < how.min_precision * (p + n) for p, n in (grown, apart)):
             break
         rules.append(heads[k])
@@ -230,16 +256,22 @@ def apply_rules(docs: DataFrame, labels: DataFrame, how: Learner = Learner()) ->
     """(doc_id, s, base_failed, reason, kept) for every row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts have no words and fail the base rules; repeated rows
-    stay and get equal verdicts; an empty table gives an empty result.
+    stay and get equal verdicts; an empty table gives an empty result. Labels
+    of documents that docs lacks change nothing.
     """
     stats = scored(docs)
-    rules = learn(stats, labels, how)
+    rules = learn(materialize(labelled_statistics(stats, fitting_labels(labels, how)), "labelled"), how)
     return stats.select("doc_id", "s", base_failed(F.col("s")).alias("base_failed"), verdict(rules, F.col("s")).alias("reason")).withColumn("kept", F.col("reason").isNull())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, how: Learner = Learner()) -> DataFrame:
-    """The rows of docs, all columns, that no rule rejects. Only labelled documents are read twice."""
-    known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn(scored(known), labels, how)
+    """The rows of docs, all columns, that no rule rejects; cases as in `apply_rules`.
+
+    The documents that rules are fitted on, a bounded number, are found by a
+    broadcast of their ids; all rows are then judged where they are read.
+    """
+    chosen = fitting_labels(labels, how)
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen.select("id")), F.col("doc_id").cast("long") == F.col("id"), "left_semi")
+    rules = learn(materialize(labelled_statistics(scored(known), chosen), "labelled"), how)
     name = fresh(docs, "verdict")
     return docs.withColumn(name, let(statistics(F.col("text")), lambda s: verdict(rules, s))).filter(F.col(name).isNull()).drop(name)

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanlake.llm import simhash
+from spanlake.llm.language_id import mixed
 
 from .helpers import odd_docs, words
 
@@ -78,6 +79,65 @@ def test_keep_one(spark):
     docs = odd_docs(spark)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted({c for c in classes.values() if c is not None})
+    rows = docs.select("doc_id", "text").collect()
+    prints = [wide_print(r["text"]) for r in rows]
+    group = brute_components(list(range(len(rows))), prints, 24)
+    want = {g: min(((r["doc_id"] is None, r["doc_id"] or 0) for r, x in zip(rows, group, strict=True) if x == g)) for g in group}
+    got = [((r["doc_id"] is None, r["doc_id"] or 0), r["text"]) for r in kept.collect()]
+    assert sorted(k for k, _ in got) == sorted(want.values())
+    number = {(i, t): g for (i, t), g in zip(((r["doc_id"], r["text"]) for r in rows), group, strict=True)}
+    assert sorted(number[(None if none else i, t)] for (none, i), t in got) == sorted(want)
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    a, b = "one two three four five six seven", "entirely other words stand here in this text"
+    for rows, want in (([(3, a), (5, a), (5, b)], [(3, a), (5, b)]), ([(7, a), (7, b)], [(7, a), (7, b)]), ([(None, a), (None, a), (None, b), (2, b)], [(2, b), (None, a)])):
+        got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def wide_print(text, width=5):
+    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in words(text)]
+    grams = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
+    hs = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    hs = [h | int(x) << 64 for h, x in zip(hs, mixed(np.array(hs, np.uint64)).tolist(), strict=True)]
+    return sum(1 << b for b in range(128) if hs and 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_near_copies_are_found(spark):
+    """Texts with random words replaced: of those at a similarity of 0.8 or more, nine in ten are linked, and no unlike ones."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    rows, similar = [], []
+    for i in range(300):
+        base = [vocabulary[k] for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        copy = list(base)
+        for k in rng.choice(len(copy), max(1, int(len(copy) * rng.uniform(0.002, 0.02))), replace=False):
+            copy[k] = "changed" + str(rng.integers(0, 10**9))
+        grams = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (base, copy)]
+        similar.append(len(grams[0] & grams[1]) / len(grams[0] | grams[1]))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in range(300))
+    near = [i for i, s in enumerate(similar) if s >= 0.8]
+    assert len(near) > 150 and sum(2 * i + 1 not in kept for i in near) >= 0.9 * len(near)
+
+
+def test_crowded_probes_are_dealt_out(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (2, 2), dtype=np.uint64)
+    fps = {tuple((b ^ np.array([sum(1 << int(k) for k in rng.choice(60, 2, replace=False)), 0], np.uint64)).tolist()) for b in base for _ in range(60)}
+    data = [(np.array(x, "<u8").tobytes(), bytes([0, 1, 2] * 6)) for x in fps]
+    frame = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in data], "fp binary, weak binary")
+    for chunk in (4096, 16):
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in simhash.components(simhash.wide_links(frame, 20, 3, 24, chunk)).collect()}
+        assert len(roots) == len(fps) and len(set(roots.values())) == 2
+
+
+def test_a_hub_and_a_common_print(spark):
+    """Links of one hub, and rows of one print, take the broadcast path and give the same components."""
+    links = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(5000 + i, 4000) for i in range(5)], "hi long, lo long")
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert len(roots) == 3006 and all(v == (0 if k < 3000 else 4000) for k, v in roots.items())
+    docs = spark.createDataFrame([(i, "the same text in all of them") for i in range(2500)] + [(9000, "another text of its own kind")], "doc_id long, text string")
+    assert {(r["component_id"], r["count"]) for r in simhash.near_duplicates(docs).groupBy("component_id").count().collect()} == {(0, 2500), (9000, 1)}
