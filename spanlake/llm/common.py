@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word: a run of characters that are neither blank, tab, nor a line or page break.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key with more than one in so many rows is joined by broadcast: there are at most so many of these.
+HOT = 1000
+
 _own_folder: list[str] = []
 
 
@@ -25,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (local tests) is a folder of this process used.
+    Only a local session without one (tests) gets a folder of this process; on
+    a cluster its lack is an error, as executors don't share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_own_folder[0]}"
@@ -59,6 +65,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def joined_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined to table, which has one row per key and, as `count`, how many of the `total` rows have it.
+
+    Keys that hold more than one in HOT rows, HOT at most, are broadcast, so that no common key fills a task.
+    """
+    hot = F.col(count) * HOT > total
+    many, few = table.filter(hot).drop(count), table.filter(~hot).drop(count)
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(many), key).unionByName(rest.join(few, key))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

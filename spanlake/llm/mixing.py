@@ -1,16 +1,18 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-DataFrame work throughout; the driver handles one row per source (their number
-is bounded and checked) and the tree of quotas, sources x output shards.
-
-A source's documents fall by hash into blocks, a power of two of them. Targets
-are in words. Epochs whose every block is drawn come first; of the last epoch,
-blocks are drawn in a permuted order until the target is met, and the document
-at which it is met is cut, so that a source yields its target to the word. The
-numbers of blocks drawn from all sources form the root of a tree; each node
-deals half of its blocks to either child by a multivariate hypergeometric draw,
-down to one exact quota vector per output shard. Shards then take disjoint runs
-of each source's permuted blocks, and order their documents by hash locally.
+DataFrame work throughout. A source's documents fall by hash into blocks, a
+power of two of them. Targets are in words. Epochs whose every block is drawn
+come first; of the last epoch, blocks are drawn in a permuted order until the
+target is met, and the document at which it is met is cut, so that a source
+yields its target to the word. The numbers of blocks drawn from all sources
+form the root of a tree; each node deals half of its blocks to either child by
+a multivariate hypergeometric draw, down to one exact quota vector per output
+shard. Shards then take disjoint runs of each source's permuted blocks, and
+order their documents by hash locally.
+
+Sources are rows of a table, in any number. The driver sees sums over them,
+and the tree of quotas, which has a column per source up to GROUPS sources;
+beyond that, sources share GROUPS columns by hash and take runs of these.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, let, materialize, word_count
+from .common import fresh, joined_by, let, materialize, word_count
 
 #: Weights by rank of the source in code point order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
@@ -27,29 +29,21 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 #: Output shards; words that a block has on average, about; blocks of a source at most, as a power of two.
 SHARDS, BLOCK_WORDS, MAX_BLOCK_BITS = 16, 4096, 16
-#: Sources, at most; more is an error.
-MAX_SOURCES = 5000
-
-
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) by code point, null last: weights share the total; what exceeds the cap is dealt anew."""
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [weights[i % len(weights)] for i in range(len(ordered))]
-    out, rest, open_ = [0.0] * len(ordered), share * sum(s for _, s in ordered), list(range(len(ordered)))
-    while open_:
-        unit = rest / sum(weight[i] for i in open_)
-        over = [i for i in open_ if unit * weight[i] > cap * ordered[i][1]]
-        for i in over or open_:
-            out[i] = cap * ordered[i][1] if over else unit * weight[i]
-        if not over:
-            break
-        rest -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return [(name, size, t) for (name, size), t in zip(ordered, out, strict=True)]
+#: Columns of the tree, at most; up to so many sources are broadcast to their documents.
+GROUPS = 4096
+
+
+def hypergeometric(rng: np.random.Generator, good: int, other: int, draws: int) -> int:
+    """How many of `draws` are good. Beyond the library's range the rounded normal law with its mean and variance."""
+    if max(good, other) < 1_000_000_000:
+        return int(rng.hypergeometric(good, other, draws))
+    share, n = good / (good + other), good + other
+    spread = (draws * share * (1 - share) * (n - draws) / max(1, n - 1)) ** 0.5
+    return int(min(good, draws, max(draws - other, 0, round(rng.normal(draws * share, spread)))))
 
 
 def split_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, sources): exact block quotas; each node splits its blocks in proportion to the shards below it."""
+    """(shards, columns): exact block quotas; each node splits its blocks in proportion to the shards below it."""
     if shards == 1:
         return quota[None, :]
     left = shards // 2
@@ -57,9 +51,9 @@ def split_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng([seed, shards, int(quota.sum())])
     drawn = np.zeros_like(quota)
     after, need = int(quota.sum()), take
-    for i, n in enumerate(quota):  # multivariate hypergeometric, one source after the other
-        after -= int(n)
-        drawn[i] = rng.hypergeometric(int(n), after, need) if need and n and after else min(int(n), need)
+    for i, n in enumerate(quota.tolist()):  # multivariate hypergeometric, one column after the other
+        after -= n
+        drawn[i] = hypergeometric(rng, n, after, need) if need and n and after else min(n, need)
         need -= int(drawn[i])
     return np.concatenate([split_tree(drawn, left, 2 * seed + 1), split_tree(quota - drawn, shards - left, 2 * seed + 2)])
 
@@ -68,64 +62,115 @@ def row_hash(docs: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["text"])
 
 
+def source_key(source: Column) -> Column:
+    """A key that is not null, other for a null source than for any name."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def narrow_rows(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, size, h): what drawing needs of each document, written once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), row_hash(docs, seed).alias("h"))
+    """(doc_id, source, sid, size, h): what drawing needs of each document, written once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", source_key(F.col("source")).alias("sid"), word_count(F.col("text")).alias("size"), row_hash(docs, seed).alias("h"))
     return materialize(rows, "sizes")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank: its place by code point from 0, null last. Ranges are sorted apart; only their sizes are added up."""
+    order = F.col("source").asc_nulls_last()
+    numbered = materialize(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33)
+    counts = sorted(numbered.groupBy(part.alias("part")).count().collect())
+    starts = dict(zip((r["part"] for r in counts), np.cumsum([0] + [r["count"] for r in counts]).tolist(), strict=False))
+    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[part] if starts else F.lit(0)
+    return numbered.withColumn("rank", (start + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("at")
+
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sources (rank, source_size, ...) with target: weights share the total; what exceeds the cap is dealt anew.
+
+    All is in one number, the words a unit of weight gets: it grows from round
+    to round as capped sources leave their rest to the others.
+    """
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    most = F.col("source_size") * F.lit(float(cap))
+    total, all_w = sources.agg(F.sum("source_size"), F.sum(w)).first()
+    unit = share * total / all_w if total else 0.0
+    while total:
+        over = unit * w > most
+        capped, open_w = sources.agg(F.sum(F.when(over, most).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(w))).first()
+        after = (share * total - capped) / open_w if open_w else unit
+        if after <= unit * (1 + 1e-12):
+            break
+        unit = after
+    return sources.withColumn("target", F.least(unit * w, most))
+
+
 def plan(rows: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row per source, from rows as `narrow_rows` gives them.
 
-    source, source_size, target; blocks, factor, offset: the block permutation;
-    drawn: blocks drawn whole; cut: words drawn from the block after those (0:
-    none); shard_ends: blocks that the shards up to each one hold.
+    sid, source_size, target, rows; blocks, factor, offset: the block
+    permutation; drawn: blocks drawn whole; cut: words drawn from the block
+    after those (0: none); first: where the source's run starts in its column
+    of the tree; shard_ends: blocks that the shards up to each one hold of it.
     """
     spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    quotas = []
-    for i, (name, size, target) in enumerate(targets([(r["source"], r["size"]) for r in sums], weights, share, cap)):
-        blocks = 1 << min(MAX_BLOCK_BITS, (size // BLOCK_WORDS).bit_length())
-        epochs, rest = divmod(int(target + 0.5), size) if size else (0, 0)
-        factor, offset = (int(x) for x in np.random.default_rng([seed, i]).integers(1 << 20, size=2))
-        quotas.append((name, size, target, blocks, 2 * factor + 1, offset, epochs, rest))
-    names = "source string, source_size long, target double, blocks long, factor long, offset long"
-    table = spark.createDataFrame(quotas, f"{names}, epochs long, rest long").coalesce(1)
+    sums = rows.groupBy("sid").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sources = materialize(with_targets(materialize(ranked(sums), "ranked"), weights, share, cap), "targets")
+    n = sources.count()
+    whole = F.expr(f"source_size div {BLOCK_WORDS}")
+    noise = F.xxhash64(F.lit(seed), "sid")
+    table = sources.withColumns({
+        "bits": F.when(whole > 0, F.least(F.lit(MAX_BLOCK_BITS), F.length(F.bin(whole)))).otherwise(0), "words": F.floor(F.col("target") + 0.5).cast("long"),
+        "factor": 2 * F.pmod(noise, F.lit(1 << 20)) + 1, "offset": F.pmod(F.shiftright(noise, 20), F.lit(1 << 20)),
+    })
+    table = table.withColumns({"blocks": F.expr("shiftleft(1L, bits)"), "epochs": F.expr("if(source_size > 0, words div source_size, 0L)"), "rest": F.expr("if(source_size > 0, words % source_size, 0L)")})
+    table = materialize(table, "permutations")
     # the block of the last epoch at which each source's target is met
-    by_block = placed(rows, table).groupBy("source", "position", "rest").agg(F.sum("size").alias("words"))
-    start = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = by_block.withColumn("start", start).filter("start < rest AND start + words >= rest")
-    edge = {r["source"]: (r["position"], r["rest"] - r["start"]) for r in met.collect()}
-    whole = [q[6] * q[3] + edge.get(q[0], (0, 0))[0] for q in quotas]
-    blocks = np.array([w + (q[0] in edge) for w, q in zip(whole, quotas, strict=True)], np.int64)
-    ends = np.cumsum(split_tree(blocks, shards, seed), axis=0).T.tolist() if quotas else []
-    out = [(*q[:6], w, edge.get(q[0], (0, 0))[1], e) for q, w, e in zip(quotas, whole, ends, strict=True)]
-    return spark.createDataFrame(out, f"{names}, drawn long, cut long, shard_ends array<long>").coalesce(1)
-
-
-def placed(rows: DataFrame, table: DataFrame) -> DataFrame:
+    by_block = placed(rows, table, n).groupBy("sid", "position", "rest").agg(F.sum("size").alias("block_words"))
+    start = F.coalesce(F.sum("block_words").over(Window.partitionBy("sid").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = by_block.withColumn("start", start).filter("start < rest AND start + block_words >= rest").select("sid", F.col("position").alias("edge"), (F.col("rest") - F.col("start")).alias("cut"))
+    group = F.col("rank") if n <= GROUPS else F.pmod(F.xxhash64("sid"), F.lit(GROUPS))
+    drawn = table.join(edge, "sid", "left").select(
+        "sid", "source_size", "target", "rows", "blocks", "factor", "offset", group.alias("column"), (F.col("epochs") * F.col("blocks") + F.coalesce("edge", F.lit(0))).alias("drawn"), F.coalesce("cut", F.lit(0)).cast("long").alias("cut")
+    )
+    drawn = materialize(drawn.withColumn("taken_blocks", F.col("drawn") + (F.col("cut") > 0).cast("long")), "drawn")
+    quotas = sorted(drawn.groupBy("column").agg(F.sum("taken_blocks").alias("n")).collect())  # GROUPS rows at most
+    ends = np.cumsum(split_tree(np.array([r["n"] for r in quotas], np.int64), shards, seed), axis=0).T.tolist() if quotas else []
+    tree = spark.createDataFrame([(r["column"], e) for r, e in zip(quotas, ends, strict=True)], "column long, shard_ends array<long>").coalesce(1)
+    before = F.sum("taken_blocks").over(Window.partitionBy("column").orderBy(F.xxhash64("sid"), "sid").rowsBetween(Window.unboundedPreceding, -1))
+    return materialize(drawn.withColumn("first", F.coalesce(before, F.lit(0))).join(F.broadcast(tree), "column").drop("column", "taken_blocks"), "plan")
+
+
+def placed(rows: DataFrame, table: DataFrame, sources: int) -> DataFrame:
     """rows with the columns of their source's row of `table` and position: where their block stands in the permuted order.
 
-    `table` has a row per source, MAX_SOURCES at most, so it is broadcast.
+    `table` has a row per source: up to GROUPS are broadcast; of more, those
+    with many rows are, and the rest meet their rows by shuffle.
     """
-    joined = rows.join(F.broadcast(table.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    table = table.drop("source")
+    joined = rows.join(F.broadcast(table.drop("rows")), "sid") if sources <= GROUPS else joined_by(rows, table, "sid", "rows", rows.count())
     block = F.col("h").bitwiseAND(F.col("blocks") - 1)
     return joined.withColumn("position", F.pmod(block * F.col("factor") + F.col("offset"), F.col("blocks")))
 
 
 AT_EDGE = "(cut > 0 AND position = pmod(drawn, blocks))"
+#: Parts that the block at which a target is met is summed in, so that no task sums up a large block.
+PARTS = 1 << 16
 
 
-def edge_words(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The rows of the blocks at which targets are met, with edge_words: how many of their first words the last epoch takes.
+def edge_words(near: DataFrame) -> DataFrame:
+    """The rows of the blocks at which targets are met, from placed rows, with edge_words: how many of their first words the last epoch takes, and copy: their number among rows of equal source and hash.
 
-    One block of each source, which a window per source sums up.
+    A block is summed in PARTS by further bits of the hash, then within each part.
     """
-    run = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("cut") - F.coalesce(F.sum("size").over(run), F.lit(0))
-    return placed(rows, table).filter(AT_EDGE).withColumn("edge_words", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
+    rows = materialize(near.filter(AT_EDGE).withColumn("part", F.shiftrightunsigned("h", 40).bitwiseAND(PARTS - 1)), "edges")
+    parts = rows.groupBy("sid", "part").agg(F.sum("size").alias("part_words"))
+    so_far = F.sum("part_words").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("sid", "part", F.coalesce(so_far, F.lit(0)).alias("part_start"))
+    run = Window.partitionBy("sid", "part").orderBy("h", "doc_id", "size")
+    before = F.coalesce(F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = rows.withColumns({"before": before, "copy": F.row_number().over(Window.partitionBy("sid", "part", "h").orderBy("doc_id", "size"))}).join(starts, ["sid", "part"])
+    left = F.col("cut") - F.col("part_start") - F.col("before")
+    return summed.withColumn("edge_words", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")).drop("part", "before", "part_start")
 
 
 def draws_of(rows: DataFrame) -> DataFrame:
@@ -137,7 +182,7 @@ def draws_of(rows: DataFrame) -> DataFrame:
     def one(epoch: Column) -> Column:
         n = F.col("blocks") * epoch + F.col("position")
         words = F.when(n < F.col("drawn"), F.col("size")).when((n == F.col("drawn")) & (F.col("cut") > 0), F.col("edge_words")).otherwise(F.lit(0))
-        shard = let(n, lambda x: F.size(F.filter("shard_ends", lambda e: e <= x)))
+        shard = let(F.col("first") + n, lambda x: F.size(F.filter("shard_ends", lambda e: e <= x)))
         return F.struct(epoch.cast("int").alias("epoch"), shard.alias("shard"), words.cast("long").alias("words"), F.xxhash64("h", epoch).alias("place"))
 
     epochs = F.sequence(F.lit(0).cast("long"), F.floor(F.col("drawn") / F.col("blocks")))
@@ -153,27 +198,31 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[flo
     """
     rows = narrow_rows(docs, seed)
     table = plan(rows, shards, seed, weights)
-    other = placed(rows, table).filter(f"NOT {AT_EDGE}").withColumn("edge_words", F.lit(0).cast("long"))
-    found = draws_of(edge_words(rows, table).unionByName(other))
+    near = placed(rows, table, table.count())
+    other = near.filter(f"NOT {AT_EDGE}").withColumn("edge_words", F.lit(0).cast("long"))
+    found = draws_of(edge_words(near).drop("copy").unionByName(other))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs' columns, a row for each draw, dealt to shards and shuffled inside them.
+    """docs' columns, a row for each draw of `mix`, dealt to shards and shuffled inside them; cases as there.
 
     A document that is cut keeps its first words (and n_chars, where docs has
     it, follows). Only the texts of edge blocks meet a join; all others are
-    drawn where they are read and move once, to their shard. Of rows that
-    repeat within an edge block, all are cut alike.
+    drawn where they are read and move once, to their shard. Rows that repeat
+    are numbered, in the order of their other columns, so that each has the
+    draws of one of its equals in `mix`.
     """
     rows = narrow_rows(docs, seed)
     table = plan(rows, shards, seed, weights)
+    n = table.count()
     name = fresh(docs, "mixed")
-    whole = docs.select(F.struct(*docs.columns).alias(name), F.col("source"), word_count(F.col("text")).alias("size"), row_hash(docs, seed).alias("h"))
-    near = placed(whole, table)
-    cut = edge_words(rows, table).select("h", "edge_words").dropDuplicates(["h"])
-    edge = near.filter(AT_EDGE).join(cut, "h")
+    whole = docs.select(F.struct(*docs.columns).alias(name), source_key(F.col("source")).alias("sid"), word_count(F.col("text")).alias("size"), row_hash(docs, seed).alias("h"))
+    near = placed(whole, table, n)
+    cut = edge_words(placed(rows, table, n)).select("sid", "h", "copy", "edge_words")
+    copy = F.row_number().over(Window.partitionBy("sid", "h").orderBy(F.xxhash64(name)))
+    edge = near.filter(AT_EDGE).withColumn("copy", copy).join(cut, ["sid", "h", "copy"]).drop("copy")
     other = near.filter(f"NOT {AT_EDGE}").withColumn("edge_words", F.lit(0).cast("long"))
     drawn = draws_of(edge.unionByName(other)).select(name, "size", F.explode("draws").alias("d"))
     dealt = drawn.repartition("d.shard", F.pmod("d.place", F.lit(64))).sortWithinPartitions("d.shard", "d.place")

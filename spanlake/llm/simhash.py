@@ -27,15 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, pieces, record_batch
+from .common import fresh, joined_by, materialize, pieces, record_batch
 from .language_id import mixed
 
 #: Fingerprints of one key that one group compares; larger keys get further keys, or are dealt out as pairs of chunks.
 CHUNK = 4096
 #: Comparisons (query, block of 64 lanes) that are worked on at a time.
 SPAN = 1 << 18
-#: A key with more than one in so many rows is joined by broadcast: there are at most so many of these.
-HOT = 1000
 #: Of how many fingerprints one is counted to find large keys. This only deals work out; it changes no result.
 COUNTED = 8
 
@@ -337,17 +335,6 @@ def wide_links(distinct: DataFrame, bits: int, weak: int, radius: int, chunk: in
     return compared(dealt(keyed, by, large_keys(keyed, by, chunk), chunk), by, radius)
 
 
-def joined_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows joined to table, which has one row per key and, as `count`, how many of the `total` rows have it.
-
-    Keys that hold more than one in HOT rows, HOT at most, are broadcast, so that no common key fills a task.
-    """
-    hot = F.col(count) * HOT > total
-    many, few = table.filter(hot).drop(count), table.filter(~hot).drop(count)
-    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(many), key).unionByName(rest.join(few, key))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root): every linked node and the least node that it reaches, itself included. Nodes: longs or binary.
 

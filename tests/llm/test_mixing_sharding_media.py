@@ -51,18 +51,53 @@ def test_mix(spark, tiny):
     assert all(r["taken"] == 0 for r in mixing.mix(odd_docs(spark).withColumn("text", F.lit(None).cast("string"))).collect())
 
 
+def check_mixed(docs):
+    """The texts of mixed_documents are the draws of mix, by (doc_id, text); reruns agree."""
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    texts = defaultdict(list)
+    for r in docs.select("doc_id", "source", "text").collect():
+        texts[r["doc_id"], r["source"]].append(r["text"] or "")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want.update((r["doc_id"], r["source"], d["words"]) for d in r["draws"])
+    found = out.collect()
+    for r in found:
+        got[r["doc_id"], r["source"], len(words(r["text"]))] += 1
+        assert any(t.startswith(r["text"]) for t in texts[r["doc_id"], r["source"]]) and ("n_chars" not in docs.columns or r["n_chars"] == len(r["text"]))
+    assert got == want
+    again = mixing.mixed_documents(docs.repartition(3)).collect()
+    assert Counter(map(repr, again)) == Counter(map(repr, found))
+    return sum((Counter({k[1]: k[2] * v}) for k, v in got.items()), Counter())
+
+
 def test_mixed_documents(spark, tiny):
-    for docs in (spark.read.parquet(f"{tiny}/documents.parquet"), odd_docs(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
-        rows = mixing.mix(docs).collect()
-        out = mixing.mixed_documents(docs)
-        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
-        got = defaultdict(list)
-        text = {r["doc_id"]: r["text"] for r in docs.collect()}
-        for r in out.collect():
-            got[r["doc_id"]].append(len(words(r["text"])))
-            assert text[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
-        assert {r["doc_id"]: sorted(d["words"] for d in r["draws"]) for r in rows if r["draws"]} == {k: sorted(v) for k, v in got.items()}
-    assert mixing.mixed_documents(docs.limit(0)).collect() == []
+    check_mixed(spark.read.parquet(f"{tiny}/documents.parquet"))
+    check_mixed(odd_docs(spark))
+    equal = spark.createDataFrame([(1, "a b c d e f", "s")] * 3 + [(2, "g h", "t")] * 2, "doc_id long, text string, source string")
+    assert check_mixed(equal) == {r["source"]: int(r["target"] + 0.5) for r in mixing.mix(equal).collect()}
+    assert mixing.mixed_documents(odd_docs(spark).limit(0)).collect() == []
+
+
+def test_more_sources_than_columns(spark, tiny, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7 % 50), f"site{i % 40}" if i % 41 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {(r["doc_id"], r["taken"]) for r in check_mix(docs)}
+    monkeypatch.setattr(mixing, "GROUPS", 4)
+    found = check_mix(docs)
+    assert {(r["doc_id"], r["taken"]) for r in found} == plain
+    load = Counter()
+    for r in found:
+        for d in r["draws"]:
+            load[d["shard"]] += 1
+    assert len(load) > mixing.SHARDS // 2
+    check_mixed(docs)
+
+
+def test_hypergeometric_beyond_the_library():
+    rng = np.random.default_rng(1)
+    draws = [mixing.hypergeometric(rng, 3_000_000_000, 1_000_000_000, 1_000_000) for _ in range(200)]
+    assert abs(np.mean(draws) - 750_000) < 200 and mixing.hypergeometric(rng, 2_000_000_000, 5, 2_000_000_005) == 2_000_000_000
 
 
 def test_tree_keeps_quotas():
