@@ -1,7 +1,7 @@
 """BPE encoding with a pair occurrence index, and decoding.
 
-A batch's new words are laid out as symbol lists in one partition-wide array.
-An index maps each adjacent pair that has a merge rank to all its positions;
+The new words of a slice of a partition (`pieces`) are laid out as symbol lists
+in one array. An index maps each adjacent pair that has a merge rank to all its positions;
 the least active rank is taken from a heap, its positions are merged in
 ascending order, and the pairs on both sides of each merge leave and enter the
 index. Words are independent of each other, so taking the least rank of the
@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +66,8 @@ class PairIndexBpe:
         self.letter = np.array([self.vocab[letters[b]] for b in range(256)], np.int64)
         self.final = np.array([self.vocab[letters[b] + self.end] for b in range(256)], np.int64)
         self.text = {i: str(i) for i in self.names}
-        #: Of each stored word: its ids and its tokens, each joined by a space.
-        self.store: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
+        #: The ids of each stored word.
+        self.store: dict[str, list[int]] = {}
 
     def words(self, text: str) -> list[str]:
         """Pieces of a text in order: special tokens as they are, else what the pattern finds."""
@@ -146,30 +146,28 @@ class PairIndexBpe:
         new = [w for w in words if w not in self.store]
         if len(self.store) + len(new) > STORE:
             self.store.clear()
-            self.tokens.clear()
             new = list(words)
         plain = [w for w in new if w not in self.special]
-        text, names = self.text, self.names
-        for w, ids in zip(plain, self.merge(plain), strict=True):
-            self.store[w] = " ".join([text[i] for i in ids])
-            self.tokens[w] = " ".join([names[i] for i in ids])
-        for w in new:
-            if w in self.special:
-                self.store[w], self.tokens[w] = str(self.special[w]), w
-
-    def encode_many(self, texts: list[str]) -> list[tuple[str, str, int]]:
-        """For each text: its ids joined by a space, its tokens joined by a space (which is how they decode), their number."""
+        self.store.update(zip(plain, self.merge(plain), strict=True))
+        self.store.update((w, [self.special[w]]) for w in new if w in self.special)
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         each = [self.words(t) for t in texts]
         self.learn(set().union(*each))
-        ids, tokens, out = self.store.__getitem__, self.tokens.__getitem__, []
-        for x in each:
-            joined = " ".join(map(ids, x))
-            out.append((joined, " ".join(map(tokens, x)), joined.count(" ") + 1 if x else 0))
-        return out
+        ids = self.store.__getitem__
+        return [list(chain.from_iterable(map(ids, x))) for x in each]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Text of ids, special tokens included. The file has no decoder step, so tokens are joined by a space."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        """Text of ids, special tokens included. The file has no decoder step, so tokens are joined by a space; unknown ids are left out."""
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.names[i] for i in ids if i in self.names])
+
+    def joined(self, ids: Iterable[int]) -> str:
+        """Decimal ids joined by a space."""
+        return " ".join(map(self.text.__getitem__, ids))
 
 
 _loaded: dict[str, PairIndexBpe] = {}
@@ -192,7 +190,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for part, texts in pieces(batches, "text"):
-            ids = [[int(i) for i in x[0].split()] for x in bpe.encode_many(texts)]
+            ids = bpe.encode_many(texts)
             yield record_batch(schema, part.column(0), ids, [len(x) for x in ids], [bpe.decode(x) for x in ids])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
@@ -201,7 +199,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: `encode` digested in the same task.
 
-    ids_sha256 is over the decimal ids joined by a space, decoded_sha256 over the decoded text in UTF-8, both lower hex.
+    ids_sha256 is over the decimal ids joined by a space, decoded_sha256 over
+    the text decoded from them in UTF-8, both lower hex. Null and empty texts
+    have no ids, and digests of ''; rows repeat as given; an empty table gives
+    an empty result. Texts are encoded whole, whatever their length.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
@@ -210,6 +211,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = loaded(path)
         for part, texts in pieces(batches, "text"):
             found = bpe.encode_many(texts)
-            yield record_batch(schema, part.column(0), [x[2] for x in found], [digest(x[0]) for x in found], [digest(x[1]) for x in found])
+            yield record_batch(schema, part.column(0), [len(x) for x in found], [digest(bpe.joined(x)) for x in found], [digest(bpe.decode(x)) for x in found])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -89,43 +89,61 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def greatest(rows: DataFrame, k: int) -> DataFrame:
-    """rows (doc_id, key, ...) with kept: whether the row is among the k of greatest key, ties by doc_id.
+def cut_at(rows: DataFrame, column: str, k: int) -> tuple[float | int, int]:
+    """(the k-th greatest value of a column without nulls, how many rows of that value are among the k); 0 < k <= rows.
 
-    The k-th key is found by counting keys in ever narrower cells; only rows of the last cell are ranked.
+    Values are counted in ever narrower cells; only the values of the last cell are ranked.
     """
-    low, high = rows.agg(F.min("key"), F.max("key")).first()
-    if low is None or k <= 0:
-        return rows.withColumn("kept", F.lit(False))
     above = 0
-    for _ in range(12):
-        width = (high - low) / CELLS
-        cell = F.least(F.lit(CELLS - 1), F.floor((F.col("key") - low) / width)) if width > 0 else F.lit(0)
-        counts = dict(rows.filter(F.col("key").between(low, high)).groupBy(cell.cast("int").alias("cell")).count().collect())
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    at = F.col(column).cast("double")
+    while True:
+        width = (float(high) - float(low)) / CELLS
+        cell = F.least(F.lit(CELLS - 1), F.floor((at - float(low)) / width)) if width > 0 else F.lit(0)
+        inside = rows.filter(F.col(column).between(low, high))
+        counts = dict(inside.groupBy(cell.cast("int").alias("cell")).count().collect())
         for c in sorted(counts, reverse=True):
             if above + counts[c] >= k:
                 break
             above += counts[c]
-        else:
-            return rows.withColumn("kept", F.lit(True))
-        inside = rows.filter(F.col("key").between(low, high) & (cell == c))
-        if counts[c] <= FEW or width <= 0:
+        inside = inside.filter(cell == c)
+        now = inside.agg(F.min(column), F.max(column)).first()
+        if counts[c] <= FEW or now[0] == now[1] or (now[0], now[1]) == (low, high):  # few rows, or few values
+            for value, n in sorted(inside.groupBy(column).count().collect(), reverse=True):
+                if above + n >= k:
+                    return value, k - above
+                above += n
+        low, high = now
+
+
+def greatest(rows: DataFrame, k: int) -> DataFrame:
+    """rows (doc_id, key, row, ...) with kept: whether the row is among the k of greatest key; ties by doc_id, nulls last, then by row.
+
+    row: any unique number. Exactly k rows are kept, or all where there are fewer.
+    """
+    n = rows.count()
+    if k <= 0 or k >= n:
+        return rows.withColumn("kept", F.lit(k > 0))
+    kept, tied = F.lit(False), F.lit(True)
+    late = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(-(1 << 63)))  # falls as doc_id grows
+    ranked = rows.withColumns({"late_": late, "back_": -F.col("row")})
+    for column in ("key", "late_", "back_"):
+        edge, over = cut_at(ranked.filter(tied), column, k)
+        kept = kept | (tied & (F.col(column) > edge))
+        tied = tied & (F.col(column) == edge)
+        if column == "back_" or ranked.filter(tied).count() == over:
             break
-        low, high = inside.agg(F.min("key"), F.max("key")).first()
-    edge = inside.orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(k - above).agg(F.min("key")).first()[0]
-    ties = inside.filter(F.col("key") == edge).select("doc_id")
-    over = k - above - inside.filter(F.col("key") > edge).count()
-    last = ties.orderBy(F.asc_nulls_last("doc_id")).limit(over).agg(F.max("doc_id")).first()[0]
-    at_edge = F.coalesce(F.col("doc_id") <= last, F.lit(False)) if last is not None else F.lit(True)
-    return rows.withColumn("kept", (F.col("key") > edge) | ((F.col("key") == edge) & at_edge))
+        k = over
+    return ranked.withColumn("kept", kept | tied).drop("late_", "back_")
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = 11) -> DataFrame:
     """(doc_id, log_ratio, key, kept) for every row of docs (doc_id, text; other columns are ignored).
 
-    kept marks ceil(share x rows) rows. Null and empty texts have log ratio 0;
-    rows that repeat share key and fate (at the last key all of them stay); an
-    empty table gives an empty result; without target text all ratios are 0.
+    kept marks ceil(share x rows) rows, exactly. Null and empty texts have log
+    ratio 0; rows that repeat share a key, and ties at the last key are broken
+    by doc_id, then arbitrarily; an empty table gives an empty result; without
+    target text all ratios are 0.
     """
     held = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, target_ids))
     schema = pa.schema([("doc_id", pa.int64()), ("log_ratio", pa.float64()), ("h", pa.int64())])
@@ -138,6 +156,6 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed:
 
     mapped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).mapInArrow(run, "doc_id long, log_ratio double, h long")
     uniform = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / float(1 << 53)
-    rows = materialize(mapped.select("doc_id", "log_ratio", (F.col("log_ratio") - F.log(-F.log(uniform))).alias("key")), "keys")
-    n = rows.count()
-    return greatest(rows, int(np.ceil(share * n)))
+    keyed = mapped.select("doc_id", "log_ratio", (F.col("log_ratio") - F.log(-F.log(uniform))).alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(keyed, "keys")
+    return greatest(rows, int(np.ceil(share * rows.count()))).drop("row")

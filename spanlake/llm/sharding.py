@@ -19,6 +19,8 @@ from .common import materialize, new_path
 
 #: Virtual slots; never changed once data is placed.
 SLOTS = 4096
+#: Parts of a virtual slot whose rows are numbered apart.
+PARTS = 16
 #: What a record costs besides its text.
 ROW_BYTES = 8
 
@@ -114,23 +116,25 @@ def place(docs: DataFrame, shards: int, path: str | None = None) -> DataFrame:
     """Shard and place of every row of docs (doc_id, text; other columns are ignored), sizes near equal.
 
     (doc_id, size, text_crc32, virtual_slot, shard, slot): slot numbers a
-    shard's rows from 0 without gaps. Null texts count as empty, rows that
-    repeat are placed one by one (equal ones in one virtual slot), an empty
-    table gives an empty result. The map with its versions is kept at `path`, a
+    shard's rows from 0 without gaps; the order inside a virtual slot is not
+    stated. Null texts count as empty, null ids hash as null, texts of any
+    length are read whole; rows that repeat are placed one by one (equal ones
+    in one virtual slot, numbered in PARTS tasks), ties of load go to the lower
+    shard; an empty table gives an empty result. The map with its versions is kept at `path`, a
     new folder of the shared one if none is given.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(docs).alias("virtual_slot"))
-    rows = materialize(rows, "records")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(docs).alias("virtual_slot"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("part"))
+    rows = materialize(rows, "records")  # part is kept with the rows, so that a task that runs again finds it as it was
     sizes = slot_bytes(rows)
     store = SlotMap(spark, path or new_path(spark, "slot_map"))
     owner = [slot % shards for slot in range(SLOTS)]
     store.write(1, owner, sizes, "dealt in turn")
     store.write(2, rebalanced(owner, sizes, shards), sizes, "rebalanced by bytes")
-    # places: rows are numbered inside each virtual slot, whose start in its shard is a sum over the fixed number of slots
-    counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n"))
-    now = store.read().withColumnRenamed("slot", "virtual_slot").join(F.broadcast(counts), "virtual_slot", "left")
-    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
-    starts = now.withColumn("start", F.coalesce(before, F.lit(0))).select("virtual_slot", "shard", "start")
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("inside", inside).join(F.broadcast(starts), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"))
+    # places: rows are numbered inside each part of a virtual slot, whose start is a sum over a fixed number of parts
+    counts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"))
+    now = store.read().withColumnRenamed("slot", "virtual_slot").join(F.broadcast(counts), "virtual_slot")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = now.select("virtual_slot", "part", "shard", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32"))
+    return rows.withColumn("inside", inside).join(F.broadcast(starts), ["virtual_slot", "part"]).select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"))

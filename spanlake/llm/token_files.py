@@ -14,8 +14,6 @@ length (u32), its chunks, its bitmap and its directory (u32 each).
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from .common import pieces, record_batch
 
@@ -32,8 +30,6 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: Ids that a file holds, about: a file ends with the document that reaches it.
 FILE_IDS = 1 << 20
-#: Encoded words that a Python worker keeps before it starts anew.
-STORE = 600_000
 
 
 def write_dac(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -98,101 +94,26 @@ class DacFile:
         return out
 
 
-class WordEncoder:
-    """The tokenizers library applied to each blank-delimited run of characters once, and kept.
+class Encoder:
+    """The tokenizers library on whole texts, without truncation, padding or special tokens of its own."""
 
-    No token spans blanks in this kind of vocabulary, which lower-cases all: a
-    text's ids are those of its lower-cased runs. A run of letters is one word,
-    whose last token alone has the mark of a word's end; so the library gets
-    such runs many at a time with a blank between, and as nothing in them is
-    left to normalise or to split, its byte-level step and model do. A run of
-    letters with punctuation after it (no apostrophe) has the ids of both in
-    turn. All other runs go to the library as they are.
-    """
-
-    #: What the vocabulary's split counts as blank (fixed values).
-    BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-    ODD = re.compile("[\\x1c-\\x1f]")
-    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-    def __init__(self, path: str, end: str = "</w>", many: int = 4000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
-        self.lib, self.many = Tokenizer.from_file(path), many
+        self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model = Tokenizer(self.lib.model)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.lib.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.lib.get_vocab().items() if t.endswith(end)]] = True
-        self.store: dict[str, bytes] = {}
-
-    def runs(self, text: str) -> list[str]:
-        """str.split() but for four control characters that it alone takes for blanks.
-
-        Lower case changes no ids, save where it makes a special token or a final sigma.
-        """
-        if "<|" not in text and "Σ" not in text:
-            text = text.lower()
-        return [x for x in self.BLANK.split(text) if x] if self.ODD.search(text) else text.split()
-
-    def plain(self, runs: list[str]) -> None:
-        """Store the ids of runs by one call each to the library."""
-        for r, e in zip(runs, self.lib.encode_batch_fast(runs, add_special_tokens=False), strict=True):
-            self.store[r] = np.array(e.ids, "<u4").tobytes()
-
-    @staticmethod
-    def is_word(run: str) -> bool:
-        """Letters alone, in lower case and NFC, and so still when normalised."""
-        return run.isalpha() and run.lower() == run and (run.isascii() or unicodedata.normalize("NFC", run) == run)
-
-    def learn(self, runs: set[str]) -> None:
-        """Store runs that it lacks; without room for them the store begins anew."""
-        store = self.store
-        if len(store) + len(runs) > STORE:
-            store.clear()
-        words, two, rest = set(), [], set()
-        for r in runs:
-            if self.is_word(r):
-                words.add(r)
-            elif (head := r.rstrip(self.TAIL)) != r and self.is_word(head):
-                two.append((r, head, r[len(head) :]))
-                words.add(head)
-                rest.add(r[len(head) :])
-            else:
-                rest.add(r)
-        words = [w for w in words if w not in store]
-        groups = [words[i : i + self.many] for i in range(0, len(words), self.many)]
-        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(group):  # never seen; the library decides
-                self.plain(group)
-                continue
-            data = ids.tobytes()
-            for r, a, b in zip(group, [0, *cuts], cuts, strict=False):
-                store[r] = data[4 * a : 4 * b]
-        self.plain([r for r in rest if r not in store])
-        for r, head, tail in two:
-            store[r] = store[head] + store[tail]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        each = [self.runs(t) for t in texts]
-        get = self.store.get
-        found = [list(map(get, x)) for x in each]
-        gaps = [(ids, i, x[i]) for x, ids in zip(each, found, strict=True) if None in ids for i, v in enumerate(ids) if v is None]
-        self.learn({g[2] for g in gaps})
-        for ids, i, r in gaps:
-            ids[i] = get(r)
-        return [b"".join(x) for x in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-_loaded: dict[str, WordEncoder] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def loaded(path: str) -> WordEncoder:
+def loaded(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -237,14 +158,19 @@ def write_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, pa
     return docs.sparkSession.read.schema(files.schema).parquet(path)
 
 
+def part_starts(files: DataFrame) -> DataFrame:
+    """(part, part_start): ids of all parts before each. A part is one write task, so there is a row per task: small enough to sum and broadcast."""
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    return parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in a table of `write_files`, from the files alone.
 
     start: ids of all documents before it. Only ids per part, a row each, are summed in one place.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    starts = part_starts(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,8 +187,7 @@ def read_files(files: DataFrame) -> DataFrame:
 
 def token_at(files: DataFrame, position: int) -> int | None:
     """The id at a position of the whole corpus, by random access to the one file that holds it; null beyond the end."""
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    starts = part_starts(files)
     first = F.col("part_start") + F.col("before")
     row = files.join(F.broadcast(starts), "part").filter((first <= position) & (first + F.col("n_ids") > position)).select(first.alias("first"), "file").first()
     return None if row is None else DacFile(bytes(row["file"])).token(position - row["first"])

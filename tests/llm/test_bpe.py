@@ -30,10 +30,10 @@ def random_texts():
 
 def test_pair_index_equals_the_library(lib):
     own, texts = bpe.PairIndexBpe(PATH), random_texts()
-    for text, (ids, decoded, n) in zip(texts, own.encode_many(texts), strict=True):
+    for text, ids in zip(texts, own.encode_many(texts), strict=True):
         want = lib.encode(text, add_special_tokens=False).ids
-        assert (ids, n) == (" ".join(map(str, want)), len(want)), text
-        assert decoded == own.decode(want) == lib.decode(want, skip_special_tokens=False)
+        assert ids == want, text
+        assert own.decode(ids) == lib.decode(want, skip_special_tokens=False)
 
 
 def test_a_lesser_rank_made_by_a_merge_goes_first():
@@ -71,12 +71,6 @@ def test_dac_round_trip_and_random_access():
         empty.token(0)
 
 
-def test_run_encoder_equals_the_library(lib):
-    own, texts = token_files.WordEncoder(PATH), random_texts()
-    for text, data in zip(texts, own.encode_many(texts), strict=True):
-        assert np.frombuffer(data, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
-
-
 def test_files_in_order(spark, lib, monkeypatch):
     docs = odd_docs(spark)
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
