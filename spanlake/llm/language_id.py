@@ -1,13 +1,14 @@
 """Language ID: interpolated Kneser-Ney character models in sorted hash arrays.
 
 Training counts the character n-grams of a bounded sample of labelled
-documents per language as a Spark job; from the summed n-gram types the
-driver derives interpolated Kneser-Ney probabilities for every n-gram seen in
-any language and stores them as sorted arrays of hashed n-grams, one array per
-order, with a column per language. Scoring maps Arrow batches: every character
-of every text looks its n-gram up by binary search and falls back by order
-where no language has seen it. The language with the least cross-entropy per
-character wins. Rejection is calibrated on documents held back from training.
+documents per language as a Spark job; from the summed n-gram types the driver
+derives each language's interpolated Kneser-Ney probabilities and stores them
+as sorted arrays of hashed n-grams, one array per language and order, so the
+model grows with the n-grams that the languages have. Scoring maps Arrow
+batches: the n-grams of a slice of texts are looked up by binary search and
+fall back by order where the language has not seen them. The language with the
+least cross-entropy per character wins. Rejection is calibrated on documents
+held back from training.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ ORDER = 4
 SAMPLE = 1500
 #: Further documents per language that calibrate rejection.
 CALIBRATION = 300
-#: Languages, at most; more is an error.
-MAX_LANGUAGES = 256
 #: How far rejection lies between the worst calibration document and letters at random, and its slack in short texts.
 MARGIN, SLACK = 0.6, 6.0
 
@@ -94,14 +93,43 @@ def mixed(key: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """Sorted hash arrays by order: hashes[k] and logs[k][i, language]; unseen: log of the last resort."""
+class Language:
+    """One language, by order from 1: sorted hashes of its n-grams and their log-probabilities, sorted hashes of its contexts and the log weights of the order below."""
 
-    languages: list[str]
     hashes: list[np.ndarray]
     logs: list[np.ndarray]
-    back: list[np.ndarray]  # back[k][i, language]: log weight of going below order k + 1 after context i
     contexts: list[np.ndarray]
+    back: list[np.ndarray]
+
+    def log_probability(self, key: np.ndarray, order: int, unseen: float) -> np.ndarray:
+        """Of n-grams `key` of an order: as stored, or the weight of their context times the probability one order lower."""
+        if order == 0:
+            return np.full(len(key), unseen)
+        out, found = looked_up(self.hashes[order - 1], self.logs[order - 1], mixed(key))
+        miss = np.flatnonzero(~found)
+        if len(miss):
+            short = key[miss]
+            context = short >> np.uint64(16) if order > 1 else np.zeros(len(short), np.uint64)
+            weight, known = looked_up(self.contexts[order - 1], self.back[order - 1], mixed(context))
+            out[miss] = np.where(known, weight, 0.0) + self.log_probability(short & np.uint64((1 << (16 * (order - 1))) - 1), order - 1, unseen)
+        return out
+
+
+def looked_up(hashes: np.ndarray, values: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the sought hashes, whether each is there), by binary search."""
+    if not len(hashes):
+        return np.zeros(len(sought)), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(hashes, sought), len(hashes) - 1)
+    found = hashes[at] == sought
+    return np.where(found, values[at], 0.0).astype(np.float64), found
+
+
+@dataclass
+class Model:
+    """A model per language, in sorted hash arrays of its own n-grams alone; unseen: log of the last resort."""
+
+    languages: list[str]
+    each: list[Language]
     unseen: float
     worst: np.ndarray  # by language: cross-entropy above which a text is rejected
 
@@ -109,45 +137,16 @@ class Model:
         """(summed log-probability by text and language, letters and blanks scored by text)."""
         total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         codes, owner = symbols(texts)
-        key, last = grams(codes, owner, len(self.hashes))
+        key, last = grams(codes, owner, ORDER)
         if len(key) and self.languages:
-            row, logs = self._log(key, len(self.hashes))
             who = owner[last]
             start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            sums = np.add.reduceat(logs[row], start, axis=0, dtype=np.float64)
-            miss = np.flatnonzero(row == len(logs) - 1)
-            total[who[start]] = sums
-            if len(miss):
-                np.add.at(total, who[miss], self._below(key[miss], len(self.hashes)))
             n[who[start]] = np.diff(np.r_[start, len(who)])
+            distinct, at = np.unique(key, return_inverse=True)  # each n-gram of the texts is looked up once per language
+            for j, language in enumerate(self.each):
+                total[who[start], j] = np.add.reduceat(language.log_probability(distinct, ORDER, self.unseen)[at], start)
         return total, n
 
-    def _log(self, key: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of logs[order - 1]; the last row, of zeros, where no language has the n-gram."""
-        h, sought = self.hashes[order - 1], mixed(key)
-        at = np.searchsorted(h, sought)
-        at[at == len(h)] = 0
-        at[h[at] != sought] = len(h)
-        return at, self.logs[order - 1]
-
-    def _below(self, key: np.ndarray, order: int) -> np.ndarray:
-        """Log-probability of n-grams that no language has at this order."""
-        if order == 1:
-            return np.repeat(self.back[0][:1].astype(np.float64) + self.unseen, len(key), axis=0)
-        context = mixed(key >> np.uint64(16))
-        c = self.contexts[order - 1]
-        at = np.searchsorted(c, context)
-        at[at == len(c)] = 0
-        at[c[at] != context] = len(c)
-        out = self.back[order - 1][at].astype(np.float64)
-        short = key & np.uint64((1 << (16 * (order - 1))) - 1)
-        row, logs = self._log(short, order - 1)
-        out += logs[row]
-        miss = np.flatnonzero(row == len(logs) - 1)
-        if len(miss):
-            out[miss] += self._below(short[miss], order - 1)
-        return out
-
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score 0 to 1, rejected, cross-entropy per character of that language)."""
         total, n = self.score(texts)
@@ -164,16 +163,19 @@ class Model:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        many = {f"{name}{k}": x for name in ("hashes", "logs", "back", "contexts") for k, x in enumerate(getattr(self, name))}
+        many = {f"{name}{j}_{k}": x for j, language in enumerate(self.each) for name in ARRAYS for k, x in enumerate(getattr(language, name))}
         np.savez(out, languages=np.array(self.languages, dtype=np.str_), unseen=self.unseen, worst=self.worst, **many)
         return out.getvalue()
 
     @staticmethod
     def of_bytes(data: bytes) -> Model:
         z = np.load(io.BytesIO(data))
-        k = sum(name.startswith("hashes") for name in z.files)
-        many = [[z[f"{name}{i}"] for i in range(k)] for name in ("hashes", "logs", "back", "contexts")]
-        return Model([str(x) for x in z["languages"]], many[0], many[1], many[2], many[3], float(z["unseen"]), z["worst"])
+        names = [str(x) for x in z["languages"]]
+        each = [Language(*[[z[f"{name}{j}_{k}"] for k in range(ORDER)] for name in ARRAYS]) for j in range(len(names))]
+        return Model(names, each, float(z["unseen"]), z["worst"])
+
+
+ARRAYS = ("hashes", "logs", "contexts", "back")
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,37 +214,20 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[l
 
 
 def build(types: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The joint model of all languages from their n-gram types and counts."""
+    """The models of all languages from their n-gram types and counts; they share the size of the alphabet."""
     languages = sorted(types)
     vocabulary = 1 + len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in types.values()]))) if types else 1
-    each = [kneser_ney(*types[x], vocabulary) for x in languages]
-    unseen = float(np.log(1 / vocabulary))
-
-    def lookup(pairs: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(pairs[0], keys), len(pairs[0]) - 1)
-        return np.where(pairs[0][at] == keys, pairs[1][at], other)
-
-    hashes, logs, back, contexts, lower = [], [], [], [], None
-    for order in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([p[order - 1][0] for p, _ in each])) if each else np.zeros(0, np.uint64)
-        above = np.unique(np.concatenate([w[order - 1][0] for _, w in each])) if each else np.zeros(0, np.uint64)
-        context = keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64)
-        now = np.zeros((len(keys), len(languages)))
-        weights = np.zeros((len(above), len(languages)))
-        for j, (p, w) in enumerate(each):
-            weights[:, j] = lookup(w[order - 1], above, np.ones(len(above)))
-            if order == 1:
-                base = np.full(len(keys), 1 / vocabulary)
-            else:
-                base = lower[1][np.searchsorted(lower[0], keys & np.uint64((1 << (16 * (order - 1))) - 1)), j]
-            now[:, j] = lookup(p[order - 1], keys, lookup(w[order - 1], context, np.ones(len(keys))) * base)
-        lower = keys, now
-        h, hc = mixed(keys), mixed(above)
-        logs.append(np.concatenate([np.log(now[np.argsort(h)]), np.zeros((1, len(languages)))]).astype(np.float32))
-        back.append(np.concatenate([np.log(weights[np.argsort(hc)]), np.zeros((1, len(languages)))]).astype(np.float32))
-        hashes.append(np.sort(h))
-        contexts.append(np.sort(hc))
-    return Model(languages, hashes, logs, back, contexts, unseen, np.full(len(languages), np.inf))
+
+    def stored(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        hashed = [(mixed(k), np.log(v)) for k, v in pairs]
+        order = [np.argsort(h) for h, _ in hashed]
+        return [h[o] for (h, _), o in zip(hashed, order, strict=True)], [v[o].astype(np.float32) for (_, v), o in zip(hashed, order, strict=True)]
+
+    each = []
+    for x in languages:
+        probability, weight = kneser_ney(*types[x], vocabulary)
+        each.append(Language(*stored(probability), *stored(weight)))
+    return Model(languages, each, float(np.log(1 / vocabulary)), np.full(len(languages), np.inf))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
@@ -250,14 +235,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
 
     Fitted on at most `sample` whole documents per language, those of least
     hash of (doc_id, text); rejection is calibrated on the next `calibration`.
+    The driver holds the n-grams of these documents, which grow with the number
+    of languages. Documents with a null lang or text are ignored; without any
+    language every text is 'und'.
     """
     spark = docs.sparkSession
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counted = materialize(usable.groupBy("lang").count(), "languages")
-    if counted.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # a uniform cut by hash leaves about sample + calibration rows a language, whatever their number; the rank is then exact
-    sizes = {r["lang"]: r["count"] for r in counted.collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return build({})
     most = sample + calibration
@@ -277,7 +262,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
                 yield record_batch(schema, [x] * len(unique), unique.view(np.int64), n)
 
     split = F.col("rank") % (1 + sample // max(1, calibration)) == 0 if calibration else F.lit(False)
-    table = drawn.filter(~split).select("lang", "text").repartition(F.xxhash64("text")).mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    table = drawn.filter(~split).repartition(F.xxhash64("lang", "rank")).select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     types = {}
     langs, keys, counts = table["lang"].to_numpy(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
     for x in sorted(set(langs)):
@@ -328,7 +313,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose language is not rejected."""
+    """The rows of docs, all columns, whose language is not rejected.
+
+    Rejected are null and empty texts, texts without a letter, and those whose
+    cross-entropy is beyond what calibration allows. Rows repeat as given, an
+    empty table gives an empty result, and extra columns may have any names.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
     name = fresh(docs, "language_text")
 

@@ -72,6 +72,19 @@ def test_languages_held_out(spark, tiny):
     assert language_id.keep_known(docs, model).count() > 0.995 * docs.count()
 
 
+def test_unknown_languages_are_rejected(spark, tiny):
+    """Letters at random and languages that the model does not know go, however long; known ones stay."""
+    docs = spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/documents.parquet")
+    model = language_id.fit(docs)
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(chr(97 + int(k)) for k in rng.integers(0, 26, int(n))) for n in rng.integers(2, 9, 120)) for _ in range(20)]
+    other = ["\u043e\u0434\u043d\u0430\u0436\u0434\u044b \u0432 \u0441\u0442\u0443\u0434\u0435\u043d\u0443\u044e \u0437\u0438\u043c\u043d\u044e\u044e \u043f\u043e\u0440\u0443 " * 10, "\u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1 \u03c3\u03b5 \u03cc\u03bb\u03bf\u03c5\u03c2 " * 10, "123 456"]
+    known = [r["text"] for r in docs.limit(20).collect()]
+    frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(noise + other + known)], "doc_id long, text string, lang string")
+    kept = sorted(r["doc_id"] for r in language_id.keep_known(frame, model).collect())
+    assert kept == list(range(len(noise) + len(other), len(noise) + len(other) + len(known)))
+
+
 def test_language_odd_rows(spark):
     docs = odd_docs(spark)
     model = language_id.fit(docs)
@@ -114,6 +127,56 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).collect() == []
 
 
+def test_scores_equal_brute_force(spark):
+    """The whole way from labels to scores, by plain loops: sample, n-grams, ratios, choice, regression, sum of weights."""
+    rng = np.random.default_rng(6)
+    good, bad = ["table", "river", "window", "garden", "paper"], ["grubble", "snark"]
+    rows = [(i, " ".join(rng.choice(good, 12)) + (" " + str(rng.choice(bad)) if i % 3 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(1, 0), (6, 0), (2, None)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+
+    def grams(text):
+        s = "   " + text + " "
+        out = set()
+        for n in toxicity.LENGTHS:
+            for i in range(len(s) - n + 1):
+                key = n
+                for c in s[i : i + n]:
+                    key = (key * 0x100000001B3 + ord(c)) % 2**64
+                out.add(int(language_id.mixed(np.array([key], np.uint64))[0]) >> (64 - toxicity.BITS))
+        return out
+
+    train = [(t, i % 3 == 0) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    yes, no = Counter(), Counter()
+    for t, y in train:
+        (yes if y else no).update(grams(t))
+    n, m = sum(y for _, y in train), sum(not y for _, y in train)
+    told = {}
+    for b in set(yes) | set(no):
+        if yes[b] + no[b] >= toxicity.LEAST:
+            p, q = (yes[b] + 1) / (n + 2), (no[b] + 1) / (m + 2)
+            told[b] = math.log(p) - math.log(q), (math.log(p) - math.log(q)) * (p - q)
+    best = sorted(told, key=lambda b: (-told[b][1], b))[: toxicity.KEPT]
+    assert len(best) == len(told)  # so the choice leaves none out here
+    ratio = np.array([told[b][0] for b in best])
+    x = np.array([[b in g for b in best] for g in (grams(t) for t, _ in train)], float) * ratio
+    y = np.array([y for _, y in train])
+    share = sum(i % 3 == 0 for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2) / len(train)
+    each = np.where(y, share / n, (1 - share) / m)
+    w, b, m1, m2 = np.ones(len(best)) * 0.1, 0.0, np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        error = each * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = np.append(x.T @ error + toxicity.PENALTY * (w - w.mean()) / len(w), error.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        d = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
+        w, b = w - d[:-1], b - d[-1]
+    for i, t in rows:
+        g = grams(t)
+        want = 1 / (1 + math.exp(-(b + sum(w[k] * ratio[k] for k, f in enumerate(best) if f in g))))
+        assert math.isclose(found[i], want, abs_tol=2e-3), i
+
+
 def test_ratios_scale_features():
     texts = ["you trash thing", "a fine thing", "trash", "fine fine day"]
     text, bucket = toxicity.present(texts)
