@@ -2,9 +2,10 @@
 
 `pack` writes a byte string as one raw 8-bit track: 576 bytes a sample (a grey
 frame of 24 x 24), 16 samples a chunk, 25 samples a second, every twelfth
-sample a sync sample. `index` walks the nested boxes of any such file and
-decodes its sample tables: codec, duration, where every sample lies, and the
-byte ranges of the keyframes. The samples themselves are never decoded.
+sample a sync sample. `tracks` walks the nested boxes of any such file and
+decodes its sample tables and movie fragments: codec, duration, where every
+sample lies and when it is shown, and the byte ranges of the keyframes. The
+samples themselves are never decoded.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SIDE = 24
 SAMPLE = SIDE * SIDE
 PER_CHUNK, RATE, KEY_EVERY = 16, 25, 12
 #: Boxes that hold boxes, with the bytes before the first inner box (fixed values).
-CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0}
+CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 
 
 def padded(data: bytes) -> bytes:
@@ -84,16 +85,18 @@ def pack(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
-    """What the boxes say of the first track with samples."""
+    """What the boxes say of a track with samples."""
 
     codec: str
     seconds: float
     offsets: np.ndarray
     sizes: np.ndarray
     keys: np.ndarray  # numbers of the keyframes, from 0
+    times: np.ndarray  # seconds at which each sample is shown
 
-    def keyframes(self) -> list[tuple[int, int]]:
-        return list(zip(self.offsets[self.keys].tolist(), self.sizes[self.keys].tolist(), strict=True))
+    def keyframes(self) -> list[tuple[int, int, float]]:
+        """(offset, length, seconds) of each."""
+        return list(zip(self.offsets[self.keys].tolist(), self.sizes[self.keys].tolist(), self.times[self.keys].tolist(), strict=True))
 
 
 def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
@@ -115,41 +118,219 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes
         start += size
 
 
-def numbers(data: bytes, at: int, kind: str, count: int) -> np.ndarray:
-    return np.frombuffer(data, kind, count, at).astype(np.int64)
+class Reader:
+    """A box's body, read field by field; reading past its end is a ValueError, so no count is trusted."""
+
+    def __init__(self, data: bytes, start: int, end: int):
+        self.data, self.at, self.end = data, start, end
+
+    def take(self, form: str) -> tuple:
+        n = struct.calcsize(form)
+        if self.at + n > self.end:
+            raise ValueError("a field overruns its box")
+        self.at += n
+        return struct.unpack_from(form, self.data, self.at - n)
+
+    def one(self, form: str) -> int:
+        return self.take(form)[0]
+
+    def flags(self) -> tuple[int, int]:
+        """Version and flags."""
+        x = self.one(">I")
+        return x >> 24, x & 0xFFFFFF
+
+    def many(self, kind: str, count: int) -> np.ndarray:
+        n = count * np.dtype(kind).itemsize
+        if self.at + n > self.end:
+            raise ValueError("a table overruns its box")
+        self.at += n
+        return np.frombuffer(self.data, kind, count, self.at - n).astype(np.int64)
+
+
+def spread(counts: np.ndarray, n: int) -> np.ndarray:
+    """How often to repeat each run for n items in all: runs beyond the n-th item are cut, so a wrong count makes no large array."""
+    ends = np.minimum(np.cumsum(np.minimum(counts, n)), n)
+    return np.diff(np.r_[0, ends])
+
+
+def sample_sizes(read, length: int) -> np.ndarray:
+    if box_ := read(b"stsz"):
+        box_.flags()
+        each, n = box_.take(">II")
+        if each and n * each > length:
+            raise ValueError("samples beyond the file")
+        return np.full(n, each, np.int64) if each else box_.many(">u4", n)
+    box_ = read(b"stz2")
+    box_.flags()
+    bits, n = box_.one(">I") & 0xFF, box_.one(">I")
+    if bits in (8, 16):
+        return box_.many(">u1" if bits == 8 else ">u2", n)
+    if bits != 4:
+        raise ValueError("unknown field size")
+    pairs = box_.many(">u1", -(-n // 2))
+    return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n]
+
+
+def track_of(data: bytes, found: dict[bytes, tuple[int, int]]) -> Track:
+    """The track whose boxes are found, by its sample tables; a ValueError where these are broken or point outside the file."""
+
+    def read(kind: bytes) -> Reader | None:
+        return Reader(data, *found[kind]) if kind in found else None
+
+    head = read(b"mdhd")
+    wide = head.flags()[0] == 1
+    head.take(">QQ" if wide else ">II")
+    rate, length = head.one(">I"), head.one(">Q" if wide else ">I")
+    about = read(b"stsd")
+    about.take(">II")
+    codec = about.take(">I4s")[1].decode("latin-1")
+    sizes = sample_sizes(read, len(data)) if found.keys() & {b"stsz", b"stz2"} else np.zeros(0, np.int64)
+    n = len(sizes)
+    chunk = np.zeros(0, np.int64)
+    for kind, form in ((b"stco", ">u4"), (b"co64", ">u8")):
+        if box_ := read(kind):
+            box_.flags()
+            chunk = box_.many(form, box_.one(">I"))
+    owner = np.zeros(0, np.int64)
+    if n:
+        box_ = read(b"stsc")
+        if box_ is None:
+            raise ValueError("no chunk table")
+        box_.flags()
+        runs = box_.many(">u4", 3 * box_.one(">I")).reshape(-1, 3)
+        firsts = np.r_[runs[:, 0], len(chunk) + 1]
+        if (np.diff(firsts) < 0).any() or firsts[0] != 1:
+            raise ValueError("chunks out of order")
+        per_chunk = np.repeat(runs[:, 1], np.diff(firsts))
+        owner = np.repeat(np.arange(len(per_chunk)), spread(per_chunk, n))
+        if len(owner) != n:
+            raise ValueError("fewer places than samples")
+    before = np.cumsum(sizes) - sizes
+    first = np.r_[True, owner[1:] != owner[:-1]] if n else np.zeros(0, bool)
+    offsets = chunk[owner] + before - (before[first][np.cumsum(first) - 1] if n else before)
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("samples beyond the file")
+    lasts = np.zeros(n, np.int64)
+    if box_ := read(b"stts"):
+        box_.flags()
+        runs = box_.many(">u4", 2 * box_.one(">I")).reshape(-1, 2)
+        each = np.repeat(runs[:, 1], spread(runs[:, 0], n))
+        lasts[: len(each)] = each
+        length = int(lasts.sum()) if n else length
+    shown = np.cumsum(lasts) - lasts
+    if box_ := read(b"ctts"):
+        version = box_.flags()[0]
+        count = box_.one(">I")
+        runs = np.stack([box_.many(">u4", 2 * count).reshape(-1, 2)[:, 0], Reader(data, box_.at - 8 * count, box_.at).many(">i4" if version else ">u4", 2 * count).reshape(-1, 2)[:, 1]], axis=1)
+        each = np.repeat(runs[:, 1], spread(runs[:, 0], n))
+        shown[: len(each)] += each
+    keys = np.arange(n)  # without a table every sample is one
+    if box_ := read(b"stss"):
+        box_.flags()
+        keys = box_.many(">u4", box_.one(">I")) - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= n):
+            raise ValueError("keyframes beyond the samples")
+    scale = rate or 1
+    return Track(codec, length / scale if rate else 0.0, offsets, sizes, keys, shown / scale)
+
+
+def fragment_samples(data: bytes, start: int, moof: int, defaults: dict[int, tuple], clock: dict[int, int], runs: list[tuple[int, int]]) -> tuple[int, list[tuple]]:
+    """(track, [(offset, size, duration, shown, sync)]) of one track fragment: tfhd at `start`, its trun boxes in `runs`."""
+    head = Reader(data, start, len(data))
+    flags = head.flags()[1]
+    track = head.one(">I")
+    base = head.one(">Q") if flags & 1 else moof
+    head.take(">I") if flags & 2 else None
+    _, duration, size, bits = defaults.get(track, (1, 0, 0, 0))
+    duration = head.one(">I") if flags & 8 else duration
+    size = head.one(">I") if flags & 16 else size
+    bits = head.one(">I") if flags & 32 else bits
+    out, at, now = [], base, clock.get(track, 0)
+    for a, b in runs:
+        run = Reader(data, a, b)
+        version, flags = run.flags()
+        n = run.one(">I")
+        at = base + run.one(">i") if flags & 1 else at
+        first_bits = run.one(">I") if flags & 4 else None
+        width = sum(bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800))
+        if n > (len(data) if not width else (b - run.at) // (4 * width)) or (not flags & 0x200 and n * size > len(data)):
+            raise ValueError("a run overruns the file")
+        for k in range(n):
+            lasts = run.one(">I") if flags & 0x100 else duration
+            length = run.one(">I") if flags & 0x200 else size
+            own = run.one(">I") if flags & 0x400 else first_bits if k == 0 and first_bits is not None else bits
+            delay = run.one(">i" if version else ">I") if flags & 0x800 else 0
+            out.append((at, length, lasts, now + delay, not own & 0x10000))
+            at, now = at + length, now + lasts
+    clock[track] = now
+    if any(a < 0 or a + n > len(data) for a, n, *_ in out):
+        raise ValueError("samples beyond the file")
+    return track, out
+
+
+def tracks(data: bytes) -> list[Track | None]:
+    """All tracks in order, with the samples of movie fragments after those of their tables; null for one that is broken."""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple] = {}
+    fragments: list[tuple[int, int, list[tuple[int, int]]]] = []
+    moof = 0
+    try:
+        for path, start, end in boxes(data):
+            if path == (b"moov", b"trak"):
+                found.append({})
+            elif path[:2] == (b"moov", b"trak") and found:
+                found[-1].setdefault(path[-1], (start, end))
+            elif path == (b"moov", b"mvex", b"trex"):
+                box_ = Reader(data, start, end)
+                box_.flags()
+                number, *rest = box_.take(">IIIII")
+                defaults[number] = tuple(rest)
+            elif path == (b"moof",):
+                moof = start - (8 if data[start - 4 : start] == b"moof" else 16)
+            elif path == (b"moof", b"traf", b"tfhd"):
+                fragments.append((start, moof, []))
+            elif path == (b"moof", b"traf", b"trun") and fragments:
+                fragments[-1][2].append((start, end))
+    except ValueError:
+        defaults = {}
+    out: list[Track | None] = []
+    numbers: dict[int, int] = {}
+    for boxes_ in found:
+        try:
+            if not {b"mdhd", b"stsd"} <= boxes_.keys():
+                raise ValueError("no media header")
+            if b"tkhd" in boxes_:
+                box_ = Reader(data, *boxes_[b"tkhd"])
+                box_.take(">QQ" if box_.flags()[0] == 1 else ">II")
+                numbers[box_.one(">I")] = len(out)
+            out.append(track_of(data, boxes_))
+        except ValueError:
+            out.append(None)
+    clock: dict[int, int] = {}
+    in_tables = [t.seconds if t is not None and len(t.sizes) else 0.0 for t in out]
+    for start, moof, runs in fragments:
+        try:
+            track, samples = fragment_samples(data, start, moof, defaults, clock, runs)
+        except ValueError:
+            continue
+        t = out[numbers[track]] if track in numbers else None
+        if t is None or not samples:
+            continue
+        at, size, lasts, shown, sync = (np.array(x) for x in zip(*samples, strict=True))
+        head = Reader(data, *found[numbers[track]][b"mdhd"])
+        head.take(">QQ" if head.flags()[0] == 1 else ">II")
+        rate = head.one(">I") or 1
+        base = in_tables[numbers[track]]
+        out[numbers[track]] = Track(
+            t.codec, (t.seconds if len(t.sizes) else 0.0) + float(lasts.sum()) / rate, np.r_[t.offsets, at], np.r_[t.sizes, size],
+            np.r_[t.keys, len(t.sizes) + np.flatnonzero(sync)].astype(np.int64), np.r_[t.times, base + shown / rate],
+        )
+    return out
 
 
 def index(data: bytes) -> Track | None:
-    """The first track that has a sample table; null where there is none or a table is broken."""
-    found: dict[bytes, int] = {}
-    for path, start, _ in boxes(data):
-        if path[:2] == (b"moov", b"trak") and len(path) == 2 and b"stsz" in found:
-            break
-        found.setdefault(path[-1], start)
-    if not {b"mdhd", b"stsd", b"stsc", b"stsz"} <= found.keys() or not found.keys() & {b"stco", b"co64"}:
-        return None
-    try:
-        at = found[b"mdhd"]
-        wide = data[at] == 1
-        rate, length = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
-        codec = data[found[b"stsd"] + 12 : found[b"stsd"] + 16].decode("latin-1")
-        each, n = struct.unpack_from(">II", data, found[b"stsz"] + 4)
-        sizes = np.full(n, each, np.int64) if each else numbers(data, found[b"stsz"] + 12, ">u4", n)
-        name, kind = (b"co64", ">u8") if b"co64" in found else (b"stco", ">u4")
-        chunk = numbers(data, found[name] + 8, kind, struct.unpack_from(">I", data, found[name] + 4)[0])
-        runs = numbers(data, found[b"stsc"] + 8, ">u4", 3 * struct.unpack_from(">I", data, found[b"stsc"] + 4)[0]).reshape(-1, 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunk) + 1]))
-        owner = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-        before = np.cumsum(sizes) - sizes
-        first = np.r_[True, owner[1:] != owner[:-1]] if n else np.zeros(0, bool)
-        offsets = chunk[owner] + before - before[first][np.cumsum(first) - 1]
-        if b"stss" in found:
-            keys = numbers(data, found[b"stss"] + 8, ">u4", struct.unpack_from(">I", data, found[b"stss"] + 4)[0]) - 1
-        else:
-            keys = np.arange(n)  # no table: every sample is one
-        return Track(codec, length / rate if rate else 0.0, offsets, sizes, keys)
-    except (struct.error, ValueError, IndexError):
-        return None
+    """The first track that has samples; null where there is none or its tables are broken. Media data is never read."""
+    return next((t for t in tracks(data) if t is not None and len(t.sizes)), None)
 
 
 def payload_of(data: bytes, track: Track) -> bytes:
@@ -165,7 +346,9 @@ def payload_of(data: bytes, track: Track) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text of docs as a container, written to the shared folder.
 
-    docs: (doc_id, text; other columns are ignored). Null texts count as empty, which still makes one sample.
+    docs: (doc_id, text; other columns are ignored). Null texts count as empty,
+    which still makes one sample; texts of any length are stored whole, rows
+    repeat as given, and an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -179,21 +362,26 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Of every row of media (doc_id, n_bytes, media): codec, seconds, keyframe ranges, and digests of what is stored.
+    """Of every row of media (doc_id, n_bytes, media; others are ignored): codec, seconds, keyframe ranges and times, and digests of what is stored.
 
-    Rows whose container can't be read have null there.
+    Rows whose container is null, empty, damaged or without samples have null
+    there; tables are checked against the bounds of their boxes and of the file
+    before anything is made of them. Rows repeat as given, and an empty table
+    gives an empty result.
     """
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, seconds double, n_samples long, keyframes array<struct<offset:long,length:long>>"
-    frames = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, seconds double, n_samples long, keyframes array<struct<offset:long,length:long,seconds:double>>"
+    frames = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("seconds", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", frames)])
 
-    def row(doc_id, n_bytes, data: bytes) -> tuple:
+    def row(doc_id, n_bytes, data: bytes | None) -> tuple:
+        if data is None:
+            return (doc_id, n_bytes, *[None] * 9)
         track = index(data)
         tail = len(data), hashlib.sha256(data).hexdigest()
         if track is None:
             return (doc_id, n_bytes, None, None, None, *tail, None, None, None, None)
         payload = payload_of(data, track)
-        keys = [{"offset": a, "length": b} for a, b in track.keyframes()]
+        keys = [{"offset": a, "length": b, "seconds": t} for a, b, t in track.keyframes()]
         return (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *tail, track.codec, track.seconds, len(track.sizes), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,15 +168,14 @@ def test_boxes_and_tables():
     track = media.index(data)
     assert track.codec == "raw " and track.seconds == len(payload) / 576 / 25
     assert media.payload_of(data, track) == payload
-    for k, (a, n) in zip(range(0, len(payload) // 576, 12), track.keyframes(), strict=True):
-        assert data[a : a + n] == payload[576 * k : 576 * (k + 1)]
+    for k, (a, n, t) in zip(range(0, len(payload) // 576, 12), track.keyframes(), strict=True):
+        assert data[a : a + n] == payload[576 * k : 576 * (k + 1)] and abs(t - k / 25) < 1e-9
     kinds = [b"/".join(p) for p, _, _ in media.boxes(data)]
     assert b"moov/trak/mdia/minf/stbl/stsz" in kinds and kinds[-1] == b"mdat"
     for cut in range(0, len(data) - len(payload), 7):  # broken files have no track, and don't crash
         media.index(data[:cut])
     # sample sizes of their own, 64-bit offsets and no sync table: chunks of 2, 2 and 1 samples, out of order
     samples = [b"a" * 3, b"b" * 5, b"", b"c" * 7, b"d"]
-    be = lambda kind, *x: np.array(x, kind).tobytes()
     body = samples[4] + samples[0] + samples[1] + samples[2] + samples[3]
     tables = [
         media.full(b"stsd", 0, be(">u4", 1), media.box(b"mp4a", bytes(28))), media.full(b"stsc", 0, be(">u4", 2, 1, 2, 1, 3, 1, 1)),
@@ -187,3 +186,74 @@ def test_boxes_and_tables():
     track = media.index(data)
     assert (track.codec, track.seconds, len(track.keys)) == ("mp4a", 2.5, 5)
     assert [data[a : a + n] for a, n in zip(track.offsets, track.sizes, strict=True)] == samples and media.payload_of(data, track) == b"".join(samples)
+
+
+def be(kind, *x):
+    return np.array(x, kind).tobytes()
+
+
+def movie(tables, number=1, rate=1000, extra=b"", length=2500):
+    """moov with one track of the given sample tables."""
+    head = media.full(b"tkhd", 3, be(">u4", 0, 0, number, 0, 0))
+    mdia = media.box(b"mdia", media.full(b"mdhd", 0, be(">u4", 0, 0, rate, length)), media.box(b"minf", media.box(b"stbl", *tables)))
+    return media.box(b"moov", media.box(b"trak", head, mdia), extra)
+
+
+ENTRY = media.full(b"stsd", 0, be(">u4", 1), media.box(b"avc1", bytes(28)))
+
+
+def test_times_compact_sizes_and_damaged_counts():
+    tables = [
+        ENTRY, media.full(b"stts", 0, be(">u4", 2, 2, 100, 2, 50)), media.full(b"ctts", 1 << 24, be(">u4", 2, 1, 0, 3) + be(">i4", -20)),
+        media.full(b"stsc", 0, be(">u4", 1, 1, 4, 1)), media.full(b"stz2", 0, be(">u4", 4, 4), bytes([0x12, 0x34])), media.full(b"stss", 0, be(">u4", 2, 1, 3)), media.full(b"stco", 0, be(">u4", 1, 8)),
+    ]
+    data = media.box(b"mdat", b"abbcccdddd") + movie(tables)
+    track = media.index(data)
+    assert (track.codec, track.seconds, track.sizes.tolist(), track.offsets.tolist()) == ("avc1", 0.3, [1, 2, 3, 4], [8, 9, 11, 14])
+    assert np.allclose(track.times, [0.0, 0.08, 0.18, 0.23]) and [k[:2] for k in track.keyframes()] == [(8, 1), (11, 3)]
+    for bits, raw in ((8, be(">u1", 1, 2, 3, 4)), (16, be(">u2", 1, 2, 3, 4))):
+        tables[4] = media.full(b"stz2", 0, be(">u4", bits, 4), raw)
+        assert media.index(media.box(b"mdat", b"abbcccdddd") + movie(tables)).sizes.tolist() == [1, 2, 3, 4]
+    big = 0xFFFFFFF0
+    for k, wrong in ((1, be(">u4", big)), (3, be(">u4", 1, 1, big, 1)), (3, be(">u4", big)), (4, be(">u4", 4, big)), (4, be(">u4", 3, 4)), (5, be(">u4", 1, big)), (5, be(">u4", big)), (6, be(">u4", big, 8)), (6, be(">u4", 1, big))):
+        kind = tables[k][4:8]
+        broken = [*tables[:k], media.full(kind, 0, wrong), *tables[k + 1 :]]
+        media.index(media.box(b"mdat", b"abbcccdddd") + movie(broken))  # null or what can be read, but no crash and no large array
+    for each in (1, 576, big):
+        sized = media.full(b"stsz", 0, be(">u4", each, big))
+        assert media.index(media.box(b"mdat", b"abbcccdddd") + movie([*tables[:4], sized, *tables[5:]])) is None
+    rng = np.random.default_rng(5)
+    whole = bytearray(media.pack(bytes(range(256)) * 9 * 50))
+    for _ in range(2000):  # bytes turned at random
+        turned = bytearray(whole)
+        for at in rng.integers(0, len(whole) - 9 * 256 * 50, 3):
+            turned[at] = int(rng.integers(0, 256))
+        track = media.index(bytes(turned))
+        assert track is None or (len(track.offsets) == len(track.sizes) and (track.offsets + track.sizes <= len(turned)).all())
+
+
+def test_fragments_and_tracks():
+    trex = media.box(b"mvex", media.full(b"trex", 0, be(">u4", 1, 1, 40, 3, 0x10000)))
+    empty = [ENTRY, *[media.full(k, 0, be(">u4", 0)) for k in (b"stts", b"stsc", b"stco")], media.full(b"stsz", 0, be(">u4", 0, 0))]
+    head = movie(empty, extra=trex, length=0)
+
+    def fragment(truns, body, flags=0x20000, own=b""):
+        make = lambda n: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", flags, be(">u4", 1), own), *truns(n)))
+        return make(len(make(0)) + 8) + media.box(b"mdat", body)
+
+    one = fragment(lambda at: [media.full(b"trun", 0x1 | 0x4 | 0x200, be(">u4", 2, at, 0, 4, 5))], b"aaaabbbbb")
+    two = fragment(lambda at: [media.full(b"trun", 0x1, be(">u4", 2, at)), media.full(b"trun", 0x100 | 0x400, be(">u4", 1, 10, 0))], b"cccdddeee")
+    data = head + one + two
+    track = media.index(data)
+    assert [data[a : a + n] for a, n in zip(track.offsets, track.sizes, strict=True)] == [b"aaaa", b"bbbbb", b"ccc", b"ddd", b"eee"]
+    assert track.keys.tolist() == [0, 4] and np.allclose(track.times, [0, 0.04, 0.08, 0.12, 0.16]) and abs(track.seconds - 0.17) < 1e-9
+    assert media.index(head + one[:-3]) is None or len(media.index(head + one[:-3]).sizes) < 3
+    second = media.box(b"trak", media.full(b"tkhd", 3, be(">u4", 0, 0, 2, 0, 0)), media.box(b"mdia", media.full(b"mdhd", 0, be(">u4", 0, 0, 10, 5)), media.box(b"minf", media.box(b"stbl", *empty))))
+    both = media.tracks(media.box(b"moov", second) + b"")
+    assert len(both) == 1 and len(both[0].sizes) == 0 and media.index(media.box(b"moov", second)) is None
+
+
+def test_unreadable_rows_are_null(spark):
+    rows = [(1, 3, bytearray(media.pack(b"x" * 576))), (2, 0, None), (3, 0, bytearray(b"")), (4, 5, bytearray(b"plain")), (None, 3, bytearray(media.pack(b"x" * 576)[:-1]))]
+    found = {r["doc_id"]: r for r in media.describe(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert found[1]["payload_bytes"] == 576 and all(found[k]["codec"] is None and found[k]["payload_sha256"] is None for k in (2, 3, 4, None))

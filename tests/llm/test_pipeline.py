@@ -7,7 +7,7 @@ import corpus_pipeline
 from spanlake.llm import common, language_id, mixing, quality_rules, simhash
 
 from .helpers import odd_docs
-from .test_simhash import brute_components, brute_print
+from .test_simhash import brute_components, wide_print
 
 
 def test_each_stage_does_its_work(spark, tiny):
@@ -28,7 +28,7 @@ def test_each_stage_does_its_work(spark, tiny):
     single = common.materialize(stages["simhash_near_dedup"](spark, good, tiny))
     rows = good.select("doc_id", "text").collect()
     ids = [r["doc_id"] for r in rows]
-    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(brute_components(ids, [brute_print(r["text"]) for r in rows])))
+    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(brute_components(ids, [wide_print(r["text"]) for r in rows], 24)))
 
     mixed = common.materialize(stages["mix_sources"](spark, single, tiny))
     want = Counter({r["doc_id"]: len(r["draws"]) for r in mixing.mix(single).collect() if r["draws"]})
