@@ -2,8 +2,14 @@
 
 Language ID drops documents whose language is rejected, quality rules drop
 those that a learned rule rejects, SimHash keeps one document of each group of
-near-duplicates (4-word shingles, 4 bits, as op8), mixing draws the sources to
-their targets, and BPE encodes what was drawn.
+near-duplicates (five-word shingles, similarity of about 0.8 or more), mixing
+draws the sources to their targets, and BPE encodes what was drawn.
+
+Cases are those of the operators: null, empty and letterless texts go with the
+first stage; a null doc_id, source or lang keeps its row; rows that share a
+doc_id with other texts are judged each on its own, and rows that repeat wholly
+are copies; extra columns pass through all stages but the last; empty tables
+give empty results.
 """
 
 from __future__ import annotations
