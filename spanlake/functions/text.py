@@ -28,10 +28,10 @@ def tokens(folded: Column) -> Column:
 
 
 def ellipsize(text: Column, n: int) -> Column:
-    """At most n characters, cut at a word end past the half if there is one, with an ellipsis."""
-    head = F.substring(text, 1, n - 1)
-    at_word = F.regexp_extract(head, r"^(.*)\s\S*$", 1)
-    cut = F.regexp_replace(F.when(F.length(at_word) > n // 2, at_word).otherwise(head), r"[\s.,;:!?-]+$", "")
+    """The first n characters, cut at the last blank if that is past the half, without marks at the end, and an ellipsis; shorter texts as they are."""
+    head = F.substring(text, 1, n)
+    at_word = F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)
+    cut = F.regexp_replace(F.when(F.length(at_word) > n // 2, at_word).otherwise(head), r"[ ,·—(-]+$", "")
     return F.when(F.length(text) <= n, text).otherwise(F.concat(cut, F.lit("…")))
 
 
@@ -56,8 +56,15 @@ def strip_suffix(token: Column, suffixes: list[str], stem: int = 2) -> Column:
 
 def repetition_ratio(text: Column, least: int = 12) -> Column:
     """Share of the most frequent blank-delimited token; 0 below `least` tokens."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    top = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
+    words = F.array_sort(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    # the longest run of equal words in sorted order
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+    def step(a, w):
+        run = F.when(a["word"] == w, a["run"] + 1).otherwise(1)
+        return F.struct(w.alias("word"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
+
+    top = F.aggregate(words, start, step, lambda a: a["top"])
     return F.when(F.size(words) < least, F.lit(0.0)).otherwise(top / F.size(words))
 
 
@@ -69,9 +76,12 @@ def link_targets(markdown: Column) -> Column:
 
 
 def clauses(text: Column, lift_parentheses: bool) -> Column:
-    """Trimmed clauses of a text: split at sentence marks; parentheses become clauses of their own, or else commas split too."""
+    """Trimmed clauses of a text: split at sentence marks and long dashes; parentheses become clauses of their own, or else commas split too.
+
+    Full-width stops and commas split as the others do.
+    """
     if lift_parentheses:
-        parts = F.concat(F.split(F.regexp_replace(text, r"\([^()]*\)", " "), "[.!?;\n]+"), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.split(x, "[.!?;\n]+"))))
+        parts = F.concat(F.split(F.regexp_replace(text, r"\([^()]*\)", " "), "[.!?。;—\n]+"), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.split(x, "[.!?。;—\n]+"))))
     else:
-        parts = F.split(text, "[.!?;,\n]+")
+        parts = F.split(text, "[.!?。;,，—\n]+")
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

@@ -113,7 +113,7 @@ def cut_selection(cuts: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def edl_events(cuts: DataFrame, num: int, den: int, most: int = 999) -> DataFrame:
-    """(ws, seq_id, event, src_in, src_out, rec_in, rec_out): clocks of each cut in the source and in the assembly; sequences of over `most` events are left out."""
+    """(ws, seq_id, event, src_in, src_out, rec_in, rec_out): clocks of each cut in the source and in the assembly; sequences of over `most` events are in `edl_rejects`."""
     w = Window.partitionBy(*SEQ).orderBy("ord")
     frames = lambda t: F.round(t * num / den).cast("long")
     rows = cuts.withColumn("n", frames(F.col("e")) - frames(F.col("s"))).withColumn("event", F.row_number().over(w).cast("long"))
@@ -123,6 +123,12 @@ def edl_events(cuts: DataFrame, num: int, den: int, most: int = 999) -> DataFram
     return end.select(*SEQ, "event", clock(F.col("s")).alias("src_in"), clock(F.col("e")).alias("src_out"), clock(second(F.col("end") - F.col("n"))).alias("rec_in"), clock(second(F.col("end"))).alias("rec_out"))
 
 
+def edl_rejects(cuts: DataFrame, most: int = 999) -> DataFrame:
+    """(ws, seq_id, events, reason): sequences that no event list can hold, as readers of the format refuse longer ones whole."""
+    n = cuts.groupBy(*SEQ).agg(F.count("*").alias("events")).filter(F.col("events") > most)
+    return n.withColumn("reason", F.format_string(f"%d events, at most {most} fit: split by claims or write markers", "events"))
+
+
 def srt_cues(cuts: DataFrame, segments: DataFrame, width: float = 8.0) -> DataFrame:
     """(ws, seq_id, cue, start, end, text): segments (ws, s, e, text) that a cut shows, in times of the assembly."""
     w = Window.partitionBy(*SEQ).orderBy("ord")

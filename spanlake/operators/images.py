@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,14 +100,20 @@ def select_keyframes(pool: DataFrame, videos: DataFrame, budget: int, merge: flo
         times: list[float] = []
         weights: list[float] = []
         names: list[list[str]] = []
+        sorted_times: list[tuple[float, int]] = []
         for t, w, source in rows[["t", "weight", "source"]].itertuples(index=False):
-            near = [k for k, x in enumerate(times) if abs(x - t) <= merge]
+            at = bisect_left(sorted_times, (t - merge - 1e-9, -1))
+            near = []
+            while at < len(sorted_times) and sorted_times[at][0] <= t + merge + 1e-9:  # kept ones lie over `merge` apart, so these are two or three
+                near += [sorted_times[at][1]] * (abs(sorted_times[at][0] - t) <= merge)
+                at += 1
             if near:
                 k = min(near, key=lambda i: (abs(times[i] - t), i))
                 weights[k] = max(weights[k], w)
                 if source not in names[k]:
                     names[k].append(source)
             else:
+                insort(sorted_times, (t, len(times)))
                 times.append(t)
                 weights.append(w)
                 names.append([source])

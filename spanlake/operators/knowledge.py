@@ -87,6 +87,12 @@ def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(pages.select(F.col("page").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
 
 
+def orphan_pages(links: DataFrame, pages: DataFrame, roots: DataFrame) -> DataFrame:
+    """(page): pages that no other page links to (src, dst) and that are no roots (page)."""
+    linked = links.filter("src <> dst").select(F.col("dst").alias("page")).distinct()
+    return pages.select("page").distinct().join(linked, "page", "left_anti").join(roots.select("page").distinct(), "page", "left_anti")
+
+
 def rewrite_map(moves: DataFrame) -> DataFrame:
     """(old, new): moves whose old name has one new name alone."""
     return moves.distinct().groupBy("old").agg(F.count("*").alias("n"), F.min("new").alias("new")).filter("n = 1").select("old", "new")
@@ -133,9 +139,32 @@ def qualifier_drops(only: DataFrame, narrative: DataFrame, markers: list[str]) -
 
 
 def unique_slugs(labels: DataFrame, slug: Column) -> DataFrame:
-    """(label, slug): slugs made distinct with -2, -3 ... in label order."""
-    n = F.row_number().over(Window.partitionBy("base").orderBy("label"))
-    return labels.withColumn("base", slug).withColumn("n", n).select("label", F.when(F.col("n") > 1, F.concat("base", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("base")).alias("slug"))
+    """(label, slug) of distinct labels: in label order each takes its slug, or the first of slug-2, slug-3, ... that no label before it has, whatever their case.
+
+    Only slugs that are alike but for numbers at their ends can meet. Where
+    none of them ends with a number the n-th label gets number n; else they
+    are dealt out in order, in one group of such slugs.
+    """
+    based = labels.withColumn("base", slug).withColumn("root", F.regexp_replace(F.lower("base"), r"(-\d+)+$", ""))
+    numbered = F.max((F.lower("base") != F.col("root")).cast("int")).over(Window.partitionBy("root"))
+    marked = based.withColumn("numbered", numbered)
+    n = F.row_number().over(Window.partitionBy("root").orderBy("label"))
+    plain = marked.filter("numbered = 0").withColumn("n", n).select("label", F.when(F.col("n") > 1, F.concat("base", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("base")).alias("slug"))
+
+    def dealt(part: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        least: dict[str, int] = {}
+        out = []
+        for label, base in part.sort_values("label")[["label", "base"]].itertuples(index=False):
+            k = least.get(base.casefold(), 1)
+            while (name := base if k == 1 else f"{base}-{k}").casefold() in used:
+                k += 1
+            least[base.casefold()] = k + 1
+            used.add(name.casefold())
+            out.append((label, name))
+        return pd.DataFrame(out, columns=["label", "slug"])
+
+    return plain.unionByName(marked.filter("numbered = 1").groupBy("root").applyInPandas(dealt, "label string, slug string"))
 
 
 def group_index(summary: DataFrame) -> DataFrame:

@@ -33,14 +33,21 @@ def select_claims(claims: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFra
     return claims.join(F.broadcast(wanted), "cp_id"), wanted.join(claims.select("cp_id").distinct(), "cp_id", "left_anti").select("cp_id")
 
 
-def hotword_drift(videos: DataFrame, current: list[str]) -> DataFrame:
-    """(ws, drift): whether the hotwords a transcript was made with, without the priors they begin with, differ from the current ones.
-
-    videos: (ws, hotwords, priors: arrays, source). Captions have none: null; an unstamped transcript: 'legacy'.
+def hotword_drift(videos: DataFrame, current: str | None) -> DataFrame:
+    """(ws, drift): whether the glossary that a transcript was made with differs from the current one.
+
+    videos: (ws, source, stamped, hotwords, rejected, prior: strings). A
+    transcript is made with '<glossary> <prior>', so a prior at the end is
+    taken off; hotwords that were rejected count where none were applied.
+    Sources other than 'whisper' have none: null; an unstamped transcript:
+    'legacy' if there is a glossary now, else null.
     """
-    applied = F.when(F.slice("hotwords", F.lit(1), F.greatest(F.size("priors"), F.lit(1))) == F.col("priors"), F.slice("hotwords", F.size("priors") + 1, F.greatest(F.size("hotwords") - F.size("priors"), F.lit(0)))).otherwise(F.col("hotwords"))
-    now = F.lit(current) if current else F.array().cast("array<string>")
-    return videos.select("ws", F.when(F.col("source") == "captions", F.lit(None).cast("string")).when(F.col("hotwords").isNull(), "legacy").when(applied != now, "changed").otherwise("same").alias("drift"))
+    used = F.coalesce(F.nullif("hotwords", F.lit("")), F.nullif("rejected", F.lit("")))
+    ends = F.coalesce((F.col("prior") != "") & F.endswith(used, F.col("prior")), F.lit(False))
+    glossary = F.nullif(F.when(ends, F.trim(F.left(used, F.length(used) - F.length("prior")))).otherwise(used), F.lit(""))
+    state = F.when(glossary.eqNullSafe(F.lit(current or None).cast("string")), "same").otherwise("changed")
+    old = F.lit("legacy" if current else None).cast("string")
+    return videos.select("ws", F.when(F.col("source") == "whisper", F.when(F.coalesce("stamped", F.lit(False)), state).otherwise(old)).alias("drift"))
 
 
 def rewrite_links(links: DataFrame, moves: DataFrame) -> DataFrame:

@@ -110,6 +110,12 @@ def edl_events(v):
     return edits.edl_events(v("v_cuts"), 30000, 1001)
 
 
+@book.add("SELECT ws, seq_id, count(*) AS events, concat(count(*), ' events, at most 5 fit: split by claims or write markers') AS reason FROM v_cuts GROUP BY ALL HAVING count(*) >= 6")
+def edl_rejects(v):
+    """Of lists of 5 events at most, since these sequences have 6 at most."""
+    return edits.edl_rejects(v("v_cuts"), 5)
+
+
 SRT = "concat(lpad(cast({0} // 3600000 AS varchar), 2, '0'), ':', lpad(cast({0} // 60000 % 60 AS varchar), 2, '0'), ':', lpad(cast({0} // 1000 % 60 AS varchar), 2, '0'), ',', lpad(cast({0} % 1000 AS varchar), 3, '0'))"
 
 
@@ -270,7 +276,7 @@ def range_gate(v):
 
 HARVEST = r"""cor AS (SELECT ws, text AS asr, lead(text) OVER (PARTITION BY ws ORDER BY pos) AS corrected FROM v_seg), st AS (SELECT ws, row_number() OVER () AS id, corrected, list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(corrected, '\s+') if x <> '']) AS a,
   list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(asr, '\s+') if x <> '']) AS b FROM cor WHERE corrected IS NOT NULL AND NOT starts_with(corrected, '(')),
-hv AS (SELECT ws, term, count(*) AS n FROM (SELECT ws, unnest([x for x in a if NOT list_contains(b, x)]) AS term FROM st) WHERE length(term) >= 2 AND regexp_full_match(term, '[\p{L}\p{N}]+') AND NOT regexp_matches(term, '(ing|ed)$') GROUP BY ALL)"""
+hv AS MATERIALIZED (SELECT ws, term, count(*) AS n FROM (SELECT ws, unnest([x for x in a if NOT list_contains(b, x)]) AS term FROM st) WHERE length(term) >= 2 AND regexp_full_match(term, '[\p{L}\p{N}]+') AND NOT regexp_matches(term, '(ing|ed)$') GROUP BY ALL)"""
 
 
 def harvested(v):
@@ -286,9 +292,9 @@ def harvest_terms(v):
     return harvested(v)
 
 
-MERGED = """old AS (SELECT ws % 20 AS w, term, n FROM hv), store AS (SELECT cast(ws AS varchar) AS ws, term, n + 1 AS n FROM hv WHERE ws % 2 = 0 UNION ALL SELECT DISTINCT 'legacy', term, 1 FROM hv WHERE length(term) % 3 = 0),
-inc AS (SELECT cast(ws AS varchar) AS ws, term, n FROM hv WHERE ws % 3 = 0), kept AS (SELECT * FROM store WHERE ws NOT IN (SELECT ws FROM inc) UNION ALL SELECT ws, term, n FROM inc),
-mg AS (SELECT term, ws, n FROM kept WHERE ws <> 'legacy' OR term NOT IN (SELECT term FROM kept WHERE ws <> 'legacy'))"""
+MERGED = """store AS MATERIALIZED (SELECT cast(ws AS varchar) AS ws, term, n + 1 AS n FROM hv WHERE ws % 2 = 0 UNION ALL SELECT DISTINCT 'legacy', term, 1 FROM hv WHERE length(term) % 3 = 0),
+inc AS MATERIALIZED (SELECT cast(ws AS varchar) AS ws, term, n FROM hv WHERE ws % 3 = 0), kept AS MATERIALIZED (SELECT store.* FROM store ANTI JOIN inc ON inc.ws = store.ws UNION ALL SELECT ws, term, n FROM inc),
+mg AS MATERIALIZED (SELECT term, ws, n FROM kept WHERE ws <> 'legacy' UNION ALL SELECT k.term, k.ws, k.n FROM kept k ANTI JOIN (SELECT DISTINCT term FROM kept WHERE ws <> 'legacy') r ON r.term = k.term WHERE k.ws = 'legacy')"""
 
 
 def merged(v):
@@ -308,13 +314,13 @@ def hotwords(v):
     return terms.hotwords(merged(v))
 
 
-@book.add(r"""WITH f AS (SELECT page_id AS ws, 'title' AS field, 1 AS place, string_split(url, '/') AS tk FROM pages UNION ALL SELECT page_id, 'description', 3, list_filter(string_split_regex(html, '[^a-zA-Z]+'), lambda x: x <> '')[1:40] FROM pages),
+@book.add(r"""WITH f AS (SELECT page_id AS ws, 'title' AS field, 1 AS place, string_split(url, '/') AS tk FROM pages UNION ALL SELECT page_id, 'description', 3, list_filter(string_split_regex(html, '[^a-zA-Z]+'), lambda x: x <> '') FROM pages),
 e AS (SELECT ws, field, place, unnest(range(len(tk))) AS pos, tk FROM f), x AS (SELECT ws, field, place, pos, tk[pos + 1] AS term FROM e),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ws, term ORDER BY place, pos) AS r FROM x) WHERE r = 1), k AS (SELECT *, row_number() OVER (PARTITION BY ws, field ORDER BY pos) AS k FROM u),
 n AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY CASE WHEN k > CASE field WHEN 'title' THEN 6 ELSE 4 END THEN 1 ELSE 0 END, place, pos) AS n FROM k) SELECT ws, term, field FROM n WHERE n <= 12""")
 def prior_terms(v):
     p = v("pages")
-    words = F.slice(F.filter(F.split("html", "[^a-zA-Z]+"), lambda x: x != ""), 1, 40)
+    words = F.filter(F.split("html", "[^a-zA-Z]+"), lambda x: x != "")
     fields = p.select(F.col("page_id").alias("ws"), F.lit("title").alias("field"), F.split("url", "/").alias("tokens")).union(p.select("page_id", F.lit("description"), words))
     return terms.prior_terms(fields, {"title": 6, "uploader": 2, "description": 4}, ["title", "uploader", "description"])
 

@@ -21,11 +21,6 @@ def every_screen(v):
     return v("v_seg").select("ws", "pos", "s", (F.col("s") + 2).alias("e"), F.concat(F.lit("sign "), "role").alias("text"))
 
 
-def screen(v):
-    """The signs that the SQL of search_docs has."""
-    return every_screen(v).filter("pos % 3 = 0")
-
-
 def all_docs(v, signs):
     return projections.search_docs(v("v_seg"), claims(v).withColumn("text", F.col("hypothesis")), signs)
 
@@ -35,9 +30,9 @@ wn AS (SELECT ws, pos, s, CASE WHEN s2 - e1 <= 5 THEN e2 ELSE e1 END AS e, CASE
 
 
 @book.add(f"""WITH {REPLAY}, {WINDOWS} SELECT family, source, count(*) AS docs, sum(length(text)) AS chars FROM (SELECT 'transcript' AS family, 'transcript' AS source, text FROM v_seg UNION ALL SELECT 'transcript', 'window', text FROM wn
-UNION ALL SELECT 'understanding', 'checkpoint', hypothesis FROM latest UNION ALL SELECT 'screen', 'ocr', concat('sign ', role) FROM v_seg WHERE pos % 3 = 0) GROUP BY ALL""", long="chars")
+UNION ALL SELECT 'understanding', 'checkpoint', hypothesis FROM latest UNION ALL SELECT 'screen', 'ocr', concat('sign ', role) FROM v_seg) GROUP BY ALL""", long="chars")
 def search_docs(v):
-    return all_docs(v, screen(v)).groupBy("family", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    return all_docs(v, every_screen(v)).groupBy("family", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
 @book.add()
@@ -55,12 +50,17 @@ def select_claims(v):
     return projections.select_claims(claims(v), ["cp-004", "cp-001", "cp-004", "cp-099"])[0].select("ws", "cp_id", "place", "s")
 
 
-@book.add("SELECT DISTINCT user_id AS ws, CASE WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 4 = 1 THEN 'legacy' WHEN user_id % 4 = 2 THEN 'changed' ELSE 'same' END AS drift FROM events")
+#: Transcripts by part: its brand or 'alpha beta' as glossary, its type as prior, put together in six ways.
+MADE = """md AS (SELECT p_partkey AS ws, CASE WHEN p_size % 7 = 0 THEN 'captions' ELSE 'whisper' END AS source, p_partkey % 6 <> 5 AS stamped, CASE WHEN p_size % 3 = 0 THEN 'alpha beta' ELSE p_brand END AS g, p_type AS prior, p_partkey % 6 AS k FROM {part}),
+mv AS (SELECT ws, source, stamped, prior, CASE k WHEN 0 THEN concat(g, ' ', prior) WHEN 1 THEN concat(prior, ' ', g) WHEN 2 THEN g WHEN 4 THEN prior ELSE '' END AS hotwords, CASE k WHEN 3 THEN concat(g, ' ', prior) END AS rejected FROM md)"""
+
+
+@book.add(f"""WITH {MADE.format(part="part")}, gl AS (SELECT *, CASE WHEN hotwords <> '' THEN hotwords ELSE rejected END AS used FROM mv),
+cut AS (SELECT *, CASE WHEN used = prior THEN NULL WHEN suffix(used, concat(' ', prior)) THEN used[1 : length(used) - length(prior) - 1] ELSE used END AS was FROM gl)
+SELECT ws, CASE WHEN source <> 'whisper' THEN NULL WHEN NOT stamped THEN 'legacy' WHEN was IS NOT DISTINCT FROM 'alpha beta' THEN 'same' ELSE 'changed' END AS drift FROM cut""")
 def hotword_drift(v):
-    ws = v("v_videos").select("ws")
-    k = F.col("ws") % 4
-    videos = ws.select("ws", F.when(k == 0, "captions").otherwise("asr").alias("source"), F.array(F.lit("prior")).alias("priors"), F.when(k == 2, F.array(F.lit("prior"), F.lit("old"))).when(k != 1, F.array(F.lit("prior"), F.lit("new"))).alias("hotwords"))
-    return projections.hotword_drift(videos, ["new"])
+    made = v("part").sparkSession.sql(f"WITH {MADE} SELECT * FROM mv", part=v("part"))
+    return projections.hotword_drift(made, "alpha beta")
 
 
 @book.add("""SELECT page AS src, concat(target, '#x') AS target, CASE WHEN length(target) % 2 = 0 THEN concat('/new', target, '#x') ELSE concat(target, '#x') END AS new FROM v_links""")

@@ -10,8 +10,8 @@ from .timeline_queries import COVERAGE, HITS, REPLAY, claims
 
 book = Book()
 
-FACTS = f"""{HITS}, sc AS (SELECT ws, count(*) AS n FROM hits WHERE ws % 4 <> 0 GROUP BY ws), sg AS (SELECT ws, count(*) AS n, sum(e - s) AS sp, count(*) FILTER (CASE WHEN conf IS NOT NULL THEN conf < 0.6 ELSE logprob < -1 OR no_speech_prob > 0.5 END) AS u FROM v_seg WHERE ws % 3 <> 0 GROUP BY ws),
-oc AS (SELECT ws, count(*) AS n FROM v_loud WHERE ws % 5 = 0 GROUP BY ws),
+FACTS = f"""{HITS}, sc AS (SELECT ws, count(*) AS n FROM hits GROUP BY ws), sg AS (SELECT ws, count(*) AS n, sum(e - s) AS sp, count(*) FILTER (CASE WHEN conf IS NOT NULL THEN conf < 0.6 ELSE logprob < -1 OR no_speech_prob > 0.5 END) AS u FROM v_seg GROUP BY ws),
+oc AS (SELECT ws, count(*) AS n FROM v_hits WHERE label = 'view' GROUP BY ws),
 fc AS (SELECT v.ws, v.duration, coalesce(sg.n, 0) AS segments, coalesce(sg.u, 0) AS uncertain, coalesce(sc.n, 0) AS scenes, CAST(NULL AS BIGINT) AS highlights, coalesce(oc.n, 0) AS ocr_spans, round(least(coalesce(sp, 0) * 10 / duration, 1), 4) AS speech_ratio
   FROM v_videos v LEFT JOIN sg USING (ws) LEFT JOIN sc USING (ws) LEFT JOIN oc USING (ws)),
 md AS (SELECT *, CASE WHEN speech_ratio < 0.35 AND ocr_spans / (duration / 60) >= 5 AND ocr_spans >= 5 THEN 'caption-led' WHEN segments = 0 AND ocr_spans > 0 THEN 'silent with text' WHEN segments = 0 THEN 'silent'
@@ -19,9 +19,9 @@ md AS (SELECT *, CASE WHEN speech_ratio < 0.35 AND ocr_spans / (duration / 60) >
 
 
 def facts(v):
-    hits = signals.scene_hits(v("v_scene"), 0.25).filter("ws % 4 <> 0")
-    seg = v("v_seg").filter("ws % 3 <> 0").withColumn("e", F.col("s") + (F.col("e") - F.col("s")) * 10)  # long segments, so that all modes occur
-    return summary.video_facts(v("v_videos"), seg, hits, None, v("v_loud").filter("ws % 5 = 0"))
+    hits = signals.scene_hits(v("v_scene"), 0.25)
+    seg = v("v_seg").withColumn("e", F.col("s") + (F.col("e") - F.col("s")) * 10)  # long segments, so that all modes occur
+    return summary.video_facts(v("v_videos"), seg, hits, None, v("v_hits").filter("label = 'view'"))
 
 
 @book.add(f"WITH {FACTS} SELECT * FROM md")

@@ -77,11 +77,11 @@ def best_transcript(v):
     return transcript.best_transcript(v("v_seg").withColumn("attempt", F.col("pos") % 3))
 
 
-@book.add("""WITH st AS (SELECT ws, max(s) / 2 AS stall FROM v_seg GROUP BY ws), b AS (SELECT g.ws, s, e, text, 0 AS late, pos FROM v_seg g JOIN st USING (ws) WHERE s < stall UNION ALL SELECT t.ws, s + stall, e + stall, speaker, 1, pos FROM v_turns t JOIN st USING (ws) WHERE pos < 3)
+@book.add("""WITH st AS (SELECT ws, max(s) / 2 AS stall FROM v_seg GROUP BY ws), b AS (SELECT g.ws, s, e, text, 0 AS late, pos FROM v_seg g JOIN st USING (ws) WHERE s < stall UNION ALL SELECT t.ws, s + stall, e + stall, speaker, 1, pos FROM v_turns t JOIN st USING (ws))
 SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY late, pos) - 1 AS id, s, e, text FROM b""")
 def splice_tail(v):
     seg = v("v_seg")
-    tail = v("v_turns").filter("pos < 3").withColumnRenamed("speaker", "text")
+    tail = v("v_turns").withColumnRenamed("speaker", "text")
     return transcript.splice_tail(seg, tail, seg.groupBy("ws").agg((F.max("s") / 2).alias("stall")))
 
 
@@ -92,7 +92,7 @@ def prefix_speech(v):
 
 
 def cues(v) -> DataFrame:
-    """Rolling captions of whole documents: 6 words at a stride of 3 up to the last word; v_cues has the first ten alone.
+    """Rolling captions of whole documents: 6 words at a stride of 3 up to the last word.
 
     Windows are cut before they are exploded, so no row carries the text.
     """
@@ -107,7 +107,7 @@ def dedupe_rolling_cues(v):
     return transcript.dedupe_rolling(cues(v))
 
 
-# search: transcript documents by role, queries from the first two words of each benchmark item
+# search: transcript documents by role; each two words of a benchmark item that follow each other are a query
 
 
 def docs(v) -> DataFrame:
@@ -118,8 +118,10 @@ def docs(v) -> DataFrame:
 
 
 def terms(v) -> DataFrame:
-    first = F.slice(tx.tokens(tx.fold(F.col("text"))), 1, 2)
-    return saved(v("benchmark").select(F.col("item_id").alias("query"), F.explode(first).alias("term")).distinct(), "terms")
+    words = v("benchmark").select("item_id", tx.tokens(tx.fold(F.col("text"))).alias("w"))
+    pairs = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k")).filter("k > 0")
+    named = pairs.select(F.concat_ws("-", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("query"), F.explode(F.slice("w", F.col("k"), F.lit(2))).alias("term"))
+    return saved(named.distinct(), "terms")
 
 
 SEARCH = r"""
@@ -127,7 +129,8 @@ d AS (SELECT role AS family, concat(cast(ws AS varchar), '-', cast(pos AS varcha
 tk AS (SELECT family, doc, unnest(list_filter(string_split_regex(folded, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM d),
 ln AS (SELECT d.family, d.doc, len(list_filter(string_split_regex(folded, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS len FROM d),
 st AS (SELECT family, count(*) AS nd, avg(len) AS ml FROM ln GROUP BY family),
-q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:2]) AS term FROM benchmark),
+bw AS (SELECT item_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+q AS (SELECT DISTINCT concat(item_id, '-', k) AS query, unnest(w[k : k + 1]) AS term FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM bw)),
 f AS (SELECT query, term, family, doc, count(*) AS f FROM tk JOIN q ON starts_with(token, term) GROUP BY ALL),
 df AS (SELECT query, term, family, count(*) AS n FROM f GROUP BY ALL),
 sc AS (SELECT f.query, f.family, f.doc, round(sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / ml))), 6) AS score, count(*) AS hits
@@ -226,6 +229,12 @@ def broken_links(v):
     return knowledge.broken_links(links(v), v("pages").select(F.col("page_id").alias("page")))
 
 
+@book.add(f"WITH {LINKS} SELECT page_id AS page FROM pages WHERE page_id <> 0 AND page_id NOT IN (SELECT dst FROM lk WHERE src <> dst)")
+def orphan_pages(v):
+    pages = v("pages").select(F.col("page_id").alias("page"))
+    return knowledge.orphan_pages(links(v), pages, pages.filter("page = 0"))
+
+
 @book.add(f"WITH RECURSIVE {LINKS}, r AS (SELECT cast(0 AS bigint) AS page, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN lk ON src = page) SELECT page, min(depth) AS depth FROM r GROUP BY page")
 def reachable_pages(v):
     root = v("pages").filter("page_id = 0").select(F.col("page_id").alias("page"))
@@ -237,16 +246,18 @@ def rewrite_map(v):
     return knowledge.rewrite_map(v("v_links").select(F.col("target").alias("old"), (F.col("page") % 3).alias("new")))
 
 
-CLAUSES = r"""cl AS (SELECT lang AS ws, doc_id, trim(c) AS clause FROM (SELECT lang, doc_id, unnest(string_split_regex(text, '[.!?;,' || chr(10) || ']+')) AS c FROM documents WHERE lang = 'en') WHERE trim(c) <> ''),
-wd AS (SELECT *, list_filter(string_split_regex(lower(clause), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM cl),
-mk AS (SELECT *, list_has_any(w, ['was', 'for']) AS marked FROM wd),
-onl AS (SELECT ws, term FROM (SELECT ws, marked, unnest(w) AS term FROM mk WHERE doc_id % 2 = 0) WHERE term NOT IN ('was', 'for') GROUP BY ws, term HAVING bool_and(marked))"""
+CLAUSES = r"""cl AS (SELECT lang AS ws, doc_id, trim(c) AS clause FROM (SELECT lang, doc_id, unnest(string_split_regex(text, '[.!?。;,，—' || chr(10) || ']+')) AS c FROM documents) WHERE trim(c) <> ''),
+lc AS (SELECT lang AS ws, trim(c) AS clause FROM (SELECT lang, unnest(string_split_regex(regexp_replace(text, '\([^()]*\)', ' ', 'g'), '[.!?。;—' || chr(10) || ']+')) AS c FROM documents
+  UNION ALL SELECT lang, unnest(string_split_regex(p, '[.!?。;—' || chr(10) || ']+')) FROM (SELECT lang, unnest(regexp_extract_all(text, '\(([^()]*)\)', 1)) AS p FROM documents)) WHERE trim(c) <> ''),
+mk AS (SELECT *, list_has_any(w, ['was', 'for']) AS marked FROM (SELECT *, list_filter(string_split_regex(lower(clause), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM cl)),
+ml AS (SELECT ws, w, list_has_any(w, ['was', 'for']) AS marked FROM (SELECT *, list_filter(string_split_regex(lower(clause), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM lc)),
+onl AS (SELECT ws, term FROM (SELECT ws, marked, unnest(w) AS term FROM ml) WHERE term NOT IN ('was', 'for') GROUP BY ws, term HAVING bool_and(marked))"""
 
 
 def narrative(v) -> tuple[DataFrame, DataFrame]:
-    rows = v("documents").filter("lang = 'en'").select(F.col("lang").alias("ws"), "doc_id", F.explode(tx.clauses(F.col("text"), False)).alias("clause"))
-    rows = saved(rows, "clauses")
-    return rows, knowledge.qualified_only(rows.filter("doc_id % 2 = 0"), ["was", "for"])
+    """Clauses of whole texts by the narrative rule, and terms that the same texts, by the ledger rule, have only with a marker."""
+    each = lambda lift: v("documents").select(F.col("lang").alias("ws"), F.explode(tx.clauses(F.col("text"), lift)).alias("clause"))
+    return each(False), saved(knowledge.qualified_only(each(True), ["was", "for"]), "only")
 
 
 @book.add(f"WITH {CLAUSES} SELECT ws, term FROM onl")
@@ -254,16 +265,20 @@ def qualified_only_terms(v):
     return narrative(v)[1]
 
 
-@book.add(f"WITH {CLAUSES} SELECT DISTINCT m.ws, m.clause, o.term FROM (SELECT ws, clause, unnest(w) AS x FROM mk WHERE doc_id % 2 = 1 AND NOT marked) m JOIN onl o ON o.ws = m.ws AND starts_with(m.x, o.term)")
+@book.add(f"WITH {CLAUSES} SELECT DISTINCT m.ws, m.clause, o.term FROM (SELECT ws, clause, unnest(w) AS x FROM mk WHERE NOT marked) m JOIN onl o ON o.ws = m.ws AND starts_with(m.x, o.term)")
 def narrative_qualifier_drops(v):
     rows, only = narrative(v)
-    return knowledge.qualifier_drops(only, rows.filter("doc_id % 2 = 1"), ["was", "for"])
+    return knowledge.qualifier_drops(only, rows, ["was", "for"])
 
 
-@book.add("""WITH s AS (SELECT DISTINCT label, trim(regexp_replace(lower(split_part(label, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM v_label)
-SELECT label, CASE WHEN n > 1 THEN concat(base, '-', cast(n AS varchar)) ELSE base END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY label) AS n FROM s)""")
+@book.add("""WITH RECURSIVE s AS MATERIALIZED (SELECT label, trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-') AS base, row_number() OVER (ORDER BY label) AS i FROM (SELECT DISTINCT concat(split_part(p_name, ' ', 1), CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '!' WHEN 2 THEN ' 2' WHEN 3 THEN ' 2 3' ELSE '?' END) AS label FROM part)),
+g AS (SELECT cast(0 AS bigint) AS i, cast('' AS varchar) AS label, cast('' AS varchar) AS slug, cast([] AS varchar[]) AS used UNION ALL
+  SELECT i, label, x, list_append(used, x) FROM (SELECT s.i, s.label, g.used, list_filter([CASE WHEN k = 1 THEN base ELSE concat(base, '-', k) END for k in range(1, 60)], lambda y: NOT list_contains(g.used, y))[1] AS x FROM g JOIN s ON s.i = g.i + 1))
+SELECT label, slug FROM g WHERE i > 0""")
 def unique_slugs(v):
-    return knowledge.unique_slugs(v("v_label").select("label").distinct(), tx.slug(F.split("label", " ")[0]))
+    """Labels that differ by marks, and some that end with numbers as slugs do."""
+    end = F.element_at(F.array(*map(F.lit, ("", "!", " 2", " 2 3", "?"))), F.col("p_size") % 5 + 1)
+    return knowledge.unique_slugs(v("part").select(F.concat(F.split("p_name", " ")[0], end).alias("label")).distinct(), tx.slug(F.col("label")))
 
 
 @book.add("SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims FROM (SELECT v.ws, v.grp, v.duration, c.claims FROM v_videos v JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) c ON c.ws = v.ws) GROUP BY ROLLUP (grp)", long="claims")

@@ -18,7 +18,7 @@ VIEWS: dict[str, str] = {
     "v_event": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}",
     "v_loud": "SELECT user_id AS ws, n - 1 AS idx, (n - 1) * 0.5e0 AS t, CASE WHEN event_id % 41 = 0 THEN NULL ELSE -60e0 + floor(value) / 8e0 END AS db FROM {v_event}",
     "v_scene": "SELECT user_id AS ws, n - 1 AS idx, (n - 1) * 0.25e0 AS t, floor(least(value, 128e0)) / 128e0 AS score FROM {v_event}",
-    "v_color": "SELECT user_id AS ws, (n - 1) * 0.375e0 AS t, floor(least(value * 0.5e0, 100e0)) / 128e0 AS distance FROM {v_event} WHERE event_id % 2 = 0",
+    "v_color": "SELECT user_id AS ws, (n - 1) * 0.375e0 AS t, floor(least(value * 0.5e0, 100e0)) / 128e0 AS distance FROM {v_event}",
     "v_hits": "SELECT user_id AS ws, event_type AS label, n * 1.5e0 + (event_id % 5) AS t, floor(least(value, 100e0)) / 100e0 AS conf FROM {v_event}",
     "v_cp_log": """SELECT user_id AS ws, n AS line_no,
         concat('cp-', lpad(cast(cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 20 AS string), 3, '0')) AS cp_id,
@@ -43,11 +43,9 @@ VIEWS: dict[str, str] = {
 
 #: Views over words; Spark and DuckDB number the items of an array in different ways.
 VIEWS["v_words"] = "SELECT conv_id AS ws, turn AS pos, k, word, 6e0 * turn + 0.25e0 * k AS s, 6e0 * turn + 0.25e0 * k + 0.1875e0 AS e, (length(word) % 8) / 8e0 AS p FROM (SELECT conv_id, turn, posexplode(split(text, ' ')) AS (k, word) FROM {conversations}) WHERE word <> ''"
-VIEWS["v_cues"] = "SELECT doc_id AS ws, k, array_join(slice(w, 1 + 3 * k, 6), ' ') AS text, 1e0 * k AS s, 1e0 * k + 2e0 AS e FROM (SELECT doc_id, w, explode(sequence(0, 9)) AS k FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents})) WHERE size(w) > 3 * k"
 VIEWS["v_links"] = "SELECT page_id AS page, target FROM (SELECT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM {pages})"
 DUCK = {
     "v_words": "SELECT conv_id AS ws, turn AS pos, k, w[k + 1] AS word, 6e0 * turn + 0.25e0 * k AS s, 6e0 * turn + 0.25e0 * k + 0.1875e0 AS e, (length(w[k + 1]) % 8) / 8e0 AS p FROM (SELECT conv_id, turn, w, unnest(range(len(w))) AS k FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM {conversations})) WHERE w[k + 1] <> ''",
-    "v_cues": "SELECT doc_id AS ws, k, array_to_string(w[1 + 3 * k : 6 + 3 * k], ' ') AS text, 1e0 * k AS s, 1e0 * k + 2e0 AS e FROM (SELECT doc_id, w, unnest(range(10)) AS k FROM (SELECT doc_id, string_split(text, ' ') AS w FROM {documents})) WHERE len(w) > 3 * k",
     "v_links": "SELECT page_id AS page, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM {pages}",
 }
 

@@ -143,12 +143,31 @@ def test_times(spark):
 
 def test_text(spark):
     one = spark.range(1)
-    assert one.select(tx.nfc(F.lit("é")), tx.fold(F.lit("ÉtÉ")), tx.ellipsize(F.lit("one two three"), 9), tx.file_stem(F.lit("a/b_c-d.e.mp4"))).first()[:] == ("é", "ete", "one two…", "b c d e")
+    assert one.select(tx.nfc(F.lit("é")), tx.fold(F.lit("ÉtÉ")), tx.ellipsize(F.lit("one two, three"), 9), tx.file_stem(F.lit("a/b_c-d.e.mp4"))).first()[:] == ("é", "ete", "one two…", "b c d e")
     assert one.select(tx.link_targets(F.lit("[a](b.md#x) [c](<d (e).md>) [f](http://g.md) [h](i.txt)"))).first()[0] == ["b.md", "d (e).md"]
     assert one.select(tx.clauses(F.lit("A b (c d). E, f"), True), tx.clauses(F.lit("A b (c d). E, f"), False)).first()[:] == (["A b", "E, f", "c d"], ["A b (c d)", "E", "f"])
     assert one.select(tx.strip_suffix(F.lit("walks"), ["s", "ks"]), tx.strip_suffix(F.lit("as"), ["s"]), tx.repetition_ratio(F.lit("a " * 9 + "b c d"))).first()[:] == ("wal", "as", 0.75)
 
 
+def test_clauses_and_cuts_of_other_scripts(spark):
+    one = spark.range(1)
+    text = F.lit("요격은 확정，추진은 후보。 다음 — 끝, 또")
+    assert one.select(tx.clauses(text, True), tx.clauses(text, False)).first()[:] == (["요격은 확정，추진은 후보", "다음", "끝, 또"], ["요격은 확정", "추진은 후보", "다음", "끝", "또"])
+    assert one.select(*[tx.ellipsize(F.lit(x), 10) for x in ("0123456789", "0123456789a", "ab cdefghijkl", "abcdefg hi jk", "a" * 9 + "—b c")]).first()[:] == ("0123456789", "0123456789…", "ab cdefghi…", "abcdefg hi…".replace(" hi…", "…"), "aaaaaaaaa…")
+
+
+def test_slugs_never_meet(spark):
+    for labels in (["a", "A!", "a 2"], ["b", "b 2", "b!", "b 2!", "B?"], ["x", "y"], ["c 2", "c 2 2", "c", "c!"]):
+        rows = knowledge.unique_slugs(spark.createDataFrame([(x,) for x in labels], "label string"), tx.slug(F.col("label"))).collect()
+        used, want = set(), {}
+        for label in sorted(labels):
+            base = "-".join("".join(c if c.isalnum() else " " for c in label.lower()).split())
+            name = next(n for n in [base, *[f"{base}-{k}" for k in range(2, 99)]] if n not in used)
+            used.add(name)
+            want[label] = name
+        assert {r["label"]: r["slug"] for r in rows} == want
+
+
 def test_files(spark, tmp_path):
     ws = tmp_path / "grp" / "video one"
     ws.mkdir(parents=True)
@@ -156,7 +175,7 @@ def test_files(spark, tmp_path):
     (ws / "manifest.json").write_text(json.dumps({"duration": 60.0, "fps": 25.0, "has_audio": True, "chapters": [{"start": 0, "end": 5, "title": "x"}]}))
     (tmp_path / "solo" / "manifest.json").write_text("{broken")
     (ws / "transcript.json").write_text(json.dumps([{"id": 3.0, "start": 0, "end": 1, "text": "a"}, {"start": 5, "end": 4, "text": "bad"}, {"id": "3", "start": 1, "end": 2, "text": "b"}, {"start": 2, "end": 3, "text": "c"}, {"id": True, "start": 1, "end": 2, "text": "d"}]))
-    (ws / "checkpoints.jsonl").write_bytes(b'{"id": "a", "span": [0, 5], "status": "verified", "hypothesis": "h", "visual_evidence": []}\n\n{nope\n[1]\n{"id": "\xff"}\n{"id": "b", "span": [1, 2], "status": "draft", "hypothesis": "h", "speakers": [{"label": " Ann "}, "Bo"]}')
+    (ws / "checkpoints.jsonl").write_bytes(b'{"id": "a", "span": [0, 5], "status": "verified", "hypothesis": "h", "visual_evidence": []}\n\n{nope\n[1]\n{"id": "\xff"}\n{"id": "b", "span": [1, 2], "status": "draft", "hypothesis": "h \xef\xbf\xbd", "speakers": [{"label": " Ann "}, "Bo"]}')
     (ws / "a.en.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.500\n<b>Hello</b>\nthere\n\nNOTE x\n\n2\n01:00:00,5 --> 01:00:01,000\nBye\n")
     (ws / "a.ko.srt").write_text(" ")
     (ws / "title.txt").write_text(" A title \n")
@@ -178,7 +197,7 @@ def test_files(spark, tmp_path):
     assert [(r["s"], r["e"], r["text"]) for r in readers.parse_captions(captions).orderBy("s").collect()] == [(1.0, 2.5, "Hello there"), (3600.5, 3601.0, "Bye")]
     assert [(r["field"], r["text"]) for r in readers.read_priors(spark, root).collect()] == [("title", "A title")]
     assert [tuple(r) for r in readers.read_pages(spark, root).collect()] == [("grp/video one/page.md", "[x](y.md)")]
-    assert readers.file_inventory(spark, root).count() == 9
+    assert sorted({(r["ws"], r["path"]) for r in readers.file_inventory(spark, root).collect()}) == [("grp/video one", x) for x in sorted(["a.en.vtt", "a.ko.srt", "checkpoints.jsonl", "manifest.json", "page.md", "title.txt", "transcript.json", "uploader.txt"])] + [("solo", "manifest.json")]
     probe = json.dumps({"streams": [{"codec_type": "audio"}, {"codec_type": "video", "width": 4, "height": 2, "avg_frame_rate": "30000/1001", "r_frame_rate": "30/1"}], "format": {"duration": "9.5"}, "chapters": [{"start_time": "0.00049", "end_time": "1", "tags": {"title": "t"}}]})
     found = readers.normalize_probe(spark.createDataFrame([("w", probe), ("x", '{"streams": []}')], "ws string, value string")).orderBy("ws").collect()
     assert (found[0]["duration"], found[0]["vfr"], found[0]["has_audio"], found[0]["error"], found[1]["error"]) == (9.5, True, True, None, "no video stream") and abs(found[0]["fps"] - 29.97) < 0.001
