@@ -39,7 +39,7 @@ def key(column: str = "ws") -> Column:
     return F.regexp_extract(column, r"ws=(\d+)$", 1).cast("long").alias("ws")
 
 
-@book.add("SELECT ws, concat('grp=', grp) AS grp, duration, ws % 3 = 0 AS has_audio, CASE WHEN ws % 2 = 0 THEN 29.97 END AS fps FROM v_videos")
+@book.add("SELECT ws, concat('grp=', grp) AS grp, duration, ws % 3 = 0 AS has_audio, CASE WHEN ws % 2 = 0 THEN 29.97e0 END AS fps FROM v_videos")
 def read_videos(v):
     """Manifests below a group; odd ones lack a frame rate."""
     manifest = json(F.col("duration"), (F.col("ws") % 3 == 0).alias("has_audio"), F.when(F.col("ws") % 2 == 0, 29.97).alias("fps"))
@@ -98,7 +98,7 @@ def ledger_rejects(v):
     return readers.read_ledger(v("v_cp_log").sparkSession, ledger_files(v), FILES)[1].select(key(), "line_no", "reason")
 
 
-@book.add("SELECT ws, pos AS cue, s, e, text FROM (SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY pos) AS pos, s, e, replace(replace(text, '<', ''), '>', '') AS text FROM v_seg)")
+@book.add("SELECT ws, pos AS cue, s, e, text FROM (SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY pos) AS pos, s, e, array_to_string(list_filter([trim(x) for x in string_split(regexp_replace(text, '[<>]', '', 'g'), chr(10))], lambda y: y <> ''), ' ') AS text FROM v_seg)")
 def parse_captions(v):
     """Transcripts as caption texts with tags, and back to cues."""
     stamp = lambda t: F.concat(tm.srt_ts(F.col(t)))

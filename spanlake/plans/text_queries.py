@@ -107,7 +107,7 @@ def dedupe_rolling_cues(v):
     return transcript.dedupe_rolling(cues(v))
 
 
-# search: transcript documents by role; each two words of a benchmark item that follow each other are a query
+# search: transcript documents by role; a benchmark item is cut into queries of two words, all of its words in turn
 
 
 def docs(v) -> DataFrame:
@@ -119,7 +119,7 @@ def docs(v) -> DataFrame:
 
 def terms(v) -> DataFrame:
     words = v("benchmark").select("item_id", tx.tokens(tx.fold(F.col("text"))).alias("w"))
-    pairs = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k")).filter("k > 0")
+    pairs = words.filter("size(w) > 0").select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(2))).alias("k"))
     named = pairs.select(F.concat_ws("-", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("query"), F.explode(F.slice("w", F.col("k"), F.lit(2))).alias("term"))
     return saved(named.distinct(), "terms")
 
@@ -130,7 +130,7 @@ tk AS (SELECT family, doc, unnest(list_filter(string_split_regex(folded, '[^\p{L
 ln AS (SELECT d.family, d.doc, len(list_filter(string_split_regex(folded, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS len FROM d),
 st AS (SELECT family, count(*) AS nd, avg(len) AS ml FROM ln GROUP BY family),
 bw AS (SELECT item_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-q AS (SELECT DISTINCT concat(item_id, '-', k) AS query, unnest(w[k : k + 1]) AS term FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM bw)),
+q AS (SELECT DISTINCT concat(item_id, '-', k) AS query, unnest(w[k : k + 1]) AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1, 2)) AS k FROM bw)),
 f AS (SELECT query, term, family, doc, count(*) AS f FROM tk JOIN q ON starts_with(token, term) GROUP BY ALL),
 df AS (SELECT query, term, family, count(*) AS n FROM f GROUP BY ALL),
 sc AS (SELECT f.query, f.family, f.doc, round(sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / ml))), 6) AS score, count(*) AS hits
@@ -163,10 +163,12 @@ def corpus_search(v):
     return search.fuse(search.narrowed(hits, d.withColumn("members", members), t), 10)
 
 
-@book.add(f"""WITH {SEARCH} SELECT query, ws, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY query, ws ORDER BY n DESC, s, pos) AS r FROM
-  (SELECT query, ws, pos, s, count(*) AS n FROM v_seg JOIN q ON contains(lower(strip_accents(text)), term) AND length(term) >= 2 GROUP BY ALL)) WHERE r <= 3""")
+@book.add(f"""WITH {SEARCH}, qi AS (SELECT DISTINCT item_id AS query, unnest(w) AS term FROM bw) SELECT query, ws, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY query, ws ORDER BY n DESC, s, pos) AS r FROM
+  (SELECT query, ws, pos, s, count(*) AS n FROM v_seg JOIN qi ON contains(lower(strip_accents(text)), term) AND length(term) >= 2 GROUP BY ALL)) WHERE r <= 3""")
 def intent_hits(v):
-    return search.intent_hits(v("v_seg").select("ws", "pos", "s", tx.fold(F.col("text")).alias("folded")), terms(v))
+    """Of each benchmark item, all words: any of them counts."""
+    items = v("benchmark").select(F.col("item_id").alias("query"), F.explode(tx.tokens(tx.fold(F.col("text")))).alias("term")).distinct()
+    return search.intent_hits(v("v_seg").select("ws", "pos", "s", tx.fold(F.col("text")).alias("folded")), items)
 
 
 # knowledge: labels of supplier timelines, customer relations, page links
