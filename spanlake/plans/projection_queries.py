@@ -38,7 +38,8 @@ def search_docs(v):
 @book.add()
 def search_with_windows(v):
     """Corpus search over all families, window hits narrowed to the member that says most of the query."""
-    d = saved(all_docs(v, every_screen(v)).withColumn("folded", tx.fold(F.col("text"))), "docs")
+    found = all_docs(v, every_screen(v)).withColumn("folded", tx.fold(F.col("text")))
+    d = saved(found.repartition(found.sparkSession.sparkContext.defaultParallelism * 2), "docs")
     t = terms(v)
     ranked = saved(search.bm25(d, t, 40), "ranked")
     hits = ranked.unionByName(search.substring_rank(d, t, ranked, 40))

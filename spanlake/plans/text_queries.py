@@ -111,10 +111,10 @@ def dedupe_rolling_cues(v):
 
 
 def docs(v) -> DataFrame:
-    """Folded once and kept as a table, as an archive that many queries search would be."""
+    """Folded once and kept as a table of files for all cores, as an archive that many queries search would be."""
     seg = v("v_seg")
     name = F.concat(F.col("ws").cast("string"), F.lit("-"), F.col("pos").cast("string"))
-    return saved(seg.select(F.col("role").alias("family"), name.alias("doc"), "ws", F.col("role").alias("source"), "s", "e", "text", tx.fold(F.col("text")).alias("folded")), "docs")
+    return saved(seg.select(F.col("role").alias("family"), name.alias("doc"), "ws", F.col("role").alias("source"), "s", "e", "text", tx.fold(F.col("text")).alias("folded")).repartition(seg.sparkSession.sparkContext.defaultParallelism * 2), "docs")
 
 
 def terms(v) -> DataFrame:
