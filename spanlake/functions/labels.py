@@ -14,6 +14,27 @@ def status_label(status: Column) -> Column:
     return F.coalesce(F.try_element_at(words, status), status)
 
 
+#: What a capture was made for, by the beginning of its reason (fixed values, in order).
+REASON_WORDS = [
+    ("keyframes-budget", "대표 컷 선별"),
+    ("gap-verify", "공백 구간 확인"),
+    ("burst", "오디오 피크 확인"),
+    ("filmstrip-overview", "조망 시트"),
+    ("sharp-gate", "선명도 선별"),
+    ("ocr-scan", "자막·화면문자 스캔"),
+    ("ocr-frame", "화면문자 판독"),
+    ("faces-count", "출연 확인"),
+    ("endcard", "엔딩 확인"),
+    ("scene-change", "컷 전환 확인"),
+]
+
+
+def reason_label(reason: Column) -> Column:
+    """Words for a reason with the reason itself in parentheses; unknown reasons as they are, null: empty."""
+    known = F.coalesce(*[F.when(F.startswith(reason, F.lit(start)), F.lit(words)) for start, words in REASON_WORDS])
+    return F.when(known.isNotNull(), F.concat(known, F.lit(" ("), reason, F.lit(")"))).otherwise(F.coalesce(reason, F.lit("")))
+
+
 def humanize(text: Column, replacements: list[tuple[str, str]]) -> Column:
     """text with replacements applied in the order given."""
     for old, new in replacements:
@@ -33,6 +54,18 @@ def url_fragment(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 
 
+def md_target(target: Column) -> Column:
+    """A link target that stays one target: the path keeps its letters but for marks that end it, the fragment is percent-encoded with its own escapes kept; in <> where it has blanks or parentheses."""
+    path, fragment = F.substring_index(target, "#", 1), F.regexp_extract(target, "(?s)^[^#]*#(.*)$", 1)
+    for code in (0x25, 0x3C, 0x3E, 0x5C, 0x7F, *range(0x20)):  # the percent sign first
+        path = F.replace(path, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    inside = F.url_encode(F.regexp_replace(fragment, "%(?![0-9A-Fa-f]{2})", "%25"))
+    for escaped, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%3D", "="), ("%3A", ":"), ("%25", "%")):
+        inside = F.replace(inside, F.lit(escaped), F.lit(plain))
+    whole = F.when(F.contains(target, F.lit("#")), F.concat(path, F.lit("#"), inside)).otherwise(path)
+    return F.when(whole.rlike("[ ()]"), F.concat(F.lit("<"), whole, F.lit(">"))).otherwise(whole)
+
+
 def stable_id(prefix: str, *fields: Column) -> Column:
     """prefix and 16 hex digits of the sha256 of the fields' JSON, in the order given; whole doubles equal integers."""
     same = [F.when(f.cast("double") == F.floor(f.cast("double")), F.floor(f.cast("double")).cast("string")).otherwise(f.cast("string")) for f in fields]

@@ -46,6 +46,28 @@ def file_stem(path: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", ""), "[._-]+", " "))
 
 
+#: What metadata holds beside words: links, handles, tags, clock times, ornaments; and marks that stand between words (fixed values).
+NOISE = r"https?://\S+|@\S+|#\S+|\b\d{1,2}:\d{2}(?::\d{2})?\b|[▶►★☆♥♡]"
+MARKS = "[]()<>{}|·,、/\\\"'“”‘’!?~*_"
+
+
+def clean_metadata_text(text: Column) -> Column:
+    """text with noise and marks as blanks; null becomes empty."""
+    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), NOISE, " "), MARKS, " " * len(MARKS))
+
+
+def reason_slug(reason: Column, cap: int = 40) -> Column:
+    """End of a file name that tells why it was taken: a hyphen and at most cap letters, digits and hyphens; empty where nothing is left of it."""
+    kept = F.regexp_replace(F.regexp_replace(nfc(F.coalesce(reason, F.lit(""))), "[^0-9A-Za-z가-힣-]+", "-"), "^-+|-+$", "")
+    short = F.regexp_replace(F.substring(kept, 1, cap), "-+$", "")
+    return F.when(short == "", F.lit("")).otherwise(F.concat(F.lit("-"), short))
+
+
+def tag_format(tag: Column) -> Column:
+    """A tag without blanks: those inside become hyphens."""
+    return F.regexp_replace(F.regexp_replace(tag, r"^\s+|\s+$", ""), r"\s+", "-")
+
+
 def strip_suffix(token: Column, suffixes: list[str], stem: int = 2) -> Column:
     """token without one of the suffixes, the longest that leaves `stem` characters."""
     out = token

@@ -72,10 +72,29 @@ def coverage_status(claims: DataFrame, videos: DataFrame) -> DataFrame:
     return out.select("ws", *zero, ratio(F.col("cov")).alias("covered_ratio"), ratio(F.col("ver")).alias("verified_ratio"), "mean_confidence", F.coalesce("gaps", bare).cast("long").alias("gaps"))
 
 
-def readiness(status: DataFrame) -> DataFrame:
-    """status with score and advice: cover_gaps, verify_more or converged."""
-    c, v, m = F.col("covered_ratio"), F.col("verified_ratio"), F.least(F.coalesce("mean_confidence", F.lit(0.0)), F.lit(1.0))
-    advice = F.when((F.col("gaps") > 0) | (c < 0.999), "cover_gaps").when(v < 0.6, "verify_more").otherwise("converged")
+def support(levels: DataFrame, videos: DataFrame) -> DataFrame:
+    """(ws, settled, supported, supported_ratio) per video: settled claims, those of them with support, and the share of the video that these cover together."""
+    settled = levels.filter(F.col("status").isin(*TERMINAL))
+    held = settled.filter("level <> 'unsupported'")
+    n = settled.groupBy("ws").agg(F.count("*").alias("settled"), F.count_if(F.col("level") != "unsupported").alias("supported"))
+    out = videos.select("ws", "duration").join(n, "ws", "left").join(covered(held, videos, "sup"), "ws", "left").fillna(0, ["settled", "supported", "sup"])
+    ratio = F.when(F.col("duration") > 0, F.round(F.col("sup") / F.col("duration"), 4)).otherwise(F.lit(0.0))
+    return out.select("ws", "settled", "supported", ratio.alias("supported_ratio"))
+
+
+def readiness(status: DataFrame, support: DataFrame | None = None) -> DataFrame:
+    """status with score and advice: cover_gaps, verify_more or converged.
+
+    With `support` (ws, settled, supported, supported_ratio) the supported
+    ratio stands for the verified one, and a settled claim without support
+    asks for more; without it this is the older rule.
+    """
+    if support is not None:
+        status = status.join(support, "ws", "left").fillna(0, ["settled", "supported", "supported_ratio"])
+    c, m = F.col("covered_ratio"), F.least(F.coalesce("mean_confidence", F.lit(0.0)), F.lit(1.0))
+    v = F.col("verified_ratio") if support is None else F.col("supported_ratio")
+    short = v < 0.6 if support is None else (v < 0.6) | (F.col("supported") < F.col("settled"))
+    advice = F.when((F.col("gaps") > 0) | (c < 0.999), "cover_gaps").when(short, "verify_more").otherwise("converged")
     return status.withColumn("score", F.round(0.4 * c + 0.4 * v + 0.2 * m, 3)).withColumn("advice", advice)
 
 
@@ -91,3 +110,10 @@ def verification_issues(levels: DataFrame, visual: DataFrame) -> DataFrame:
 def corpus_totals(issues: DataFrame) -> DataFrame:
     """(ws, code, n): issue counts by video and code, with totals (null ws, null code) from one rollup."""
     return issues.rollup("ws", "code").agg(F.count("*").alias("n"))
+
+
+def corpus_counts(ready: DataFrame, levels: DataFrame) -> DataFrame:
+    """(kind, name, n): videos by advice (of `readiness`) and settled claims by level."""
+    advice = ready.groupBy("advice").agg(F.count("*").alias("n")).select(F.lit("advice").alias("kind"), F.col("advice").alias("name"), "n")
+    level = levels.filter(F.col("status").isin(*TERMINAL)).groupBy("level").agg(F.count("*").alias("n")).select(F.lit("level").alias("kind"), F.col("level").alias("name"), "n")
+    return advice.unionByName(level)

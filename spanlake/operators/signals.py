@@ -85,6 +85,13 @@ def audio_events(hits: DataFrame, length: float = 1.5, gap: float = 2.0) -> Data
     return numbered.groupBy("ws", "run", "label").agg(F.min("t").alias("s"), F.round(F.max("t") + length, 2).alias("e"), F.max("conf").alias("peak_conf")).drop("run")
 
 
+def screen_samples(lines: DataFrame, least: float = 0.3) -> DataFrame:
+    """(ws, t, text): lines (ws, t, k, text, conf, y) read at one time, of confidence `least` or more, from the top (the greatest y) down, then by k; runs of blanks become one."""
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    placed = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("y"), "k", line.alias("line"))))
+    return lines.filter(F.col("conf") >= least).groupBy("ws", "t").agg(F.trim(F.array_join(F.transform(placed, lambda x: x["line"]), " ")).alias("text"))
+
+
 def screen_text_spans(samples: DataFrame, every: float) -> DataFrame:
     """Runs (ws, s, e, text) of equal text over the non-blank samples (ws, t, text, duration); blanks do not break a run."""
     lines = samples.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter("text <> ''")

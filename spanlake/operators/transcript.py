@@ -49,13 +49,27 @@ def assign_words(segments: DataFrame, words: DataFrame, slack: float = 0.01, wid
     return a.join(b, ["ws", "bin"]).filter("word_s >= lo AND word_s < hi").drop("bin", "lo", "hi")
 
 
-def split_on_gaps(assigned: DataFrame, gap: float = 1.5) -> DataFrame:
-    """(ws, pos, part, s, e, text, conf): a segment's words (of `assign_words`) cut where more than `gap` passes between two."""
+def split_on_gaps(assigned: DataFrame, gap: float = 1.5, between: str = " ") -> DataFrame:
+    """(ws, pos, part, s, e, text, conf): a segment's words (of `assign_words`) cut where more than `gap` passes between two; words without p count as 0."""
     w = Window.partitionBy("ws", "pos").orderBy("word_s", "k")
     new = F.coalesce((F.col("word_s") - F.lag("word_e").over(w) > gap).cast("int"), F.lit(0))
     cut = assigned.withColumn("new", new).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_s", "k", "word"))), lambda x: x["word"]), " ")
-    return cut.groupBy("ws", "pos", "part").agg(F.min("word_s").alias("s"), F.max("word_e").alias("e"), text.alias("text"), F.round(F.avg("p"), 3).alias("conf"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_s", "k", "word"))), lambda x: x["word"]), between)
+    return cut.groupBy("ws", "pos", "part").agg(F.min("word_s").alias("s"), F.max_by("word_e", F.struct("word_s", "k")).alias("e"), text.alias("text"), F.round(F.avg(F.coalesce("p", F.lit(0.0))), 3).alias("conf"))
+
+
+def split_segments(segments: DataFrame, words: DataFrame, gap: float = 1.5, between: str = "") -> DataFrame:
+    """(ws, id, s, e, text, conf): segments (ws, pos, s, e, text, conf) with those cut whose words pause for more than `gap`, ids anew.
+
+    A segment without a pause, or with fewer than two words, stays as it is.
+    Words carry their own blanks where `between` is empty.
+    """
+    parts = split_on_gaps(assign_words(segments, words), gap, between)
+    part = F.struct("part", F.round("s", 3).alias("s"), F.round("e", 3).alias("e"), F.trim("text").alias("text"), "conf")
+    cut = parts.groupBy("ws", "pos").agg(F.collect_list(part).alias("parts")).filter(F.size("parts") > 1)
+    own = F.array(F.struct(F.lit(0).cast(parts.schema["part"].dataType).alias("part"), "s", "e", "text", F.col("conf").cast("double").alias("conf")))
+    each = segments.join(cut, ["ws", "pos"], "left").select("ws", "pos", F.explode(F.coalesce("parts", own)).alias("x")).select("ws", "pos", "x.*")
+    return each.withColumn("id", F.row_number().over(Window.partitionBy("ws").orderBy("pos", "part")).cast("long") - 1).select("ws", "id", "s", "e", "text", "conf")
 
 
 def segments_from_words(words: DataFrame) -> DataFrame:
@@ -81,9 +95,40 @@ def hotword_contamination(segments: DataFrame, hotwords: list[str]) -> DataFrame
     return n.withColumn("contaminated", (F.col("segments") >= 5) & (F.col("hit_share") >= 0.5) & (F.col("unique_share") <= 0.3))
 
 
-def quality_flags(segments: DataFrame) -> DataFrame:
-    """(ws, pos, repetitive, unlikely): top token share of 0.6 or more (12 tokens at least), mean logprob below -1."""
-    return segments.select("ws", "pos", (repetition_ratio(F.col("text")) >= 0.6).alias("repetitive"), F.coalesce(F.col("logprob") < -1.0, F.lit(False)).alias("unlikely"))
+def quality_flags(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """(ws, pos, repetitive, compressed, unlikely, unsure): why a segment with text would be rejected.
+
+    Top token share of 0.6 or more (12 tokens at least), compression_ratio
+    above 2.4, mean logprob below -1, mean p of its words (ws, pos, p) below
+    0.1. What is null does not count against a segment.
+    """
+    sure = words.groupBy("ws", "pos").agg(F.avg("p").alias("mean_p"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    flags = [
+        (repetition_ratio(F.col("text")) >= 0.6).alias("repetitive"),
+        no(F.col("compression_ratio") > 2.4).alias("compressed"),
+        no(F.col("logprob") < -1.0).alias("unlikely"),
+        no(F.col("mean_p") < 0.1).alias("unsure"),
+    ]
+    return segments.filter(F.trim("text") != "").join(sure, ["ws", "pos"], "left").select("ws", "pos", *flags)
+
+
+def transcript_qc(segments: DataFrame, words: DataFrame, speech: DataFrame, hotwords: list[str]) -> DataFrame:
+    """(ws, segments, rejected, collapsed, contaminated, advice): what to do about a transcript.
+
+    `tail` where it stops early but the part before its end is healthy (only
+    what follows is to be made again), `full` where it collapsed, is
+    contaminated by hotwords or half of its segments or more are rejected,
+    else `keep`.
+    """
+    flags = quality_flags(segments, words)
+    bad = flags.groupBy("ws").agg(F.count_if(F.col("repetitive") | F.col("compressed") | F.col("unlikely") | F.col("unsure")).alias("rejected"))
+    held = hotword_contamination(segments, hotwords).select("ws", "segments", "contaminated")
+    early = transcript_coverage(segments, speech).select("ws", "collapsed").join(prefix_speech(speech, segments).select("ws", "healthy"), "ws", "left")
+    out = held.join(bad, "ws", "left").join(early, "ws", "left").fillna(0, ["rejected"]).fillna(False, ["collapsed", "healthy"])
+    worn = F.col("contaminated") | (F.col("rejected") * 2 >= F.col("segments"))
+    advice = F.when(worn, "full").when(F.col("collapsed"), F.when(F.col("healthy"), "tail").otherwise("full")).otherwise("keep")
+    return out.select("ws", "segments", "rejected", "collapsed", "contaminated", advice.alias("advice"))
 
 
 def best_transcript(attempts: DataFrame) -> DataFrame:

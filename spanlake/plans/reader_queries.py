@@ -183,3 +183,24 @@ def frame_rates(v):
     n = F.col("o_custkey") % 3
     rate = tm.frame_rate(F.when(n == 0, F.lit("29.97")).when(n == 1, F.lit("50/2")).otherwise(F.lit("24")))
     return v("orders").select("o_orderkey", F.concat(rate["num"].cast("string"), F.lit("/"), rate["den"].cast("string")).alias("rate"))
+
+
+@book.add(f"""SELECT page_id, translate(regexp_replace(html, '{tx.NOISE}', ' ', 'g'), '{tx.MARKS.replace("'", "''")}', '{" " * len(tx.MARKS)}') AS words FROM pages""")
+def clean_metadata(v):
+    """Whole pages as metadata."""
+    return v("pages").select("page_id", tx.clean_metadata_text(F.col("html")).alias("words"))
+
+
+#: Reasons, tags and link targets made from parts; some reasons begin as known ones do.
+NAMED = """nm AS (SELECT p_partkey, concat(CASE p_size % 4 WHEN 0 THEN 'burst @' WHEN 1 THEN 'ocr-scan every=' WHEN 2 THEN '--' ELSE '' END, p_name, ' / ', p_type, '!') AS reason, concat(' ', p_name, '  ', p_brand, chr(10)) AS tag,
+concat(CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '_') ELSE p_name END, CASE WHEN p_size % 5 = 0 THEN ' <5%>' ELSE '.md' END, CASE WHEN p_size % 2 = 0 THEN concat('#', p_type, ' 50% %41=a:b~*(', p_brand) ELSE chr(9) END) AS target FROM {part})"""
+NAMED_DUCK = NAMED.format(part="part")
+
+
+@book.add(f"WITH {NAMED_DUCK}" + r""", pf AS (SELECT *, string_split(target, '#')[1] AS path, regexp_replace(CASE WHEN contains(target, '#') THEN target[strpos(target, '#') + 1 :] END, '%([0-9A-F]{2})', chr(1) || '\1', 'g') AS fr FROM nm),
+en AS (SELECT *, replace(replace(replace(replace(replace(path, '%', '%25'), '<', '%3C'), '>', '%3E'), chr(9), '%09'), chr(10), '%0A') || CASE WHEN contains(target, '#') THEN '#' || replace(replace(replace(url_encode(fr), '%3D', '='), '%3A', ':'), '%01', '%') ELSE '' END AS made FROM pf)
+SELECT p_partkey, coalesce('-' || nullif(rtrim(trim(regexp_replace(reason, '[^0-9A-Za-z가-힣-]+', '-', 'g'), '-')[1:40], '-'), ''), '') AS slug, regexp_replace(trim(tag, ' ' || chr(10)), '\s+', '-', 'g') AS tag,
+CASE WHEN starts_with(reason, 'burst') THEN '오디오 피크 확인 (' || reason || ')' WHEN starts_with(reason, 'ocr-scan') THEN '자막·화면문자 스캔 (' || reason || ')' ELSE reason END AS label, CASE WHEN regexp_matches(made, '[ ()]') THEN '<' || made || '>' ELSE made END AS target FROM en""")
+def name_functions(v):
+    made = v("part").sparkSession.sql(f"WITH {NAMED} SELECT * FROM nm", part=v("part"))
+    return made.select("p_partkey", tx.reason_slug(F.col("reason")).alias("slug"), tx.tag_format(F.col("tag")).alias("tag"), lb.reason_label(F.col("reason")).alias("label"), lb.md_target(F.col("target")).alias("target"))

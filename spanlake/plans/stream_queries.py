@@ -47,6 +47,13 @@ def stream_scene_density(v):
     return jobs.drain(jobs.density(stream(e)), folder(e.sparkSession), "complete")
 
 
+@book.add("""SELECT ws, start, count(*) AS n, round(count(*) / 720, 6) AS per_minute FROM (SELECT user_id AS ws, time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours' * k AS start FROM events, range(2) r(k)) GROUP BY ALL""")
+def stream_burst_rate(v):
+    """Windows of 12 hours every 6 hours: events come hours apart."""
+    e = v("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ws"))
+    return jobs.drain(jobs.burst_rate(stream(e), "12 hours", "6 hours"), folder(e.sparkSession), "complete")
+
+
 @book.add("""WITH o AS (SELECT user_id AS ws, event_type AS label, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) + INTERVAL '6 hours' THEN 0 ELSE 1 END AS nw FROM events),
 r AS (SELECT *, sum(nw) OVER (PARTITION BY ws, label ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT ws, label, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", count(*) AS n FROM r GROUP BY ws, label, k""")
 def stream_audio_sessions(v):

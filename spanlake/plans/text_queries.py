@@ -49,6 +49,17 @@ def split_on_gaps(v):
     return transcript.split_on_gaps(assigned(v), 0.05)
 
 
+@book.add(f"""WITH {ASSIGNED}, n AS (SELECT *, CASE WHEN word_s - lag(word_e) OVER (PARTITION BY ws, pos ORDER BY word_s, k) > 0.05 THEN 1 ELSE 0 END AS nw FROM asg), r AS (SELECT *, sum(nw) OVER (PARTITION BY ws, pos ORDER BY word_s, k ROWS UNBOUNDED PRECEDING) AS part FROM n),
+pt AS (SELECT ws, pos, part, round(min(word_s), 3) AS s, round(max_by(word_e, ROW(word_s, k)), 3) AS e, trim(string_agg(word, ' ' ORDER BY word_s, k)) AS text, round(avg(p), 3) AS conf FROM r GROUP BY ws, pos, part),
+x AS (SELECT *, count(*) OVER (PARTITION BY ws, pos) AS parts FROM pt),
+al AS (SELECT ws, pos, part, s, e, text, conf FROM x WHERE parts > 1 UNION ALL SELECT ws, pos, 0, s, e, text, conf FROM v_seg g WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.ws = g.ws AND x.pos = g.pos AND parts > 1))
+SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY pos, part) - 1 AS id, s, e, text, conf FROM al""")
+def split_segments(v):
+    """Segments cut at pauses, beside those that stay whole, numbered anew."""
+    words = v("v_words").withColumn("k", F.col("pos") * 1000 + F.col("k"))
+    return transcript.split_segments(v("v_seg"), words, 0.05, " ")
+
+
 @book.add("""SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY pos) - 1 AS id, s, e, text, conf FROM (SELECT ws, pos, min(s) AS s, max_by(e, k) AS e, trim(string_agg(word, ' ' ORDER BY k)) AS text, round(avg(p), 3) AS conf FROM v_words GROUP BY ws, pos) WHERE text <> ''""")
 def segments_from_words(v):
     return transcript.segments_from_words(v("v_words"))
@@ -66,10 +77,35 @@ def hotword_contamination(v):
     return transcript.hotword_contamination(v("v_seg"), ["the", "ing"])
 
 
-@book.add("""WITH t AS (SELECT ws, pos, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w FROM v_seg), c AS (SELECT ws, pos, w, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT ws, pos, max(n) / sum(n) AS top, sum(n) AS words FROM c GROUP BY ws, pos)
-SELECT g.ws, g.pos, coalesce(words >= 12 AND top >= 0.6, false) AS repetitive, logprob < -1 AS unlikely FROM v_seg g LEFT JOIN r USING (ws, pos)""")
+#: Segments with a compression ratio, and words with low p, made from what the turns have.
+FLAGS = r"""t AS (SELECT ws, pos, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM v_seg), c AS (SELECT ws, pos, w, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT ws, pos, max(n) / sum(n) AS top, sum(n) AS words FROM c GROUP BY ws, pos),
+m AS (SELECT ws, pos, avg(p / 8) AS mp FROM v_words GROUP BY ws, pos),
+fl AS (SELECT g.ws, g.pos, coalesce(words >= 12 AND top >= 0.6, false) AS repetitive, length(text) % 25 / 8 > 2.4 AS compressed, logprob < -1 AS unlikely, coalesce(mp < 0.1, false) AS unsure FROM v_seg g LEFT JOIN r USING (ws, pos) LEFT JOIN m USING (ws, pos) WHERE trim(text) <> '')"""
+
+
+def pressed(v) -> DataFrame:
+    return v("v_seg").withColumn("compression_ratio", F.length("text") % 25 / 8)
+
+
+def dim_words(v) -> DataFrame:
+    return v("v_words").select("ws", "pos", (F.col("p") / 8).alias("p"))
+
+
+@book.add(f"WITH {FLAGS} SELECT * FROM fl")
 def quality_flags(v):
-    return transcript.quality_flags(v("v_seg"))
+    return transcript.quality_flags(pressed(v), dim_words(v))
+
+
+@book.add(f"""WITH {FLAGS}, b AS (SELECT ws, count(*) FILTER (repetitive OR compressed OR unlikely OR unsure) AS rejected FROM fl GROUP BY ws),
+h AS (SELECT ws, count(*) AS segments, max(e) AS stall, sum(e - s) AS spoken, count(*) >= 5 AND avg(CASE WHEN contains(text, 'the') THEN 1e0 ELSE 0e0 END) >= 0.5 AND count(DISTINCT trim(text)) / count(*) <= 0.3 AS contaminated FROM v_seg GROUP BY ws),
+sp AS (SELECT ws, sum(e - s) * 8 AS speech FROM v_turns GROUP BY ws),
+hd AS (SELECT t.ws, sum(greatest(0, least(t.s + (t.e - t.s) * 8, stall) - t.s)) AS heard FROM v_turns t JOIN h USING (ws) GROUP BY t.ws),
+o AS (SELECT h.ws, segments, coalesce(rejected, 0) AS rejected, speech >= 60 AND spoken / speech < 0.5 AS collapsed, contaminated, heard > 0 AND spoken / heard >= 0.5 AS healthy FROM h LEFT JOIN b USING (ws) JOIN sp USING (ws) JOIN hd USING (ws))
+SELECT ws, segments, rejected, collapsed, contaminated, CASE WHEN contaminated OR rejected >= segments / 2 THEN 'full' WHEN NOT collapsed THEN 'keep' WHEN healthy THEN 'tail' ELSE 'full' END AS advice FROM o""")
+def transcript_qc(v):
+    """Speech of eight times the length, so that some transcripts collapse."""
+    speech = v("v_turns").withColumn("e", F.col("s") + (F.col("e") - F.col("s")) * 8)
+    return transcript.transcript_qc(pressed(v), dim_words(v), speech, ["the"])
 
 
 @book.add("""SELECT ws, attempt, spoken FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY spoken DESC, attempt) AS r FROM (SELECT ws, pos % 3 AS attempt, sum(e - s) AS spoken FROM v_seg GROUP BY ALL)) WHERE r = 1""")

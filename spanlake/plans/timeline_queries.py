@@ -145,6 +145,30 @@ def verification_audit(v):
     return evidence.verification_issues(*grounded(v))
 
 
+SUPPORT = COVERAGE + f""", {LEVELS}, {islands_sql("(SELECT l.ws, l.s, l.e FROM settled x JOIN latest l ON l.ws = x.ws AND l.cp_id = x.cp_id WHERE x.level <> 'unsupported')", "spi")},
+sl AS (SELECT ws, sum(e - s) AS n FROM spi GROUP BY ws), sc AS (SELECT ws, count(*) AS settled, count(*) FILTER (level <> 'unsupported') AS supported FROM settled GROUP BY ws),
+su AS (SELECT s.*, coalesce(sc.settled, 0) AS settled, coalesce(sc.supported, 0) AS supported, round(coalesce(sl.n, 0) / duration, 4) AS supported_ratio FROM status s JOIN v_videos v ON v.ws = s.ws LEFT JOIN sc ON sc.ws = s.ws LEFT JOIN sl ON sl.ws = s.ws),
+rd AS (SELECT *, round(0.4 * covered_ratio + 0.4 * supported_ratio + 0.2 * least(coalesce(mean_confidence, 0), 1), 3) AS score,
+  CASE WHEN gaps > 0 OR covered_ratio < 0.999 THEN 'cover_gaps' WHEN supported_ratio < 0.6 OR supported < settled THEN 'verify_more' ELSE 'converged' END AS advice FROM su)"""
+
+
+def ready(v, levels):
+    videos = saved(v("v_videos"), "videos")
+    return evidence.readiness(evidence.coverage_status(levels, videos), evidence.support(levels, videos))
+
+
+@book.add(SUPPORT + " SELECT * FROM rd")
+def readiness_by_support(v):
+    """Readiness where the supported part of a video counts, not the settled one."""
+    return ready(v, saved(grounded(v)[0], "levels"))
+
+
+@book.add(SUPPORT + " SELECT 'advice' AS kind, advice AS name, count(*) AS n FROM rd GROUP BY advice UNION ALL SELECT 'level', level, count(*) FROM settled GROUP BY level")
+def corpus_counts(v):
+    levels = saved(grounded(v)[0], "levels")
+    return evidence.corpus_counts(ready(v, levels), levels)
+
+
 @book.add(f"WITH {REPLAY}, {LEVELS} SELECT ws, code, count(*) AS n FROM issues GROUP BY ROLLUP (ws, code)")
 def corpus_audit(v):
     return evidence.corpus_totals(evidence.verification_issues(*grounded(v)))
@@ -189,6 +213,14 @@ def audio_event_spans(v):
     return signals.audio_events(v("v_hits"))
 
 
+@book.add("""SELECT ws, floor(t / 6) * 6 AS t, string_agg(concat('to ', label), ' ' ORDER BY t, label, conf) AS text FROM v_hits WHERE conf >= 0.3 GROUP BY ALL""")
+def screen_samples(v):
+    """Hits of six seconds as the lines of one frame: the earlier, the higher."""
+    line = F.concat(F.lit(" to\t "), "label", F.lit("\n"))
+    lines = v("v_hits").select("ws", (F.floor(F.col("t") / 6) * 6.0).alias("t"), F.struct("label", "conf").alias("k"), line.alias("text"), "conf", (-F.col("t")).alias("y"))
+    return signals.screen_samples(lines)
+
+
 @book.add("""WITH x AS (SELECT ws, t, label AS text FROM (SELECT ws, idx * 2e0 AS t, CASE WHEN idx % 5 = 0 THEN ' ' ELSE concat('Sign ', cast((idx // 4) % 3 AS varchar)) END AS label FROM v_loud) WHERE trim(label) <> ''),
 n AS (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY ws ORDER BY t) = text THEN 0 ELSE 1 END AS nw FROM x), r AS (SELECT *, sum(nw) OVER (PARTITION BY ws ORDER BY t) AS run FROM n)
 SELECT ws, min(t) AS s, max(least(t + 2, 600)) AS e, text FROM r GROUP BY ws, run, text""")

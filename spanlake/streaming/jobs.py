@@ -28,6 +28,13 @@ def density(events: DataFrame, width: str = "1 day", step: str = "12 hours", lat
     return w.select("kind", F.col("w.start").alias("start"), "n")
 
 
+def burst_rate(events: DataFrame, width: str = "1 minute", step: str = "10 seconds", late: str = "1 hour") -> DataFrame:
+    """Sliding windows of (ts, ws): (ws, start, n, per_minute): bursts or text spans of each video per minute of a window."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), "ws").agg(F.count("*").alias("n"))
+    minutes = (F.unix_seconds("w.end") - F.unix_seconds("w.start")) / 60
+    return w.select("ws", F.col("w.start").alias("start"), "n", F.round(F.col("n") / minutes, 6).alias("per_minute"))
+
+
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Sessions of same-label hits (ts, ws, label) at most `gap` apart: (ws, label, start, end, n).
 
@@ -43,31 +50,53 @@ def new_edges(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["ws", "edge_id"])
 
 
+#: Columns of the book of a table.
+BOOK = "version long, place string, run string, batch long"
+
+
 class Table:
-    """A table in versions: each write makes a new one, and reads take the last one."""
+    """A table in versions: each write makes a new one, and reads take the last one.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, 0
+    A version is booked in `path`/book when its write is whole, so a process
+    that starts anew finds the last one, and what a lost write left behind is
+    not read. `run` names the stream (its checkpoint location) that feeds the
+    table: of such a stream, a batch that is delivered again is known.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run: str | None = None):
+        self.spark, self.path, self.run = spark, path, run
+        spark.createDataFrame([], BOOK).write.mode("append").parquet(f"{path}/book")
+        book = spark.read.schema(BOOK).parquet(f"{path}/book")
+        last = book.orderBy(F.desc("version")).first()
+        self.version, self.place = (last["version"], last["place"]) if last else (0, None)
+        self.batch = book.filter(F.col("run") == run).agg(F.max("batch")).first()[0] if run else None
+
+    def has(self, batch: int) -> bool:
+        return self.batch is not None and batch <= self.batch
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{self.version}") if self.version else None
+        return self.spark.read.parquet(f"{self.path}/{self.place}") if self.place else None
 
-    def write(self, df: DataFrame) -> None:
-        df.write.parquet(f"{self.path}/{self.version + 1}")
-        self.version += 1
+    def write(self, df: DataFrame, batch: int) -> None:
+        version, place = self.version + 1, f"{self.version + 1}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{place}")
+        self.spark.createDataFrame([(version, place, self.run, batch)], BOOK).write.mode("append").parquet(f"{self.path}/book")
+        self.version, self.place, self.batch = version, place, batch if self.run else None
 
 
 def fold_ledger(state: Table) -> Callable[[DataFrame, int], None]:
     """foreachBatch: new ledger lines on top of the latest claims. A claim's last row says whether it is settled, so it stands for its past."""
 
-    def fold(lines: DataFrame, _: int) -> None:
+    def fold(lines: DataFrame, batch: int) -> None:
+        if state.has(batch):
+            return
         held = state.read()
         if held is not None:
             firsts = held.select("ws", "cp_id", F.col("first_line").alias("held_first"))
             now = ledger.latest(held.drop("first_line").unionByName(lines)).join(firsts, ["ws", "cp_id"], "left")
-            state.write(now.withColumn("first_line", F.coalesce("held_first", "first_line")).drop("held_first"))
+            state.write(now.withColumn("first_line", F.coalesce("held_first", "first_line")).drop("held_first"), batch)
         else:
-            state.write(ledger.latest(lines))
+            state.write(ledger.latest(lines), batch)
 
     return fold
 
@@ -75,24 +104,31 @@ def fold_ledger(state: Table) -> Callable[[DataFrame, int], None]:
 def fold_edges(known: Table) -> Callable[[DataFrame, int], None]:
     """foreachBatch: unseen edges are added to the table of known ones, the first of each."""
 
-    def fold(lines: DataFrame, _: int) -> None:
+    def fold(lines: DataFrame, batch: int) -> None:
+        if known.has(batch):
+            return
         held = known.read()
         if held is None:
             held = lines.limit(0)
-        known.write(held.unionByName(images.new_edges(lines, held)))
+        known.write(held.unionByName(images.new_edges(lines, held)), batch)
 
     return fold
 
 
 def fold_changed(files: Table, rebuild: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: `rebuild` gets the timelines whose fingerprint differs from the one before; fingerprints are kept."""
+    """foreachBatch: `rebuild` gets the timelines whose fingerprint differs from the one before; fingerprints are kept.
+
+    A batch holds its timelines whole. If the process dies between the two, `rebuild` gets them again.
+    """
 
-    def fold(batch: DataFrame, _: int) -> None:
-        marks = storage.fingerprint(batch)
+    def fold(rows: DataFrame, batch: int) -> None:
+        if files.has(batch):
+            return
+        marks = storage.fingerprint(rows)
         held = files.read()
         changed = marks.select("ws") if held is None else storage.changed(marks, held).filter("state <> 'gone'").select("ws")
-        rebuild(batch.join(changed, "ws", "left_semi"))
-        files.write(marks if held is None else held.join(marks.select("ws"), "ws", "left_anti").unionByName(marks))
+        rebuild(rows.join(changed, "ws", "left_semi"))
+        files.write(marks if held is None else held.join(marks.select("ws"), "ws", "left_anti").unionByName(marks), batch)
 
     return fold
 
@@ -109,7 +145,7 @@ def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def drain_each(df: DataFrame, folder: str, fold: Callable[[DataFrame, int], None]) -> None:
-    """Run a foreachBatch job over what its source has now."""
-    query = df.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/stream-{uuid.uuid4().hex}/log").trigger(availableNow=True).start()
+def drain_each(df: DataFrame, folder: str, fold: Callable[[DataFrame, int], None], log: str | None = None) -> None:
+    """Run a foreachBatch job over what its source has now; with `log`, a checkpoint location, it goes on from where the last run ended."""
+    query = df.writeStream.foreachBatch(fold).option("checkpointLocation", log or f"{folder}/stream-{uuid.uuid4().hex}/log").trigger(availableNow=True).start()
     query.awaitTermination()

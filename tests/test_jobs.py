@@ -231,6 +231,39 @@ def test_changed_timelines_alone_are_rebuilt(spark, tmp_path):
     assert seen == [[1, 2], [], [1]]
 
 
+def test_a_ledger_stream_goes_on_after_a_restart(spark, tmp_path):
+    rows = log(spark, [("verified", 1.0, 2.0), ("hypothesized", 3.0, 4.0), ("corrected", 5.0, 6.0)])
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for k in (1, 2, 3):  # each time a new process: the table is found by its path alone
+        rows.filter(F.col("line_no") == k).write.mode("append").parquet(str(tmp_path / "in"))
+        state = jobs.Table(spark, str(tmp_path / "state"), "claims")
+        jobs.drain_each(stream(), str(tmp_path), jobs.fold_ledger(state), str(tmp_path / "log"))
+    held = jobs.Table(spark, str(tmp_path / "state"), "claims")
+    assert held.version == 3 and held.has(2) and not held.has(3)
+    names = sorted(rows.columns)
+    assert held.read().select(names).collect() == ledger.latest(rows).select(names).collect()
+    jobs.fold_ledger(held)(log(spark, [("corrected", 8.0, 9.0)]), 2)  # delivered again
+    assert held.version == 3
+    assert not jobs.Table(spark, str(tmp_path / "state"), "another stream").has(0)
+
+
+def test_segments_are_cut_at_pauses_and_numbered(spark):
+    seg = spark.createDataFrame([("w", 0, 0.0, 9.0, "a b c", 0.5), ("w", 1, 10.0, 12.0, "lone", None), ("w", 2, 20.0, 22.0, "none", 0.1)], "ws string, pos int, s double, e double, text string, conf double")
+    words = spark.createDataFrame([("w", 0, 0.0, 1.0, " a", 0.5), ("w", 1, 1.5, 2.0, " b", 1.0), ("w", 2, 3.6, 4.0, " c", None), ("w", 3, 10.0, 11.0, "lone", 0.9)], "ws string, k int, s double, e double, word string, p double")
+    out = transcript.split_segments(seg, words).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in out] == [(0, 0.0, 2.0, "a b", 0.75), (1, 3.6, 4.0, "c", 0.0), (2, 10.0, 12.0, "lone", None), (3, 20.0, 22.0, "none", 0.1)]
+
+
+def test_intent_terms_are_found_across_pieces(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab ") for _ in range(n)) for n in (0, 1, 5, 40, 700)]
+    seg = spark.createDataFrame([("w", k, float(k), t) for k, t in enumerate(texts)] + [("w", 9, 9.0, None)], "ws string, pos int, s double, folded string")
+    terms = [(q, "".join(rng.choice("ab ") for _ in range(rng.randint(1, 7)))) for q in range(30) for _ in range(4)]
+    got = search.intent_hits(seg, spark.createDataFrame(terms, "query int, term string"), 99, 8).collect()
+    want = {(q, k): n for q in range(30) for k, t in enumerate(texts) if (n := len({x for y, x in terms if y == q and len(x) > 1 and x in t}))}
+    assert {(r["query"], r["pos"]): r["n"] for r in got} == want
+
+
 def test_results_do_not_depend_on_row_order(spark, tiny):
     hits = view(spark, tiny, "v_hits")
     a = signals.audio_events(hits).collect()
