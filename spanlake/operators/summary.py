@@ -97,14 +97,14 @@ def chapter_spans(videos: DataFrame) -> DataFrame:
 
 
 def strip_plan(videos: DataFrame, longest: float = 112.0, step: float = 7.0, most: int = 16) -> DataFrame:
-    """(ws, strip, s, e, cells, mids): windows of at most `longest` seconds, each in cells at most `step` apart (`most` at most), with their mid-points."""
+    """(ws, strip, s, e, cells, mids): windows of at most `longest` seconds, each in cells at most `step` apart (`most` at most), with their mid-points. Bounds are rounded first, and mid-points lie between rounded bounds."""
     n = F.greatest(F.ceil(F.col("duration") / longest), F.lit(1))
     each = videos.filter("duration > 0").select("ws", "duration", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("strip"))
     s, e = F.col("duration") * F.col("strip") / F.col("n"), F.col("duration") * (F.col("strip") + 1) / F.col("n")
-    cells = F.greatest(F.least(F.ceil((F.col("e") - F.col("s")) / step), F.lit(most)), F.lit(1)).cast("int")
-    rows = each.withColumn("s", s).withColumn("e", e).withColumn("cells", cells)
+    cells = F.greatest(F.least(F.ceil(F.col("duration") / F.col("n") / step), F.lit(most)), F.lit(1)).cast("int")
+    rows = each.select("ws", "strip", F.round(s, 3).alias("s"), F.round(e, 3).alias("e"), cells.alias("cells"))
     mids = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda k: F.round(F.col("s") + (k + 0.5) * (F.col("e") - F.col("s")) / F.col("cells"), 3))
-    return rows.select("ws", "strip", F.round("s", 3).alias("s"), F.round("e", 3).alias("e"), F.col("cells").cast("long").alias("cells"), mids.alias("mids"))
+    return rows.select("ws", "strip", "s", "e", F.col("cells").cast("long").alias("cells"), mids.alias("mids"))
 
 
 def tail_candidates(videos: DataFrame, points: int = 5, span: float = 2.5, margin: float = 0.2) -> DataFrame:

@@ -82,8 +82,11 @@ def shot_scale(v):
     return v("embeddings").select("vec_id", summary.shot_scale(F.array(F.array(zero, zero, x(0), x(1)), F.array(zero, zero, x(2), x(3)))).alias("scale"))
 
 
-@book.add()
+@book.add("""WITH d AS (SELECT o_orderkey AS ws, floor(o_totalprice) / 64e0 AS duration FROM orders), n AS (SELECT *, greatest(cast(ceil(duration / 112) AS bigint), 1) AS n FROM d WHERE duration > 0),
+w AS (SELECT ws, strip, greatest(least(cast(ceil(duration / n / 7) AS bigint), 16), 1) AS cells, cast(round(cast(cast(duration * strip / n AS varchar) AS decimal(32, 18)), 3) AS double) AS s, cast(round(cast(cast(duration * (strip + 1) / n AS varchar) AS decimal(32, 18)), 3) AS double) AS e FROM (SELECT *, unnest(range(n)) AS strip FROM n))
+SELECT ws, strip, s, e, cells, [cast(round(cast(cast(s + (k + 0.5e0) * (e - s) / cells AS varchar) AS decimal(32, 18)), 3) AS double) for k in range(cells)] AS mids FROM w""")
 def strip_plan(v):
+    """Halves are rounded up as decimals, which the SQL spells out."""
     d = v("orders").select(F.col("o_orderkey").alias("ws"), (F.floor("o_totalprice") / 64).alias("duration"))
     return summary.strip_plan(d)
 
