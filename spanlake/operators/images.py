@@ -33,8 +33,10 @@ def new_edges(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def backlinks(refs: DataFrame, images: DataFrame) -> DataFrame:
-    """(ws, image_id, cp_ids): claims that cite an image's path (ws, cp_id, first_line, path), in ledger order."""
-    each = refs.join(images.select("ws", "path", "image_id"), ["ws", "path"]).groupBy("ws", "image_id", "cp_id").agg(F.min("first_line").alias("at"))
+    """(ws, image_id, cp_ids): claims that cite an image (ws, cp_id, first_line, path), in ledger order, each once; path may be an image's path or its id."""
+    by_path = refs.select("ws", "cp_id", "first_line", "path").join(images.select("ws", "path", "image_id"), ["ws", "path"]).drop("path")
+    by_id = refs.select("ws", "cp_id", "first_line", F.col("path").alias("image_id")).join(images.select("ws", F.col("image_id").cast("string").alias("image_id")), ["ws", "image_id"])
+    each = by_path.unionByName(by_id).groupBy("ws", "image_id", "cp_id").agg(F.min("first_line").alias("at"))
     return each.groupBy("ws", "image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cp_id"))), lambda x: x["cp_id"]).alias("cp_ids"))
 
 
@@ -46,9 +48,13 @@ def tiers(images: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def counts(images: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ws, images, available, tracked, linked, edges)."""
-    n = images.join(links.select("ws", "image_id", F.lit(1).alias("linked")), ["ws", "image_id"], "left").groupBy("ws").agg(F.count("*").alias("images"), F.count_if("exists").alias("available"), F.count_if("tracked").alias("tracked"), F.count("linked").alias("linked"))
-    return n.join(edges.groupBy("ws").agg(F.count_distinct("edge_id").alias("edges")), "ws", "left").fillna(0, ["edges"])
+    """(ws, images, available, tracked, untracked, linked, edges, unsourced): unsourced images have no edge (ws, image_id, edge_id)."""
+    n = edges.groupBy("ws", "image_id").agg(F.count_distinct("edge_id").alias("edges"))
+    both = images.select("ws", "image_id", "exists", "tracked").join(links.select("ws", "image_id", F.lit(True).alias("linked")), ["ws", "image_id"], "left").join(n, ["ws", "image_id"], "left").fillna(0, ["edges"])
+    return both.groupBy("ws").agg(
+        F.count("*").alias("images"), F.count_if("exists").alias("available"), F.count_if("tracked").alias("tracked"), F.count_if(~F.col("tracked")).alias("untracked"),
+        F.count("linked").alias("linked"), F.sum("edges").alias("edges"), F.count_if(F.col("edges") == 0).alias("unsourced"),
+    )
 
 
 def preferred_reason(events: DataFrame) -> DataFrame:

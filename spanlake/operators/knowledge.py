@@ -14,11 +14,32 @@ def entity_index(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count_distinct("ws").alias("videos"), F.count("*").alias("rows"))
 
 
-def durable(index: DataFrame, quoted: DataFrame, related: DataFrame, least: int = 2) -> DataFrame:
-    """index with durable: enough appearances, a quote (label) or a relation (label)."""
+def appearances(claims: DataFrame, length: int = 80) -> DataFrame:
+    """(label, ws, cp_id, s, e, status, role, situation): a row for each label of claims (speakers, entities: arrays), once for each list that names it.
+
+    situation is cut to `length` characters; where it is empty the hypothesis
+    stands in. Blank labels are left out; null lists have none.
+    """
+    said = F.substring(F.coalesce(F.nullif("situation", F.lit("")), "hypothesis", F.lit("")), 1, length)
+    named = lambda column, role: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.struct(F.trim(x).alias("label"), F.lit(role).alias("role")))
+    each = claims.select("ws", "cp_id", "s", "e", "status", said.alias("situation"), F.explode(F.array_distinct(F.concat(named("speakers", "speaker"), named("entities", "entity")))).alias("x"))
+    return each.select("x.label", "ws", "cp_id", "s", "e", "status", "x.role", "situation").filter("label <> ''")
+
+
+def durable(index: DataFrame, quoted: DataFrame, related: DataFrame, least: int = 2, noted: DataFrame | None = None) -> DataFrame:
+    """index with durable: enough appearances, a quote (label), a relation (label) or, where given, a written note (label, see `written_notes`)."""
     flag = lambda df, name: df.select("label").distinct().withColumn(name, F.lit(True))
     both = index.join(flag(quoted, "quoted"), "label", "left").join(flag(related, "related"), "label", "left").fillna(False, ["quoted", "related"])
-    return both.withColumn("durable", (F.col("rows") >= least) | F.col("quoted") | F.col("related"))
+    if noted is not None:
+        both = both.join(flag(noted, "noted"), "label", "left").fillna(False, ["noted"])
+    kept = (F.col("rows") >= least) | F.col("quoted") | F.col("related")
+    return both.withColumn("durable", kept if noted is None else kept | F.col("noted"))
+
+
+def written_notes(notes: DataFrame, placeholder: str) -> DataFrame:
+    """Notes (label, note) that say something: not blank and not the placeholder."""
+    body = F.trim("note")
+    return notes.filter(body.isNotNull() & (body != "") & (body != placeholder.strip()))
 
 
 def top_entities(index: DataFrame, labels: DataFrame, top: int = 400) -> DataFrame:
@@ -27,10 +48,23 @@ def top_entities(index: DataFrame, labels: DataFrame, top: int = 400) -> DataFra
     return labels.join(kept, "label", "left_semi").select("ws", "label").distinct()
 
 
+def graph_counts(index: DataFrame, top: int = 400) -> DataFrame:
+    """One row (kept, dropped): labels of the index that `top_entities` keeps, and the others."""
+    n = F.count("*")
+    return index.agg(F.least(n, F.lit(top)).alias("kept"), F.greatest(n - top, F.lit(0)).alias("dropped"))
+
+
 def relation_graph(triples: DataFrame, top: int = 60) -> DataFrame:
-    """(subj, pred, obj, total): the first `top` distinct triples in order, with the number of all."""
+    """(subj, pred, obj, total, subj_node, obj_node): the first `top` distinct triples in order, with the number of all, and nodes n0, n1, ... by first use."""
     distinct = triples.filter("subj IS NOT NULL AND pred IS NOT NULL AND obj IS NOT NULL").select("subj", "pred", "obj").distinct()
-    return distinct.orderBy("subj", "pred", "obj").limit(top).withColumn("total", F.lit(distinct.count()))
+    shown = distinct.orderBy("subj", "pred", "obj").limit(top)
+    # windows over the `top` rows alone
+    placed = shown.withColumn("at", F.row_number().over(Window.orderBy("subj", "pred", "obj")))
+    ends = placed.select(F.posexplode(F.array("subj", "obj")).alias("side", "name"), "at").groupBy("name").agg(F.min(F.col("at") * 2 + F.col("side")).alias("first"))
+    ids = ends.select("name", F.concat(F.lit("n"), F.row_number().over(Window.orderBy("first")) - 1).alias("node"))
+    both = shown.join(ids.toDF("subj", "subj_node"), "subj").join(ids.toDF("obj", "obj_node"), "obj")
+    total = distinct.agg(F.count("*")).scalar()
+    return both.select("subj", "pred", "obj", total.alias("total"), "subj_node", "obj_node")
 
 
 def relation_candidates(claims: DataFrame) -> DataFrame:
@@ -98,27 +132,40 @@ def rewrite_map(moves: DataFrame) -> DataFrame:
     return moves.distinct().groupBy("old").agg(F.count("*").alias("n"), F.min("new").alias("new")).filter("n = 1").select("old", "new")
 
 
-def alias_leaders(labels: DataFrame, pairs: DataFrame, components: DataFrame) -> DataFrame:
+def alias_leaders(labels: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """(label, leader): each label in order joins the first leader it is alike to, or leads.
 
-    labels: (label); pairs as `alias_pairs`; components: (label, root) of the
-    pairs, so that a greedy pass sees one component of labels at a time.
+    labels: (label), distinct; pairs as `alias_pairs`. Rounds of joins: a label
+    with no open label before it that it is alike to leads, and those alike to
+    it follow. Rounds are written to `folder` (shared by all executors), which
+    cuts the lineage; a component of labels is spread over all tasks.
     """
-    near = pairs.select(F.col("a").alias("x"), "b").union(pairs.select("b", "a")).groupBy("x").agg(F.collect_set("b").alias("near"))
-    rows = labels.join(components, "label", "left").select("label", F.coalesce("root", "label").alias("root")).join(near, F.col("label") == F.col("x"), "left").drop("x")
+    spark: SparkSession = labels.sparkSession
+    path = f"{folder}/alias-{uuid.uuid4().hex}"
 
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        out = []
-        for label, near_ in part.sort_values("label")[["label", "near"]].itertuples(index=False):
-            mine = set() if near_ is None else set(near_)
-            leader = next((x for x in leaders if x in mine), label)
-            if leader == label:
-                leaders.append(label)
-            out.append((label, leader))
-        return pd.DataFrame(out, columns=["label", "leader"])
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
 
-    return rows.groupBy("root").applyInPandas(greedy, "label string, leader string")
+    # a label without any open one before it leads; the first round has all those that are never second
+    free = kept(labels.select("label").join(pairs.select(F.col("b").alias("label")).distinct(), "label", "left_anti"), "leaders/round=000000")
+    open_, depth = pairs, 0
+    while True:
+        follows = open_.join(free.select(F.col("label").alias("a")), "a", "left_semi").select(F.col("b").alias("label")).distinct()
+        follows = kept(follows, f"follows-{depth:06d}")
+        gone = follows.unionByName(free.select("label"))
+        rest = open_.join(gone.toDF("a"), "a", "left_anti").join(follows.toDF("b"), "b", "left_anti").select("a", "b")
+        # second labels of open pairs that are left without one before them lead next
+        waiting = open_.select(F.col("b").alias("label")).distinct().join(follows, "label", "left_anti")
+        rest, depth = kept(rest, f"open-{depth:06d}"), depth + 1
+        free = kept(waiting.join(rest.select(F.col("b").alias("label")).distinct(), "label", "left_anti"), f"leaders/round={depth:06d}")
+        if free.isEmpty():
+            break
+        open_ = rest
+    leaders = spark.read.schema(labels.select("label").schema).option("recursiveFileLookup", True).parquet(f"{path}/leaders")
+    first = pairs.join(leaders.toDF("a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "label")
+    followed = labels.select("label").join(leaders, "label", "left_anti").join(first, "label")
+    return leaders.select("label", F.col("label").alias("leader")).unionByName(followed.select("label", "leader"))
 
 
 def qualified_only(clauses: DataFrame, markers: list[str]) -> DataFrame:
@@ -168,29 +215,5 @@ def unique_slugs(labels: DataFrame, slug: Column) -> DataFrame:
 
 
 def group_index(summary: DataFrame) -> DataFrame:
-    """(grp, videos, hours, claims): by group, and the total with null grp, from (ws, grp, duration, claims)."""
-    return summary.rollup("grp").agg(F.count("*").alias("videos"), F.round(F.sum("duration") / 3600, 4).alias("hours"), F.sum("claims").alias("claims"))
-
-
-def components(pairs: DataFrame, folder: str) -> DataFrame:
-    """(label, root): every label of pairs (a, b) and the least label of its component.
-
-    Each round takes the least root among neighbours and then that root's own
-    root, so paths halve; rounds are written to `folder`.
-    """
-    spark: SparkSession = pairs.sparkSession
-    path = f"{folder}/components-{uuid.uuid4().hex}"
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("x", "y").distinct()
-    both.write.parquet(f"{path}/edges")
-    both = spark.read.parquet(f"{path}/edges")
-    roots, turn = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "label"), 0
-    while True:
-        roots.write.parquet(f"{path}/{turn}")
-        now = spark.read.parquet(f"{path}/{turn}")
-        near = both.join(now, both["y"] == now["label"]).groupBy("x").agg(F.min("root").alias("near")).withColumnRenamed("x", "label")
-        better = now.join(near, "label").select("label", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
-        up = now.select(F.col("label").alias("root"), F.col("root").alias("up"))
-        if not better.filter("moved").limit(1).count():
-            return now
-        roots = better.join(up, "root").select("label", F.least("root", "up").alias("root"))
-        turn += 1
+    """(grp, videos, hours, claims, converged): by group, and the total with null grp, from (ws, grp, duration, claims, advice of `evidence.readiness`)."""
+    return summary.rollup("grp").agg(F.count("*").alias("videos"), F.round(F.sum("duration") / 3600, 4).alias("hours"), F.sum("claims").alias("claims"), F.count_if(F.col("advice") == "converged").alias("converged"))

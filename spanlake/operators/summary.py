@@ -49,23 +49,52 @@ def quote_log(quotes: DataFrame) -> DataFrame:
     return said.groupBy("ws", "speaker").agg(F.count("*").alias("n"), F.min_by("text", F.struct("t", "text")).alias("first"), F.max_by("text", F.struct("t", "text")).alias("last"))
 
 
+def quote_rows(claims: DataFrame) -> DataFrame:
+    """(ws, place, cp_id, t, speaker, text): quotes of claims (quotes: array<struct<t, speaker, text>>) that have a text, numbered in each ws by time; one without a time comes first."""
+    each = claims.select("ws", "cp_id", F.posexplode("quotes").alias("k", "q")).select("ws", "cp_id", "k", "q.t", "q.speaker", "q.text").filter("trim(text) <> ''")
+    place = F.row_number().over(Window.partitionBy("ws").orderBy(F.coalesce("t", F.lit(0.0)), "cp_id", "k"))
+    return each.select("ws", place.cast("long").alias("place"), "cp_id", "t", "speaker", "text")
+
+
+def relation_rows(triples: DataFrame) -> DataFrame:
+    """(label, ws, cp_id, subj, pred, obj): each relation (ws, cp_id, subj, pred, obj) under both its ends, once if they are one."""
+    return triples.select(F.explode(F.array_distinct(F.array("subj", "obj"))).alias("label"), "ws", "cp_id", "subj", "pred", "obj").filter("label IS NOT NULL")
+
+
 def relation_log(triples: DataFrame) -> DataFrame:
     """(label, side, n): relations (subj, pred, obj) seen from either entity."""
     return triples.select("pred", F.explode(F.array(F.struct(F.col("subj").cast("string").alias("label"), F.lit("subject").alias("side")), F.struct(F.col("obj").cast("string").alias("label"), F.lit("object").alias("side")))).alias("x")).groupBy("x.label", "x.side").agg(F.count("*").alias("n"))
 
 
-def improvement_queue(durable: DataFrame, noted: DataFrame, least: int = 3) -> DataFrame:
-    """(label, task) of durable (label, rows, durable, related): add a note where none is (label), add a relation to frequent ones without."""
+def improvement_queue(durable: DataFrame, noted: DataFrame, ready: DataFrame | None = None, narrated: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """(label, task) of durable (label, rows, durable, related): add a note where none is (label), add a relation to frequent ones without.
+
+    With ready (ws, advice) and narrated (ws) also: add a narrative to
+    converged timelines without one; their label is the ws.
+    """
     note = durable.filter("durable").join(noted.select("label"), "label", "left_anti").select("label", F.lit("note").alias("task"))
     relation = durable.filter((F.col("rows") >= least) & ~F.col("related")).select("label", F.lit("relation").alias("task"))
-    return note.unionByName(relation)
+    out = note.unionByName(relation)
+    if ready is None or narrated is None:
+        return out
+    bare = ready.filter("advice = 'converged'").join(narrated.select("ws").distinct(), "ws", "left_anti")
+    return out.unionByName(bare.select(F.col("ws").cast("string").alias("label"), F.lit("narrative").alias("task")))
 
 
-def layer_metrics(durable: DataFrame, triples: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One row: entities, durable, candidates, relations, alias_groups."""
-    a = durable.agg(F.count("*").alias("entities"), F.count_if("durable").alias("durable"), F.count_if(~F.col("durable")).alias("candidates"))
+def layer_metrics(durable: DataFrame, triples: DataFrame, aliases: DataFrame, quotes: DataFrame | None = None, noted: DataFrame | None = None, index_bytes: DataFrame | None = None, limit: int = 10 * 1024) -> DataFrame:
+    """One row: entities, durable, candidates, relations, alias_groups; where given quotes (rows), notes_filled (rows), and index_bytes (column size, summed) with over_limit."""
     groups = aliases.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1")
-    return a.withColumns({"relations": F.lit(triples.count()), "alias_groups": F.lit(groups.count())})
+    n = lambda df: df.agg(F.count("*")).scalar()
+    out = durable.agg(F.count("*").alias("entities"), F.count_if("durable").alias("durable"), F.count_if(~F.col("durable")).alias("candidates"))
+    columns = {"relations": n(triples), "alias_groups": n(groups)}
+    if quotes is not None:
+        columns["quotes"] = n(quotes)
+    if noted is not None:
+        columns["notes_filled"] = n(noted)
+    if index_bytes is not None:
+        columns["index_bytes"] = index_bytes.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long")).scalar()
+    out = out.select("*", *[c.alias(name) for name, c in columns.items()])
+    return out if index_bytes is None else out.withColumn("over_limit", F.col("index_bytes") > limit)
 
 
 def verification_points(claims: DataFrame, segments: DataFrame, bursts: DataFrame, scenes: DataFrame, silence: float = 20.0) -> DataFrame:

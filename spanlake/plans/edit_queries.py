@@ -151,7 +151,8 @@ ex AS (SELECT DISTINCT ws, path FROM v_image_events WHERE line_no % 3 = 0),
 cat AS (SELECT ev.ws, image_id, min(ROW(ex.path IS NULL, ev.path)) AS best, bool_or(ex.path IS NOT NULL) AS "exists", bool_or(source <> 'inventory') AS tracked,
   arg_max(t, CASE WHEN t IS NOT NULL THEN line_no END) AS t, arg_max(kind, CASE WHEN kind IS NOT NULL THEN line_no END) AS kind FROM ev LEFT JOIN ex ON ex.ws = ev.ws AND ex.path = ev.path GROUP BY ev.ws, image_id),
 pr AS (SELECT ws, image_id, arg_max(reason, line_no) AS reason FROM ev WHERE reason <> '' GROUP BY ws, image_id),
-bl AS (SELECT ws, image_id, string_agg(cp_id, ',' ORDER BY fl, cp_id) AS cp_ids FROM (SELECT r.ws, c.image_id, r.cp_id, min(r.line_no) AS fl FROM (SELECT ws, path, cause_id AS cp_id, line_no FROM v_image_events WHERE line_no % 5 = 0) r JOIN (SELECT ws, image_id, best[2] AS path FROM cat) c ON c.ws = r.ws AND c.path = r.path GROUP BY ALL) GROUP BY ws, image_id)"""
+ct AS (SELECT ws, CASE WHEN line_no % 10 = 0 THEN concat('img-', cast(cast(substr(path, 9, 9) AS bigint) % 40 AS varchar)) WHEN line_no % 5 = 0 THEN path ELSE 'elsewhere' END AS cited, cause_id AS cp_id, line_no FROM v_image_events),
+bl AS (SELECT ws, image_id, string_agg(cp_id, ',' ORDER BY fl, cp_id) AS cp_ids FROM (SELECT r.ws, c.image_id, r.cp_id, min(r.line_no) AS fl FROM ct r JOIN (SELECT ws, image_id, best[2] AS path FROM cat) c ON c.ws = r.ws AND (c.path = r.cited OR c.image_id = r.cited) GROUP BY ALL) GROUP BY ws, image_id)"""
 
 
 def events(v):
@@ -164,7 +165,9 @@ def image_catalog_of(v):
 
 
 def links_of(v):
-    cited = v("v_image_events").filter("line_no % 5 = 0").select("ws", "path", F.col("cause_id").alias("cp_id"), F.col("line_no").alias("first_line"))
+    """Every event cites: an image's id, its path, or what is no image."""
+    n = F.col("line_no")
+    cited = events(v).select("ws", F.when(n % 10 == 0, F.col("image_id")).when(n % 5 == 0, F.col("path")).otherwise("elsewhere").alias("path"), F.col("cause_id").alias("cp_id"), n.alias("first_line"))
     return images.backlinks(cited, image_catalog_of(v))
 
 
@@ -183,10 +186,11 @@ def image_tiers(v):
     return images.tiers(image_catalog_of(v).join(images.preferred_reason(events(v)), ["ws", "image_id"], "left"), links_of(v))
 
 
-@book.add(f"""WITH {IMG} SELECT c.ws, count(*) AS images, count(*) FILTER ("exists") AS available, count(*) FILTER (tracked) AS tracked, count(bl.image_id) AS linked, max(e.n) AS edges
-FROM cat c LEFT JOIN bl ON bl.ws = c.ws AND bl.image_id = c.image_id JOIN (SELECT ws, count(DISTINCT edge_id) AS n FROM ev GROUP BY ws) e ON e.ws = c.ws GROUP BY c.ws""")
+@book.add(f"""WITH {IMG}, n AS (SELECT ws, image_id, count(DISTINCT edge_id) AS n FROM ev WHERE reason <> '' GROUP BY ws, image_id) SELECT c.ws, count(*) AS images, count(*) FILTER ("exists") AS available, count(*) FILTER (tracked) AS tracked, count(*) FILTER (NOT tracked) AS untracked, count(bl.image_id) AS linked,
+  sum(coalesce(n.n, 0)) AS edges, count(*) FILTER (n.n IS NULL) AS unsourced FROM cat c LEFT JOIN bl ON bl.ws = c.ws AND bl.image_id = c.image_id LEFT JOIN n ON n.ws = c.ws AND n.image_id = c.image_id GROUP BY c.ws""", long="edges")
 def image_counts(v):
-    return images.counts(image_catalog_of(v), links_of(v), events(v))
+    """Events without a reason are no edges."""
+    return images.counts(image_catalog_of(v), links_of(v), events(v).filter("reason <> ''"))
 
 
 @book.add(f"WITH {IMG} SELECT * FROM pr")

@@ -121,16 +121,6 @@ def relation_candidates(v):
     return found.select(F.col("ws").alias("subj"), "labels")
 
 
-@book.add("""SELECT (SELECT count(DISTINCT label) FROM v_label) AS entities, (SELECT count(*) FROM (SELECT label FROM v_label GROUP BY label HAVING count(*) >= 2)) AS durable, (SELECT count(*) FROM (SELECT label FROM v_label GROUP BY label HAVING count(*) < 2)) AS candidates, (SELECT count(*) FROM v_edge) AS relations""")
-def layer_metrics(v):
-    part = v("part").withColumnRenamed("p_name", "label").limit(0)
-    durable = knowledge.durable(knowledge.entity_index(v("v_label")), part, part)
-    labels = names(v)
-    pairs = saved(knowledge.alias_pairs(labels), "pairs")
-    groups = knowledge.alias_leaders(labels, pairs, knowledge.components(pairs, folder(labels.sparkSession)))
-    return summary.layer_metrics(durable, v("v_edge"), groups).drop("alias_groups")
-
-
 @book.add("""SELECT o_orderkey, greatest(0, least(cast(floor(o_custkey % 1900 + 50 - 607 / 2.0) AS bigint), 1920 - 607)) AS x, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'to be checked' ELSE 'P' END AS label, replace(o_orderpriority, '-', ': ') AS words,
 concat('note ', o_orderstatus, chr(10), 'grounding: checkpoint:cp@abcdefabcdef, signal:', o_orderpriority) AS note FROM orders""")
 def label_functions(v):

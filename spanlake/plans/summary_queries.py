@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence, knowledge, sequences, signals, summary, transcript
+from ..sources.tables import folder, saved
 from .base import Book
+from .text_queries import LEADERS, names
 from .timeline_queries import COVERAGE, HITS, REPLAY, claims
 
 book = Book()
@@ -50,18 +52,98 @@ def relation_log(v):
     return summary.relation_log(v("v_edge"))
 
 
-ENTITIES = """ix AS (SELECT label, count(DISTINCT ws) AS videos, count(*) AS rows FROM v_label GROUP BY label), rl AS (SELECT DISTINCT p_name AS label FROM part WHERE p_partkey % 7 = 0),
-du AS (SELECT ix.*, rl.label IS NOT NULL AS related, rows >= 2 OR rl.label IS NOT NULL AS durable FROM ix LEFT JOIN rl USING (label))"""
+#: Claims with situation, speakers, entities, quotes and a relation, made of every claim; blanks and nulls among them.
+TOLD = f"""{REPLAY}, td AS (SELECT ws, cp_id, s, e, status, hypothesis, CASE WHEN event_id % 4 <> 0 THEN concat('situation ', cast(event_id AS varchar)) END AS situation, concat('speaker ', cast(event_id % 9 AS varchar)) AS sp,
+  [concat('entity ', cast(event_id % 40 AS varchar)), concat('speaker ', cast(event_id % 7 AS varchar)), CASE WHEN event_id % 6 = 0 THEN ' ' ELSE concat('entity ', cast(event_id AS varchar)) END] AS en, CASE WHEN event_id % 5 <> 0 THEN s END AS t1, e AS t2, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE concat('line ', cast(event_id AS varchar)) END AS x1 FROM latest),
+ap AS (SELECT DISTINCT trim(x) AS label, ws, cp_id, s, e, status, role, left(coalesce(situation, hypothesis), 80) AS situation FROM (SELECT *, sp AS x, 'speaker' AS role FROM td UNION ALL SELECT *, unnest(en), 'entity' FROM td) WHERE trim(x) <> ''),
+qt AS (SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY coalesce(t, 0), cp_id, k) AS place, cp_id, t, speaker, text FROM (SELECT ws, cp_id, 0 AS k, t1 AS t, sp AS speaker, x1 AS text FROM td UNION ALL SELECT ws, cp_id, 1, t2, NULL, concat(hypothesis, '!') FROM td) WHERE trim(text) <> ''),
+rl AS (SELECT ws, cp_id, sp AS subj, 'corrects' AS pred, en[1] AS obj FROM td WHERE status = 'corrected'),
+rr AS (SELECT DISTINCT label, ws, cp_id, subj, pred, obj FROM (SELECT subj AS label, * FROM rl UNION ALL SELECT obj, * FROM rl)),
+nt AS (SELECT DISTINCT label FROM ap WHERE length(label) % 3 = 0),
+ix AS (SELECT label, count(DISTINCT ws) AS videos, count(*) AS rows FROM ap GROUP BY label),
+du AS (SELECT *, rows >= 2 OR quoted OR related OR noted AS durable FROM (SELECT *, label IN (SELECT speaker FROM qt WHERE speaker IS NOT NULL) AS quoted, label IN (SELECT label FROM rr) AS related, label IN (SELECT label FROM nt) AS noted FROM ix)),
+rd AS (SELECT ws, CASE WHEN bool_or(status <> 'hypothesized') THEN 'converged' ELSE 'verify_more' END AS advice FROM latest GROUP BY ws)"""
+
+
+def told(v):
+    n, numbered = F.col("event_id"), lambda word, x: F.concat(F.lit(word), x.cast("string"))
+    speaker = numbered("speaker ", n % 9)
+    last = F.when(n % 6 == 0, " ").otherwise(numbered("entity ", n))
+    quote = lambda t, who, text: F.struct(t.alias("t"), who.alias("speaker"), text.alias("text"))
+    first = quote(F.when(n % 5 != 0, F.col("s")), speaker, F.when(n % 3 == 0, " ").otherwise(numbered("line ", n)))
+    made = claims(v).select(
+        "ws", "cp_id", "s", "e", "status", "hypothesis", F.when(n % 4 != 0, numbered("situation ", n)).alias("situation"), F.array(speaker).alias("speakers"), F.array(numbered("entity ", n % 40), numbered("speaker ", n % 7), last).alias("entities"),
+        F.array(first, quote(F.col("e"), F.lit(None).cast("string"), F.concat("hypothesis", F.lit("!")))).alias("quotes"), F.when(F.col("status") == "corrected", speaker).alias("subj"),
+    )
+    return saved(made, "told")
+
+
+def triples_of(rows):
+    return rows.filter("subj IS NOT NULL").select("ws", "cp_id", "subj", F.lit("corrects").alias("pred"), F.col("entities")[0].alias("obj"))
+
+
+def notes_of(rows):
+    """Of every label a note: written, blank or the placeholder."""
+    note = F.when(F.length("label") % 3 == 0, "a note").when(F.length("label") % 3 == 1, " ").otherwise("(to fill in)")
+    return knowledge.written_notes(rows.select("label").distinct().withColumn("note", note), "(to fill in)\n")
+
+
+def entities(rows, named):
+    quoted = summary.quote_rows(rows).select(F.col("speaker").alias("label")).filter("label IS NOT NULL")
+    return knowledge.durable(knowledge.entity_index(named), quoted, summary.relation_rows(triples_of(rows)), noted=notes_of(named))
+
+
+def ready(v):
+    """Readiness of timelines whose claims all span the whole."""
+    whole = claims(v).withColumns({"s": F.lit(0.0), "e": F.col("duration")})
+    return evidence.readiness(evidence.coverage_status(whole, v("v_videos")))
+
 
+@book.add(f"WITH {TOLD} SELECT * FROM ap")
+def entity_appearances(v):
+    return knowledge.appearances(told(v))
 
-def entities(v):
-    part = v("part").withColumnRenamed("p_name", "label")
-    return knowledge.durable(knowledge.entity_index(v("v_label")), part.limit(0), part.filter("p_partkey % 7 = 0"))
 
+@book.add(f"WITH {TOLD} SELECT * FROM qt")
+def quote_rows(v):
+    return summary.quote_rows(told(v))
 
-@book.add(f"WITH {ENTITIES} SELECT label, 'note' AS task FROM du WHERE durable AND label NOT IN (SELECT p_name FROM part WHERE p_partkey % 11 = 0) UNION ALL SELECT label, 'relation' FROM du WHERE rows >= 3 AND NOT related")
+
+@book.add(f"WITH {TOLD} SELECT * FROM rr")
+def relation_rows(v):
+    return summary.relation_rows(triples_of(told(v)))
+
+
+@book.add(f"WITH {TOLD} SELECT * FROM du")
+def durable_entities(v):
+    rows = told(v)
+    return entities(rows, saved(knowledge.appearances(rows), "named"))
+
+
+@book.add(f"""WITH {TOLD} SELECT label, 'note' AS task FROM du WHERE durable AND NOT noted UNION ALL SELECT label, 'relation' FROM du WHERE rows >= 3 AND NOT related
+UNION ALL SELECT cast(ws AS varchar), 'narrative' FROM rd WHERE advice = 'converged' AND ws NOT IN (SELECT ws FROM v_seg)""")
 def improvement_queue(v):
-    return summary.improvement_queue(entities(v), v("part").filter("p_partkey % 11 = 0").select(F.col("p_name").alias("label")).distinct())
+    """Conversations stand for the narratives of the timelines of their number."""
+    rows = told(v)
+    named = saved(knowledge.appearances(rows), "named")
+    return summary.improvement_queue(entities(rows, named), notes_of(named), ready(v), v("v_seg").select("ws"))
+
+
+@book.add(f"""WITH RECURSIVE {LEADERS}, {TOLD} SELECT (SELECT count(*) FROM du) AS entities, (SELECT count(*) FROM du WHERE durable) AS durable, (SELECT count(*) FROM du WHERE NOT durable) AS candidates, (SELECT count(*) FROM rl) AS relations,
+  (SELECT count(*) FROM (SELECT leader FROM gr WHERE i > 0 GROUP BY leader HAVING count(*) > 1)) AS alias_groups, (SELECT count(*) FROM qt) AS quotes, (SELECT count(*) FROM nt) AS notes_filled, (SELECT sum(length(html)) FROM pages) AS index_bytes, (SELECT sum(length(html)) FROM pages) > 10240 AS over_limit""", long="index_bytes")
+def layer_metrics(v):
+    """Pages stand for the index, part names for the labels whose spellings are compared."""
+    rows = told(v)
+    named = saved(knowledge.appearances(rows), "named")
+    labels = names(v)
+    groups = knowledge.alias_leaders(labels, saved(knowledge.alias_pairs(labels), "pairs"), folder(labels.sparkSession))
+    return summary.layer_metrics(entities(rows, named), triples_of(rows), groups, summary.quote_rows(rows), notes_of(named), v("pages").select(F.length("html").alias("size")))
+
+
+@book.add(f"""WITH {TOLD} SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims, count(*) FILTER (advice = 'converged') AS converged FROM v_videos JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) USING (ws) LEFT JOIN rd USING (ws) GROUP BY ROLLUP (grp)""", long="claims")
+def group_index(v):
+    n = v("v_cp_log").groupBy("ws").agg(F.count("*").alias("claims"))
+    return knowledge.group_index(v("v_videos").join(n, "ws").join(ready(v).select("ws", "advice"), "ws", "left"))
 
 
 @book.add(f"WITH {REPLAY}, {HITS}, g AS (SELECT *, lag(e) OVER w AS b, lag(role) OVER w AS sp FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY s, pos)) SELECT ws, s AS t, 'weak_claim' AS why FROM latest WHERE confidence < 0.7 UNION ALL SELECT ws, s, 'weak_segment' FROM g WHERE conf < 0.6 UNION ALL SELECT ws, b, 'silence' FROM g WHERE s - b >= 5 UNION ALL SELECT ws, s, 'speaker_change' FROM g WHERE sp <> role UNION ALL SELECT ws, t, 'burst' FROM v_hits WHERE conf >= 0.9 UNION ALL SELECT ws, t, 'scene_change' FROM hits")
@@ -153,7 +235,7 @@ def unknown_claims(v):
 
 @book.add("""WITH n AS (SELECT s.ws, sum(e - s) AS spoken, count(*) AS segments, count(DISTINCT trim(text)) / count(*) AS uniq, avg(CASE WHEN contains(text, 'the') OR contains(text, 'ing') THEN 1e0 ELSE 0e0 END) AS hit FROM v_seg s GROUP BY ws), t AS (SELECT ws, sum(e - s) AS speech FROM v_turns GROUP BY ws)
 SELECT n.ws, round(spoken / speech, 3) AS coverage, speech >= 60 AND spoken / speech < 0.5 AS collapsed, segments >= 5 AND hit >= 0.5 AND uniq <= 0.3 AS contaminated FROM n JOIN t USING (ws)""")
-def transcript_qc(v):
+def transcript_state(v):
     """Coverage, collapse and contamination of each transcript."""
     seg = v("v_seg")
     a = transcript.transcript_coverage(seg, v("v_turns")).select("ws", "coverage", "collapsed")

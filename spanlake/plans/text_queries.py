@@ -223,16 +223,16 @@ def graph_top_entities(v):
     return knowledge.top_entities(knowledge.entity_index(v("v_label")), v("v_label"))
 
 
-@book.add("SELECT subj, pred, obj, (SELECT count(*) FROM v_edge) AS total FROM v_edge ORDER BY subj, pred, obj LIMIT 60")
-def relation_graph(v):
-    return knowledge.relation_graph(v("v_edge"))
+@book.add(f"WITH {INDEX} SELECT least(count(*), 400) AS kept, greatest(count(*) - 400, 0) AS dropped FROM ix", long="kept dropped")
+def graph_counts(v):
+    return knowledge.graph_counts(knowledge.entity_index(v("v_label")))
 
 
-@book.add(f"""WITH {INDEX}, qd AS (SELECT DISTINCT p_name AS label FROM part WHERE p_partkey % 5 = 0), rl AS (SELECT DISTINCT p_name AS label FROM part WHERE p_partkey % 7 = 0)
-SELECT ix.*, qd.label IS NOT NULL AS quoted, rl.label IS NOT NULL AS related, rows >= 90 OR qd.label IS NOT NULL OR rl.label IS NOT NULL AS durable FROM ix LEFT JOIN qd USING (label) LEFT JOIN rl USING (label)""")
-def durable_entities(v):
-    part = v("part").withColumnRenamed("p_name", "label")
-    return knowledge.durable(knowledge.entity_index(v("v_label")), part.filter("p_partkey % 5 = 0"), part.filter("p_partkey % 7 = 0"), 90)
+@book.add("""WITH sh AS (SELECT *, row_number() OVER (ORDER BY subj, pred, obj) AS r FROM v_edge ORDER BY subj, pred, obj LIMIT 60),
+en AS (SELECT name, min(p) AS p FROM (SELECT subj AS name, r * 2 AS p FROM sh UNION ALL SELECT obj, r * 2 + 1 FROM sh) GROUP BY name), id AS (SELECT name, concat('n', row_number() OVER (ORDER BY p) - 1) AS node FROM en)
+SELECT subj, pred, obj, (SELECT count(*) FROM v_edge) AS total, (SELECT node FROM id WHERE name = subj) AS subj_node, (SELECT node FROM id WHERE name = obj) AS obj_node FROM sh""")
+def relation_graph(v):
+    return knowledge.relation_graph(v("v_edge"))
 
 
 def names(v) -> DataFrame:
@@ -247,11 +247,17 @@ def alias_pairs(v):
     return knowledge.alias_pairs(names(v))
 
 
-@book.add()
+#: Leaders: labels in order, each with those before it that it is alike to.
+LEADERS = f"""{TOKENS}, pr AS MATERIALIZED (SELECT a.label AS a, b.label AS b FROM tk a JOIN tk b ON a.label < b.label WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.5),
+st AS MATERIALIZED (SELECT label, row_number() OVER (ORDER BY label) AS i, coalesce(n, []) AS near FROM tk LEFT JOIN (SELECT b, list(a ORDER BY a) AS n FROM pr GROUP BY b) ON b = label),
+gr AS (SELECT cast(0 AS bigint) AS i, cast('' AS varchar) AS label, cast('' AS varchar) AS leader, cast([] AS varchar[]) AS leaders UNION ALL
+  SELECT i, label, coalesce(x, label), CASE WHEN x IS NULL THEN list_append(leaders, label) ELSE leaders END FROM (SELECT st.i, st.label, gr.leaders, list_filter(st.near, lambda y: list_contains(gr.leaders, y))[1] AS x FROM gr JOIN st ON st.i = gr.i + 1))"""
+
+
+@book.add(f"WITH RECURSIVE {LEADERS} SELECT label, leader FROM gr WHERE i > 0")
 def alias_groups(v):
     labels = names(v)
-    pairs = saved(knowledge.alias_pairs(labels), "pairs")
-    return knowledge.alias_leaders(labels, pairs, knowledge.components(pairs, folder(labels.sparkSession)))
+    return knowledge.alias_leaders(labels, saved(knowledge.alias_pairs(labels), "pairs"), folder(labels.sparkSession))
 
 
 #: Pages link to pages after them, as far on as their targets are long; the last ones link to pages that are not there.
@@ -317,9 +323,3 @@ def unique_slugs(v):
     """Labels that differ by marks, and some that end with numbers as slugs do."""
     end = F.element_at(F.array(*map(F.lit, ("", "!", " 2", " 2 3", "?"))), F.col("p_size") % 5 + 1)
     return knowledge.unique_slugs(v("part").select(F.concat(F.split("p_name", " ")[0], end).alias("label")).distinct(), tx.slug(F.col("label")))
-
-
-@book.add("SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims FROM (SELECT v.ws, v.grp, v.duration, c.claims FROM v_videos v JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) c ON c.ws = v.ws) GROUP BY ROLLUP (grp)", long="claims")
-def group_index(v):
-    n = v("v_cp_log").groupBy("ws").agg(F.count("*").alias("claims"))
-    return knowledge.group_index(v("v_videos").join(n, "ws"))

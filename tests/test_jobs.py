@@ -277,14 +277,13 @@ def test_alias_leaders_equal_a_greedy_pass(spark, tmp_path):
     names = sorted({" ".join(rng.sample(["red", "blue", "cold", "old", "big", "bolt", "rod", "gear"], rng.randint(1, 4))) for _ in range(60)})
     labels = spark.createDataFrame([(n,) for n in names], "label string")
     pairs = knowledge.alias_pairs(labels)
-    roots = knowledge.components(pairs, f"file://{tmp_path}")
     alike = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) >= 0.5
     want, leaders = {}, []
     for n in names:
         want[n] = next((x for x in leaders if alike(n, x)), n)
         if want[n] == n:
             leaders.append(n)
-    assert {r["label"]: r["leader"] for r in knowledge.alias_leaders(labels, pairs, roots).collect()} == want
+    assert {r["label"]: r["leader"] for r in knowledge.alias_leaders(labels, pairs, f"file://{tmp_path}").collect()} == want
 
 
 def test_windows_are_narrowed_to_the_member_that_says_it(spark):
