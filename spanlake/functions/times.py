@@ -30,8 +30,8 @@ def srt_ts(t: Column) -> Column:
 
 
 def fmt_ts_compact(t: Column) -> Column:
-    """fmt_ts without hours where they are 0."""
-    return F.regexp_replace(fmt_ts(t), "^00:", "")
+    """fmt_ts without hours where they are 0, and without a zero ahead of them."""
+    return F.regexp_replace(fmt_ts(t), "^(00:|0(?=[1-9]:))", "")
 
 
 def frame_rate(text: Column) -> Column:
@@ -51,16 +51,26 @@ def frame_rate(text: Column) -> Column:
     return out.when(x.isNotNull(), pair(F.round(x), F.lit(1)))
 
 
+def frames(t: Column, num: Column, den: Column) -> Column:
+    """Frames in t seconds at num/den a second; halves go to the even number."""
+    return F.bround(t * num / den).cast("long")
+
+
+def nominal_rate(num: int, den: int) -> tuple[int, int]:
+    """The rate that clocks and markers count in: num/den where den is 1 or 1001, else the nearest whole number."""
+    return (num, den) if den in (1, 1001) else (max(1, round(num / den)), 1)
+
+
 def frame_clock(t: Column, num: Column, den: Column) -> Column:
     """Non-drop clock HH:MM:SS:FF of t seconds at num/den frames a second, counted in the nominal rate."""
-    frames, base = F.round(t * num / den).cast("long"), F.round(num / den).cast("long")
-    seconds = F.floor(frames / base)
-    return F.format_string("%02d:%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60, frames % base)
+    n, base = frames(t, num, den), F.bround(num / den).cast("long")
+    seconds = F.floor(n / base)
+    return F.format_string("%02d:%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60, n % base)
 
 
 def rational_time(t: Column, num: Column, den: Column) -> Column:
     """Frame-aligned time as 'frames*den/nums'."""
-    return F.concat((F.round(t * num / den).cast("long") * den).cast("string"), F.lit("/"), num.cast("string"), F.lit("s"))
+    return F.concat((frames(t, num, den) * den).cast("string"), F.lit("/"), num.cast("string"), F.lit("s"))
 
 
 def human_bytes(n: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import frame_clock, srt_ts
+from ..functions.times import frame_clock, nominal_rate, srt_ts
 from .spans import band_join, merge_spans, overlap_join, overlaps, subtract
 
 SEQ = ["ws", "seq_id"]
@@ -105,22 +105,16 @@ def pin_states(refs: DataFrame, pins: DataFrame, current: DataFrame) -> DataFram
     return both.select(*SEQ, "cp_id", state.alias("state")).filter("state IS NOT NULL")
 
 
-def cut_selection(cuts: DataFrame, states: DataFrame) -> DataFrame:
-    """Cuts as rows to export: row_id 'seq-001-01', note (note, else role, else intent), and the state of the claim (ws, cp_id, status, confidence)."""
-    note = F.coalesce(F.nullif("note", F.lit("")), F.nullif("role", F.lit("")), F.col("intent"))
-    rows = cuts.join(states.select("ws", "cp_id", "status", "confidence"), ["ws", "cp_id"], "left")
-    return rows.select(*CUT, F.format_string("%s-%02d", "seq_id", "ord").alias("row_id"), "s", "e", note.alias("note"), "cp_id", "status", "confidence")
-
-
 def edl_events(cuts: DataFrame, num: int, den: int, most: int = 999) -> DataFrame:
-    """(ws, seq_id, event, src_in, src_out, rec_in, rec_out): clocks of each cut in the source and in the assembly; sequences of over `most` events are in `edl_rejects`."""
+    """(ws, seq_id, event, src_in, src_out, rec_in, rec_out): clocks of each cut in the source and in the assembly (running sum of seconds), in the nominal rate; sequences of over `most` events are in `edl_rejects`."""
     w = Window.partitionBy(*SEQ).orderBy("ord")
-    frames = lambda t: F.round(t * num / den).cast("long")
-    rows = cuts.withColumn("n", frames(F.col("e")) - frames(F.col("s"))).withColumn("event", F.row_number().over(w).cast("long"))
-    end = rows.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("of", F.count("*").over(Window.partitionBy(*SEQ))).filter(F.col("of") <= most)
-    clock = lambda t: frame_clock(t, F.lit(num), F.lit(den))
-    second = lambda f: f * den / num
-    return end.select(*SEQ, "event", clock(F.col("s")).alias("src_in"), clock(F.col("e")).alias("src_out"), clock(second(F.col("end") - F.col("n"))).alias("rec_in"), clock(second(F.col("end"))).alias("rec_out"))
+    length = F.col("e") - F.col("s")
+    end = cuts.withColumn("event", F.row_number().over(w).cast("long")).withColumn("end", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = end.withColumn("start", start).withColumn("of", F.count("*").over(Window.partitionBy(*SEQ))).filter(F.col("of") <= most)
+    rate = nominal_rate(num, den)
+    clock = lambda t: frame_clock(F.col(t), *map(F.lit, rate))
+    return placed.select(*SEQ, "event", clock("s").alias("src_in"), clock("e").alias("src_out"), clock("start").alias("rec_in"), clock("end").alias("rec_out"))
 
 
 def edl_rejects(cuts: DataFrame, most: int = 999) -> DataFrame:

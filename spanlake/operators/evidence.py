@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import TERMINAL
@@ -44,12 +44,23 @@ def visual_evidence(claims: DataFrame, refs: DataFrame, images: DataFrame) -> Da
     return claims.select("ws", "cp_id", "s", "e").join(refs, ["ws", "cp_id"]).join(images, ["ws", "path"], "left").select("ws", "cp_id", "path", visual_issue().alias("issue"))
 
 
+def modality(visual: Column, transcript: Column) -> Column:
+    """The level of support by which kinds of evidence there are."""
+    return F.when(visual & transcript, "cross_modal").when(visual, "visual_only").when(transcript, "transcript_only").otherwise("unsupported")
+
+
+def declared_levels(claims: DataFrame, transcript_refs: DataFrame, visual_refs: DataFrame) -> DataFrame:
+    """(ws, cp_id, declared): the level that a claim's references (ws, cp_id) claim, whether they hold or not."""
+    has = lambda df, name: df.select("ws", "cp_id").distinct().withColumn(name, F.lit(True))
+    both = claims.select("ws", "cp_id").join(has(transcript_refs, "t"), ["ws", "cp_id"], "left").join(has(visual_refs, "v"), ["ws", "cp_id"], "left").fillna(False, ["t", "v"])
+    return both.select("ws", "cp_id", modality(F.col("v"), F.col("t")).alias("declared"))
+
+
 def support_levels(claims: DataFrame, transcript: DataFrame, visual: DataFrame) -> DataFrame:
     """claims with transcript_support, visual_support and level."""
     seen = visual.groupBy("ws", "cp_id").agg(F.bool_or(F.col("issue").isNull()).alias("visual_support"))
     both = claims.join(transcript, ["ws", "cp_id"], "left").join(seen, ["ws", "cp_id"], "left").fillna(False, ["transcript_support", "visual_support"])
-    t, v = F.col("transcript_support"), F.col("visual_support")
-    return both.withColumn("level", F.when(t & v, "cross_modal").when(v, "visual_only").when(t, "transcript_only").otherwise("unsupported"))
+    return both.withColumn("level", modality(F.col("visual_support"), F.col("transcript_support")))
 
 
 def covered(spans: DataFrame, videos: DataFrame, name: str) -> DataFrame:
@@ -99,12 +110,19 @@ def readiness(status: DataFrame, support: DataFrame | None = None) -> DataFrame:
 
 
 def verification_issues(levels: DataFrame, visual: DataFrame) -> DataFrame:
-    """(ws, cp_id, code, artifact): settled claims without support, visual faults, corrections without a note."""
+    """(ws, cp_id, code, artifact): settled claims without support, visual faults, corrections without a note.
+
+    Where levels have a column legacy (the claim has evidence in free form),
+    claims that have that alone are legacy_unstructured too.
+    """
     settled = levels.filter(F.col("status").isin(*TERMINAL))
     missing = settled.filter("level = 'unsupported'").select("ws", "cp_id", F.lit("missing_support").alias("code"), F.lit(None).cast("string").alias("artifact"))
     faults = visual.filter("issue IS NOT NULL").join(settled.select("ws", "cp_id"), ["ws", "cp_id"]).select("ws", "cp_id", F.concat(F.lit("visual_"), "issue").alias("code"), F.col("path").alias("artifact"))
     notes = settled.filter("status = 'corrected' AND (note IS NULL OR trim(note) = '')").select("ws", "cp_id", F.lit("correction_note_missing").alias("code"), F.lit(None).cast("string").alias("artifact"))
-    return missing.unionByName(faults).unionByName(notes)
+    out = missing.unionByName(faults).unionByName(notes)
+    if "legacy" not in levels.columns:
+        return out
+    return out.unionByName(settled.filter("legacy AND level = 'unsupported'").select("ws", "cp_id", F.lit("legacy_unstructured").alias("code"), F.lit(None).cast("string").alias("artifact")))
 
 
 def corpus_totals(issues: DataFrame) -> DataFrame:
@@ -117,3 +135,18 @@ def corpus_counts(ready: DataFrame, levels: DataFrame) -> DataFrame:
     advice = ready.groupBy("advice").agg(F.count("*").alias("n")).select(F.lit("advice").alias("kind"), F.col("advice").alias("name"), "n")
     level = levels.filter(F.col("status").isin(*TERMINAL)).groupBy("level").agg(F.count("*").alias("n")).select(F.lit("level").alias("kind"), F.col("level").alias("name"), "n")
     return advice.unionByName(level)
+
+
+def details(rows: DataFrame, keys: list[str], order: list[str], cap: int = 20) -> DataFrame:
+    """The first `cap` rows of each group with place, and total, the number of all of its rows: a list to read, whose total is not cut."""
+    group = Window.partitionBy(*keys)
+    numbered = rows.withColumn("place", F.row_number().over(group.orderBy(*order)).cast("long"))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+    return numbered.filter(F.col("place") <= cap).join(totals, keys)
+
+
+def corpus_rows(ready: DataFrame, issues: DataFrame) -> DataFrame:
+    """(ws, advice, verified_ratio, supported_ratio, settled, supported, issues): a row per video of `readiness` by support; issues is 'code:n' in order of the codes."""
+    n = issues.groupBy("ws", "code").agg(F.count("*").alias("n"))
+    told = n.groupBy("ws").agg(F.array_join(F.array_sort(F.collect_list(F.concat("code", F.lit(":"), F.col("n").cast("string")))), ",").alias("issues"))
+    return ready.select("ws", "advice", "verified_ratio", "supported_ratio", "settled", "supported").join(told, "ws", "left").fillna("", ["issues"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import alias_list
+from ..functions.times import fmt_ts_compact
 from .transcript import windows
 
 
@@ -75,16 +77,49 @@ def blank_frames(candidates: DataFrame, least: float = 16.0) -> DataFrame:
 
 
 def scene_log(claims: DataFrame, levels: DataFrame, evidence_rows: DataFrame) -> DataFrame:
-    """(ws, cp_id, s, e, status, level, confidence, evidence): claims with their level and number of evidence rows (ws, cp_id)."""
+    """(ws, cp_id, s, e, arc, status, level, text, speakers, confidence, evidence): claims with their level and number of evidence rows (ws, cp_id).
+
+    text is the hypothesis, which says more than the situation's tag, and the
+    situation where there is none; speakers are joined, '-' without any.
+    """
     n = evidence_rows.groupBy("ws", "cp_id").agg(F.count("*").alias("evidence"))
-    return claims.select("ws", "cp_id", "s", "e", "status", "confidence").join(levels.select("ws", "cp_id", "level"), ["ws", "cp_id"], "left").join(n, ["ws", "cp_id"], "left").fillna(0, ["evidence"])
+    text = F.coalesce(F.nullif(F.trim("hypothesis"), F.lit("")), "situation")
+    who = F.array_join(F.filter("speakers", lambda x: F.trim(x) != ""), ", ")
+    rows = claims.select("ws", "cp_id", "s", "e", F.nullif("arc", F.lit("")).alias("arc"), "status", text.alias("text"), F.coalesce(F.nullif(who, F.lit("")), F.lit("-")).alias("speakers"), "confidence")
+    return rows.join(levels.select("ws", "cp_id", "level"), ["ws", "cp_id"], "left").join(n, ["ws", "cp_id"], "left").fillna(0, ["evidence"])
+
 
+def edits_log(sequences: DataFrame, pin_states: DataFrame) -> DataFrame:
+    """(ws, seq_id, intent, status, brief, cuts, length, rejected, drifted) of sequences (ws, seq_id, intent, status, brief: map, cuts: array<struct<s, e>>, alternatives: array<struct<s, e, reason>>).
 
-def edits_log(cuts: DataFrame, pin_states: DataFrame) -> DataFrame:
-    """(ws, seq_id, cuts, length, drifted): sequences with what their pins say."""
-    drift = pin_states.filter("state = 'drifted'").groupBy("ws", "seq_id").agg(F.count("*").alias("drifted"))
-    n = cuts.groupBy("ws", "seq_id").agg(F.count("*").alias("cuts"), F.sum(F.col("e") - F.col("s")).alias("length"))
-    return n.join(drift, ["ws", "seq_id"], "left").fillna(0, ["drifted"])
+    brief: 'key: value' in order of the keys; rejected: 'start-end reason' of
+    each alternative, in order; drifted: claims whose pins are not current
+    (`edits.pin_states`), joined.
+    """
+    drift = pin_states.filter("state = 'drifted'").groupBy("ws", "seq_id").agg(F.array_join(F.array_sort(F.collect_set("cp_id")), ", ").alias("drifted"))
+    line = lambda text: F.regexp_replace(text, r"\s*\n\s*", " ")
+    brief = F.array_join(F.transform(F.array_sort(F.map_entries("brief")), lambda x: F.concat(x["key"], F.lit(": "), line(x["value"]))), " · ")
+    span = lambda a: F.when(a["s"].isNull() | a["e"].isNull(), "-").otherwise(F.concat(fmt_ts_compact(a["s"]), F.lit("-"), fmt_ts_compact(a["e"])))
+    rejected = F.transform("alternatives", lambda a: F.concat(span(a), F.lit(" "), F.coalesce(line(a["reason"]), F.lit(""))))
+    length = F.aggregate("cuts", F.lit(0.0), lambda acc, c: acc + c["e"] - c["s"])
+    rows = sequences.select("ws", "seq_id", "intent", "status", F.coalesce(brief, F.lit("")).alias("brief"), F.size("cuts").cast("long").alias("cuts"), length.alias("length"), F.coalesce(F.array_join(rejected, "; "), F.lit("")).alias("rejected"))
+    return rows.join(drift, ["ws", "seq_id"], "left").fillna("", ["drifted"])
+
+
+def routing_stubs(summaries: DataFrame, index_name: str = "index") -> DataFrame:
+    """(ws, name, aliases, head, line, reason): a stub for each timeline that leads to it and holds no content, from (ws: its path, title, labels, head, mode, advice, claims, duration).
+
+    name: the parts of the path joined by '-', with '-ws' where that is the
+    index's own; reason 'collision' where two paths give one name (none of
+    them may be published), else null. aliases is a JSON list of the title and
+    labels, trimmed, each once. Publishing is `storage.reconcile`.
+    """
+    joined = F.array_join(F.split("ws", "/"), "-")
+    named = summaries.withColumn("name", F.when(joined == index_name, F.concat(joined, F.lit("-ws"))).otherwise(joined))
+    alone = F.count("*").over(Window.partitionBy("name"))
+    head = F.coalesce(F.nullif(F.trim("head"), F.lit("")), F.lit("—"))
+    line = F.concat_ws(" · ", "mode", fmt_ts_compact(F.coalesce("duration", F.lit(0.0))), F.concat(F.lit("readiness "), "advice"), F.concat(F.lit("claims "), F.col("claims").cast("string")))
+    return named.select("ws", "name", F.to_json(alias_list(F.col("title"), F.col("labels"))).alias("aliases"), head.alias("head"), line.alias("line"), F.when(alone > 1, "collision").alias("reason"))
 
 
 def name_collisions(names: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tag_format
+from .ledger import TERMINAL
 from .transcript import uncertain
 
 
@@ -38,6 +40,32 @@ def brief(facts: DataFrame, readiness: DataFrame) -> DataFrame:
     return facts.withColumn("mode", content_mode()).join(readiness.drop("duration"), "ws", "left")
 
 
+def video_summary(facts: DataFrame, ready: DataFrame, levels: DataFrame, narratives: DataFrame, length: int = 80) -> DataFrame:
+    """(ws, mode, advice, claims, head, labels, tags, speech_ratio, scenes, highlights) per video.
+
+    facts as `video_facts`; ready: (ws, advice, claims); levels: claims (ws,
+    first_line, status, level, situation, hypothesis, speakers, entities, tags);
+    narratives: (ws, text). head: the first line of the narrative that is not
+    blank or in parentheses, else what the first settled and supported claim
+    says, else 'to be verified' with claims and '—' without. labels and tags of
+    such claims, sorted, each once: lists of one video.
+    """
+    promoted = levels.filter(F.col("status").isin(*TERMINAL) & (F.col("level") != "unsupported"))
+    trimmed = lambda x: F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda y: F.trim(y)), lambda y: y != "")
+    said = promoted.groupBy("ws").agg(F.min_by(F.coalesce(F.nullif("situation", F.lit("")), "hypothesis"), "first_line").alias("said"))
+    names = promoted.select("ws", F.explode(trimmed(F.concat(F.coalesce("speakers", F.array().cast("array<string>")), F.coalesce("entities", F.array().cast("array<string>"))))).alias("x"))
+    labels = names.groupBy("ws").agg(F.array_sort(F.collect_set("x")).alias("labels"))
+    tags = promoted.select("ws", F.explode(trimmed(F.col("tags"))).alias("x")).groupBy("ws").agg(F.array_sort(F.collect_set(tag_format(F.col("x")))).alias("tags"))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("(")))
+    told = narratives.select("ws", F.get(lines, F.lit(0)).alias("line")).groupBy("ws").agg(F.min("line").alias("line"))
+    out = facts.withColumn("mode", content_mode()).join(ready.select("ws", "advice", "claims"), "ws", "left").fillna(0, ["claims"])
+    for part in (said, labels, tags, told):
+        out = out.join(part, "ws", "left")
+    head = F.coalesce("line", "said", F.when(F.col("claims") > 0, "to be verified"), F.lit("—"))
+    none = F.array().cast("array<string>")
+    return out.select("ws", "mode", "advice", "claims", F.substring(head, 1, length).alias("head"), F.coalesce("labels", none).alias("labels"), F.coalesce("tags", none).alias("tags"), "speech_ratio", "scenes", "highlights")
+
+
 def tag_index(tags: DataFrame, modes: DataFrame) -> DataFrame:
     """(mode, tag, hits) of tags (ws, tag) and modes (ws, mode)."""
     return tags.join(modes.select("ws", "mode"), "ws").groupBy("mode", "tag").agg(F.count("*").alias("hits"))

@@ -93,19 +93,13 @@ def pin_check(v):
     return edits.pin_states(cited, pinned.select("ws", "seq_id", "cp_id", old.alias("revision")), now)
 
 
-@book.add(f"""WITH {REPLAY} SELECT c.ws, c.seq_id, c.ord, concat(c.seq_id, '-', lpad(cast(c.ord AS varchar), 2, '0')) AS row_id, c.s, c.e, CASE c.ord % 3 WHEN 0 THEN 'a note' WHEN 1 THEN 'opening' ELSE 'an intent' END AS note, c.cp_id, l.status, l.confidence
-FROM v_cuts c LEFT JOIN latest l ON l.ws = c.ws AND l.cp_id = c.cp_id""")
-def cut_selection(v):
-    cuts = v("v_cuts").withColumns({"note": F.when(F.col("ord") % 3 == 0, "a note").otherwise(""), "role": F.when(F.col("ord") % 3 == 1, "opening"), "intent": F.lit("an intent"), "ord": F.col("ord").cast("int")})
-    return edits.cut_selection(cuts, claims(v)).withColumn("ord", F.col("ord").cast("long"))
-
-
 def clock(frames: str) -> str:
     return f"concat_ws(':', lpad(cast({frames} // 30 // 3600 AS varchar), 2, '0'), lpad(cast({frames} // 30 // 60 % 60 AS varchar), 2, '0'), lpad(cast({frames} // 30 % 60 AS varchar), 2, '0'), lpad(cast({frames} % 30 AS varchar), 2, '0'))"
 
 
-@book.add(f"""WITH f AS (SELECT ws, seq_id, ord, cast(round(s * 30000 / 1001) AS bigint) AS a, cast(round(e * 30000 / 1001) AS bigint) AS b FROM v_cuts), r AS (SELECT *, sum(b - a) OVER (PARTITION BY ws, seq_id ORDER BY ord) AS z FROM f)
-SELECT ws, seq_id, row_number() OVER (PARTITION BY ws, seq_id ORDER BY ord) AS event, {clock("a")} AS src_in, {clock("b")} AS src_out, {clock("(z - b + a)")} AS rec_in, {clock("z")} AS rec_out FROM (SELECT * REPLACE (cast(z AS bigint) AS z) FROM r)""")
+@book.add(f"""WITH r AS (SELECT *, sum(e - s) OVER (PARTITION BY ws, seq_id ORDER BY ord) AS z FROM v_cuts),
+f AS (SELECT ws, seq_id, ord, cast(round_even(s * 30000 / 1001, 0) AS bigint) AS a, cast(round_even(e * 30000 / 1001, 0) AS bigint) AS b, cast(round_even((z - e + s) * 30000 / 1001, 0) AS bigint) AS c, cast(round_even(z * 30000 / 1001, 0) AS bigint) AS d FROM r)
+SELECT ws, seq_id, row_number() OVER (PARTITION BY ws, seq_id ORDER BY ord) AS event, {clock("a")} AS src_in, {clock("b")} AS src_out, {clock("c")} AS rec_in, {clock("d")} AS rec_out FROM f""")
 def edl_events(v):
     return edits.edl_events(v("v_cuts"), 30000, 1001)
 

@@ -12,6 +12,7 @@ from .base import Book
 from .edit_queries import claims, refs
 from .text_queries import names, terms
 from .timeline_queries import LEVELS, REPLAY, grounded
+from .summary_queries import TOLD, told
 
 book = Book()
 
@@ -87,19 +88,45 @@ def blank_frames(v):
     return projections.blank_frames(both).select("ws", "idx")
 
 
-@book.add(f"WITH {REPLAY}, {LEVELS} SELECT l.ws, l.cp_id, l.s, l.e, l.status, l.confidence, lev.level, coalesce(n.n, 0) AS evidence FROM latest l JOIN lev ON lev.ws = l.ws AND lev.cp_id = l.cp_id LEFT JOIN (SELECT ws, cp_id, count(*) AS n FROM vis GROUP BY ALL) n ON n.ws = l.ws AND n.cp_id = l.cp_id")
+@book.add(f"WITH {TOLD}, {LEVELS} SELECT td.ws, td.cp_id, td.s, td.e, arc, td.status, hypothesis AS text, sp AS speakers, confidence, lev.level, coalesce(n.n, 0) AS evidence FROM td JOIN lev ON lev.ws = td.ws AND lev.cp_id = td.cp_id LEFT JOIN (SELECT ws, cp_id, count(*) AS n FROM vis GROUP BY ALL) n ON n.ws = td.ws AND n.cp_id = td.cp_id")
 def scene_log(v):
     levels, visual = grounded(v)
-    return projections.scene_log(claims(v), levels, visual)
+    return projections.scene_log(told(v), levels, visual)
 
 
-@book.add(f"""WITH {REPLAY}, d AS (SELECT c.ws, c.seq_id, count(DISTINCT c.cp_id) AS drifted FROM v_cuts c LEFT JOIN latest l ON l.ws = c.ws AND l.cp_id = c.cp_id WHERE l.cp_id IS NULL GROUP BY ALL)
-SELECT n.*, coalesce(d.drifted, 0) AS drifted FROM (SELECT ws, seq_id, count(*) AS cuts, sum(e - s) AS length FROM v_cuts GROUP BY ALL) n LEFT JOIN d USING (ws, seq_id)""")
+STAMP = "concat(lpad(cast({0} // 60 AS varchar), 2, '0'), ':', lpad(cast({0} % 60 AS varchar), 2, '0'), '.000')"
+
+
+@book.add(f"""WITH {REPLAY}, d AS (SELECT ws, seq_id, string_agg(DISTINCT cp_id, ', ' ORDER BY cp_id) AS drifted FROM v_cuts c WHERE (ws, cp_id) NOT IN (SELECT (ws, cp_id) FROM latest) GROUP BY ALL),
+n AS (SELECT ws, seq_id, count(*) AS cuts, sum(e - s) AS length, string_agg(concat(CASE WHEN ord % 3 = 0 THEN '-' ELSE concat({STAMP.format("cast(s AS bigint)")}, '-', {STAMP.format("cast(e AS bigint)")}) END, ' no ', cp_id), '; ' ORDER BY ord) AS rejected FROM v_cuts GROUP BY ALL)
+SELECT ws, seq_id, 'an intent' AS intent, 'proposed' AS status, concat('goal: two lines · tone: as ', seq_id) AS brief, cuts, length, rejected, coalesce(drifted, '') AS drifted FROM n LEFT JOIN d USING (ws, seq_id)""")
 def edits_log(v):
+    """The cuts of a sequence are its rejected alternatives too, each third without its span."""
     now = claims(v).select("ws", "cp_id", edits.revision_hash("confidence", "cp_id", "e", "s", "status").alias("revision"))
     cited = v("v_cuts").select("ws", "seq_id", "ord", "cp_id")
     pins = cited.select("ws", "seq_id", "cp_id").distinct().join(now, ["ws", "cp_id"], "left").fillna("gone", ["revision"])
-    return projections.edits_log(v("v_cuts"), edits.pin_states(cited, pins, now))
+    each = v("v_cuts").groupBy("ws", "seq_id").agg(F.array_sort(F.collect_list(F.struct("ord", "s", "e", "cp_id"))).alias("cuts"))
+    other = F.transform("cuts", lambda c: F.struct(F.when(c["ord"] % 3 != 0, c["s"]).alias("s"), c["e"].alias("e"), F.concat(F.lit("no\n "), c["cp_id"]).alias("reason")))
+    brief = F.create_map(F.lit("tone"), F.concat(F.lit("as "), "seq_id"), F.lit("goal"), F.lit("two\nlines"))
+    rows = each.withColumns({"intent": F.lit("an intent"), "status": F.lit("proposed"), "brief": brief, "alternatives": other})
+    return projections.edits_log(rows, edits.pin_states(cited, pins, now))
+
+
+@book.add("""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS ws FROM pages UNION ALL SELECT page_id, replace(regexp_replace(url, '^[a-z]+://', ''), '/', CASE WHEN page_id % 5 = 0 THEN '-' ELSE '/x/' END) FROM pages UNION ALL SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 'index' ELSE concat('part/', cast(p_partkey AS varchar)) END FROM part),
+n AS (SELECT *, CASE WHEN ws = 'index' THEN 'index-ws' ELSE replace(ws, '/', '-') END AS name FROM p)
+SELECT ws, name, concat('["page ', cast(page_id AS varchar), '","other"]') AS aliases, CASE WHEN page_id % 3 = 0 THEN '—' ELSE 'a head' END AS head, concat('silent · 01:30.000 · readiness converged · claims ', cast(page_id AS varchar)) AS line, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'collision' END AS reason FROM n""")
+def routing_stubs(v):
+    """Addresses of pages and two other spellings of them as paths, some of which give one name."""
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    pages = v("pages").select("page_id", path.alias("ws"))
+    other = pages.select("page_id", F.replace("ws", F.lit("/"), F.when(F.col("page_id") % 5 == 0, "-").otherwise("/x/")).alias("ws"))
+    parts = v("part").select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_partkey") == 0, "index").otherwise(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))).alias("ws"))
+    title = F.concat(F.lit(" page "), F.col("page_id").cast("string"))
+    rows = pages.unionByName(other).unionByName(parts).select(
+        "ws", title.alias("title"), F.array(F.lit("other "), F.lit(" "), title).alias("labels"), F.when(F.col("page_id") % 3 == 0, " ").otherwise("a head").alias("head"),
+        F.lit("silent").alias("mode"), F.lit("converged").alias("advice"), F.col("page_id").alias("claims"), F.lit(90.0).alias("duration"),
+    )
+    return projections.routing_stubs(rows)
 
 
 @book.add("SELECT lower(split_part(p_name, ' ', -1)) AS name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")

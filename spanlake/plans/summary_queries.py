@@ -8,7 +8,8 @@ from ..operators import evidence, knowledge, sequences, signals, summary, transc
 from ..sources.tables import folder, saved
 from .base import Book
 from .text_queries import LEADERS, names
-from .timeline_queries import COVERAGE, HITS, REPLAY, claims
+from .timeline_queries import COVERAGE, HITS, REPLAY, SUPPORT, claims, grounded
+from .timeline_queries import ready as ready_by_support
 
 book = Book()
 
@@ -53,7 +54,7 @@ def relation_log(v):
 
 
 #: Claims with situation, speakers, entities, quotes and a relation, made of every claim; blanks and nulls among them.
-TOLD = f"""{REPLAY}, td AS (SELECT ws, cp_id, s, e, status, hypothesis, CASE WHEN event_id % 4 <> 0 THEN concat('situation ', cast(event_id AS varchar)) END AS situation, concat('speaker ', cast(event_id % 9 AS varchar)) AS sp,
+ROWS = """td AS (SELECT ws, cp_id, s, e, status, hypothesis, first_line, confidence, CASE WHEN event_id % 3 = 1 THEN 'rise' END AS arc, CASE WHEN event_id % 4 <> 0 THEN concat('situation ', cast(event_id AS varchar)) END AS situation, concat('speaker ', cast(event_id % 9 AS varchar)) AS sp,
   [concat('entity ', cast(event_id % 40 AS varchar)), concat('speaker ', cast(event_id % 7 AS varchar)), CASE WHEN event_id % 6 = 0 THEN ' ' ELSE concat('entity ', cast(event_id AS varchar)) END] AS en, CASE WHEN event_id % 5 <> 0 THEN s END AS t1, e AS t2, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE concat('line ', cast(event_id AS varchar)) END AS x1 FROM latest),
 ap AS (SELECT DISTINCT trim(x) AS label, ws, cp_id, s, e, status, role, left(coalesce(situation, hypothesis), 80) AS situation FROM (SELECT *, sp AS x, 'speaker' AS role FROM td UNION ALL SELECT *, unnest(en), 'entity' FROM td) WHERE trim(x) <> ''),
 qt AS (SELECT ws, row_number() OVER (PARTITION BY ws ORDER BY coalesce(t, 0), cp_id, k) AS place, cp_id, t, speaker, text FROM (SELECT ws, cp_id, 0 AS k, t1 AS t, sp AS speaker, x1 AS text FROM td UNION ALL SELECT ws, cp_id, 1, t2, NULL, concat(hypothesis, '!') FROM td) WHERE trim(text) <> ''),
@@ -62,7 +63,8 @@ rr AS (SELECT DISTINCT label, ws, cp_id, subj, pred, obj FROM (SELECT subj AS la
 nt AS (SELECT DISTINCT label FROM ap WHERE length(label) % 3 = 0),
 ix AS (SELECT label, count(DISTINCT ws) AS videos, count(*) AS rows FROM ap GROUP BY label),
 du AS (SELECT *, rows >= 2 OR quoted OR related OR noted AS durable FROM (SELECT *, label IN (SELECT speaker FROM qt WHERE speaker IS NOT NULL) AS quoted, label IN (SELECT label FROM rr) AS related, label IN (SELECT label FROM nt) AS noted FROM ix)),
-rd AS (SELECT ws, CASE WHEN bool_or(status <> 'hypothesized') THEN 'converged' ELSE 'verify_more' END AS advice FROM latest GROUP BY ws)"""
+wr AS (SELECT ws, CASE WHEN bool_or(status <> 'hypothesized') THEN 'converged' ELSE 'verify_more' END AS advice FROM latest GROUP BY ws)"""
+TOLD = f"{REPLAY}, {ROWS}"
 
 
 def told(v):
@@ -72,7 +74,7 @@ def told(v):
     quote = lambda t, who, text: F.struct(t.alias("t"), who.alias("speaker"), text.alias("text"))
     first = quote(F.when(n % 5 != 0, F.col("s")), speaker, F.when(n % 3 == 0, " ").otherwise(numbered("line ", n)))
     made = claims(v).select(
-        "ws", "cp_id", "s", "e", "status", "hypothesis", F.when(n % 4 != 0, numbered("situation ", n)).alias("situation"), F.array(speaker).alias("speakers"), F.array(numbered("entity ", n % 40), numbered("speaker ", n % 7), last).alias("entities"),
+        "ws", "cp_id", "s", "e", "status", "hypothesis", "first_line", "confidence", F.when(n % 3 == 1, "rise").otherwise("").alias("arc"), F.array("hypothesis").alias("tags"), F.when(n % 4 != 0, numbered("situation ", n)).alias("situation"), F.array(speaker).alias("speakers"), F.array(numbered("entity ", n % 40), numbered("speaker ", n % 7), last).alias("entities"),
         F.array(first, quote(F.col("e"), F.lit(None).cast("string"), F.concat("hypothesis", F.lit("!")))).alias("quotes"), F.when(F.col("status") == "corrected", speaker).alias("subj"),
     )
     return saved(made, "told")
@@ -99,6 +101,20 @@ def ready(v):
     return evidence.readiness(evidence.coverage_status(whole, v("v_videos")))
 
 
+@book.add(SUPPORT + f""", {ROWS}, {FACTS}, pm AS (SELECT td.* FROM td JOIN settled x ON x.ws = td.ws AND x.cp_id = td.cp_id WHERE x.level <> 'unsupported'),
+hd AS (SELECT ws, arg_min(coalesce(situation, hypothesis), first_line) AS said FROM pm GROUP BY ws), lb AS (SELECT ws, string_agg(x, ',' ORDER BY x) AS labels FROM (SELECT DISTINCT ws, trim(x) AS x FROM (SELECT ws, sp AS x FROM pm UNION ALL SELECT ws, unnest(en) FROM pm) WHERE trim(x) <> '') GROUP BY ws),
+tg AS (SELECT ws, string_agg(DISTINCT replace(hypothesis, ' ', '-'), ',' ORDER BY replace(hypothesis, ' ', '-')) AS tags FROM pm GROUP BY ws), nr AS (SELECT ws, min(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x[1] <> '(')[1]) AS line FROM v_seg GROUP BY ws)
+SELECT md.ws, mode, advice, claims, left(coalesce(line, said, CASE WHEN claims > 0 THEN 'to be verified' ELSE '—' END), 80) AS head, coalesce(labels, '') AS labels, coalesce(tags, '') AS tags, speech_ratio, scenes, highlights
+FROM md JOIN rd USING (ws) LEFT JOIN hd USING (ws) LEFT JOIN lb USING (ws) LEFT JOIN tg USING (ws) LEFT JOIN nr USING (ws)""")
+def video_summary(v):
+    """The turns of conversations stand for the narratives of the timelines of their number."""
+    levels = saved(grounded(v)[0].select("ws", "cp_id", "duration", "transcript_support", "visual_support", "level"), "levels")
+    rows = saved(told(v).join(levels, ["ws", "cp_id"]), "rows")
+    narratives = v("v_seg").select("ws", F.concat(F.lit("(to fill in)\n\n "), "text").alias("text"))
+    out = summary.video_summary(facts(v), ready_by_support(v, rows), rows, narratives)
+    return out.withColumns({"labels": F.array_join("labels", ","), "tags": F.array_join("tags", ",")})
+
+
 @book.add(f"WITH {TOLD} SELECT * FROM ap")
 def entity_appearances(v):
     return knowledge.appearances(told(v))
@@ -121,7 +137,7 @@ def durable_entities(v):
 
 
 @book.add(f"""WITH {TOLD} SELECT label, 'note' AS task FROM du WHERE durable AND NOT noted UNION ALL SELECT label, 'relation' FROM du WHERE rows >= 3 AND NOT related
-UNION ALL SELECT cast(ws AS varchar), 'narrative' FROM rd WHERE advice = 'converged' AND ws NOT IN (SELECT ws FROM v_seg)""")
+UNION ALL SELECT cast(ws AS varchar), 'narrative' FROM wr WHERE advice = 'converged' AND ws NOT IN (SELECT ws FROM v_seg)""")
 def improvement_queue(v):
     """Conversations stand for the narratives of the timelines of their number."""
     rows = told(v)
@@ -140,7 +156,7 @@ def layer_metrics(v):
     return summary.layer_metrics(entities(rows, named), triples_of(rows), groups, summary.quote_rows(rows), notes_of(named), v("pages").select(F.length("html").alias("size")))
 
 
-@book.add(f"""WITH {TOLD} SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims, count(*) FILTER (advice = 'converged') AS converged FROM v_videos JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) USING (ws) LEFT JOIN rd USING (ws) GROUP BY ROLLUP (grp)""", long="claims")
+@book.add(f"""WITH {TOLD} SELECT grp, count(*) AS videos, round(sum(duration) / 3600, 4) AS hours, sum(claims) AS claims, count(*) FILTER (advice = 'converged') AS converged FROM v_videos JOIN (SELECT ws, count(*) AS claims FROM v_cp_log GROUP BY ws) USING (ws) LEFT JOIN wr USING (ws) GROUP BY ROLLUP (grp)""", long="claims")
 def group_index(v):
     n = v("v_cp_log").groupBy("ws").agg(F.count("*").alias("claims"))
     return knowledge.group_index(v("v_videos").join(n, "ws").join(ready(v).select("ws", "advice"), "ws", "left"))

@@ -102,12 +102,13 @@ tr AS (SELECT ws, cp_id, bool_and(ok) AS ok FROM (SELECT l.ws, l.cp_id, r.ref, b
 vis AS (SELECT l.ws, l.cp_id, r.path, CASE WHEN i.tracked IS NULL OR NOT i.tracked THEN 'untracked' WHEN NOT i.decodable THEN 'undecodable' WHEN i.kind = 'filmstrip' THEN 'filmstrip' WHEN i.t IS NULL THEN 'time_unavailable' WHEN NOT (l.s <= i.t AND i.t < l.e) THEN 'outside_span' END AS issue
   FROM latest l JOIN imgrefs r USING (ws, cp_id) LEFT JOIN imgs i ON i.ws = r.ws AND i.path = r.path),
 vs AS (SELECT ws, cp_id, bool_or(issue IS NULL) AS ok FROM vis GROUP BY ws, cp_id),
-levels AS (SELECT l.ws, l.cp_id, l.status, coalesce(tr.ok, false) AS transcript_support, coalesce(vs.ok, false) AS visual_support FROM latest l LEFT JOIN tr USING (ws, cp_id) LEFT JOIN vs USING (ws, cp_id)),
+levels AS (SELECT l.ws, l.cp_id, l.status, l.has_ve, coalesce(tr.ok, false) AS transcript_support, coalesce(vs.ok, false) AS visual_support FROM latest l LEFT JOIN tr USING (ws, cp_id) LEFT JOIN vs USING (ws, cp_id)),
 lev AS (SELECT *, CASE WHEN transcript_support AND visual_support THEN 'cross_modal' WHEN visual_support THEN 'visual_only' WHEN transcript_support THEN 'transcript_only' ELSE 'unsupported' END AS level FROM levels),
 settled AS (SELECT * FROM lev WHERE status <> 'hypothesized'),
 issues AS (SELECT ws, cp_id, 'missing_support' AS code, NULL AS artifact FROM settled WHERE level = 'unsupported'
   UNION ALL SELECT vis.ws, vis.cp_id, concat('visual_', issue), path FROM vis JOIN settled s ON s.ws = vis.ws AND s.cp_id = vis.cp_id WHERE issue IS NOT NULL
-  UNION ALL SELECT ws, cp_id, 'correction_note_missing', NULL FROM settled WHERE status = 'corrected')"""
+  UNION ALL SELECT ws, cp_id, 'correction_note_missing', NULL FROM settled WHERE status = 'corrected'
+  UNION ALL SELECT ws, cp_id, 'legacy_unstructured', NULL FROM settled WHERE has_ve = 1 AND level = 'unsupported')"""
 
 
 def grounded(v):
@@ -126,7 +127,7 @@ def grounded(v):
     )
     visual = evidence.visual_evidence(c, refs, images)
     visual = saved(visual, "visual")
-    levels = evidence.support_levels(c.withColumn("note", F.lit(None).cast("string")), evidence.transcript_support(c, one.unionByName(two), segs), visual)
+    levels = evidence.support_levels(c.withColumns({"note": F.lit(None).cast("string"), "legacy": F.col("has_ve") == 1}), evidence.transcript_support(c, one.unionByName(two), segs), visual)
     return levels, visual
 
 
@@ -146,8 +147,8 @@ def verification_audit(v):
 
 
 SUPPORT = COVERAGE + f""", {LEVELS}, {islands_sql("(SELECT l.ws, l.s, l.e FROM settled x JOIN latest l ON l.ws = x.ws AND l.cp_id = x.cp_id WHERE x.level <> 'unsupported')", "spi")},
-sl AS (SELECT ws, sum(e - s) AS n FROM spi GROUP BY ws), sc AS (SELECT ws, count(*) AS settled, count(*) FILTER (level <> 'unsupported') AS supported FROM settled GROUP BY ws),
-su AS (SELECT s.*, coalesce(sc.settled, 0) AS settled, coalesce(sc.supported, 0) AS supported, round(coalesce(sl.n, 0) / duration, 4) AS supported_ratio FROM status s JOIN v_videos v ON v.ws = s.ws LEFT JOIN sc ON sc.ws = s.ws LEFT JOIN sl ON sl.ws = s.ws),
+sl AS (SELECT ws, sum(e - s) AS n FROM spi GROUP BY ws), sn AS (SELECT ws, count(*) AS settled, count(*) FILTER (level <> 'unsupported') AS supported FROM settled GROUP BY ws),
+su AS (SELECT s.*, coalesce(sn.settled, 0) AS settled, coalesce(sn.supported, 0) AS supported, round(coalesce(sl.n, 0) / duration, 4) AS supported_ratio FROM status s JOIN v_videos v ON v.ws = s.ws LEFT JOIN sn ON sn.ws = s.ws LEFT JOIN sl ON sl.ws = s.ws),
 rd AS (SELECT *, round(0.4 * covered_ratio + 0.4 * supported_ratio + 0.2 * least(coalesce(mean_confidence, 0), 1), 3) AS score,
   CASE WHEN gaps > 0 OR covered_ratio < 0.999 THEN 'cover_gaps' WHEN supported_ratio < 0.6 OR supported < settled THEN 'verify_more' ELSE 'converged' END AS advice FROM su)"""
 
@@ -248,3 +249,26 @@ def color_distance(v):
     total = F.aggregate(absolute, F.lit(0.0), lambda a, x: a + x)
     hist = v("embeddings").select(F.col("label").alias("ws"), F.col("vec_id").alias("idx"), absolute.alias("a"), total.alias("n")).select("ws", "idx", F.transform("a", lambda x: x / F.col("n")).alias("hist"))
     return signals.color_distance(hist).withColumn("distance", F.round("distance", 6))
+
+
+@book.add(f"""WITH {REPLAY}, {LEVELS} SELECT l.ws, l.cp_id, lev.level, CASE WHEN l.event_id % 5 <> 0 AND l.event_id % 7 <> 0 THEN 'cross_modal' WHEN l.event_id % 5 <> 0 THEN 'visual_only' WHEN l.event_id % 7 <> 0 THEN 'transcript_only' ELSE 'unsupported' END AS declared
+FROM latest l JOIN lev ON lev.ws = l.ws AND lev.cp_id = l.cp_id""")
+def verification_levels(v):
+    """What claims declare by their references beside what holds."""
+    levels = saved(grounded(v)[0], "levels")
+    has = lambda k: levels.withColumn("cited", F.when(F.col("event_id") % k != 0, True)).filter("cited")
+    return evidence.declared_levels(levels, has(7), has(5)).join(levels.select("ws", "cp_id", "level"), ["ws", "cp_id"])
+
+
+@book.add(f"""WITH {REPLAY}, {LEVELS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY cp_id, code, artifact NULLS FIRST) AS place, count(*) OVER (PARTITION BY ws) AS total FROM issues) WHERE place <= 3""")
+def corpus_details(v):
+    """The first three issues of each video."""
+    return evidence.details(saved(evidence.verification_issues(*grounded(v)), "issues"), ["ws"], ["cp_id", "code", "artifact"], 3)
+
+
+@book.add(SUPPORT + """, im AS (SELECT ws, string_agg(concat(code, ':', cast(n AS varchar)), ',' ORDER BY code) AS issues FROM (SELECT ws, code, count(*) AS n FROM issues GROUP BY ALL) GROUP BY ws)
+SELECT ws, advice, verified_ratio, supported_ratio, settled, supported, coalesce(im.issues, '') AS issues FROM rd LEFT JOIN im USING (ws)""")
+def corpus_rows(v):
+    levels, visual = grounded(v)
+    levels = saved(levels, "levels")
+    return evidence.corpus_rows(ready(v, levels), evidence.verification_issues(levels, visual))

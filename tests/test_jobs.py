@@ -135,7 +135,8 @@ def test_times(spark):
     assert [r[0] for r in rows.select(tm.parse_ts(F.col("t"))).collect()] == [12.5, 83.5, 3723.25, None, None, None]
     one = spark.range(1)
     assert one.select(tm.frame_clock(F.lit(3600.0), F.lit(30000), F.lit(1001))).first()[0] == "00:59:56:12"
-    assert one.select(tm.fmt_ts(F.lit(3723.2506)), tm.fmt_ts_compact(F.lit(83.5)), tm.srt_ts(F.lit(0.0))).first()[:] == ("01:02:03.251", "01:23.500", "00:00:00,000")
+    assert one.select(tm.fmt_ts(F.lit(3723.2506)), tm.fmt_ts_compact(F.lit(83.5)), tm.fmt_ts_compact(F.lit(3723.5)), tm.fmt_ts_compact(F.lit(45296.0)), tm.srt_ts(F.lit(0.0))).first()[:] == ("01:02:03.251", "01:23.500", "1:02:03.500", "12:34:56.000", "00:00:00,000")
+    assert one.select(tm.frames(F.lit(0.5), F.lit(25), F.lit(1)), tm.frames(F.lit(0.7), F.lit(25), F.lit(1))).first()[:] == (12, 18) and (tm.nominal_rate(25, 2), tm.nominal_rate(30000, 1001)) == ((12, 1), (30000, 1001))
     rates = spark.createDataFrame([("30000/1001",), ("50/2",), ("29.97",), ("25",), ("0/0",)], "r string").select(tm.frame_rate(F.col("r")).alias("x")).collect()
     assert [None if r["x"] is None else tuple(r["x"]) for r in rates] == [(30000, 1001), (25, 1), (30000, 1001), (25, 1), None]
     assert one.select(tm.human_bytes(F.lit(512)), tm.human_bytes(F.lit(1536)), tm.file_category(F.lit("clips/a.json")), tm.file_category(F.lit("a/b.PNG"))).first()[:] == ("512 B", "1.5 KB", "clips", "captures")
