@@ -72,7 +72,7 @@ def stream_ledger_latest(v):
     """Ledger lines in three micro-batches, folded into the latest of each claim."""
     log = v("v_cp_log")
     spark = log.sparkSession
-    state = jobs.Table(spark, f"{folder(spark)}/claims-{uuid.uuid4().hex}")
+    state = jobs.Table(spark, f"{folder(spark)}/claims-{uuid.uuid4().hex}", ["ws", "cp_id"])
     jobs.drain_each(in_parts(log, "line_no"), folder(spark), jobs.fold_ledger(state))
     return state.read().select("ws", "cp_id", "line_no", "status", "s", "e", "confidence", "first_line")
 
@@ -81,6 +81,6 @@ def stream_ledger_latest(v):
 def stream_edge_table(v):
     e = v("v_image_events")
     spark = e.sparkSession
-    known = jobs.Table(spark, f"{folder(spark)}/edges-{uuid.uuid4().hex}")
+    known = jobs.Table(spark, f"{folder(spark)}/edges-{uuid.uuid4().hex}", ["ws", "edge_id"])
     jobs.drain_each(in_parts(e, "line_no"), folder(spark), jobs.fold_edges(known))
     return known.read().select("ws", "edge_id", "line_no")

@@ -51,72 +51,97 @@ def new_edges(events: DataFrame) -> DataFrame:
 
 
 #: Columns of the book of a table.
-BOOK = "version long, place string, run string, batch long"
+BOOK = "version long, place string, run string, batch long, whole boolean"
 
 
 class Table:
-    """A table in versions: each write makes a new one, and reads take the last one.
-
-    A version is booked in `path`/book when its write is whole, so a process
-    that starts anew finds the last one, and what a lost write left behind is
-    not read. `run` names the stream (its checkpoint location) that feeds the
-    table: of such a stream, a batch that is delivered again is known.
+    """A table of rows by key, in versions: a write adds the rows of some keys, and reads take the last row of each key.
+
+    A batch so costs its own keys. After `most` such writes the table is
+    written whole, and reads begin there. A version is booked in `path`/book
+    when its write is whole, so a process that starts anew finds the last ones,
+    and what a lost write left behind is not read. `run` names the stream (its
+    checkpoint location) that feeds the table: of such a stream, a batch that
+    is delivered again is known. Places before the last whole one are not read
+    and may be deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, run: str | None = None):
-        self.spark, self.path, self.run = spark, path, run
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], run: str | None = None, most: int = 16):
+        self.spark, self.path, self.keys, self.run, self.most = spark, path, keys, run, most
         spark.createDataFrame([], BOOK).write.mode("append").parquet(f"{path}/book")
         book = spark.read.schema(BOOK).parquet(f"{path}/book")
-        last = book.orderBy(F.desc("version")).first()
-        self.version, self.place = (last["version"], last["place"]) if last else (0, None)
+        start = book.filter("whole").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        held = book.filter(F.col("version") >= start).orderBy("version").select("version", "place").collect()  # at most `most` + 1 rows
+        self.places = [r["place"] for r in held]
+        self.version = held[-1]["version"] if held else 0
         self.batch = book.filter(F.col("run") == run).agg(F.max("batch")).first()[0] if run else None
 
     def has(self, batch: int) -> bool:
         return self.batch is not None and batch <= self.batch
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{self.place}") if self.place else None
-
-    def write(self, df: DataFrame, batch: int) -> None:
+        if not self.places:
+            return None
+        rows = self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.places])
+        if len(self.places) == 1:
+            return rows.drop("_version")
+        names = [c for c in rows.columns if c != "_version"]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "_version").alias("row")).select("row.*")
+
+    def of(self, rows: DataFrame) -> DataFrame | None:
+        """The table's rows of the keys that `rows` have; other rows are left out before any is regrouped."""
+        if not self.places:
+            return None
+        keys = rows.select(*self.keys).distinct()
+        held = self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.places]).join(keys, self.keys, "left_semi")
+        names = [c for c in held.columns if c != "_version"]
+        return held.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "_version").alias("row")).select("row.*")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """Add rows: one of each key, in place of the one that the table has."""
+        self._add(rows, batch, False)
+        if len(self.places) > self.most:
+            self._add(self.read(), batch, True)
+
+    def _add(self, rows: DataFrame, batch: int, whole: bool) -> None:
         version, place = self.version + 1, f"{self.version + 1}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{place}")
-        self.spark.createDataFrame([(version, place, self.run, batch)], BOOK).write.mode("append").parquet(f"{self.path}/book")
-        self.version, self.place, self.batch = version, place, batch if self.run else None
+        rows.withColumn("_version", F.lit(version).cast("long")).write.parquet(f"{self.path}/{place}")
+        self.spark.createDataFrame([(version, place, self.run, batch, whole)], BOOK).write.mode("append").parquet(f"{self.path}/book")
+        self.version, self.batch = version, batch if self.run else None
+        self.places = [place] if whole else [*self.places, place]
 
 
 def fold_ledger(state: Table) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: new ledger lines on top of the latest claims. A claim's last row says whether it is settled, so it stands for its past."""
+    """foreachBatch: new ledger lines on top of the latest claims (keys ws, cp_id). A claim's last row says whether it is settled, so it stands for its past."""
 
     def fold(lines: DataFrame, batch: int) -> None:
         if state.has(batch):
             return
-        held = state.read()
-        if held is not None:
-            firsts = held.select("ws", "cp_id", F.col("first_line").alias("held_first"))
-            now = ledger.latest(held.drop("first_line").unionByName(lines)).join(firsts, ["ws", "cp_id"], "left")
-            state.write(now.withColumn("first_line", F.coalesce("held_first", "first_line")).drop("held_first"), batch)
-        else:
+        held = state.of(lines)
+        if held is None:
             state.write(ledger.latest(lines), batch)
+            return
+        firsts = held.select("ws", "cp_id", F.col("first_line").alias("held_first"))
+        now = ledger.latest(held.drop("first_line").unionByName(lines)).join(firsts, ["ws", "cp_id"], "left")
+        state.write(now.withColumn("first_line", F.coalesce("held_first", "first_line")).drop("held_first"), batch)
 
     return fold
 
 
 def fold_edges(known: Table) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: unseen edges are added to the table of known ones, the first of each."""
+    """foreachBatch: unseen edges are added to the table of known ones (keys ws, edge_id), the first of each."""
 
     def fold(lines: DataFrame, batch: int) -> None:
         if known.has(batch):
             return
-        held = known.read()
-        if held is None:
-            held = lines.limit(0)
-        known.write(held.unionByName(images.new_edges(lines, held)), batch)
+        held = known.of(lines)
+        known.write(images.new_edges(lines, lines.limit(0) if held is None else held), batch)
 
     return fold
 
 
 def fold_changed(files: Table, rebuild: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: `rebuild` gets the timelines whose fingerprint differs from the one before; fingerprints are kept.
+    """foreachBatch: `rebuild` gets the timelines whose fingerprint differs from the one before; fingerprints are kept (key ws).
 
     A batch holds its timelines whole. If the process dies between the two, `rebuild` gets them again.
     """
@@ -125,10 +150,10 @@ def fold_changed(files: Table, rebuild: Callable[[DataFrame], None]) -> Callable
         if files.has(batch):
             return
         marks = storage.fingerprint(rows)
-        held = files.read()
+        held = files.of(marks)
         changed = marks.select("ws") if held is None else storage.changed(marks, held).filter("state <> 'gone'").select("ws")
         rebuild(rows.join(changed, "ws", "left_semi"))
-        files.write(marks if held is None else held.join(marks.select("ws"), "ws", "left_anti").unionByName(marks), batch)
+        files.write(marks.join(changed, "ws", "left_semi"), batch)
 
     return fold
 

@@ -226,7 +226,7 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
 def test_changed_timelines_alone_are_rebuilt(spark, tmp_path):
     files = lambda size: spark.createDataFrame([(w, "p", size if w == 1 else 1, "2020-01-01") for w in (1, 2)], "ws long, path string, size long, mtime string")
     seen = []
-    fold = jobs.fold_changed(jobs.Table(spark, str(tmp_path / "marks")), lambda rows: seen.append(sorted(r["ws"] for r in rows.collect())))
+    fold = jobs.fold_changed(jobs.Table(spark, str(tmp_path / "marks"), ["ws"]), lambda rows: seen.append(sorted(r["ws"] for r in rows.collect())))
     for k, size in enumerate((1, 1, 2)):
         fold(files(size), k)
     assert seen == [[1, 2], [], [1]]
@@ -237,15 +237,29 @@ def test_a_ledger_stream_goes_on_after_a_restart(spark, tmp_path):
     stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for k in (1, 2, 3):  # each time a new process: the table is found by its path alone
         rows.filter(F.col("line_no") == k).write.mode("append").parquet(str(tmp_path / "in"))
-        state = jobs.Table(spark, str(tmp_path / "state"), "claims")
+        state = jobs.Table(spark, str(tmp_path / "state"), ["ws", "cp_id"], "claims")
         jobs.drain_each(stream(), str(tmp_path), jobs.fold_ledger(state), str(tmp_path / "log"))
-    held = jobs.Table(spark, str(tmp_path / "state"), "claims")
-    assert held.version == 3 and held.has(2) and not held.has(3)
+    held = jobs.Table(spark, str(tmp_path / "state"), ["ws", "cp_id"], "claims")
+    assert held.version == 3 and held.has(2) and len(held.places) == 3 and not held.has(3)
     names = sorted(rows.columns)
     assert held.read().select(names).collect() == ledger.latest(rows).select(names).collect()
     jobs.fold_ledger(held)(log(spark, [("corrected", 8.0, 9.0)]), 2)  # delivered again
     assert held.version == 3
-    assert not jobs.Table(spark, str(tmp_path / "state"), "another stream").has(0)
+    assert not jobs.Table(spark, str(tmp_path / "state"), ["ws", "cp_id"], "another stream").has(0)
+
+
+def test_a_table_of_many_writes_holds_the_last_row_of_each_key(spark, tmp_path):
+    rng, want = random.Random(5), {}
+    for batch in range(7):  # written whole after each third
+        table = jobs.Table(spark, str(tmp_path / "t"), ["ws"], "run", most=2)
+        rows = {rng.randint(1, 6): rng.random() for _ in range(3)}
+        held = table.of(spark.createDataFrame([(k,) for k in rows], "ws long"))
+        assert {r["ws"]: r["x"] for r in (held.collect() if held is not None else [])} == {k: x for k, x in want.items() if k in rows}
+        table.write(spark.createDataFrame(list(rows.items()), "ws long, x double"), batch)
+        want |= rows
+        assert {r["ws"]: r["x"] for r in table.read().collect()} == want and len(table.places) <= 3
+    again = jobs.Table(spark, str(tmp_path / "t"), ["ws"], "run", most=2)
+    assert {r["ws"]: r["x"] for r in again.read().collect()} == want and again.has(6) and not again.has(7)
 
 
 def test_segments_are_cut_at_pauses_and_numbered(spark):
