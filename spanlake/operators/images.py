@@ -62,6 +62,13 @@ def preferred_reason(events: DataFrame) -> DataFrame:
     return events.filter("reason IS NOT NULL AND reason <> ''").groupBy("ws", "image_id").agg(F.max_by("reason", "line_no").alias("reason"))
 
 
+def capture_reasons(images: DataFrame) -> DataFrame:
+    """(ws, file, reason): the preferred reason (else '') of images (ws, path, reason) by their path and by its last part; of images that share that, the one of the last path counts."""
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    files = images.filter("path IS NOT NULL").select("ws", "path", F.coalesce("reason", F.lit("")).alias("reason"), F.explode(F.array_distinct(F.array("path", base))).alias("file"))
+    return files.groupBy("ws", "file").agg(F.max_by("reason", "path").alias("reason"))
+
+
 def frame_fields(paths: DataFrame) -> DataFrame:
     """paths (path) with t (seconds, of 't000012500...' in milliseconds), and span_s, span_e, cells of 'strip_s_e_nN...' names."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)

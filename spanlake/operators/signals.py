@@ -34,15 +34,32 @@ def loud_spans(loud: DataFrame, dt: float = 0.5, gap: int = 1, top: int = 5) ->
     return spans.withColumn("place", best).filter(F.col("place") <= top).drop("place")
 
 
-def scene_hits(scores: DataFrame, dt: float, least: float = 0.3, low: float = 0.04, times: float = 3.0, window_s: float = 2.0) -> DataFrame:
-    """Frames (ws, idx, t, score) that are scene changes: score >= least, or >= low and `times` the mean of the previous frames.
+def scene_hits(scores: DataFrame, dt: float | None = None, least: float = 0.3, low: float = 0.04, times: float = 3.0, window_s: float = 2.0, adaptive: bool = True, chunk: int = 8192) -> DataFrame:
+    """Frames (ws, idx, t, score; idx from 0, without gaps) that are scene changes: score >= least, or if adaptive >= low and `times` the mean of the previous frames.
 
-    The mean spans the last `window_s` seconds, at least one frame.
+    The mean spans the last `window_s` seconds: k frames, at least one, by dt,
+    or where that is None by the distance of each video's first two frames
+    (0.04 s where it is 0). Videos are cut into pieces of `chunk` frames, each
+    with the k frames before it, so that a long one is many tasks.
     """
-    k = max(1, round(window_s / dt))
-    before = F.avg("score").over(Window.partitionBy("ws").orderBy("idx").rowsBetween(-k, -1))
+    if not adaptive:
+        return scores.filter(F.col("score") >= least).select("ws", "idx", "t", "score")
+    if dt is None:
+        at = lambda k: F.max(F.when(F.col("idx") == k, F.col("t")))
+        step = F.coalesce(F.nullif(at(1) - at(0), F.lit(0.0)), F.lit(0.04))
+        rates = scores.groupBy("ws").agg(F.greatest(F.bround(window_s / step), F.lit(1)).cast("long").alias("k"))
+        placed = scores.join(rates, "ws")
+    else:
+        placed = scores.withColumn("k", F.lit(max(1, round(window_s / dt))).cast("long"))
+    size = F.greatest(F.lit(chunk), F.col("k"))
+    piece = F.floor(F.col("idx") / size)
+    # the last k frames of a piece are read by the next one too
+    pieces = F.when(F.col("idx") % size >= size - F.col("k"), F.array(piece, piece + 1)).otherwise(F.array(piece))
+    each = placed.withColumn("own", piece).withColumn("piece", F.explode(pieces)).withColumn("u", F.col("idx") / F.col("k"))
+    # k frames are 1 in units of u: a range of one unit, with room for rounding
+    before = F.expr("avg(score) OVER (PARTITION BY ws, piece ORDER BY u RANGE BETWEEN 1.000001D PRECEDING AND 0.000001D PRECEDING)")
     jump = (F.col("score") >= low) & (F.col("score") >= times * F.col("before"))
-    return scores.withColumn("before", before).filter((F.col("score") >= least) | jump).select("ws", "idx", "t", "score")
+    return each.withColumn("before", before).filter((F.col("own") == F.col("piece")) & ((F.col("score") >= least) | jump)).select("ws", "idx", "t", "score")
 
 
 def suppress_scenes(hits: DataFrame, least_gap: float = 1.0) -> DataFrame:

@@ -63,3 +63,12 @@ def range_gate(metrics: DataFrame, bands: DataFrame) -> DataFrame:
     """(name, metric, value, ok): within its band; without a band it fails."""
     both = metrics.join(bands, ["name", "metric"], "left")
     return both.select("name", "metric", "value", F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False)).alias("ok"))
+
+
+def gate(metrics: DataFrame, bands: DataFrame, labels: DataFrame, wanted: DataFrame, walls: DataFrame, ceilings: DataFrame) -> DataFrame:
+    """(name, check, ok): every check of a run: metrics within their bands (`range_gate`), labels (name, key, value) equal to the wanted ones, walls (name, wall) up to their ceilings (name, ceiling). What has nothing to be held against fails."""
+    yes = lambda c: F.coalesce(c, F.lit(False)).alias("ok")
+    ranges = range_gate(metrics, bands).select("name", F.col("metric").alias("check"), "ok")
+    same = labels.join(wanted.withColumnRenamed("value", "want"), ["name", "key"], "left").select("name", F.col("key").alias("check"), yes(F.col("value") == F.col("want")))
+    fast = walls.join(ceilings, "name", "left").select("name", F.lit("wall").alias("check"), yes(F.col("wall") <= F.col("ceiling")))
+    return ranges.unionByName(same).unionByName(fast)

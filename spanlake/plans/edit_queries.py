@@ -270,6 +270,25 @@ def range_gate(v):
     return storage.range_gate(m.withColumn("value", F.col("value") + F.col("name") % 7), storage.golden_bands(m.filter("name % 10 <> 0")))
 
 
+@book.add("""WITH m AS (SELECT user_id AS name, event_type AS metric, count(*) AS value FROM events GROUP BY ALL), g AS (SELECT name, metric, greatest(0, cast(floor(value * 0.8) AS bigint) - 2) AS lo, cast(floor(value * 1.2) AS bigint) + 2 AS hi FROM m),
+l AS (SELECT user_id AS name, max(event_type) AS value, min(event_type) AS want, count(*) AS wall FROM events GROUP BY user_id)
+SELECT m.name, m.metric AS "check", m.value + m.name % 7 BETWEEN lo AND hi AS ok FROM m JOIN g USING (name, metric) UNION ALL SELECT name, 'mode', CASE WHEN name % 4 = 0 THEN false ELSE value = CASE WHEN name % 2 = 0 THEN want ELSE value END END FROM l UNION ALL SELECT name, 'wall', wall <= 40 + name % 5 FROM l""")
+def release_gate(v):
+    """Metrics, a label and the number of events as time; every fourth user has no label to be held against."""
+    e, n = v("events").withColumnRenamed("user_id", "name"), F.col("name")
+    m = e.groupBy("name", F.col("event_type").alias("metric")).agg(F.count("*").alias("value"))
+    one = saved(e.groupBy("name").agg(F.max("event_type").alias("value"), F.min("event_type").alias("least"), F.count("*").alias("wall")), "users")
+    labels = one.select("name", F.lit("mode").alias("key"), "value")
+    wanted = one.select("name", F.lit("mode").alias("key"), F.when(n % 4 == 0, None).when(n % 2 == 0, F.col("least")).otherwise(F.col("value")).alias("value"))
+    return storage.gate(m.withColumn("value", F.col("value") + n % 7), storage.golden_bands(m), labels, wanted, one.select("name", "wall"), one.select("name", (40 + n % 5).alias("ceiling")))
+
+
+@book.add(f"""WITH {IMG}, i AS (SELECT c.ws, best[2] AS path, coalesce(pr.reason, '') AS reason FROM cat c LEFT JOIN pr ON pr.ws = c.ws AND pr.image_id = c.image_id)
+SELECT ws, path AS file, reason FROM i UNION ALL SELECT ws, substr(path, 8), reason FROM i""")
+def capture_reasons(v):
+    return images.capture_reasons(image_catalog_of(v).select("ws", "image_id", "path").join(images.preferred_reason(events(v)), ["ws", "image_id"], "left"))
+
+
 # terms
 
 HARVEST = r"""cor AS (SELECT ws, text AS asr, lead(text) OVER (PARTITION BY ws ORDER BY pos) AS corrected FROM v_seg), st AS (SELECT ws, row_number() OVER () AS id, corrected, list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(corrected, '\s+') if x <> '']) AS a,

@@ -193,6 +193,12 @@ def scene_changes(v):
     return signals.scene_hits(v("v_scene"), 0.25)
 
 
+@book.add("""SELECT ws, idx, t, score FROM (SELECT *, avg(score) OVER (PARTITION BY ws ORDER BY idx ROWS BETWEEN (CASE ws % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 3 END) PRECEDING AND 1 PRECEDING) AS b FROM (SELECT ws, idx, t * (1 + ws % 3) AS t, score FROM v_scene)) WHERE score >= 0.3 OR (score >= 0.04 AND b IS NOT NULL AND score >= 3 * b)""")
+def scene_changes_by_rate(v):
+    """Videos of three frame rates, in pieces of 16 frames."""
+    return signals.scene_hits(v("v_scene").withColumn("t", F.col("t") * (1 + F.col("ws") % 3)), chunk=16)
+
+
 @book.add(f"""WITH RECURSIVE {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY t) AS k FROM hits),
 fold AS (SELECT ws, k, t AS kt, score AS ks, 1 AS grp FROM o WHERE k = 1
   UNION ALL SELECT o.ws, o.k, CASE WHEN o.t - f.kt < 1.0 AND o.score <= f.ks THEN f.kt ELSE o.t END, CASE WHEN o.t - f.kt < 1.0 THEN greatest(o.score, f.ks) ELSE o.score END, f.grp + CASE WHEN o.t - f.kt < 1.0 THEN 0 ELSE 1 END
