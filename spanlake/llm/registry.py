@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity
+from . import bpe, decontamination, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity
 from .common import held_out, new_path, table
 
 #: A vocabulary file outside the repository; a parameter of the operators.
@@ -74,10 +74,39 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark.read.parquet(path))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hits = F.col("hits")
+    return found.select("doc_id", hits["n_words"].alias("n_words"), hits["n_hit"].alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), (hits["n_hit"] > 0).alias("contaminated"))
+
+
+OP11_SQL = r"""
+WITH item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), starts AS (
+  SELECT item, w, unnest(range(1, greatest(len(w) - 9, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM item_words
+), windows AS (
+  SELECT DISTINCT item, array_to_string(w[i:i+9], ' ') AS words, least(len(w), 10) AS width FROM starts
+), doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), places AS (
+  SELECT r, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM doc_words, (SELECT DISTINCT width FROM windows)
+), hits AS (
+  SELECT p.r, p.i, p.width, x.item FROM (SELECT r, i, width, array_to_string(w[i:i+width-1], ' ') AS words FROM places) p JOIN windows x USING (width, words)
+), counted AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + width)) AS place FROM (SELECT DISTINCT r, i, width FROM hits)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc_words LEFT JOIN counted USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files]
+    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files, op11_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_decontamination": OP11_SQL}
