@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity
+from . import bpe, decontamination, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity, whitening
 from .common import held_out, new_path, table
 
 #: A vocabulary file outside the repository; a parameter of the operators.
@@ -103,8 +103,19 @@ FROM doc_words LEFT JOIN counted USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    error = whitening.identity_error(rows) if fit else 0.0
+    explained = F.array(*map(F.lit, fit.explained.tolist())) if fit else F.array(F.lit(0.0))
+    each = rows.select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("pos", "whitened"))
+    return each.select(
+        "vec_id", (F.col("pos") + 1).alias("component"), F.lit(fit.n if fit else 0).cast("long").alias("n"), F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened", F.element_at(explained, F.col("pos") + 1).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files, op11_decontamination]
+    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files, op11_decontamination, op13_whitening]
     return {f.__name__: f for f in found}
 
 
