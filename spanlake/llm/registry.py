@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity, whitening
+from . import bpe, decontamination, hard_negatives, language_id, media, mixing, quality_rules, resampling, sharding, simhash, token_files, toxicity, whitening
 from .common import held_out, new_path, table
 
 #: A vocabulary file outside the repository; a parameter of the operators.
@@ -103,6 +103,29 @@ FROM doc_words LEFT JOIN counted USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS alike, r.vec_id, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, fit = whitening.whiten(table(spark, sf_dir, "embeddings"))
     error = whitening.identity_error(rows) if fit else 0.0
@@ -115,9 +138,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files, op11_decontamination, op13_whitening]
+    found = [op1_virtual_slots, op2_media, op3_quality_rules, op4_importance_resampling, op5_mixing, op6_bpe, op7_toxicity, op8_simhash, op9_language_id, op10_token_files, op11_decontamination, op12_hard_negatives, op13_whitening]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_decontamination": OP11_SQL}
+    return {"op11_decontamination": OP11_SQL, "op12_hard_negatives": OP12_SQL}
