@@ -24,7 +24,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, joined_by, materialize, pieces, record_batch
@@ -38,7 +38,7 @@ SPAN = 1 << 18
 COUNTED = 8
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_WIDE = pa.schema([("least", pa.int64()), ("h", pa.int64()), ("fp", pa.binary()), ("weak", pa.binary())])
+_WIDE = pa.schema([("least", pa.int64()), ("h", pa.binary()), ("fp", pa.binary()), ("weak", pa.binary())])
 _KEYED = pa.schema([("fp", pa.binary()), ("band", pa.int32()), ("key", pa.int64())])
 
 
@@ -297,7 +297,7 @@ def wide_fingerprints(docs: DataFrame, h: str, width: int, bits: int, weak: int)
             yield record_batch(_WIDE, part.column(0), part.column(1), [x.tobytes() for x in packed(both)], [x.tobytes() for x in places])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("least"), F.col(h).alias("h"), "text")
-    return narrow.mapInArrow(run, "least long, h long, fp binary, weak binary")
+    return narrow.mapInArrow(run, "least long, h binary, fp binary, weak binary")
 
 
 def probes(distinct: DataFrame, bits: int, weak: int) -> DataFrame:
@@ -324,8 +324,10 @@ def probes(distinct: DataFrame, bits: int, weak: int) -> DataFrame:
     return distinct.select("fp", "weak").mapInArrow(run, "fp binary, band int, key long")
 
 
-#: Bits of a block and weakest bits that are flipped, by the number of rows up to which a key has about 2,000 or fewer.
-PROBES = ((250_000_000, 20, 3), (2_000_000_000, 24, 4), (1 << 62, 28, 5))
+#: Bits of a block and how many of its weakest bits are flipped, at any number of rows.
+BLOCK_BITS, WEAK_BITS = 20, 3
+#: Row keys that are broadcast, at most; more meet their rows by shuffle.
+BROADCAST = 200_000
 
 
 def wide_links(distinct: DataFrame, bits: int, weak: int, radius: int, chunk: int = CHUNK) -> DataFrame:
@@ -380,26 +382,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return joined_by(prints, by_print, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """SHA-256 of a row as JSON: all columns, nulls where they stand, times to the microsecond."""
+    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.unhex(F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false", "timestampFormat": stamp + "XXX", "timestampNTZFormat": stamp}), 256))
+
+
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 24) -> DataFrame:
-    """One row, all columns, of each group of near-duplicates: the one of least (doc_id, row hash), null ids last.
+    """One row, all columns, of each group of near-duplicates: the one of least (doc_id, row key), null ids last.
 
     128-bit fingerprints of shingles of `width` words link within `radius`
     bits where they share a probed key; texts whose shingle sets are similar to
     J differ in 128 / pi * acos(2 J / (1 + J)) bits on average, 19 at 0.8. Null
     texts count as empty, and texts without words are copies of each other.
-    Rows are told apart by all their columns: rows that share a doc_id with
-    other texts are judged each on its own, rows that repeat wholly are copies.
-    An empty table gives an empty result.
+    Rows are told apart by all their columns and by where nulls stand: rows
+    that share a doc_id with other texts are judged each on its own, rows that
+    repeat wholly are copies. An empty table gives an empty result.
     """
-    n = docs.count()
-    bits, weak = next((b, w) for most, b, w in PROBES if n <= most)
-    h = fresh(docs, "row_hash")
-    hashed = docs.withColumn(h, F.xxhash64(*[docs[c] for c in docs.columns]))
-    prints = wide_fingerprints(hashed, h, width, bits, weak)
+    h = fresh(docs, "row_key")
+    hashed = docs.withColumn(h, row_key(docs))
+    prints = materialize(wide_fingerprints(hashed, h, width, BLOCK_BITS, WEAK_BITS), "prints")
     # all rows of one print are copies: the least of them stands for it
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h")).alias("row")
     distinct = materialize(prints.groupBy("fp", "weak").agg(first), "distinct")
-    roots = materialize(components(wide_links(distinct, bits, weak, radius)), "roots").withColumnRenamed("node", "fp")
-    stay = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
-    stay = materialize(stay.select(F.col("row.h").alias(h)).distinct(), "stay")
-    return hashed.join(stay, h, "left_semi").dropDuplicates([h]).drop(h)
+    roots = materialize(components(wide_links(distinct, BLOCK_BITS, WEAK_BITS, radius)), "roots").withColumnRenamed("node", "fp")
+    stay = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select(F.col("row.h").alias("h"), F.lit(True).alias("stays"))
+    # rows that go are few beside those that stay, and so are rows that repeat: only these two kinds meet a join
+    keys = prints.groupBy("h").agg(F.count("*").alias("n")).join(stay.distinct(), "h", "left")
+    odd = materialize(keys.filter("stays IS NULL OR n > 1").select(F.col("h").alias(h), F.col("stays").isNotNull().alias("stays")), "odd")
+    few = odd.count() <= BROADCAST
+    known = F.broadcast(odd) if few else odd
+    single = hashed.join(known, h, "left_anti")
+    again = hashed.join(known.filter("stays"), h, "left_semi").dropDuplicates([h])
+    return single.unionByName(again).drop(h)

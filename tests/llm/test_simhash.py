@@ -96,6 +96,22 @@ def test_rows_that_share_an_id_lose_no_text(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_rows_are_told_apart_by_where_nulls_stand(spark, monkeypatch):
+    text = "alpha beta gamma"
+    rows = [(1, None, text), (1, text, None), (1, text, "NULL"), (1, text, "NULL"), (2, text, None)]
+    for most in (simhash.BROADCAST, 0):
+        monkeypatch.setattr(simhash, "BROADCAST", most)
+        got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, title string")).collect()
+        texts = [r["text"] for r in got]
+        assert len(got) == 2 and set(texts) == {None, text} and all(r["doc_id"] == 1 for r in got)
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0)
+    rows = [(1, t, at.replace(microsecond=k), [k and None, 1, k or None]) for k, t in enumerate(["one text of its own kind", "and another text of words"])]
+    keys = spark.createDataFrame(rows + [(1, rows[0][1], rows[1][2], rows[0][3]), (1, rows[0][1], rows[0][2], [1, None, None])], "doc_id long, text string, at timestamp, k array<int>")
+    assert keys.select(simhash.row_key(keys)).distinct().count() == 4
+
+
 def wide_print(text, width=5):
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in words(text)]
     grams = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
