@@ -37,7 +37,7 @@ ROWS = 1024
 #: What rounding can take from a bound, relative to it.
 SLACK = 1e-9
 
-_TREES = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("ids", pa.list_(pa.int64())), ("vectors", pa.list_(pa.int64())), ("parents", pa.list_(pa.int32())), ("edges", pa.list_(pa.float64()))])
+_TREES = pa.schema([("tree", pa.int64()), ("label", pa.int64()), ("ids", pa.list_(pa.int64())), ("vectors", pa.list_(pa.int64())), ("parents", pa.list_(pa.int32())), ("edges", pa.list_(pa.float64()))])
 _FOUND = pa.schema([("anchor", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
 _FOUND_SQL = "anchor int, place int, id long, score long"
 
@@ -64,32 +64,37 @@ def spanning_tree(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, parents, edges
 
 
+def block_size(size: int) -> int:
+    """Anchors of a block, most, for vectors of `size` entries."""
+    return max(1, min(BLOCK, BLOCK_BYTES // (8 * size)))
+
+
 def trees(anchors: DataFrame, size: int) -> DataFrame:
-    """One row per tree of at most BLOCK anchors of one label, with the block it belongs to.
+    """One row per tree of at most a block's anchors, all of one label.
 
     Anchors are dealt by label and the signs of their first entries, so that
-    those of a block are near each other where any are.
+    those of a tree are near each other where any are.
     """
-    per = max(1, min(BLOCK, BLOCK_BYTES // (8 * size)))
+    per = block_size(size)
     signs = F.aggregate(F.slice("v", 1, 32), F.lit(0).cast("long"), lambda s, c: s * 2 + (c >= 0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, part = 0, TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             at = 0
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             while at < batch.num_rows:
-                to = min(batch.num_rows, at + per - done % per, at + int(np.searchsorted(labels[at:], labels[at], side="right")))
+                to = min(batch.num_rows, at + per, at + int(np.searchsorted(labels[at:], labels[at], side="right")))
                 own = batch.slice(at, to - at)
                 x = matrix(own.column(2), size, 0)
                 order, parents, edges = spanning_tree(x)
                 ids = own.column(0).to_numpy(zero_copy_only=False)[order]
-                yield record_batch(_TREES, [part + done // per], [int(labels[at])], [ids], [x[order].ravel()], [parents], [edges])
-                done, at = done + to - at, to
+                yield record_batch(_TREES, [number], [int(labels[at])], [ids], [x[order].ravel()], [parents], [edges])
+                number, at = number + 1, to
 
     dealt = anchors.withColumn("signs", signs)
     dealt = dealt.repartitionByRange(max(1, -(-dealt.count() // per)), "label", "signs", "id").sortWithinPartitions("label", "signs", "id")
-    return dealt.select("id", "label", "v").mapInArrow(run, "block long, label long, ids array<long>, vectors array<long>, parents array<int>, edges array<double>")
+    return dealt.select("id", "label", "v").mapInArrow(run, "tree long, label long, ids array<long>, vectors array<long>, parents array<int>, edges array<double>")
 
 
 @dataclass
@@ -110,6 +115,18 @@ class Tree:
         return [np.flatnonzero(depth == k) for k in range(depth.max() + 1)]
 
 
+def blocks(planted: DataFrame, per: int) -> Iterator[list[int]]:
+    """Numbers of the trees of each block: trees in a row with at most `per` anchors together."""
+    own, total = [], 0
+    for tree, n in planted.select("tree", F.size("ids")).orderBy("tree").toLocalIterator():
+        if own and total + n > per:
+            yield own
+            own, total = [], 0
+        own, total = [*own, tree], total + n
+    if own:
+        yield own
+
+
 def block_of(table: pa.Table, size: int) -> list[Tree]:
     out, first = [], 0
     for r in table.to_pylist():
@@ -274,8 +291,8 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     planted = materialize(trees(rows.filter(anchor), size), "trees")
     names = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     spark.createDataFrame([], names).write.parquet(f"{path}/block=-1")
-    for block in sorted(r[0] for r in planted.select("block").distinct().collect()):
-        own = block_of(planted.filter(F.col("block") == block).toArrow(), size)
+    for block, numbers in enumerate(blocks(planted, block_size(size))):
+        own = block_of(planted.filter(F.col("tree").isin(numbers)).toArrow(), size)
         first = materialize(search(rows, own, size, 1, positives, True), "positives")
         ids = np.concatenate([t.ids for t in own])
         # no score lies in an empty list's window
