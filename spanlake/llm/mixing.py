@@ -12,11 +12,15 @@ order their documents by hash locally.
 
 Sources are rows of a table, in any number. The driver sees sums over them,
 and the tree of quotas, which has a column per source up to GROUPS sources;
-beyond that, sources share GROUPS columns by hash and take runs of these.
+beyond that, sources share GROUPS columns by hash. A column's blocks are
+permuted before the shards cut it, so that each of its sources is dealt to all
+shards.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 #: Output shards; words that a block has on average, about; blocks of a source at most, as a power of two.
 SHARDS, BLOCK_WORDS, MAX_BLOCK_BITS = 16, 4096, 16
+#: Words that a group of drawn documents has on average, about, and groups of a shard at least.
+GROUP_WORDS, LEAST_GROUPS = 1 << 21, 64
 #: Columns of the tree, at most; up to so many sources are broadcast to their documents.
 GROUPS = 4096
 
@@ -58,6 +64,11 @@ def split_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return np.concatenate([split_tree(drawn, left, 2 * seed + 1), split_tree(quota - drawn, shards - left, 2 * seed + 2)])
 
 
+def stride_of(n: int) -> int:
+    """A step without common divisor with n, next to n over the golden ratio: runs of multiples of it are spread evenly over n places."""
+    return next(k for k in range(max(1, int(n * 0.6180339887)), n + 2) if gcd(k, n) == 1 or n == 0)
+
+
 def row_hash(docs: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["text"])
 
@@ -110,7 +121,8 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[fl
     sid, source_size, target, rows; blocks, factor, offset: the block
     permutation; drawn: blocks drawn whole; cut: words drawn from the block
     after those (0: none); first: where the source's run starts in its column
-    of the tree; shard_ends: blocks that the shards up to each one hold of it.
+    of the tree; column_blocks, stride: the column's size and permutation;
+    shard_ends: blocks that the shards up to each one hold of it.
     """
     spark = rows.sparkSession
     sums = rows.groupBy("sid").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -135,7 +147,8 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[fl
     drawn = materialize(drawn.withColumn("taken_blocks", F.col("drawn") + (F.col("cut") > 0).cast("long")), "drawn")
     quotas = sorted(drawn.groupBy("column").agg(F.sum("taken_blocks").alias("n")).collect())  # GROUPS rows at most
     ends = np.cumsum(split_tree(np.array([r["n"] for r in quotas], np.int64), shards, seed), axis=0).T.tolist() if quotas else []
-    tree = spark.createDataFrame([(r["column"], e) for r, e in zip(quotas, ends, strict=True)], "column long, shard_ends array<long>").coalesce(1)
+    strides = [stride_of(r["n"]) for r in quotas]
+    tree = spark.createDataFrame([(r["column"], max(1, r["n"]), p, e) for r, p, e in zip(quotas, strides, ends, strict=True)], "column long, column_blocks long, stride long, shard_ends array<long>").coalesce(1)
     before = F.sum("taken_blocks").over(Window.partitionBy("column").orderBy(F.xxhash64("sid"), "sid").rowsBetween(Window.unboundedPreceding, -1))
     return materialize(drawn.withColumn("first", F.coalesce(before, F.lit(0))).join(F.broadcast(tree), "column").drop("column", "taken_blocks"), "plan")
 
@@ -182,7 +195,7 @@ def draws_of(rows: DataFrame) -> DataFrame:
     def one(epoch: Column) -> Column:
         n = F.col("blocks") * epoch + F.col("position")
         words = F.when(n < F.col("drawn"), F.col("size")).when((n == F.col("drawn")) & (F.col("cut") > 0), F.col("edge_words")).otherwise(F.lit(0))
-        shard = let(F.col("first") + n, lambda x: F.size(F.filter("shard_ends", lambda e: e <= x)))
+        shard = let(F.pmod((F.col("first") + n) * F.col("stride"), "column_blocks"), lambda x: F.size(F.filter("shard_ends", lambda e: e <= x)))
         return F.struct(epoch.cast("int").alias("epoch"), shard.alias("shard"), words.cast("long").alias("words"), F.xxhash64("h", epoch).alias("place"))
 
     epochs = F.sequence(F.lit(0).cast("long"), F.floor(F.col("drawn") / F.col("blocks")))
@@ -208,15 +221,16 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[flo
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """docs' columns, a row for each draw of `mix`, dealt to shards and shuffled inside them; cases as there.
 
-    A document that is cut keeps its first words (and n_chars, where docs has
-    it, follows). Only the texts of edge blocks meet a join; all others are
-    drawn where they are read and move once, to their shard. Rows that repeat
-    are numbered, in the order of their other columns, so that each has the
-    draws of one of its equals in `mix`.
+    Documents are whole: where `mix` cuts one, it is drawn if the cut leaves
+    half of its words or more, else left out. Only the rows of edge blocks
+    meet a join; all others are drawn where they are read and move once, to
+    their shard, in groups whose number follows the words drawn. Rows that
+    repeat are numbered, in the order of their other columns, so that each has
+    the draws of one of its equals in `mix`.
     """
     rows = narrow_rows(docs, seed)
     table = plan(rows, shards, seed, weights)
-    n = table.count()
+    n, words = table.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     name = fresh(docs, "mixed")
     whole = docs.select(F.struct(*docs.columns).alias(name), source_key(F.col("source")).alias("sid"), word_count(F.col("text")).alias("size"), row_hash(docs, seed).alias("h"))
     near = placed(whole, table, n)
@@ -224,14 +238,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weight
     copy = F.row_number().over(Window.partitionBy("sid", "h").orderBy(F.xxhash64(name)))
     edge = near.filter(AT_EDGE).withColumn("copy", copy).join(cut, ["sid", "h", "copy"]).drop("copy")
     other = near.filter(f"NOT {AT_EDGE}").withColumn("edge_words", F.lit(0).cast("long"))
-    drawn = draws_of(edge.unionByName(other)).select(name, "size", F.explode("draws").alias("d"))
-    dealt = drawn.repartition("d.shard", F.pmod("d.place", F.lit(64))).sortWithinPartitions("d.shard", "d.place")
-    text = F.when(F.col("d.words") < F.col("size"), first_words(F.col(f"{name}.text"), F.col("d.words"))).otherwise(F.col(f"{name}.text"))
-    own = {"text": text, "n_chars": F.when(F.col("d.words") < F.col("size"), F.length(text)).otherwise(F.col(f"{name}.n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return dealt.select(*[(own[c].cast(docs.schema[c].dataType) if c in own else F.col(f"{name}.`{c}`")).alias(c) for c in docs.columns])
-
-
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to its n-th word; the blanks between words are kept as they are."""
-    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    return let(words, lambda w: F.array_join(F.slice(w, F.lit(1), n.cast("int")), ""))
+    drawn = draws_of(edge.unionByName(other)).select(name, "size", F.explode("draws").alias("d")).filter("2 * d.words >= size")
+    groups = max(LEAST_GROUPS, int(words // (shards * GROUP_WORDS)))
+    dealt = drawn.repartition("d.shard", F.pmod("d.place", F.lit(groups))).sortWithinPartitions("d.shard", "d.place")
+    return dealt.select(*[F.col(f"{name}.`{c}`").alias(c) for c in docs.columns])

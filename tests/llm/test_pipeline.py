@@ -31,7 +31,7 @@ def test_each_stage_does_its_work(spark, tiny):
     assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(brute_components(ids, [wide_print(r["text"]) for r in rows], 24)))
 
     mixed = common.materialize(stages["mix_sources"](spark, single, tiny))
-    want = Counter({r["doc_id"]: len(r["draws"]) for r in mixing.mix(single).collect() if r["draws"]})
+    want = Counter(r["doc_id"] for r in mixing.mix(single).collect() for d in r["draws"] if 2 * d["words"] >= r["size"])
     assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == want
 
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
