@@ -90,20 +90,123 @@ def repetition_ratio(text: Column, least: int = 12) -> Column:
     return F.when(F.size(words) < least, F.lit(0.0)).otherwise(top / F.size(words))
 
 
+def strip(text: Column) -> Column:
+    """text without blanks of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def link_destinations(markdown: Column) -> Column:
+    """What stands in the parentheses of inline links, as written, with balanced parentheses inside to any depth.
+
+    A fold over the text's brackets counts the open ones. A link that is never
+    closed gives nothing, as does all that follows it.
+    """
+    pieces = F.regexp_extract_all(markdown, F.lit(r"\]\(|[()]|[^()\]]+|\]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, x):
+        depth = F.when(a["depth"] == 0, (x == "](").cast("int")).otherwise(a["depth"] + x.isin("(", "](").cast("int") - (x == ")").cast("int"))
+        closed = (a["depth"] > 0) & (depth == 0)
+        held = F.when((a["depth"] > 0) & ~closed, F.concat(a["held"], x)).otherwise("")
+        return F.struct(depth.alias("depth"), held.alias("held"), F.when(closed, F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda a: a["out"])
+
+
+def page_links(markdown: Column) -> Column:
+    """array of (raw, target): inline links to .md files without scheme, as written, and without <>, blanks at the ends and fragment.
+
+    target is null where it has a blank inside and no <> around: readers don't resolve such a link.
+    """
+
+    def one(raw):
+        bare = strip(raw)
+        wrapped = bare.startswith("<") & bare.endswith(">") & (F.length(bare) > 1)
+        target = strip(F.substring_index(F.when(wrapped, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare), "#", 1))
+        return F.struct(raw.alias("raw"), F.when(wrapped | ~F.contains(target, F.lit(" ")), target).alias("target"), (target.endswith(".md") & ~F.contains(target, F.lit("://"))).alias("page"))
+
+    found = F.filter(F.transform(link_destinations(markdown), one), lambda x: x["page"])
+    return F.transform(found, lambda x: F.struct(x["raw"], x["target"]))
+
+
 def link_targets(markdown: Column) -> Column:
-    """Targets of inline links, one level of parentheses inside, without <> and fragment; only .md files without scheme."""
-    found = F.regexp_extract_all(markdown, F.lit(r"\]\(((?:[^()]|\([^()]*\))*)\)"), F.lit(1))
-    bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^<|>$", ""), "#.*$", ""))
-    return F.filter(bare, lambda x: x.endswith(".md") & ~x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
+    """Targets of `page_links` that can be resolved."""
+    return F.filter(F.transform(page_links(markdown), lambda x: x["target"]), lambda x: x.isNotNull())
+
+
+def beside(page: Column, target: Column) -> Column:
+    """The path of a target as seen from a page's folder, without . and .. parts; paths that begin with / stand for themselves."""
+    from_root = target.startswith("/")
+    whole = F.when(from_root, target).otherwise(F.concat(F.regexp_extract(page, r"^(.*/)?[^/]*$", 1), target))
+    step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x.isin("", "."), a).otherwise(F.concat(a, F.array(x)))
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(from_root, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
+def lifted(text: Column) -> Column:
+    """array: the text with a blank for each pair of parentheses, then what stands in each pair, inner ones first; those that have no partner stay."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), F.lit(0))
+    start = F.struct(F.array(F.lit("")).alias("open"), F.array().cast("array<string>").alias("inner"))
+    last = lambda a: F.element_at(a["open"], -1)
+    below = lambda a, k: F.slice(a["open"], F.lit(1), F.size(a["open"]) - k)
+
+    def step(a, x):
+        closes = (x == ")") & (F.size(a["open"]) > 1)
+        under = F.concat(F.get(a["open"], F.size(a["open"]) - 2), F.lit(" "))
+        open_ = F.when(x == "(", F.concat(a["open"], F.array(F.lit("")))).when(closes, F.concat(below(a, 2), F.array(under))).otherwise(F.concat(below(a, 1), F.array(F.concat(last(a), x))))
+        return F.struct(open_.alias("open"), F.when(closes, F.concat(a["inner"], F.array(last(a)))).otherwise(a["inner"]).alias("inner"))
+
+    found = F.aggregate(pieces, start, step, lambda a: F.concat(F.array(F.array_join(a["open"], "(")), a["inner"]))
+    return F.when(F.contains(text, F.lit("(")), found).otherwise(F.array(text))
 
 
 def clauses(text: Column, lift_parentheses: bool) -> Column:
-    """Trimmed clauses of a text: split at sentence marks and long dashes; parentheses become clauses of their own, or else commas split too.
+    """Trimmed clauses of a text: split at sentence marks and long dashes; parentheses, nested ones too, become clauses of their own, or else commas split too.
 
     Full-width stops and commas split as the others do.
     """
-    if lift_parentheses:
-        parts = F.concat(F.split(F.regexp_replace(text, r"\([^()]*\)", " "), "[.!?。;—\n]+"), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.split(x, "[.!?。;—\n]+"))))
-    else:
-        parts = F.split(text, "[.!?。;,，—\n]+")
+    parts = F.flatten(F.transform(lifted(text), lambda x: F.split(x, "[.!?。;—\n]+"))) if lift_parentheses else F.split(text, "[.!?。;,，—\n]+")
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def narrative_clauses(text: Column, label: str | None = None) -> Column:
+    """Clauses of the lines of a narrative: headings, notes that begin with a parenthesis and comments are passed over, a label (a pattern) at a line's start goes, parentheses are read as blanks."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: (x != "") & ~x.rlike(r"^(#|\(|<!--)"))
+    bare = F.transform(lines, lambda x: F.translate(F.regexp_replace(x, f"^(?:{label})", "") if label else x, "()", "  "))
+    return F.flatten(F.transform(bare, lambda x: clauses(x, False)))
+
+
+#: Marks that may stand ahead of a word (fixed values).
+LEADING = r"""['"“”‘’«»『』「」·*_~`(\[{<]"""
+
+
+def word_starts(clause: Column) -> Column:
+    """Distinct blank-delimited words without marks ahead of them."""
+    return F.array_distinct(F.filter(F.transform(F.split(clause, r"\s+"), lambda x: F.regexp_replace(x, f"^{LEADING}+", "")), lambda x: x != ""))
+
+
+def json_strings(text: Column) -> Column:
+    """array of (value, key, objects): the string values of a JSON text at any depth, in order; key is null outside of objects, objects counts those around.
+
+    One fold over the text's marks and strings with the containers that are open.
+    """
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    pieces = F.regexp_extract_all(text, F.lit(rf"{string}\s*:|{string}|[\[\]{{}}]"), F.lit(0))
+    decoded = lambda x: F.get_json_object(F.concat(F.lit("["), x, F.lit("]")), "$[0]")
+    kind = "array<struct<value:string,key:string,objects:int>>"
+    start = F.struct(F.lit("").alias("open"), F.lit(None).cast("string").alias("key"), F.array().cast(kind).alias("out"))
+
+    def step(a, x):
+        quoted, is_key = x.startswith('"'), x.endswith(":") & x.startswith('"')
+        opens, closes = x.isin("[", "{"), x.isin("]", "}")
+        key = F.when(is_key, decoded(F.regexp_replace(x, r"\s*:$", ""))).when(opens, F.lit(None)).otherwise(a["key"])
+        found = F.struct(decoded(x).alias("value"), F.when(a["open"].endswith("{"), a["key"]).alias("key"), (F.length(a["open"]) - F.length(F.replace(a["open"], F.lit("{"), F.lit("")))).cast("int").alias("objects"))
+        open_ = F.when(opens, F.concat(a["open"], x)).when(closes, F.substring(a["open"], F.lit(1), F.length(a["open"]) - 1)).otherwise(a["open"])
+        return F.struct(open_.alias("open"), key.alias("key"), F.when(quoted & ~is_key, F.concat(a["out"], F.array(found))).otherwise(a["out"]).cast(kind).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda a: a["out"])
+
+
+def is_container(text: Column) -> Column:
+    """Whether a text is a JSON array or object."""
+    return F.coalesce(text.rlike(r"^\s*[\[{]") & F.try_parse_json(text).isNotNull(), F.lit(False))

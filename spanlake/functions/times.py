@@ -35,9 +35,9 @@ def fmt_ts_compact(t: Column) -> Column:
 
 
 def frame_rate(text: Column) -> Column:
-    """(num, den) of a rate text such as '30000/1001' or '25', reduced; decimals near an NTSC rate become n/1001."""
+    """(num, den) of a rate text such as '30000/1001' or '25', reduced; decimals near an NTSC rate become n/1001. Null for other texts, and for numbers beyond a long."""
     fraction = text.rlike(r"^\d+/0*[1-9]\d*$")
-    num, den = F.regexp_extract(text, r"^(\d+)/", 1).cast("long"), F.regexp_extract(text, r"/(\d+)$", 1).cast("long")
+    num, den = F.regexp_extract(text, r"^(\d+)/", 1).try_cast("long"), F.regexp_extract(text, r"/(\d+)$", 1).try_cast("long")
     # Euclid's steps as a fold: each takes (a, b) to (b, a mod b), and stays where b is 0
     start = F.struct(num.alias("a"), den.alias("b"))
     step = lambda p, _: F.struct(F.when(p["b"] == 0, p["a"]).otherwise(p["b"]).alias("a"), F.when(p["b"] == 0, F.lit(0).cast("long")).otherwise(p["a"] % F.greatest(p["b"], F.lit(1))).alias("b"))
@@ -45,10 +45,10 @@ def frame_rate(text: Column) -> Column:
     x = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.cast("double"))
     pair = lambda n, d: F.struct(n.cast("long").alias("num"), d.cast("long").alias("den"))
     ntsc = [(24000, 23.976), (30000, 29.97), (60000, 59.94)]
-    out = F.when(fraction, pair(F.floor(num / gcd), F.floor(den / gcd)))
+    out = F.when(fraction & (num.isNull() | den.isNull()), F.lit(None)).when(fraction, pair(F.floor(num / gcd), F.floor(den / gcd)))
     for n, rate in ntsc:
         out = out.when(F.abs(x - rate) <= 0.005, pair(F.lit(n), F.lit(1001)))
-    return out.when(x.isNotNull(), pair(F.round(x), F.lit(1)))
+    return out.when(x < float(1 << 53), pair(F.round(x), F.lit(1)))
 
 
 def frames(t: Column, num: Column, den: Column) -> Column:

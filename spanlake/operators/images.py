@@ -70,11 +70,25 @@ def capture_reasons(images: DataFrame) -> DataFrame:
 
 
 def frame_fields(paths: DataFrame) -> DataFrame:
-    """paths (path) with t (seconds, of 't000012500...' in milliseconds), and span_s, span_e, cells of 'strip_s_e_nN...' names."""
+    """paths (path) with what file names tell: kind, t, span_s, span_e (seconds), cells, cols, version, timestamps, slug.
+
+    Frames are 't<9 digits of milliseconds>', with '_c<8 hex digits>' if cropped;
+    strips 'strip_<start>_<end>_n<cells>', with '_c<cols>_v<version>' if known;
+    either may end with '-<slug>', and all in '.jpg'. Of up to 16 cells the
+    timestamps are their mid-points. Names of another form, and numbers beyond
+    a long, give nulls; kind is that of the name's beginning.
+    """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    number = lambda pattern, k: F.nullif(F.regexp_extract(name, pattern, k), F.lit("")).cast("long")
-    strip = r"^strip_(\d+)_(\d+)_n(\d+)"
-    return paths.select("*", (number(r"^t(\d{9})", 1) / 1000).alias("t"), (number(strip, 1) / 1000).alias("span_s"), (number(strip, 2) / 1000).alias("span_e"), number(strip, 3).alias("cells"))
+    frame, strip = r"^t(\d{9})(_c[0-9a-f]{8})?(?:-([^.]+))?\.jpg$", r"^strip_(\d{9})_(\d{9})_n(\d+)(?:_c(\d+)_v(\d+))?(?:-([^.]+))?\.jpg$"
+    part = lambda pattern, k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
+    number = lambda pattern, k: part(pattern, k).try_cast("long")
+    start, end, cells = number(strip, 1) / 1000, number(strip, 2) / 1000, number(strip, 3)
+    middles = F.transform(F.sequence(F.lit(0), F.least(cells, F.lit(16)).cast("int") - 1), lambda k: start + (k + 0.5) * (end - start) / cells)
+    kind = F.when(name.startswith("strip_"), "filmstrip").when(part(frame, 2).isNotNull(), "frame-crop").otherwise("frame")
+    return paths.select(
+        "*", kind.alias("kind"), (number(frame, 1) / 1000).alias("t"), start.alias("span_s"), end.alias("span_e"), cells.alias("cells"), number(strip, 4).alias("cols"), number(strip, 5).alias("version"),
+        F.when((start < end) & cells.between(1, 16), middles).alias("timestamps"), F.coalesce(part(frame, 3), part(strip, 6)).alias("slug"),
+    )
 
 
 #: Weights of keyframe candidates by signal (fixed values).

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import beside, page_links, word_starts
+from ..sources.tables import saved
+
 
 def entity_index(labels: DataFrame) -> DataFrame:
     """(label, videos, rows): distinct videos and rows of each label (ws, label); counts first, no lists."""
@@ -75,9 +78,9 @@ def relation_candidates(claims: DataFrame) -> DataFrame:
 
 
 def label_tokens(label: Column) -> Column:
-    """Distinct tokens of a label without what stands in parentheses."""
-    bare = F.regexp_replace(F.lower(label), r"\([^)]*\)", " ")
-    return F.array_distinct(F.filter(F.split(bare, r"[\s]+"), lambda t: t != ""))
+    """Distinct tokens of a label without what stands in parentheses, letter case kept; the label itself where nothing is left."""
+    found = F.array_distinct(F.filter(F.split(F.regexp_replace(label, r"\([^)]*\)", " "), r"\s+"), lambda t: t != ""))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(label))
 
 
 def alias_pairs(labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -86,7 +89,7 @@ def alias_pairs(labels: DataFrame, least: float = 0.5) -> DataFrame:
     Only the rarest n - ceil(least n) + 1 tokens of a label are joined: two
     labels that similar share one of them, and common tokens make no pairs.
     """
-    sets = labels.select("label", label_tokens(F.col("label")).alias("tokens")).filter(F.size("tokens") > 0)
+    sets = labels.select("label", label_tokens(F.col("label")).alias("tokens"))
     each = sets.select("label", "tokens", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("n"))
     ranked = each.join(counts, "token").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("n", "token")))
@@ -116,15 +119,21 @@ def reachable(links: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
         depth += 1
 
 
+def link_rows(pages: DataFrame) -> DataFrame:
+    """(src, raw, dst): links of Markdown pages (page, text) to .md files, dst as a path beside the page; null where the link cannot be resolved."""
+    each = pages.select(F.col("page").alias("src"), F.explode(page_links(F.col("text"))).alias("x"))
+    return each.select("src", "x.raw", beside(F.col("src"), F.col("x.target")).alias("dst"))
+
+
 def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """(src, dst): links to pages that are not there."""
-    return links.join(pages.select(F.col("page").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
+    """links (src, dst, ...) to pages that are not there, and those without dst."""
+    return links.join(pages.select(F.col("page").alias("dst")).distinct(), "dst", "left_anti").select(*links.columns)
 
 
-def orphan_pages(links: DataFrame, pages: DataFrame, roots: DataFrame) -> DataFrame:
-    """(page): pages that no other page links to (src, dst) and that are no roots (page)."""
-    linked = links.filter("src <> dst").select(F.col("dst").alias("page")).distinct()
-    return pages.select("page").distinct().join(linked, "page", "left_anti").join(roots.select("page").distinct(), "page", "left_anti")
+def orphan_pages(links: DataFrame, pages: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """(page): pages that no chain of links (src, dst) from a root (page) reaches."""
+    met = reachable(links.select("src", "dst").filter("dst IS NOT NULL").distinct(), roots, folder).select("page")
+    return pages.select("page").distinct().join(met, "page", "left_anti")
 
 
 def rewrite_map(moves: DataFrame) -> DataFrame:
@@ -132,15 +141,67 @@ def rewrite_map(moves: DataFrame) -> DataFrame:
     return moves.distinct().groupBy("old").agg(F.count("*").alias("n"), F.min("new").alias("new")).filter("n = 1").select("old", "new")
 
 
-def alias_leaders(labels: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+#: Pairs of labels that one group solves, at most.
+GROUP = 100_000
+
+
+def first_leaders(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(label, leader) of all labels of pairs (a, b), a < b: in order each joins the first leader it is alike to, or leads."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(pairs["a"], pairs["b"], strict=True):
+        after.setdefault(a, []).append(b)
+    leader: dict[str, str] = {}
+    for label in sorted(set(pairs["a"]) | set(pairs["b"])):
+        if leader.setdefault(label, label) == label:
+            for b in after.get(label, ()):
+                leader.setdefault(b, label)
+    return pd.DataFrame({"label": list(leader), "leader": list(leader.values())})
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(label, root): the least label that each label of pairs (a, b) reaches, by rounds of joins with pointer jumps."""
+    edges = saved(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("label", "near").distinct(), "edges")
+    roots = saved(edges.groupBy("label").agg(F.min("near").alias("near")).select("label", F.least("label", "near").alias("root")), "roots")
+    while True:
+        least = edges.join(roots.toDF("near", "other"), "near").groupBy("label").agg(F.min("other").alias("other"))
+        lower = roots.join(least, "label").select("label", "root", F.least("root", "other").alias("low"))
+        far = roots.toDF("low", "far")
+        moved = saved(lower.join(far, "low").select("label", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("moved")), "roots")
+        roots = moved.select("label", "root")
+        if moved.filter("moved").isEmpty():
+            return roots
+
+
+def alias_leaders(labels: DataFrame, pairs: DataFrame, folder: str, group: int = GROUP) -> DataFrame:
     """(label, leader): each label in order joins the first leader it is alike to, or leads.
 
-    labels: (label), distinct; pairs as `alias_pairs`. Rounds of joins: a label
-    with no open label before it that it is alike to leads, and those alike to
-    it follow. Rounds are written to `folder` (shared by all executors), which
-    cuts the lineage; a component of labels is spread over all tasks.
+    labels: (label), distinct; pairs as `alias_pairs`. Up to `group` pairs are
+    solved in one group; of more, each component with so few is a group of its
+    own, and only larger ones take rounds of joins.
     """
-    spark: SparkSession = labels.sparkSession
+    alone = labels.select("label", F.col("label").alias("leader"))
+    found = "label string, leader string"
+    if pairs.count() <= group:
+        met = pairs.withColumn("root", F.lit(0)).groupBy("root").applyInPandas(first_leaders, found)
+    else:
+        root = saved(pairs.join(connected(pairs).toDF("a", "root"), "a"), "components")
+        sizes = saved(root.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+        few = root.join(sizes.filter(F.col("n") <= group).select("root"), "root", "left_semi").groupBy("root").applyInPandas(first_leaders, found)
+        many = saved(root.join(sizes.filter(F.col("n") > group).select("root"), "root", "left_semi").select("a", "b"), "large")
+        met = few if many.isEmpty() else few.unionByName(leaders_by_rounds(many, folder))
+    met = saved(met, "leaders")
+    return met.unionByName(alone.join(met.select("label"), "label", "left_anti"))
+
+
+def leaders_by_rounds(pairs: DataFrame, folder: str) -> DataFrame:
+    """(label, leader) of all labels of pairs.
+
+    Rounds of joins: a label with no open label before it that it is alike to
+    leads, and those alike to it follow. Rounds are written to `folder` (shared
+    by all executors), which cuts the lineage; a component of labels is spread
+    over all tasks.
+    """
+    spark: SparkSession = pairs.sparkSession
     path = f"{folder}/alias-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -148,7 +209,8 @@ def alias_leaders(labels: DataFrame, pairs: DataFrame, folder: str) -> DataFrame
         return spark.read.parquet(f"{path}/{name}")
 
     # a label without any open one before it leads; the first round has all those that are never second
-    free = kept(labels.select("label").join(pairs.select(F.col("b").alias("label")).distinct(), "label", "left_anti"), "leaders/round=000000")
+    first = pairs.select(F.col("a").alias("label")).distinct().join(pairs.select(F.col("b").alias("label")).distinct(), "label", "left_anti")
+    free = kept(first, "leaders/round=000000")
     open_, depth = pairs, 0
     while True:
         follows = open_.join(free.select(F.col("label").alias("a")), "a", "left_semi").select(F.col("b").alias("label")).distinct()
@@ -162,26 +224,33 @@ def alias_leaders(labels: DataFrame, pairs: DataFrame, folder: str) -> DataFrame
         if free.isEmpty():
             break
         open_ = rest
-    leaders = spark.read.schema(labels.select("label").schema).option("recursiveFileLookup", True).parquet(f"{path}/leaders")
-    first = pairs.join(leaders.toDF("a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "label")
-    followed = labels.select("label").join(leaders, "label", "left_anti").join(first, "label")
-    return leaders.select("label", F.col("label").alias("leader")).unionByName(followed.select("label", "leader"))
+    leaders = spark.read.schema("label string").option("recursiveFileLookup", True).parquet(f"{path}/leaders")
+    joined = pairs.join(leaders.toDF("a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).toDF("label", "leader")
+    followed = joined.join(leaders, "label", "left_anti")
+    return leaders.select("label", F.col("label").alias("leader")).unionByName(followed)
+
+
+#: Tokens that are watched: two Hangul syllables or more, three Latin letters or more (fixed values).
+WATCHED = "[가-힣]{2,}|[A-Za-z]{3,}"
+
+
+def has_marker(clause: Column, markers: list[str]) -> Column:
+    """Whether a clause has a marker, as a word or inside one."""
+    return F.greatest(F.lit(False), F.lit(False), *[F.contains(clause, F.lit(m)) for m in markers])
 
 
-def qualified_only(clauses: DataFrame, markers: list[str]) -> DataFrame:
-    """(ws, term): terms of clauses (ws, clause) with a marker word that no clause without one has."""
-    words = clauses.select("ws", F.filter(F.split(F.lower("clause"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
-    marked = F.exists("words", lambda w: w.isin(*markers))
-    each = words.select("ws", marked.alias("marked"), F.explode("words").alias("term")).filter(~F.col("term").isin(*markers))
-    return each.groupBy("ws", "term").agg(F.bool_and("marked").alias("only")).filter("only").select("ws", "term")
+def qualified_only(clauses: DataFrame, markers: list[str], token: str = WATCHED) -> DataFrame:
+    """(ws, term): tokens (a pattern) of clauses (ws, clause) with a marker that no clause without one has."""
+    each = clauses.select("ws", has_marker(F.col("clause"), markers).alias("marked"), F.explode(F.array_distinct(F.regexp_extract_all("clause", F.lit(token), F.lit(0)))).alias("term"))
+    return each.filter(~F.col("term").isin(*markers)).groupBy("ws", "term").agg(F.bool_and("marked").alias("only")).filter("only").select("ws", "term")
 
 
 def qualifier_drops(only: DataFrame, narrative: DataFrame, markers: list[str]) -> DataFrame:
-    """(ws, clause, term): narrative clauses (ws, clause) without a marker that state a term known only with one (word-start match)."""
-    words = F.array_distinct(F.filter(F.split(F.lower("clause"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    plain = narrative.withColumn("words", words).filter(~F.exists("words", lambda w: w.isin(*markers)))
-    lengths = only.select(F.length("term").alias("k")).distinct()
-    starts = plain.select("ws", "clause", F.explode("words").alias("word")).join(F.broadcast(lengths), F.length("word") >= F.col("k")).withColumn("term", F.substring("word", F.lit(1), F.col("k")))
+    """(ws, clause, term): narrative clauses (ws, clause) without a marker that have a word beginning with a term known only with one."""
+    lengths = sorted(r["k"] for r in only.select(F.length("term").alias("k")).distinct().collect())  # as many as words have lengths
+    heads = F.transform(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda k: F.when(F.length("word") >= k, F.substring("word", F.lit(1), k)))
+    plain = narrative.filter(~has_marker(F.col("clause"), markers)).select("ws", "clause", F.explode(word_starts(F.col("clause"))).alias("word"))
+    starts = plain.select("ws", "clause", F.explode(F.filter(heads, lambda x: x.isNotNull())).alias("term"))
     return starts.join(only, ["ws", "term"]).select("ws", "clause", "term").distinct()
 
 

@@ -19,7 +19,7 @@ def harvest(corrections: DataFrame, suffixes: list[str], verb_ends: list[str], l
     new = F.array_except(stems(F.col("corrected")), stems(F.col("asr")))
     ends = "(" + "|".join(verb_ends) + ")$"
     good = F.filter(new, lambda w: (F.length(w) >= least) & w.rlike(r"^[\p{L}\p{N}]+$") & ~w.rlike(ends))
-    return corrections.filter(~F.col("corrected").startswith("(")).select("ws", F.explode(good).alias("term")).groupBy("ws", "term").agg(F.count("*").alias("n"))
+    return corrections.filter(~F.col("corrected").rlike(r"^\s*\(")).select("ws", F.explode(good).alias("term")).groupBy("ws", "term").agg(F.count("*").alias("n"))
 
 
 def merge_glossary(store: DataFrame, harvested: DataFrame, legacy: str = "legacy") -> DataFrame:

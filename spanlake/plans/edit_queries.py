@@ -203,9 +203,23 @@ def new_edges(v):
     return images.new_edges(e.filter("line_no > 5"), e.filter("line_no <= 5")).select("ws", "edge_id", "line_no", "path")
 
 
-@book.add("SELECT ws, path, cast(regexp_extract(path, 't([0-9]{9})', 1) AS bigint) / 1000 AS t, NULL::DOUBLE AS span_s, NULL::DOUBLE AS span_e, NULL::BIGINT AS cells FROM v_image_events")
+#: Names of frames, crops and strips with what they should tell; every seventh is of no known form.
+FRAME_NAMES = """fn AS (SELECT user_id AS ws, event_id AS id, event_type AS slug, event_id % 7 AS k, event_id * 37 AS a, event_id * 37 + 1000 * (event_id % 5) AS b, event_id % 19 AS cells, lpad(cast(event_id * 37 AS varchar), 9, '0') AS ta, lpad(cast(event_id * 37 + 1000 * (event_id % 5) AS varchar), 9, '0') AS tb FROM events)"""
+
+
+@book.add(f"""WITH {FRAME_NAMES} SELECT ws, id, CASE WHEN k IN (2, 3, 4) THEN 'filmstrip' WHEN k = 1 THEN 'frame-crop' ELSE 'frame' END AS kind, CASE WHEN k < 2 THEN a / 1000 END AS t, CASE WHEN k IN (2, 3) THEN a / 1000 END AS span_s, CASE WHEN k IN (2, 3) THEN b / 1000 END AS span_e,
+  CASE WHEN k IN (2, 3) THEN cells END AS cells, CASE WHEN k = 3 THEN 4 END AS cols, CASE WHEN k = 3 THEN 12 END AS version, CASE WHEN k IN (2, 3) AND a < b AND cells BETWEEN 1 AND 16 THEN [round(a / 1000 + (i + 0.5) * (b / 1000 - a / 1000) / cells, 6) FOR i IN range(cells)] END AS timestamps,
+  CASE WHEN k IN (1, 3) THEN slug END AS slug FROM fn""", long="cells cols version")
 def frame_file_fields(v):
-    return images.frame_fields(v("v_image_events").select("ws", "path"))
+    """Names that tell what an image is, with digits beyond a long among them."""
+    e = v("events")
+    k, a, b, cells = F.col("event_id") % 7, F.col("event_id") * 37, F.col("event_id") * 37 + 1000 * (F.col("event_id") % 5), (F.col("event_id") % 19).cast("string")
+    ta, tb = F.lpad(a.cast("string"), 9, "0"), F.lpad(b.cast("string"), 9, "0")
+    strip = F.concat(F.lit("a/strip_"), ta, F.lit("_"), tb, F.lit("_n"), cells)
+    path = F.when(k == 0, F.concat(F.lit("frames/t"), ta, F.lit(".jpg"))).when(k == 1, F.concat(F.lit("t"), ta, F.lit("_c0123abcd-"), "event_type", F.lit(".jpg"))).when(k == 2, F.concat(strip, F.lit(".jpg")))
+    path = path.when(k == 3, F.concat(strip, F.lit("_c4_v12-"), "event_type", F.lit(".jpg"))).when(k == 4, F.concat(F.lit("strip_1_2_n"), F.repeat(cells, F.lit(30)), F.lit(".jpg"))).when(k == 5, F.concat(F.lit("t"), F.repeat(ta, F.lit(4)), F.lit(".jpg"))).otherwise("x.png")
+    found = images.frame_fields(e.select(F.col("user_id").alias("ws"), F.col("event_id").alias("id"), path.alias("path")))
+    return found.withColumn("timestamps", F.transform("timestamps", lambda x: F.round(x, 6))).drop("path")
 
 
 @book.add()

@@ -41,10 +41,7 @@ def search_with_windows(v):
     """Corpus search over all families, window hits narrowed to the member that says most of the query."""
     found = all_docs(v, every_screen(v)).withColumn("folded", tx.fold(F.col("text")))
     d = saved(found.repartition(found.sparkSession.sparkContext.defaultParallelism * 2), "docs")
-    t = terms(v)
-    ranked = saved(search.bm25(d, t, 40), "ranked")
-    hits = ranked.unionByName(search.substring_rank(d, t, ranked, 40))
-    return search.fuse(search.narrowed(hits, d, t), 10)
+    return search.search(d, terms(v), 10)
 
 
 @book.add(f"WITH {REPLAY}, w AS (SELECT * FROM (VALUES ('cp-004', 1), ('cp-001', 2), ('cp-099', 3)) t(cp_id, place)) SELECT l.ws, l.cp_id, w.place, l.s FROM latest l JOIN w USING (cp_id)", long="place")

@@ -155,12 +155,29 @@ def write_and_read(v):
 # values of fields and names
 
 
-@book.add("""SELECT p_partkey, list_filter([trim(p_name), p_type, CASE WHEN p_size % 2 = 0 THEN p_brand END], lambda x: x IS NOT NULL) AS labels, concat(p_name, ' ', p_type) AS words FROM part""")
+#: JSON values of a part: arrays in arrays, objects whose label is a text, an array or missing, and texts that look like JSON.
+PART_JSON = """[{{"label": " {name} ", "basis": ["{brand}"]}}, [["{type}"], "  ", {{"label": ["{brand}"]}}, [[{{"x": {{"label": "deep"}}}}, "[{size}]"]]], {size}, null, {{"label": "q\\"{size}"}}]"""
+
+
+@book.add("""SELECT p_partkey, [trim(p_name), p_type, concat('[', p_size, ']'), concat('q"', p_size)] AS labels,
+  trim(concat_ws(' ', p_name, concat_ws(' ', concat(' ', p_name, ' '), p_brand, p_type, '  ', p_brand, 'deep', concat('[', p_size, ']'), concat('q"', p_size)), p_type)) AS words, [p_name] AS plain FROM part""")
 def flat_labels(v):
-    """Labels of a JSON array of strings and objects, and a text of the parts that are there."""
-    items = F.concat(F.lit("["), F.concat_ws(",", json(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("label")), F.concat(F.lit('"'), "p_type", F.lit('"')), F.lit('"  "'), F.when(F.col("p_size") % 2 == 0, json(F.col("p_brand").alias("label")))), F.lit("]"))
-    words = lb.searchable_text(F.col("p_name"), F.lit(None).cast("string"), F.array("p_type"))
-    return v("part").select("p_partkey", readers.flatten_labels(items).alias("labels"), words.alias("words"))
+    """Labels of nested JSON, a text of all its strings, and a label that is no JSON."""
+    form = PART_JSON.replace("{{", "{").replace("}}", "}")
+    items = F.lit(form)
+    for key, column in (("name", "p_name"), ("brand", "p_brand"), ("type", "p_type"), ("size", F.col("p_size").cast("string"))):
+        items = F.replace(items, F.lit("{" + key + "}"), column)
+    words = lb.searchable_text(F.col("p_name"), F.lit(None).cast("string"), lb.said(items), F.array("p_type"))
+    return v("part").select("p_partkey", readers.flatten_labels(items).alias("labels"), words.alias("words"), readers.flatten_labels(F.col("p_name")).alias("plain"))
+
+
+@book.add("""SELECT p_partkey, concat('edge-', substr(sha256(concat('{"a":', p_size, ',"b":["', p_size, '",', p_size, '.5,{"x":null,"é":true}],"n":"', p_name, '","é":[]}')), 1, 16)) AS id FROM part""")
+def stable_ids(v):
+    """Ids of nested payloads: keys in any order, whole doubles, letters in two normal forms."""
+    size = F.col("p_size").cast("string")
+    one = F.concat(F.lit('{"é": [], "n": "'), "p_name", F.lit('", "b": ["'), size, F.lit('", '), size, F.lit('.5, {"é": true, "x": null}], "a": '), size, F.lit(".0}"))
+    two = F.concat(F.lit('{"a":'), size, F.lit(',"b":["'), size, F.lit('",'), size, F.lit('.50,{"x":null,"é":true}],"n":"'), "p_name", F.lit('","é":[]}'))
+    return v("part").select("p_partkey", lb.stable_id("edge", F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two)).alias("id"))
 
 
 @book.add("""SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE concat(regexp_replace(CASE WHEN length(h) - strpos(reverse(h), ' ') > 20 AND strpos(h, ' ') > 0 THEN h[1 : length(h) - strpos(reverse(h), ' ')] ELSE h END, '[ ,·—(-]+$', ''), '…') END AS short FROM (SELECT doc_id, text, text[1:40] AS h FROM documents)""")

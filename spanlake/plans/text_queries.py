@@ -148,58 +148,86 @@ def dedupe_rolling_cues(v):
 
 def docs(v) -> DataFrame:
     """Folded once and kept as a table of files for all cores, as an archive that many queries search would be."""
-    seg = v("v_seg")
+    seg = v("v_seg").withColumn("text", tx.nfc("text"))
     name = F.concat(F.col("ws").cast("string"), F.lit("-"), F.col("pos").cast("string"))
-    return saved(seg.select(F.col("role").alias("family"), name.alias("doc"), "ws", F.col("role").alias("source"), "s", "e", "text", tx.fold(F.col("text")).alias("folded")).repartition(seg.sparkSession.sparkContext.defaultParallelism * 2), "docs")
+    members = F.array().cast("array<struct<s:double,e:double,text:string>>")
+    return saved(seg.select(F.col("role").alias("family"), name.alias("doc"), "ws", F.col("role").alias("source"), "s", "e", "text", tx.fold(F.col("text")).alias("folded"), members.alias("members")).repartition(seg.sparkSession.sparkContext.defaultParallelism * 2), "docs")
+
+
+def pairs_of_words(v) -> DataFrame:
+    """(query, w): two words in a row of a benchmark item, the last alone where their number is odd."""
+    words = v("benchmark").select("item_id", F.filter(F.split(tx.nfc("text"), r"\s+"), lambda x: x != "").alias("w"))
+    each = words.filter("size(w) > 0").select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(2))).alias("k"))
+    return each.select(F.concat_ws("-", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("query"), F.slice("w", F.col("k"), F.lit(2)).alias("w"))
 
 
 def terms(v) -> DataFrame:
-    words = v("benchmark").select("item_id", tx.tokens(tx.fold(F.col("text"))).alias("w"))
-    pairs = words.filter("size(w) > 0").select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(2))).alias("k"))
-    named = pairs.select(F.concat_ws("-", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("query"), F.explode(F.slice("w", F.col("k"), F.lit(2))).alias("term"))
-    return saved(named.distinct(), "terms")
+    return saved(pairs_of_words(v).select("query", F.explode("w").alias("term")), "terms")
+
+
+def joined_terms(v) -> DataFrame:
+    """Each pair as one term with a hyphen, the second word without its end, so that it matches as a prefix."""
+    second = F.substring(F.element_at("w", 2), F.lit(1), F.greatest(F.length(F.element_at("w", 2)) - 1, F.lit(1)))
+    return saved(pairs_of_words(v).filter("size(w) = 2").select("query", F.concat(F.element_at("w", 1), F.lit("-"), second).alias("term")), "terms")
 
 
 SEARCH = r"""
-d AS (SELECT role AS family, concat(cast(ws AS varchar), '-', cast(pos AS varchar)) AS doc, ws, role AS source, s, e, lower(strip_accents(text)) AS folded FROM v_seg),
-tk AS (SELECT family, doc, unnest(list_filter(string_split_regex(folded, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM d),
-ln AS (SELECT d.family, d.doc, len(list_filter(string_split_regex(folded, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS len FROM d),
+d AS (SELECT role AS family, concat(cast(ws AS varchar), '-', cast(pos AS varchar)) AS doc, ws, role AS source, s, e, nfc_normalize(text) AS text, lower(strip_accents(text)) AS folded FROM v_seg),
+ln AS (SELECT family, doc, list_filter(string_split_regex(folded, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, len(w) AS len FROM d),
+tk AS (SELECT family, doc, unnest(w) AS token, unnest(range(len(w))) AS tpos FROM ln),
 st AS (SELECT family, count(*) AS nd, avg(len) AS ml FROM ln GROUP BY family),
-bw AS (SELECT item_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-q AS (SELECT DISTINCT concat(item_id, '-', k) AS query, unnest(w[k : k + 1]) AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1, 2)) AS k FROM bw)),
-f AS (SELECT query, term, family, doc, count(*) AS f FROM tk JOIN q ON starts_with(token, term) GROUP BY ALL),
-df AS (SELECT query, term, family, count(*) AS n FROM f GROUP BY ALL),
-sc AS (SELECT f.query, f.family, f.doc, round(sum(greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / ml))), 6) AS score, count(*) AS hits
-  FROM f JOIN df USING (query, term, family) JOIN st USING (family) JOIN ln USING (family, doc) GROUP BY f.query, f.family, f.doc),
-bm AS (SELECT query, family, doc, score, place FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.query, family ORDER BY score DESC, doc) AS place FROM sc JOIN (SELECT query, count(*) AS k FROM q GROUP BY query) k ON k.query = sc.query AND hits = k.k) WHERE place <= 40),
+bw AS (SELECT item_id, list_filter(string_split_regex(nfc_normalize(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+pw AS (SELECT concat(item_id, '-', k) AS query, w[k : k + 1] AS w FROM (SELECT item_id, w, unnest(range(1, len(w) + 1, 2)) AS k FROM bw)),
+q AS (SELECT query, term, count(*) AS times FROM ({terms}) GROUP BY ALL),
+qp AS (SELECT query, p, array_to_string(p, ' ') AS phrase, sum(times) AS times FROM (SELECT query, times, list_filter(string_split_regex(lower(strip_accents(term)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS p FROM q) WHERE len(p) > 0 GROUP BY ALL),
+u AS (SELECT phrase, len(p) AS k, unnest(p) AS unit, unnest(range(len(p))) AS i FROM (SELECT DISTINCT phrase, p FROM qp)),
+oc AS (SELECT u.phrase, u.k, family, doc, tpos - i AS start FROM u JOIN tk ON i = k - 1 AND starts_with(token, unit) UNION ALL SELECT u.phrase, u.k, family, doc, tpos - i FROM u JOIN tk ON i < k - 1 AND token = unit),
+f AS (SELECT phrase, family, doc, count(*) AS f FROM (SELECT phrase, family, doc, start FROM oc GROUP BY phrase, k, family, doc, start HAVING count(*) = k) GROUP BY ALL),
+df AS (SELECT phrase, family, count(*) AS n FROM f GROUP BY ALL),
+sc AS (SELECT query, f.family, f.doc, round(sum(times * greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / ml))), 6) AS score, count(*) AS hits
+  FROM qp JOIN f USING (phrase) JOIN df USING (phrase, family) JOIN st USING (family) JOIN ln USING (family, doc) GROUP BY query, f.family, f.doc),
+bm AS (SELECT query, family, doc, score, place FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.query, family ORDER BY score DESC, doc) AS place FROM sc JOIN (SELECT query, count(*) AS k FROM qp GROUP BY query) k ON k.query = sc.query AND hits = k.k) WHERE place <= 40),
 lf AS (SELECT query, family FROM (SELECT DISTINCT query FROM q), (SELECT DISTINCT family FROM d) EXCEPT SELECT query, family FROM bm),
-sb0 AS (SELECT lf.query, d.family, d.doc, sum((length(folded) - length(replace(folded, term, ''))) / length(term)) AS score FROM lf JOIN d USING (family) JOIN q ON q.query = lf.query GROUP BY ALL HAVING bool_and(contains(folded, term))),
+sb0 AS (SELECT lf.query, d.family, d.doc, sum(times * (length(text) - length(replace(text, term, ''))) / length(term)) AS score FROM lf JOIN d USING (family) JOIN q ON q.query = lf.query GROUP BY ALL HAVING bool_and(contains(text, term))),
 sb AS (SELECT query, family, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query, family ORDER BY score DESC, doc) AS place FROM sb0) WHERE place <= 40)"""
+WORDS = SEARCH.replace("{terms}", "SELECT query, unnest(w) AS term FROM pw")
+HYPHENS = SEARCH.replace("{terms}", "SELECT query, concat(w[1], '-', w[2][1 : greatest(length(w[2]) - 1, 1)]) AS term FROM pw WHERE len(w) = 2")
 
 
-@book.add(f"WITH {SEARCH} SELECT * FROM bm")
+@book.add(f"WITH {WORDS} SELECT * FROM bm")
 def bm25(v):
     return search.bm25(docs(v), terms(v), 40)
 
 
-@book.add(f"WITH {SEARCH} SELECT * FROM sb")
+@book.add(f"WITH {HYPHENS} SELECT * FROM bm")
+def bm25_phrases(v):
+    """Terms of two words with a hyphen between: phrases whose last token is a prefix."""
+    return search.bm25(docs(v), joined_terms(v), 40)
+
+
+@book.add(f"WITH {WORDS} SELECT * FROM sb")
 def substring_rank(v):
     d, t = docs(v), terms(v)
-    return search.substring_rank(d, t, search.bm25(d, t, 40), 40)
+    return search.substring_rank(d, t, saved(search.bm25(d, t, 40), "ranked"), 40)
+
+
+#: The fallback of an archive without tokens: all words of a pair, cut at both ends, as parts of words.
+@book.add(f"""WITH {SEARCH.replace("{terms}", "SELECT query, x[2 : length(x) - 1] AS term FROM (SELECT query, unnest(w) AS x FROM pw) WHERE length(x) > 3").replace("EXCEPT SELECT query, family FROM bm", "")} SELECT * FROM sb""")
+def substring_parts(v):
+    """Parts of words, looked up by their rarest run of characters in all families."""
+    t = pairs_of_words(v).select("query", F.explode("w").alias("x")).filter("length(x) > 3").select("query", F.expr("substring(x, 2, length(x) - 2)").alias("term"))
+    d = docs(v)
+    return search.substring_rank(d, saved(t, "terms"), d.select(F.lit("").alias("query"), "family").limit(0), 40)
 
 
-@book.add(f"""WITH {SEARCH}, al AS (SELECT * FROM bm UNION ALL SELECT * FROM sb), fu AS (SELECT query, ws, source, s, e, round(sum(1 / (60 + place)), 4) AS score FROM al JOIN d USING (doc) GROUP BY ALL)
+@book.add(f"""WITH {WORDS}, al AS (SELECT * FROM bm UNION ALL SELECT * FROM sb), fu AS (SELECT query, ws, source, s, e, round(sum(1 / (60 + place)), 4) AS score FROM al JOIN d USING (doc) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ws, source, s, e) AS place FROM fu) WHERE place <= 10""")
 def corpus_search(v):
-    """Ranked families of all queries, narrowed to members and fused by rank."""
-    d, t = docs(v), terms(v)
-    ranked = saved(search.bm25(d, t, 40), "ranked")
-    hits = ranked.unionByName(search.substring_rank(d, t, ranked, 40))
-    members = F.array().cast("array<struct<s:double,e:double,text:string>>")
-    return search.fuse(search.narrowed(hits, d.withColumn("members", members), t), 10)
+    """Ranked families of all queries, fused by rank."""
+    return search.search(docs(v), terms(v), 10)
 
 
-@book.add(f"""WITH {SEARCH}, qi AS (SELECT DISTINCT item_id AS query, unnest(w) AS term FROM bw) SELECT query, ws, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY query, ws ORDER BY n DESC, s, pos) AS r FROM
+@book.add(r"""WITH qi AS (SELECT DISTINCT item_id AS query, unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark) SELECT query, ws, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY query, ws ORDER BY n DESC, s, pos) AS r FROM
   (SELECT query, ws, pos, s, count(*) AS n FROM v_seg JOIN qi ON contains(lower(strip_accents(text)), term) AND length(term) >= 2 GROUP BY ALL)) WHERE r <= 3""")
 def intent_hits(v):
     """Of each benchmark item, all words: any of them counts."""
@@ -236,10 +264,13 @@ def relation_graph(v):
 
 
 def names(v) -> DataFrame:
-    return v("part").select(F.concat_ws(" ", "p_name", "p_type").alias("label")).distinct()
+    """Names and types of parts; some with their brand in parentheses, some wholly in parentheses, some in capitals."""
+    label = F.when(F.col("p_size") % 11 == 0, F.concat(F.lit("("), "p_type", F.lit(")"))).when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") "), "p_type")).when(F.col("p_size") % 7 == 0, F.concat_ws(" ", F.upper("p_name"), "p_type"))
+    return v("part").select(label.otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("label")).distinct()
 
 
-TOKENS = r"tk AS (SELECT label, list_distinct(list_filter(string_split_regex(lower(label), '\s+'), lambda x: x <> '')) AS t FROM (SELECT DISTINCT concat(p_name, ' ', p_type) AS label FROM part))"
+TOKENS = r"""lb AS (SELECT DISTINCT CASE WHEN p_size % 11 = 0 THEN concat('(', p_type, ')') WHEN p_size % 5 = 0 THEN concat(p_name, ' (', p_brand, ') ', p_type) WHEN p_size % 7 = 0 THEN concat(upper(p_name), ' ', p_type) ELSE concat(p_name, ' ', p_type) END AS label FROM part),
+t0 AS (SELECT label, list_distinct(list_filter(string_split_regex(regexp_replace(label, '\([^)]*\)', ' ', 'g'), '\s+'), lambda x: x <> '')) AS t FROM lb), tk AS (SELECT label, CASE WHEN len(t) = 0 THEN [label] ELSE t END AS t FROM t0)"""
 
 
 @book.add(f"WITH {TOKENS} SELECT a.label AS a, b.label AS b FROM tk a JOIN tk b ON a.label < b.label WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.5")
@@ -273,10 +304,46 @@ def broken_links(v):
     return knowledge.broken_links(links(v), v("pages").select(F.col("page_id").alias("page")))
 
 
-@book.add(f"WITH {LINKS} SELECT page_id AS page FROM pages WHERE page_id <> 0 AND page_id NOT IN (SELECT dst FROM lk WHERE src <> dst)")
+@book.add(f"WITH RECURSIVE {LINKS}, r AS (SELECT cast(0 AS bigint) AS page UNION SELECT dst FROM r JOIN lk ON src = page) SELECT page_id AS page FROM pages WHERE page_id NOT IN (SELECT page FROM r)")
 def orphan_pages(v):
     pages = v("pages").select(F.col("page_id").alias("page"))
-    return knowledge.orphan_pages(links(v), pages, pages.filter("page = 0"))
+    return knowledge.orphan_pages(links(v), pages, pages.filter("page = 0"), folder(pages.sparkSession))
+
+
+#: Pages as files of a wiki in three forms of name; each links back and forth to others, to some that are missing, and by paths with blanks.
+WIKI = """n AS (SELECT count(*) AS n FROM pages), kk AS (SELECT DISTINCT page AS src, (page * 7 + 3 * length(target)) % (n + 9) AS dst FROM v_links, n),
+nm AS (SELECT i AS id, concat('wiki/entities/p', i, CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN ' (a(b))' ELSE '((c))' END, '.md') AS page FROM (SELECT unnest(range(n + 9)) AS i FROM n)),
+wl AS (SELECT k.src, k.dst, s.page AS src_page, d.page AS dst_page, substr(d.page, 15) AS leaf, k.dst % 3 <> 1 OR k.src % 2 = 0 AS clean FROM kk k JOIN nm s ON s.id = k.src JOIN nm d ON d.id = k.dst)"""
+
+
+def wiki(v) -> DataFrame:
+    """(page, text): each page of the given ones as Markdown, and an index that links to the first."""
+    n = v("pages").count()
+    path = lambda i: F.concat(F.lit("p"), i.cast("string"), F.element_at(F.array(F.lit(""), F.lit(" (a(b))"), F.lit("((c))")), (i % 3 + 1).cast("int")), F.lit(".md"))
+    linked = v("v_links").select("page", ((F.col("page") * 7 + 3 * F.length("target")) % (n + 9)).alias("dst")).distinct()
+    leaf = path(F.col("dst"))
+    wrapped = (F.col("dst") % 3 == 1) & (F.col("page") % 2 == 0)
+    text = F.when(wrapped, F.concat(F.lit("[x (y)](<"), leaf, F.lit(">)"))).otherwise(F.concat(F.lit("[x](../entities/./"), leaf, F.lit("#part (1)) and (so) ![i](a(b).png) [u](http://a.b/c.md)")))
+    lines = linked.withColumn("line", text).groupBy("page").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
+    pages = v("pages").select(F.col("page_id").alias("page")).join(lines, "page", "left").select(F.concat(F.lit("wiki/entities/"), path(F.col("page"))).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    index = v("pages").limit(1).select(F.lit("INDEX.md").alias("page"), F.lit("# All\n[first](wiki/entities/p0.md) [lost](wiki/none.md) [open](wiki/(x.md").alias("text"))
+    return saved(pages.unionByName(index), "wiki")
+
+
+@book.add(f"""WITH {WIKI}, rows AS (SELECT src_page AS src, CASE WHEN clean AND dst % 3 = 1 THEN concat('<', leaf, '>') ELSE concat('../entities/./', leaf, '#part (1)') END AS raw, CASE WHEN clean THEN dst_page END AS dst, dst AS id FROM wl)
+SELECT src, raw, dst FROM rows, n WHERE dst IS NULL OR id >= n UNION ALL SELECT 'INDEX.md', 'wiki/none.md', 'wiki/none.md'""")
+def wiki_broken_links(v):
+    """Links of Markdown pages that lead nowhere, or have a raw blank."""
+    pages = wiki(v)
+    return knowledge.broken_links(knowledge.link_rows(pages), pages)
+
+
+@book.add(f"WITH RECURSIVE {WIKI}, r AS (SELECT cast(0 AS bigint) AS id UNION SELECT dst FROM r JOIN wl ON src = id AND clean) SELECT page FROM nm, n WHERE id < n AND id NOT IN (SELECT id FROM r)")
+def wiki_orphans(v):
+    """Entity pages that no chain of links from the index reaches."""
+    pages = wiki(v)
+    found = knowledge.orphan_pages(knowledge.link_rows(pages), pages.filter("page LIKE 'wiki/entities/%.md'"), pages.filter("page = 'INDEX.md'").select("page"), folder(pages.sparkSession))
+    return found
 
 
 @book.add(f"WITH RECURSIVE {LINKS}, r AS (SELECT cast(0 AS bigint) AS page, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN lk ON src = page) SELECT page, min(depth) AS depth FROM r GROUP BY page")
@@ -290,18 +357,17 @@ def rewrite_map(v):
     return knowledge.rewrite_map(v("v_links").select(F.col("target").alias("old"), (F.col("page") % 3).alias("new")))
 
 
-CLAUSES = r"""cl AS (SELECT lang AS ws, doc_id, trim(c) AS clause FROM (SELECT lang, doc_id, unnest(string_split_regex(text, '[.!?。;,，—' || chr(10) || ']+')) AS c FROM documents) WHERE trim(c) <> ''),
+CLAUSES = r"""cl AS (SELECT lang AS ws, trim(c) AS clause FROM (SELECT lang, unnest(string_split_regex(translate(l, '()', '  '), '[.!?。;,，—]+')) AS c FROM (SELECT lang, trim(unnest(string_split(text, chr(10)))) AS l FROM documents) WHERE l <> '' AND NOT regexp_matches(l, '^(#|\(|<!--)')) WHERE trim(c) <> ''),
 lc AS (SELECT lang AS ws, trim(c) AS clause FROM (SELECT lang, unnest(string_split_regex(regexp_replace(text, '\([^()]*\)', ' ', 'g'), '[.!?。;—' || chr(10) || ']+')) AS c FROM documents
   UNION ALL SELECT lang, unnest(string_split_regex(p, '[.!?。;—' || chr(10) || ']+')) FROM (SELECT lang, unnest(regexp_extract_all(text, '\(([^()]*)\)', 1)) AS p FROM documents)) WHERE trim(c) <> ''),
-mk AS (SELECT *, list_has_any(w, ['was', 'for']) AS marked FROM (SELECT *, list_filter(string_split_regex(lower(clause), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM cl)),
-ml AS (SELECT ws, w, list_has_any(w, ['was', 'for']) AS marked FROM (SELECT *, list_filter(string_split_regex(lower(clause), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM lc)),
+ml AS (SELECT ws, regexp_extract_all(clause, '[가-힣]{2,}|[A-Za-z]{3,}') AS w, contains(clause, 'was') OR contains(clause, 'for') AS marked FROM lc),
 onl AS (SELECT ws, term FROM (SELECT ws, marked, unnest(w) AS term FROM ml) WHERE term NOT IN ('was', 'for') GROUP BY ws, term HAVING bool_and(marked))"""
 
 
 def narrative(v) -> tuple[DataFrame, DataFrame]:
     """Clauses of whole texts by the narrative rule, and terms that the same texts, by the ledger rule, have only with a marker."""
-    each = lambda lift: v("documents").select(F.col("lang").alias("ws"), F.explode(tx.clauses(F.col("text"), lift)).alias("clause"))
-    return each(False), saved(knowledge.qualified_only(each(True), ["was", "for"]), "only")
+    each = lambda of: v("documents").select(F.col("lang").alias("ws"), F.explode(of(F.col("text"))).alias("clause"))
+    return each(tx.narrative_clauses), saved(knowledge.qualified_only(each(lambda t: tx.clauses(t, True)), ["was", "for"]), "only")
 
 
 @book.add(f"WITH {CLAUSES} SELECT ws, term FROM onl")
@@ -309,7 +375,7 @@ def qualified_only_terms(v):
     return narrative(v)[1]
 
 
-@book.add(f"WITH {CLAUSES} SELECT DISTINCT m.ws, m.clause, o.term FROM (SELECT ws, clause, unnest(w) AS x FROM mk WHERE NOT marked) m JOIN onl o ON o.ws = m.ws AND starts_with(m.x, o.term)")
+@book.add(rf"""WITH {CLAUSES} SELECT DISTINCT m.ws, m.clause, o.term FROM (SELECT ws, clause, regexp_replace(unnest(string_split_regex(clause, '\s+')), '^[''"“”‘’«»『』「」·*_~`(\[{{<]+', '') AS x FROM cl WHERE NOT contains(clause, 'was') AND NOT contains(clause, 'for')) m JOIN onl o ON o.ws = m.ws AND starts_with(m.x, o.term)""")
 def narrative_qualifier_drops(v):
     rows, only = narrative(v)
     return knowledge.qualifier_drops(only, rows, ["was", "for"])

@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanlake.functions import labels as lb
 from spanlake.functions import text as tx
 from spanlake.functions import times as tm
 from spanlake.operators import images, knowledge, ledger, search, sequences, signals, spans, summary, transcript
 from spanlake.sources import readers
 from spanlake.sources.adapters import view
+from spanlake.sources.tables import folder, saved
 from spanlake.streaming import jobs
 
 LOG = "ws string, line_no long, cp_id string, status string, hypothesis string, s double, e double, duration double, confidence double"
@@ -302,7 +304,114 @@ def test_alias_leaders_equal_a_greedy_pass(spark, tmp_path):
 
 
 def test_windows_are_narrowed_to_the_member_that_says_it(spark):
-    docs = spark.createDataFrame([("t", "w1", 1, "window", 0.0, 9.0, [(0.0, 3.0, "one thing"), (3.0, 6.0, "Thing and thing"), (6.0, 9.0, "thing thing")]), ("t", "t2", 1, "transcript", 3.0, 6.0, [])], "family string, doc string, ws int, source string, s double, e double, members array<struct<s:double,e:double,text:string>>")
+    docs = spark.createDataFrame([("t", "w1", 1, "window", 0.0, 9.0, [(0.0, 3.0, "one thing"), (3.0, 6.0, "thing and thing"), (6.0, 9.0, "Thing thing Thing")]), ("t", "t2", 1, "transcript", 3.0, 6.0, [])], "family string, doc string, ws int, source string, s double, e double, members array<struct<s:double,e:double,text:string>>")
     hits = spark.createDataFrame([(1, "t", "w1", 2.0, 1), (1, "t", "t2", 1.0, 2)], "query int, family string, doc string, score double, place long")
     out = search.narrowed(hits, docs, spark.createDataFrame([(1, "thing")], "query int, term string")).collect()
     assert [(r["source"], r["s"], r["e"], r["place"]) for r in out] == [("transcript", 3.0, 6.0, 1)]
+
+
+def test_phrases_and_parts_of_words(spark):
+    texts = ["the state of the art", "State, often", "of state", "state-of-mind; state of play", "état_of", "in-state of", "a CAPital Thing", "stateofthings"]
+    docs = spark.createDataFrame([("f", str(k), t) for k, t in enumerate(texts)] + [("g", "g0", "state of")], "family string, doc string, text string").withColumn("folded", tx.fold(F.col("text")))
+    asked = {"state-of": {"0", "1", "3", "5", "g0"}, "STATE of": {"0", "2", "3", "5", "1", "g0"}, "of-the": {"0"}, "the-state-of-th": {"0"}, "etat.": {"4"}, "--- art": {"0"}, "---": set(), "state-of-min": {"3"}, "of-of": set()}
+    terms = spark.createDataFrame([(q, t) for q in asked for t in q.split()], "query string, term string")
+    found = {}
+    for r in search.bm25(docs, terms, 40).collect():
+        found.setdefault(r["query"], set()).add(r["doc"])
+    assert {q: found.get(q, set()) for q in asked} == asked
+    texts = dict([*zip(map(str, range(8)), texts), ("g0", "state of")])
+    asked = {q: {d for d, t in texts.items() if q in t} for q in ("APita", "apita", "tateo", "a CAP", "zz", "t", "at_o", "-of-")}
+    assert asked["APita"] == {"6"} and not asked["apita"] and len(asked["t"]) > 7
+    terms = spark.createDataFrame([(q, q) for q in asked], "query string, term string")
+    found = {}
+    for r in search.substring_rank(docs, terms, spark.createDataFrame([], "query string, family string"), 40).collect():
+        found.setdefault(r["query"], set()).add(r["doc"])
+        assert r["score"] == texts[r["doc"]].count(r["query"])
+    assert {q: found.get(q, set()) for q in asked} == asked
+
+
+def test_one_word_queries_search_no_windows(spark):
+    none, both = [], [(0.0, 1.0, "one word"), (1.0, 2.0, "two")]
+    rows = [("f", "a", 1, "transcript", 0.0, 1.0, "one word", none), ("f", "b", 1, "transcript", 1.0, 2.0, "two", none), ("f", "w", 1, "window", 0.0, 2.0, "one word two", both)]
+    docs = spark.createDataFrame(rows, "family string, doc string, ws int, source string, s double, e double, text string, members array<struct<s:double,e:double,text:string>>").withColumn("folded", tx.fold(F.col("text")))
+    terms = spark.createDataFrame([("x", "two"), ("y", "word"), ("y", "two"), ("z", "absent")], "query string, term string")
+    got = sorted((r["query"], r["source"], r["s"], r["place"]) for r in search.search(docs, terms).collect())
+    assert got == [("x", "transcript", 1.0, 1), ("y", "transcript", 0.0, 1)]
+    assert search.search(docs, terms.limit(0)).collect() == []
+
+
+def test_links_with_balanced_parentheses(spark):
+    one = spark.range(1)
+    text = "[z](f((g)).md) [a]( b c.md ) [w](< d e.md#x >) [s](http://x/y.md) [i](k.txt) [n]([m](in.md)) [open](never.md [q](lost.md"
+    want = [("f((g)).md", "f((g)).md"), (" b c.md ", None), ("< d e.md#x >", "d e.md"), ("[m](in.md)", "[m](in.md)")]
+    got = one.select(tx.page_links(F.lit(text))).first()[0]
+    assert [(r["raw"], r["target"]) for r in got if r["raw"] != "[m](in.md)"] == want[:3]
+    assert one.select(tx.link_destinations(F.lit(text))).first()[0] == ["f((g)).md", " b c.md ", "< d e.md#x >", "http://x/y.md", "k.txt", "[m](in.md)"]
+    for page, target, path in (("a/b.md", "c.md", "a/c.md"), ("a/b.md", "../c/./d.md", "c/d.md"), ("b.md", "../../x.md", "x.md"), ("a/b.md", "/x/../y.md", "/y.md")):
+        assert one.select(tx.beside(F.lit(page), F.lit(target))).first()[0] == path
+    pages = spark.createDataFrame([("INDEX.md", "[a](a.md)"), ("a.md", ""), ("b.md", "[c](c.md)"), ("c.md", "[b](b.md)")], "page string, text string")
+    links = knowledge.link_rows(pages)
+    got = knowledge.orphan_pages(links, pages, pages.filter("page = 'INDEX.md'").select("page"), folder(spark)).collect()
+    assert sorted(r["page"] for r in got) == ["b.md", "c.md"]
+
+
+def test_labels_and_texts_at_any_depth(spark):
+    cases = {'[["a",{"label":"b"}],"c"]': ["a", "b", "c"], '{"label":["a"]}': [], '{"label":"x","y":{"label":"z"}}': ["x"], "plain": ["plain"], "[draft": ["[draft"], "[draft]": ["[draft]"], "": [], '[[[["d"]]],1,null,true]': ["d"], '["q\\"]}","\\u00e9"]': ['q"]}', "é"]}
+    rows = spark.createDataFrame([(x,) for x in [*cases, None]], "x string").select("x", readers.flatten_labels(F.col("x")).alias("labels"), lb.said(F.col("x")).alias("said")).collect()
+    assert {r["x"]: r["labels"] for r in rows} == cases | {None: []}
+    assert [r["said"] for r in rows if r["x"] == '{"label":"x","y":{"label":"z"}}'] == ["x z"]
+    long = '["' + "a" * 200_000 + '"]'
+    assert len(spark.createDataFrame([(long,)], "x string").select(readers.flatten_labels(F.col("x"))).first()[0][0]) == 200_000
+
+
+def test_ids_of_payloads(spark):
+    pairs = [('{"a":3,"b":"é"}', '{"b": "e\u0301", "a": 3.0}', True), ('"3"', "3", False), ("[1,[2.5]]", "[1.0, [2.50]]", True), ("0", "-0.0", True), ("true", "1", False), ('"ann"', '"bob"', False)]
+    for a, b, same in pairs:
+        x, y = spark.range(1).select(lb.stable_id("edge", F.lit(a)), lb.stable_id("edge", F.lit(b))).first()
+        assert (x == y) == same and len(x) == 21
+    assert spark.range(1).select(lb.stable_id("edge", F.lit("no json")), lb.stable_id("edge", F.lit("[1e999]"))).first()[:] == (None, None)
+
+
+def test_values_that_cannot_be_read_stop_no_job(spark):
+    big = "9" * 30
+    probe = lambda **x: json.dumps({"streams": [{"codec_type": "video", "width": 4, "height": 2, "avg_frame_rate": "30000/1001", "r_frame_rate": "30/1"} | x], "format": {"duration": x.get("duration", "9.5")}, "chapters": [{"start_time": "N/A", "end_time": "2", "tags": {}}]})
+    texts = [probe(), probe(duration="N/A"), probe(avg_frame_rate="N/A"), probe(avg_frame_rate="30/x"), probe(avg_frame_rate=big), probe(codec_type="audio"), "no json", "{}"]
+    rows = readers.normalize_probe(spark.createDataFrame(list(enumerate(texts)), "ws int, value string")).orderBy("ws").collect()
+    assert [r["error"] for r in rows][:6] == [None, "no duration", None, None, None, "no video stream"] and rows[6]["error"] and rows[7]["error"]
+    assert rows[0]["rate"] == "30000/1001" and rows[2]["fps"] == rows[3]["fps"] == 0.0 and rows[0]["chapters"][0]["start"] == 0.0
+    one = spark.range(1)
+    assert one.select(tm.frame_rate(F.lit(big)), tm.frame_rate(F.lit(f"{big}/1001")), tm.frame_rate(F.lit("N/A")), lb.parse_roi(F.lit(f"1,2,3,{big}")), lb.parse_roi(F.lit("1,2,3,x"))).first()[:] == (None,) * 5
+    assert one.select(lb.parse_roi(F.lit("1,2,3,4"))).first()[0]["w"] == 3
+    paths = spark.createDataFrame([(f"t{big}.jpg",), (f"strip_000000001_000000002_n{big}.jpg",), ("t000012500.jpg",), (None,)], "path string")
+    assert [r["t"] for r in images.frame_fields(paths).collect()] == [None, None, 12.5, None]
+
+
+def test_leaders_of_any_group_size_equal_the_greedy_pass(spark):
+    rng = random.Random(6)
+    labels = sorted({" ".join(rng.choice(["a", "B", "b", "c", "d", "(x)", "e"]) for _ in range(rng.randint(1, 4))) for _ in range(90)})
+    import re
+
+    tokens = {x: set(re.sub(r"\([^)]*\)", " ", x).split()) or {x} for x in labels}
+    want, leader = {}, {}
+    for k, a in enumerate(labels):
+        if a not in leader:
+            leader[a] = a
+            for b in labels[k + 1 :]:
+                if b not in leader and len(tokens[a] & tokens[b]) / len(tokens[a] | tokens[b]) >= 0.5:
+                    leader[b] = a
+        want[a] = leader[a]
+    frame = spark.createDataFrame([(x,) for x in labels], "label string")
+    pairs = saved(knowledge.alias_pairs(frame))
+    for group in (10**6, 12, 0):
+        assert {r["label"]: r["leader"] for r in knowledge.alias_leaders(frame, pairs, folder(spark), group).collect()} == want
+
+
+def test_qualifiers(spark):
+    ledger_ = spark.createDataFrame([("w", "facts are likely"), ("w", "other thing"), ("w", "thing likely"), ("w", "unlikely sign")], "ws string, clause string")
+    only = knowledge.qualified_only(ledger_, ["likely"])
+    assert {r["term"] for r in only.collect()} == {"facts", "are", "unlikely", "sign"}
+    told = "# facts heading\n(facts note)\n<!-- facts -->\nopening: **facts stand, ok\nFacts elsewhere. artifacts (facts unlikely)\n  the (sign) here"
+    rows = spark.createDataFrame([("w", told)], "ws string, text string").select("ws", F.explode(tx.narrative_clauses(F.col("text"), r"\s*opening\s*:")).alias("clause"))
+    got = {(r["clause"], r["term"]) for r in knowledge.qualifier_drops(only, rows, ["likely"]).collect()}
+    assert got == {("**facts stand", "facts"), ("the  sign  here", "sign")}
+    assert spark.range(1).select(tx.lifted(F.lit("a (b (c) d) e) (f"))).first()[0] == ["a   e) (f", "c", "b   d"]
