@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -96,76 +93,76 @@ SCENE, BURST_MIDDLE, BURST_EDGE, UNSURE_SEGMENT, END_CARD, UNSURE_CLAIM = 0.5, 0
 
 
 def candidates(scenes: DataFrame, bursts: DataFrame, claims: DataFrame, segments: DataFrame, videos: DataFrame) -> DataFrame:
-    """(ws, t, weight, source, rank, pos): keyframe candidates of all signals, in the order in which they merge (rank, pos).
+    """(ws, t, weight, source, rank, pos, turn): keyframe candidates of all signals, in the order in which they merge (rank, pos, turn).
 
-    scenes (ws, t, score); bursts (ws, s, e); claims (ws, status, confidence, s, e); segments (ws, s, e), uncertain ones; videos (ws, duration).
+    scenes (ws, t, score); bursts (ws, s, e), each with its middle and edges in a row; claims (ws, status, confidence, s, e); segments (ws, s, e), uncertain ones; videos (ws, duration).
     """
-    row = lambda df, t, w, source, rank: df.select("ws", t.alias("t"), w.cast("double").alias("weight"), F.lit(source).alias("source"), F.lit(rank).alias("rank"), t.alias("pos"))
+
+    def row(df, t, w, source, rank, pos=None, turn=0):
+        return df.select("ws", t.alias("t"), w.cast("double").alias("weight"), F.lit(source).alias("source"), F.lit(rank).alias("rank"), (t if pos is None else pos).alias("pos"), F.lit(turn).alias("turn"))
+
     conf = F.coalesce("confidence", F.lit(0.0))
-    middle = (F.col("s") + F.col("e")) / 2
+    middle, start = (F.col("s") + F.col("e")) / 2, F.col("s")
     unsure = claims.filter((F.col("status") != "verified") & (conf < UNSURE_CLAIM))
     out = row(scenes, F.col("t"), SCENE + F.least("score", F.lit(0.5)), "scene", 0)
-    out = out.unionByName(row(bursts, middle, F.lit(BURST_MIDDLE), "burst-mid", 1)).unionByName(row(bursts, F.col("s"), F.lit(BURST_EDGE), "burst-edge", 2)).unionByName(row(bursts, F.col("e"), F.lit(BURST_EDGE), "burst-edge", 2))
-    out = out.unionByName(row(unsure, middle, F.least(F.lit(1.0), 0.5 + UNSURE_CLAIM - conf), "cp-uncertain", 3)).unionByName(row(segments, middle, F.lit(UNSURE_SEGMENT), "asr-lowconf", 4))
-    out = out.unionByName(row(videos.filter("duration > 1"), F.col("duration") - 1, F.lit(END_CARD), "endcard-rule", 5))
+    out = out.unionByName(row(bursts, middle, F.lit(BURST_MIDDLE), "burst-mid", 1, start, 0)).unionByName(row(bursts, start, F.lit(BURST_EDGE), "burst-edge", 1, start, 1)).unionByName(row(bursts, F.col("e"), F.lit(BURST_EDGE), "burst-edge", 1, start, 2))
+    out = out.unionByName(row(unsure, middle, F.least(F.lit(1.0), 0.5 + UNSURE_CLAIM - conf), "cp-uncertain", 2)).unionByName(row(segments, middle, F.lit(UNSURE_SEGMENT), "asr-lowconf", 3))
+    out = out.unionByName(row(videos.filter("duration > 1"), F.col("duration") - 1, F.lit(END_CARD), "endcard-rule", 4))
     return out.join(videos.select("ws", "duration"), "ws").filter("t >= 0 AND t <= duration").drop("duration")
 
 
+def merged_candidates(pool: DataFrame, merge: float = 0.5) -> DataFrame:
+    """(ws, t, weight, source): the pool's candidates in order, each joined to the first kept one within `merge` of it, else kept.
+
+    A kept one takes the greatest weight and the names of all that join it.
+    Candidates further than `merge` from all others are parted by a window and
+    never meet Python; only runs that lie closer are folded, a run to a group.
+    """
+    by_time = Window.partitionBy("ws").orderBy("t")
+    gap = F.coalesce(F.col("t") - F.lag("t").over(by_time) > merge, F.lit(True))
+    order = F.struct("rank", "pos", "turn", "t", "weight", "source")
+    runs = pool.withColumn("new", gap.cast("int")).withColumn("run", F.sum("new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    each = runs.groupBy("ws", "run").agg(F.array_sort(F.collect_list(order)).alias("c"))
+    kept = F.aggregate("c", F.array().cast("array<struct<t:double,weight:double,source:string>>"), lambda a, x: joined_candidate(a, x, merge))
+    return each.select("ws", F.explode(F.when(F.size("c") == 1, F.transform("c", lambda x: F.struct(x["t"], x["weight"], x["source"]))).otherwise(kept)).alias("k")).select("ws", "k.*")
+
+
+def joined_candidate(kept: Column, x: Column, merge: float) -> Column:
+    """kept (t, weight, source) in order of insertion, with x joined to the first within `merge` of it, else at the end."""
+    at = F.coalesce(F.array_position(F.transform(kept, lambda k: F.abs(k["t"] - x["t"]) <= merge), F.lit(True)), F.lit(0))
+    names = lambda k: F.when(F.array_contains(F.split(k["source"], r"\+"), x["source"]), k["source"]).otherwise(F.concat(k["source"], F.lit("+"), x["source"]))
+    met = F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(k["t"].alias("t"), F.greatest(k["weight"], x["weight"]).alias("weight"), names(k).alias("source"))).otherwise(k))
+    return F.when(at > 0, met).otherwise(F.concat(kept, F.array(F.struct(x["t"].alias("t"), x["weight"].alias("weight"), x["source"].alias("source")))))
+
+
 def select_keyframes(pool: DataFrame, videos: DataFrame, budget: int, merge: float = 0.5, least_gap: float = 1.0, spread: float = 0.5) -> DataFrame:
-    """(ws, t, weight, source, reason): the candidates picked (null reason) and why others were not.
+    """(ws, t, weight, source, reason, displaced_by): the candidates picked (null reason), and why others were not; t to 0.01.
 
-    Candidates within `merge` of an earlier one join it (greatest weight, names
-    joined). Then the greatest weight + spread x (distance to picks / ideal
-    gap, 1 at most) is picked, the earliest on ties; neighbours within
-    `least_gap` fall to it. Greedy in order: one Arrow group per video, with
-    numpy over its candidates.
+    Of the merged candidates that of greatest weight + spread x (distance to
+    picks / ideal gap, 1 at most) is picked, the earliest on ties; those within
+    `least_gap` of it fall to it. Picks depend on each other: a fold of
+    `budget` steps over a video's candidates, all in column functions.
     """
-    import numpy as np
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "pos"], kind="stable")
-        times: list[float] = []
-        weights: list[float] = []
-        names: list[list[str]] = []
-        sorted_times: list[tuple[float, int]] = []
-        for t, w, source in rows[["t", "weight", "source"]].itertuples(index=False):
-            at = bisect_left(sorted_times, (t - merge - 1e-9, -1))
-            near = []
-            while at < len(sorted_times) and sorted_times[at][0] <= t + merge + 1e-9:  # kept ones lie over `merge` apart, so these are two or three
-                near += [sorted_times[at][1]] * (abs(sorted_times[at][0] - t) <= merge)
-                at += 1
-            if near:
-                k = min(near, key=lambda i: (abs(times[i] - t), i))
-                weights[k] = max(weights[k], w)
-                if source not in names[k]:
-                    names[k].append(source)
-            else:
-                insort(sorted_times, (t, len(times)))
-                times.append(t)
-                weights.append(w)
-                names.append([source])
-        order = np.argsort(times, kind="stable")
-        t, w = np.array(times)[order], np.array(weights)[order]
-        label = ["+".join(names[i]) for i in order]
-        ideal = max(float(rows["duration"].iloc[0]) / max(budget, 1), 1e-9)
-        reason: list[str | None] = ["budget_exhausted"] * len(t)
-        open_, dist = np.ones(len(t), bool), np.full(len(t), np.inf)
-        for _ in range(budget):
-            if not open_.any():
-                break
-            gain = np.where(open_, w + spread * np.minimum(dist / ideal, 1.0), -np.inf)
-            best = int(np.argmax(gain))
-            near = open_ & (np.abs(t - t[best]) < least_gap)
-            for k in np.flatnonzero(near):
-                reason[k] = "min_gap_displaced"
-            reason[best] = None
-            open_ &= ~near
-            open_[best] = False
-            dist = np.minimum(dist, np.abs(t - t[best]))
-        return pd.DataFrame({"ws": rows["ws"].iloc[0], "t": t, "weight": w, "source": label, "reason": pd.Series(reason, dtype=object)})
-
-    kind = pool.schema["ws"].dataType.simpleString()
-    return pool.join(videos.select("ws", "duration"), "ws").groupBy("ws").applyInPandas(choose, f"ws {kind}, t double, weight double, source string, reason string")
+    shown = F.least(F.greatest(F.bround("t", 2), F.lit(0.0)), F.col("duration"))
+    rows = merged_candidates(pool, merge).join(videos.select("ws", "duration"), "ws").withColumn("t", shown)
+    kind = "array<struct<t:double,weight:double,source:string,reason:string,displaced_by:double,far:double>>"
+    open_ = F.struct("t", "weight", "source", F.lit("open").alias("reason"), F.lit(None).cast("double").alias("displaced_by"), F.lit(None).cast("double").alias("far"))
+    videos_ = rows.groupBy("ws", "duration").agg(F.array_sort(F.collect_list(open_)).cast(kind).alias("c"))
+    ideal = F.greatest(F.col("duration") / max(budget, 1), F.lit(1e-9))
+
+    def step(c: Column, _: Column) -> Column:
+        gain = lambda x: x["weight"] + spread * F.coalesce(F.least(x["far"] / ideal, F.lit(1.0)), F.lit(1.0))
+        best = F.element_at(F.array_sort(F.transform(F.filter(c, lambda x: x["reason"] == "open"), lambda x: F.struct((-gain(x)).alias("g"), x["t"].alias("t")))), 1)["t"]
+        pick = lambda t: F.transform(c, lambda x: F.struct(
+            x["t"].alias("t"), x["weight"].alias("weight"), x["source"].alias("source"),
+            F.when((x["reason"] == "open") & (x["t"] == t), F.lit("picked")).when((x["reason"] == "open") & (F.abs(x["t"] - t) < least_gap), F.lit("min_gap_displaced")).otherwise(x["reason"]).alias("reason"),
+            F.when((x["reason"] == "open") & (x["t"] != t) & (F.abs(x["t"] - t) < least_gap), t).otherwise(x["displaced_by"]).alias("displaced_by"), F.least(x["far"], F.abs(x["t"] - t)).alias("far"),
+        ))
+        return F.when(F.exists(c, lambda x: x["reason"] == "open"), F.element_at(F.transform(F.array(best), pick), 1)).otherwise(c).cast(kind)
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(budget)), F.col("c"), step) if budget > 0 else F.array().cast(kind)
+    each = videos_.select("ws", F.explode(done).alias("x")).select("ws", "x.*")
+    return each.select("ws", "t", "weight", "source", F.when(F.col("reason") != "picked", F.when(F.col("reason") == "open", "budget_exhausted").otherwise(F.col("reason"))).alias("reason"), "displaced_by")
 
 
 def sharpest(requests: DataFrame, scores: DataFrame, width: float) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.adapters import view, with_views
+from ..sources.adapters import Views, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,7 @@ class Book:
 
         def register(f: Callable[..., DataFrame]) -> Query:
             def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-                df = f(lambda name: view(spark, sf_dir, name))
+                df = f(Views(spark, sf_dir))
                 return df.select([df[c].cast("long").alias(c) if kind in ("int", "smallint") else df[c] for c, kind in df.dtypes])
 
             query.__name__, query.__doc__ = f.__name__, f.__doc__

@@ -9,7 +9,7 @@ from ..functions import times as tm
 from ..operators import edits, images, signals, storage, terms
 from ..sources.tables import saved
 from .base import Book
-from .timeline_queries import HITS, REPLAY, claims, islands_sql
+from .timeline_queries import HITS, LOUDEST, REPLAY, SUPPRESSED, claims, islands_sql
 
 book = Book()
 
@@ -222,13 +222,33 @@ def frame_file_fields(v):
     return found.withColumn("timestamps", F.transform("timestamps", lambda x: F.round(x, 6))).drop("path")
 
 
-@book.add()
+#: Uncertain segments: one at each measure of loudness that has none; claims and scenes as they are.
+POOL = """cd AS (SELECT ws, t, 0.5 + least(score, 0.5) AS weight, 'scene' AS source, 0 AS rank, t AS pos, 0 AS turn FROM sup UNION ALL
+  SELECT ws, unnest([(s + e) / 2, s, e]), unnest([0.7, 0.55, 0.55]), unnest(['burst-mid', 'burst-edge', 'burst-edge']), 1, s, unnest([0, 1, 2]) FROM lsp UNION ALL
+  SELECT ws, (s + e) / 2, least(1.0, 1.2 - coalesce(confidence, 0)), 'cp-uncertain', 2, (s + e) / 2, 0 FROM latest WHERE status <> 'verified' AND coalesce(confidence, 0) < 0.7 UNION ALL
+  SELECT ws, t + 0.5, 0.6, 'asr-lowconf', 3, t + 0.5, 0 FROM v_loud WHERE db IS NULL UNION ALL SELECT ws, duration - 1, 0.65, 'endcard-rule', 4, duration - 1, 0 FROM v_videos),
+pl AS MATERIALIZED (SELECT * REPLACE (cast(weight AS double) AS weight), row_number() OVER (PARTITION BY ws ORDER BY rank, pos, turn, t, weight, source) AS i FROM cd WHERE t >= 0 AND t <= 600),
+mg AS (SELECT DISTINCT ws, cast(0 AS bigint) AS i, cast([] AS double[]) AS ts, cast([] AS double[]) AS wt, cast([] AS varchar[]) AS nm FROM pl UNION ALL
+  SELECT ws, i, CASE WHEN k = 0 THEN list_append(ts, t) ELSE ts END, CASE WHEN k = 0 THEN list_append(wt, weight) ELSE [CASE WHEN j = k THEN greatest(wt[j], weight) ELSE wt[j] END FOR j IN range(1, len(wt) + 1)] END,
+    CASE WHEN k = 0 THEN list_append(nm, source) ELSE [CASE WHEN j = k AND NOT list_contains(string_split(nm[j], '+'), source) THEN concat(nm[j], '+', source) ELSE nm[j] END FOR j IN range(1, len(nm) + 1)] END
+  FROM (SELECT mg.ws, pl.i, ts, wt, nm, pl.t, pl.weight, pl.source, coalesce(list_position([abs(x - pl.t) <= 0.5 FOR x IN ts], true), 0) AS k FROM mg JOIN pl ON pl.ws = mg.ws AND pl.i = mg.i + 1)),
+ed AS (SELECT ws, ts, wt, nm FROM mg QUALIFY row_number() OVER (PARTITION BY ws ORDER BY i DESC) = 1),
+st AS (SELECT ws, list(round_even(t, 2) ORDER BY t) AS t, list(w ORDER BY t) AS w, list(n ORDER BY t) AS n FROM (SELECT ws, unnest(ts) AS t, unnest(wt) AS w, unnest(nm) AS n FROM ed) GROUP BY ws),
+gr AS (SELECT ws, 0 AS step, t, w, n, [-1e0 FOR x IN t] AS fell, cast([] AS double[]) AS picks FROM st UNION ALL
+  SELECT ws, step + 1, t, w, n, [CASE WHEN fell[j] = -1 AND t[j] = b THEN -2e0 WHEN fell[j] = -1 AND abs(t[j] - b) < 1 THEN b ELSE fell[j] END FOR j IN range(1, len(t) + 1)], list_append(picks, b)
+  FROM (SELECT *, t[list_position(g, list_max(g))] AS b FROM (SELECT *, [CASE WHEN fell[j] = -1 THEN w[j] + 0.5e0 * least(coalesce(list_min([abs(t[j] - p) FOR p IN picks]) / 50, 1), 1) ELSE -1e0 END FOR j IN range(1, len(t) + 1)] AS g FROM gr WHERE step < 12) WHERE list_max(g) >= 0)),
+fi AS (SELECT ws, unnest(t) AS t, unnest(w) AS weight, unnest(n) AS source, unnest(fell) AS fell FROM (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY ws ORDER BY step DESC) = 1))"""
+
+
+@book.add(f"WITH RECURSIVE {SUPPRESSED}, {LOUDEST}, {REPLAY}, {POOL} SELECT ws, t, round(weight, 9) AS weight, source, CASE WHEN fell = -1 THEN 'budget_exhausted' WHEN fell >= 0 THEN 'min_gap_displaced' END AS reason, CASE WHEN fell >= 0 THEN fell END AS displaced_by FROM fi")
 def select_keyframes(v):
-    """Pool of scene, burst, claim and end-card candidates; greedy picks, tested against brute force."""
+    """Pool of scene, burst, claim, segment and end-card candidates, merged in order; greedy picks."""
+    v.keep("v_event")
     videos = v("v_videos")
     scenes = signals.suppress_scenes(signals.scene_hits(v("v_scene"), 0.25))
-    pool = images.candidates(scenes, signals.loud_spans(v("v_loud")), claims(v), v("v_loud").filter("idx % 9 = 0").select("ws", F.col("t").alias("s"), (F.col("t") + 1).alias("e")), videos)
-    return images.select_keyframes(pool, videos, 12)
+    unsure = v("v_loud").filter("db IS NULL").select("ws", F.col("t").alias("s"), (F.col("t") + 1).alias("e"))
+    pool = saved(images.candidates(scenes, signals.loud_spans(v("v_loud")), claims(v), unsure, videos), "pool")
+    return images.select_keyframes(pool, videos, 12).withColumn("weight", F.round("weight", 9))
 
 
 @book.add(f"""WITH {HITS}, r AS (SELECT h.ws, h.t, unnest(list_distinct([least(greatest(h.t - 0.25, 0), 600), h.t, least(greatest(h.t + 0.25, 0), 600)])) AS at FROM hits h)

@@ -175,12 +175,15 @@ def corpus_audit(v):
     return evidence.corpus_totals(evidence.verification_issues(*grounded(v)))
 
 
-@book.add("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY db, idx) AS rk, count(*) OVER (PARTITION BY ws) AS n FROM v_loud WHERE db IS NOT NULL),
+LOUDEST = """f AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY db, idx) AS rk, count(*) OVER (PARTITION BY ws) AS n FROM v_loud WHERE db IS NOT NULL),
 lim AS (SELECT ws, median(db) AS med, greatest(max(CASE WHEN rk = floor(0.75 * (n - 1)) + 1 THEN db END), median(db) + 3) AS lim FROM f GROUP BY ws HAVING max(n) >= 4),
 hot AS (SELECT f.ws, idx, db, med, CASE WHEN idx - lag(idx) OVER (PARTITION BY f.ws ORDER BY idx) > 2 THEN 1 ELSE 0 END AS nw FROM f JOIN lim l ON l.ws = f.ws WHERE db >= lim),
 run AS (SELECT ws, min(idx) AS a, max(idx) AS b, round(sum(db - med), 1) AS score, round(max(db), 1) AS peak_db FROM (SELECT *, sum(nw) OVER (PARTITION BY ws ORDER BY idx) AS r FROM hot) GROUP BY ws, r),
-sp AS (SELECT r.ws, greatest(a - 1, 0) * 0.5e0 AS s, least(b + 1, m) * 0.5e0 + 0.5e0 AS e, score, peak_db FROM run r JOIN (SELECT ws, max(idx) AS m FROM v_loud GROUP BY ws) x ON x.ws = r.ws)
-SELECT ws, s, e, score, peak_db FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, s) AS p FROM sp) WHERE p <= 5""")
+sp AS (SELECT r.ws, greatest(a - 1, 0) * 0.5e0 AS s, least(b + 1, m) * 0.5e0 + 0.5e0 AS e, score, peak_db FROM run r JOIN (SELECT ws, max(idx) AS m FROM v_loud GROUP BY ws) x ON x.ws = r.ws),
+lsp AS (SELECT ws, s, e, score, peak_db FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, s) AS p FROM sp) WHERE p <= 5)"""
+
+
+@book.add(f"WITH {LOUDEST} SELECT * FROM lsp")
 def loud_spans(v):
     return signals.loud_spans(v("v_loud"))
 
@@ -199,11 +202,14 @@ def scene_changes_by_rate(v):
     return signals.scene_hits(v("v_scene").withColumn("t", F.col("t") * (1 + F.col("ws") % 3)), chunk=16)
 
 
-@book.add(f"""WITH RECURSIVE {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY t) AS k FROM hits),
+SUPPRESSED = f"""{HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY t) AS k FROM hits),
 fold AS (SELECT ws, k, t AS kt, score AS ks, 1 AS grp FROM o WHERE k = 1
   UNION ALL SELECT o.ws, o.k, CASE WHEN o.t - f.kt < 1.0 AND o.score <= f.ks THEN f.kt ELSE o.t END, CASE WHEN o.t - f.kt < 1.0 THEN greatest(o.score, f.ks) ELSE o.score END, f.grp + CASE WHEN o.t - f.kt < 1.0 THEN 0 ELSE 1 END
-  FROM fold f JOIN o ON o.ws = f.ws AND o.k = f.k + 1)
-SELECT ws, kt AS t, ks AS score FROM (SELECT *, row_number() OVER (PARTITION BY ws, grp ORDER BY k DESC) AS r FROM fold) WHERE r = 1""")
+  FROM fold f JOIN o ON o.ws = f.ws AND o.k = f.k + 1),
+sup AS (SELECT ws, kt AS t, ks AS score FROM (SELECT *, row_number() OVER (PARTITION BY ws, grp ORDER BY k DESC) AS r FROM fold) WHERE r = 1)"""
+
+
+@book.add(f"WITH RECURSIVE {SUPPRESSED} SELECT * FROM sup")
 def scene_suppress(v):
     return signals.suppress_scenes(signals.scene_hits(v("v_scene"), 0.25))
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import saved
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS: dict[str, str] = {
@@ -59,14 +61,31 @@ def resolved(name: str) -> list[str]:
     return [*out, name]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table or view."""
+def view(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """An input table or view; views in `held` are taken from there."""
+    if held and name in held:
+        return held[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    inputs = {x: view(spark, sf_dir, x) for x in re.findall(r"\{(\w+)\}", VIEWS[name])}
+    inputs = {x: view(spark, sf_dir, x, held) for x in re.findall(r"\{(\w+)\}", VIEWS[name])}
     return spark.sql(VIEWS[name].replace("//", "div"), **inputs)
 
 
+class Views:
+    """The inputs of one query by name. What `keep` was called for is written once and serves all views over it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self.held: dict[str, DataFrame] = {}
+
+    def __call__(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name, self.held)
+
+    def keep(self, name: str) -> None:
+        if name not in self.held:
+            self.held[name] = saved(self(name), name)
+
+
 def with_views(sql: str) -> str:
     """DuckDB SQL over views: a query that names them, with their definitions ahead of its own WITH clauses."""
     names: list[str] = []

@@ -96,28 +96,42 @@ def test_rolling_cues(spark):
 
 
 def brute_keyframes(rows, budget, duration):
-    """Pick again and again the candidate of greatest gain; rows: (t, weight), already merged."""
-    left, picks, why = sorted(rows), [], {}
+    """Merge rows (t, weight, source) in order into the first within half a second; then pick again and again the one of greatest gain."""
+    kept = []
+    for t, w, source in rows:
+        near = [k for k in kept if abs(k[0] - t) <= 0.5]
+        if near:
+            near[0][1] = max(near[0][1], w)
+            near[0][2] += [source] * (source not in near[0][2])
+        else:
+            kept.append([t, w, [source]])
+    names = {round(t, 2): (w, "+".join(n)) for t, w, n in kept}
+    left, picks, why = sorted((round(t, 2), w) for t, w, _ in kept), [], {}
     while left and len(picks) < budget:
         gain = lambda c: c[1] + 0.5 * (min(min(abs(c[0] - p) for p in picks) / (duration / budget), 1.0) if picks else 1.0)
         best = max(left, key=lambda c: (gain(c), -c[0]))
         picks.append(best[0])
-        why[best[0]] = None
+        why[best[0]] = (None, None)
         for c in left:
             if c != best and abs(c[0] - best[0]) < 1.0:
-                why[c[0]] = "min_gap_displaced"
+                why[c[0]] = ("min_gap_displaced", best[0])
         left = [c for c in left if c[0] not in why]
-    return why | {c[0]: "budget_exhausted" for c in left}
+    why |= {c[0]: ("budget_exhausted", None) for c in left}
+    return {t: (*names[t], *w) for t, w in why.items()}
 
 
 def test_keyframes_equal_brute_force(spark):
     rng = random.Random(4)
-    rows = {w: [(k * 0.625, rng.randint(1, 32) / 32) for k in range(60)] for w in range(6)}
-    pool = spark.createDataFrame([(w, t, x, "scene", 0, t) for w, v in rows.items() for t, x in v], "ws long, t double, weight double, source string, rank int, pos double")
+    rows = {w: [(k, rng.choice([rng.uniform(0, 40), rng.randint(0, 79) / 2, 20 + k % 7 / 4]), rng.randint(1, 32) / 32, rng.choice("abc")) for k in range(70)] for w in range(6)}
+    rows[6] = [(0, 1.0, 0.5, "a"), (1, 1.6, 0.5, "b"), (2, 1.4, 0.75, "c")]  # the third is nearer to the second, and joins the first
+    pool = spark.createDataFrame([(w, t, x, s, 0, float(k), 0) for w, v in rows.items() for k, t, x, s in v], "ws long, t double, weight double, source string, rank int, pos double, turn int")
     videos = spark.createDataFrame([(w, 40.0) for w in rows], "ws long, duration double")
-    found = images.select_keyframes(pool, videos, 8).collect()
+    found = images.select_keyframes(pool.repartition(3), videos, 8).collect()
     for w, v in rows.items():
-        assert {r["t"]: r["reason"] for r in found if r["ws"] == w} == brute_keyframes(v, 8, 40.0)
+        want = brute_keyframes([(t, x, s) for _, t, x, s in v], 8, 40.0)
+        assert {r["t"]: (r["weight"], r["source"], r["reason"], r["displaced_by"]) for r in found if r["ws"] == w} == want
+    assert {(r["t"], r["source"]) for r in found if r["ws"] == 6} == {(1.0, "a+c"), (1.6, "b")}
+    assert images.select_keyframes(pool, videos, 0).collect() == [] and images.select_keyframes(pool.limit(0), videos, 8).collect() == []
 
 
 def test_mixed_sequences_equal_a_plain_fold(spark):
