@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from ..sources.tables import folder
+from ..sources.tables import folder, saved
 from .base import Book
+from .summary_queries import MIXED, mixed_rows
 from .timeline_queries import REPLAY
 
 book = Book()
@@ -24,15 +25,16 @@ def stream(table: DataFrame) -> DataFrame:
 
 
 def in_parts(table: DataFrame, order: str, n: int = 3) -> DataFrame:
-    """The rows of table as a stream of n micro-batches in the order of a number column."""
+    """The rows of table as a stream of n micro-batches, one folder of files each, in the order of a number column."""
     spark = table.sparkSession
     path = f"{folder(spark)}/input-{uuid.uuid4().hex}"
     top = table.agg(F.max(order)).first()[0] or 1
-    for k in range(n):
-        low, high = top * k // n, top * (k + 1) // n
-        inside = (F.col(order) <= high) & ((F.col(order) > low) if k else F.lit(True))
-        table.filter(inside).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    part = F.greatest(F.ceil(F.col(order) * n / top), F.lit(1)).cast("int")
+    # a part is so many files that each trigger takes: their names follow the order in which they are written
+    files = spark.sparkContext.defaultParallelism
+    for k in range(1, n + 1):
+        table.filter(part == k).repartition(files).write.option("maxRecordsPerFile", 0).mode("append").parquet(f"{path}/part={k}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("basePath", path).parquet(f"{path}/part=*")
 
 
 @book.add("SELECT user_id AS ws, date_trunc('day', ts) AS start, count(*) AS n, sum(cast(floor(value) AS bigint)) AS total FROM events GROUP BY ALL", long="total")
@@ -69,18 +71,31 @@ def stream_new_edges(v):
 
 @book.add(f"WITH {REPLAY} SELECT ws, cp_id, line_no, status, s, e, confidence, first_line FROM latest")
 def stream_ledger_latest(v):
-    """Ledger lines in three micro-batches, folded into the latest of each claim."""
+    """Ledger lines in three micro-batches, folded into the latest of each claim in Spark's state."""
     log = v("v_cp_log")
-    spark = log.sparkSession
-    state = jobs.Table(spark, f"{folder(spark)}/claims-{uuid.uuid4().hex}", ["ws", "cp_id"])
-    jobs.drain_each(in_parts(log, "line_no"), folder(spark), jobs.fold_ledger(state))
-    return state.read().select("ws", "cp_id", "line_no", "status", "s", "e", "confidence", "first_line")
+    found = jobs.drain_updates(jobs.latest_claims(in_parts(log, "line_no")), ["ws", "cp_id"], folder(log.sparkSession))
+    return found.select("ws", "cp_id", "line_no", "status", "s", "e", "confidence", "first_line")
 
 
 @book.add("SELECT ws, edge_id, min(line_no) AS line_no FROM v_image_events GROUP BY ws, edge_id")
 def stream_edge_table(v):
     e = v("v_image_events")
-    spark = e.sparkSession
-    known = jobs.Table(spark, f"{folder(spark)}/edges-{uuid.uuid4().hex}", ["ws", "edge_id"])
-    jobs.drain_each(in_parts(e, "line_no"), folder(spark), jobs.fold_edges(known))
-    return known.read().select("ws", "edge_id", "line_no")
+    return jobs.drain_updates(jobs.first_edges(in_parts(e, "line_no")), ["ws", "edge_id"], folder(e.sparkSession))
+
+
+@book.add(f"WITH RECURSIVE {MIXED} SELECT ws, seq_id, line_no, status FROM mixed")
+def stream_sequences(v):
+    """Lines of sequence ledgers in three micro-batches; keyed state holds the line accepted last."""
+    rows = saved(mixed_rows(v), "rows")
+    return jobs.drain_updates(jobs.latest_sequences(in_parts(rows, "line_no")), ["ws", "seq_id"], folder(rows.sparkSession))
+
+
+@book.add("SELECT ws, CASE WHEN ws % 3 = 0 THEN 2 ELSE 1 END AS times FROM (SELECT DISTINCT ws FROM v_files)", long="times")
+def stream_changed(v):
+    """Timelines come three times: new, every third with other sizes, and once more as they are."""
+    files = v("v_files")
+    visit = files.withColumn("visit", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("size", F.when((F.col("ws") % 3 == 0) & (F.col("visit") > 1), F.col("size") + 1).otherwise(F.col("size")))
+    path = f"{folder(files.sparkSession)}/rebuilt-{uuid.uuid4().hex}"
+    rebuild = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    jobs.drain_each(jobs.changed_timelines(in_parts(visit, "visit")), folder(files.sparkSession), rebuild)
+    return files.sparkSession.read.schema("ws long, batch long").option("basePath", path).parquet(path).groupBy("ws").agg(F.count("*").alias("times"))

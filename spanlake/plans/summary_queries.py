@@ -238,10 +238,37 @@ def latest_sequences(v):
     return sequences.latest(lines(v)).select("ws", "seq_id", "line_no", "status")
 
 
-@book.add()
+#: What a line is by today's rules and by those of the older form; lines past assembled need settled claims that cover their cut, unless pinned.
+MIXED = f"""{REPLAY}, {SEQ}, sup AS (SELECT ws, cp_id, s, e, status <> 'hypothesized' AND event_id % 5 <> 0 AS good FROM latest),
+mx AS (SELECT l.*, CASE l.status WHEN 'assembled' THEN 0 WHEN 'proposed' THEN 1 ELSE 2 END AS rk, l.event_id % 37 < 9 AS legacy, l.event_id % 31 = 0 AS bare,
+    regexp_matches(seq_id, '^seq-[0-9]{{3,}}$') AND trim(intent) <> '' AND l.event_id % 29 <> 0 AND l.event_id % 31 <> 0 AND l.s < l.e AS fine, l.e <= duration AS inside, l.e <= duration + 0.5 AS near,
+    c.cp_id IS NOT NULL OR l.event_id % 31 = 0 AS known, l.status = 'assembled' OR l.event_id % 4 = 1 AND l.event_id % 8 = 1 OR coalesce(c.good AND greatest(l.s, c.s) < least(l.e, c.e)
+      AND c.s - l.s <= CASE WHEN c.s > l.s THEN least(2, 0.1 * (l.e - l.s)) ELSE 1e9 END AND l.e - c.e <= CASE WHEN c.e < l.e THEN least(2, 0.1 * (l.e - l.s)) ELSE 1e9 END, false) AS sound
+  FROM sl l LEFT JOIN sup c ON c.ws = l.ws AND c.cp_id = l.cp_id),
+mo AS MATERIALIZED (SELECT ws, seq_id, line_no, status, rk, legacy, inside AS strict, row_number() OVER (PARTITION BY ws, seq_id ORDER BY line_no) AS i FROM mx WHERE fine AND near AND known AND sound),
+fo AS (SELECT DISTINCT ws, seq_id, cast(0 AS bigint) AS i, cast(NULL AS bigint) AS line_no, cast(NULL AS varchar) AS status, -1 AS rk, true AS legacy FROM mo UNION ALL
+  SELECT ws, seq_id, i, CASE WHEN ok THEN nl ELSE line_no END, CASE WHEN ok THEN ns ELSE status END, CASE WHEN ok THEN nr ELSE rk END, CASE WHEN ok THEN ng ELSE legacy END
+  FROM (SELECT fo.ws, fo.seq_id, mo.i, fo.line_no, fo.status, fo.rk, fo.legacy, mo.line_no AS nl, mo.status AS ns, mo.rk AS nr, mo.legacy AS ng, (mo.legacy AND fo.legacy) OR (mo.strict AND mo.rk >= fo.rk) AS ok FROM fo JOIN mo ON mo.ws = fo.ws AND mo.seq_id = fo.seq_id AND mo.i = fo.i + 1)),
+mixed AS (SELECT ws, seq_id, line_no, status FROM (SELECT * FROM fo QUALIFY row_number() OVER (PARTITION BY ws, seq_id ORDER BY i DESC) = 1) WHERE line_no IS NOT NULL)"""
+
+
+def mixed_lines(v) -> tuple[DataFrame, DataFrame]:
+    """Lines of both forms, some of them pinned, and the claims as they stand."""
+    n = F.col("line_id")
+    log = lines(v).join(v("v_cp_log").select("ws", "line_no", F.col("event_id").alias("line_id")), ["ws", "line_no"])
+    pins = F.when((n % 4 == 1) & (n % 8 == 1), F.create_map(F.lit("cp"), F.lit("hash")))
+    held = claims(v).withColumn("supported", F.col("event_id") % 5 != 0)
+    return log.withColumns({"legacy": n % 37 < 9, "pins": pins}), held
+
+
+def mixed_rows(v) -> DataFrame:
+    return sequences.replay_rows(*mixed_lines(v))
+
+
+@book.add(f"WITH RECURSIVE {MIXED} SELECT ws, seq_id, line_no, status FROM mixed")
 def latest_sequences_mixed(v):
-    """With rows of the older form, which may go back; tested against a plain fold."""
-    return sequences.latest_mixed(lines(v))
+    """Lines of the older form may go back; unpinned ones past 'assembled' are judged by the claims of today."""
+    return sequences.latest_mixed(*mixed_lines(v))
 
 
 @book.add(f"WITH {REPLAY}, {SEQ} SELECT DISTINCT sr.ws, sr.line_no, sr.seq_id, sr.cp_id FROM sr WHERE event_id % 31 <> 0 AND (ws, cp_id) NOT IN (SELECT (ws, cp_id) FROM latest)")

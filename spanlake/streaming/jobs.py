@@ -1,19 +1,22 @@
 """Incremental jobs: append-only ledgers and event series followed with Structured Streaming.
 
 Each job takes a streaming DataFrame; `drain` runs one over what is there now.
-State that grows for ever (latest claims, known edges) lives in tables that
-foreachBatch renews, not in the state store.
+State is Spark's own: aggregation state where a closed form exists, else keyed
+state by `transformWithState`. Both are found again after a restart.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import images, ledger, storage
+from ..operators import ledger
 
 
 def loudness(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -46,116 +49,87 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
 
 
 def new_edges(events: DataFrame) -> DataFrame:
-    """Each edge (ws, edge_id) once, whatever is delivered twice; the state grows with the edges (see `fold_edges`)."""
+    """Each edge (ws, edge_id) once, whatever is delivered twice; the state grows with the edges."""
     return events.dropDuplicates(["ws", "edge_id"])
 
 
-#: Columns of the book of a table.
-BOOK = "version long, place string, run string, batch long, whole boolean"
+def latest_claims(lines: DataFrame) -> DataFrame:
+    """The last accepted line of each claim with first_line, as `ledger.latest`, from a stream of ledger lines (update mode).
 
+    In closed form, so that Spark's own aggregation state holds one row a
+    claim: once a settled line is there, only settled ones are accepted.
+    """
+    valid = ledger.validated(lines).filter("reason IS NULL").drop("reason")
+    order = F.struct(F.col("status").isin(*ledger.TERMINAL).alias("settled"), F.col("line_no"))
+    each = valid.groupBy("ws", "cp_id").agg(F.max_by(F.struct(*[c for c in valid.columns if c not in ("ws", "cp_id")]), order).alias("row"), F.min("line_no").alias("first_line"))
+    return each.select("ws", "cp_id", "row.*", "first_line")
 
-class Table:
-    """A table of rows by key, in versions: a write adds the rows of some keys, and reads take the last row of each key.
 
-    A batch so costs its own keys. After `most` such writes the table is
-    written whole, and reads begin there. A version is booked in `path`/book
-    when its write is whole, so a process that starts anew finds the last ones,
-    and what a lost write left behind is not read. `run` names the stream (its
-    checkpoint location) that feeds the table: of such a stream, a batch that
-    is delivered again is known. Places before the last whole one are not read
-    and may be deleted.
-    """
+def first_edges(events: DataFrame) -> DataFrame:
+    """(ws, edge_id, line_no): where each edge came first (update mode)."""
+    return events.groupBy("ws", "edge_id").agg(F.min("line_no").alias("line_no"))
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], run: str | None = None, most: int = 16):
-        self.spark, self.path, self.keys, self.run, self.most = spark, path, keys, run, most
-        spark.createDataFrame([], BOOK).write.mode("append").parquet(f"{path}/book")
-        book = spark.read.schema(BOOK).parquet(f"{path}/book")
-        start = book.filter("whole").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        held = book.filter(F.col("version") >= start).orderBy("version").select("version", "place").collect()  # at most `most` + 1 rows
-        self.places = [r["place"] for r in held]
-        self.version = held[-1]["version"] if held else 0
-        self.batch = book.filter(F.col("run") == run).agg(F.max("batch")).first()[0] if run else None
-
-    def has(self, batch: int) -> bool:
-        return self.batch is not None and batch <= self.batch
-
-    def read(self) -> DataFrame | None:
-        if not self.places:
-            return None
-        rows = self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.places])
-        if len(self.places) == 1:
-            return rows.drop("_version")
-        names = [c for c in rows.columns if c != "_version"]
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "_version").alias("row")).select("row.*")
-
-    def of(self, rows: DataFrame) -> DataFrame | None:
-        """The table's rows of the keys that `rows` have; other rows are left out before any is regrouped."""
-        if not self.places:
-            return None
-        keys = rows.select(*self.keys).distinct()
-        held = self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.places]).join(keys, self.keys, "left_semi")
-        names = [c for c in held.columns if c != "_version"]
-        return held.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "_version").alias("row")).select("row.*")
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        """Add rows: one of each key, in place of the one that the table has."""
-        self._add(rows, batch, False)
-        if len(self.places) > self.most:
-            self._add(self.read(), batch, True)
-
-    def _add(self, rows: DataFrame, batch: int, whole: bool) -> None:
-        version, place = self.version + 1, f"{self.version + 1}-{uuid.uuid4().hex}"
-        rows.withColumn("_version", F.lit(version).cast("long")).write.parquet(f"{self.path}/{place}")
-        self.spark.createDataFrame([(version, place, self.run, batch, whole)], BOOK).write.mode("append").parquet(f"{self.path}/book")
-        self.version, self.batch = version, batch if self.run else None
-        self.places = [place] if whole else [*self.places, place]
-
-
-def fold_ledger(state: Table) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: new ledger lines on top of the latest claims (keys ws, cp_id). A claim's last row says whether it is settled, so it stands for its past."""
-
-    def fold(lines: DataFrame, batch: int) -> None:
-        if state.has(batch):
-            return
-        held = state.of(lines)
-        if held is None:
-            state.write(ledger.latest(lines), batch)
-            return
-        firsts = held.select("ws", "cp_id", F.col("first_line").alias("held_first"))
-        now = ledger.latest(held.drop("first_line").unionByName(lines)).join(firsts, ["ws", "cp_id"], "left")
-        state.write(now.withColumn("first_line", F.coalesce("held_first", "first_line")).drop("held_first"), batch)
-
-    return fold
-
-
-def fold_edges(known: Table) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: unseen edges are added to the table of known ones (keys ws, edge_id), the first of each."""
-
-    def fold(lines: DataFrame, batch: int) -> None:
-        if known.has(batch):
-            return
-        held = known.of(lines)
-        known.write(images.new_edges(lines, lines.limit(0) if held is None else held), batch)
-
-    return fold
-
-
-def fold_changed(files: Table, rebuild: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: `rebuild` gets the timelines whose fingerprint differs from the one before; fingerprints are kept (key ws).
-
-    A batch holds its timelines whole. If the process dies between the two, `rebuild` gets them again.
-    """
 
-    def fold(rows: DataFrame, batch: int) -> None:
-        if files.has(batch):
-            return
-        marks = storage.fingerprint(rows)
-        held = files.of(marks)
-        changed = marks.select("ws") if held is None else storage.changed(marks, held).filter("state <> 'gone'").select("ws")
-        rebuild(rows.join(changed, "ws", "left_semi"))
-        files.write(marks.join(changed, "ws", "left_semi"), batch)
+def keyed_state(df: DataFrame) -> None:
+    """Keyed state of arbitrary kind needs Spark's RocksDB store; it is set for the session unless another is."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in df.sparkSession.conf.get(key):
+        df.sparkSession.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Replay(StatefulProcessor):
+    """Rows of `sequences.replay_rows`, keyed by (ws, seq_id): the state is the line accepted last; what changes it comes out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "rank int, legacy boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, last = self.held.get(), None
+        for x in sorted(rows, key=lambda r: r["line_no"]):
+            older = x["legacy"] and (held is None or held[1])
+            if older or (x["strict"] and (held is None or x["rank"] >= held[0])):
+                held, last = (x["rank"], x["legacy"]), x
+        if last is not None:
+            self.held.update(held)
+            yield Row(ws=key[0], seq_id=key[1], line_no=last["line_no"], status=last["status"])
+
+    def close(self) -> None:
+        pass
+
+
+def latest_sequences(rows: DataFrame) -> DataFrame:
+    """(ws, seq_id, line_no, status): as `sequences.latest_mixed`, from a stream of `sequences.replay_rows` (update mode)."""
+    keyed_state(rows)
+    kind = rows.schema["ws"].dataType.simpleString()
+    return rows.groupBy("ws", "seq_id").transformWithState(Replay(), f"ws {kind}, seq_id string, line_no long, status string", "Update", "None")
+
 
-    return fold
+class Changed(StatefulProcessor):
+    """Files (ws, path, size, mtime) keyed by ws: a timeline comes out when the digest of its files differs from the one before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mark = handle.getValueState("mark", "mark string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        files = sorted((r["path"], r["size"], str(r["mtime"])) for r in rows)
+        mark = sha256(repr(files).encode()).hexdigest()
+        held = self.mark.get()
+        if held is None or held[0] != mark:
+            self.mark.update((mark,))
+            yield Row(ws=key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def changed_timelines(files: DataFrame) -> DataFrame:
+    """(ws) of timelines whose files differ from what they were; a batch holds a timeline's files whole.
+
+    Hand it to `drain_each` with the rebuild: if the process dies in between,
+    the batch comes again.
+    """
+    keyed_state(files)
+    return files.groupBy("ws").transformWithState(Changed(), f"ws {files.schema['ws'].dataType.simpleString()}", "Update", "None")
 
 
 def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -170,6 +144,20 @@ def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def drain_updates(df: DataFrame, keys: list[str], folder: str, place: str | None = None) -> DataFrame:
+    """Run a job in update mode over what its source has now, and read the last row of each key.
+
+    Each batch's changes are files of their own: a batch that is delivered
+    again replaces them. With `place`, a folder, the next run goes on from
+    there, with Spark's state and the changes so far.
+    """
+    place = place or f"{folder}/stream-{uuid.uuid4().hex}"
+    out = lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+    df.writeStream.outputMode("update").foreachBatch(out).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).option("basePath", f"{place}/out").parquet(f"{place}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("row")).select(*keys, "row.*").select(*df.columns)
+
+
 def drain_each(df: DataFrame, folder: str, fold: Callable[[DataFrame, int], None], log: str | None = None) -> None:
     """Run a foreachBatch job over what its source has now; with `log`, a checkpoint location, it goes on from where the last run ended."""
     query = df.writeStream.foreachBatch(fold).option("checkpointLocation", log or f"{folder}/stream-{uuid.uuid4().hex}/log").trigger(availableNow=True).start()

@@ -141,8 +141,9 @@ def test_mixed_sequences_equal_a_plain_fold(spark):
     df = spark.createDataFrame(rows, "ws string, line_no long, seq_id string, intent string, status string, cuts array<struct<s:double,e:double,ord:long,cp_ids:array<string>,signals:array<string>>>, duration double, legacy boolean")
     want, held = {}, {}
     for _, k, seq, _, status, _, _, legacy in rows:
-        if legacy or sequences.RANKS[status] >= held.get(seq, -1):
-            held[seq], want[seq] = sequences.RANKS[status], (k, status)
+        rank, older = held.get(seq, (-1, True))
+        if (legacy and older) or sequences.RANKS[status] >= rank:
+            held[seq], want[seq] = (sequences.RANKS[status], legacy), (k, status)
     assert {r["seq_id"]: (r["line_no"], r["status"]) for r in sequences.latest_mixed(df).collect()} == want
 
 
@@ -240,42 +241,29 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
 
 
 def test_changed_timelines_alone_are_rebuilt(spark, tmp_path):
-    files = lambda size: spark.createDataFrame([(w, "p", size if w == 1 else 1, "2020-01-01") for w in (1, 2)], "ws long, path string, size long, mtime string")
     seen = []
-    fold = jobs.fold_changed(jobs.Table(spark, str(tmp_path / "marks"), ["ws"]), lambda rows: seen.append(sorted(r["ws"] for r in rows.collect())))
     for k, size in enumerate((1, 1, 2)):
-        fold(files(size), k)
-    assert seen == [[1, 2], [], [1]]
-
-
-def test_a_ledger_stream_goes_on_after_a_restart(spark, tmp_path):
-    rows = log(spark, [("verified", 1.0, 2.0), ("hypothesized", 3.0, 4.0), ("corrected", 5.0, 6.0)])
-    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    for k in (1, 2, 3):  # each time a new process: the table is found by its path alone
-        rows.filter(F.col("line_no") == k).write.mode("append").parquet(str(tmp_path / "in"))
-        state = jobs.Table(spark, str(tmp_path / "state"), ["ws", "cp_id"], "claims")
-        jobs.drain_each(stream(), str(tmp_path), jobs.fold_ledger(state), str(tmp_path / "log"))
-    held = jobs.Table(spark, str(tmp_path / "state"), ["ws", "cp_id"], "claims")
-    assert held.version == 3 and held.has(2) and len(held.places) == 3 and not held.has(3)
-    names = sorted(rows.columns)
-    assert held.read().select(names).collect() == ledger.latest(rows).select(names).collect()
-    jobs.fold_ledger(held)(log(spark, [("corrected", 8.0, 9.0)]), 2)  # delivered again
-    assert held.version == 3
-    assert not jobs.Table(spark, str(tmp_path / "state"), ["ws", "cp_id"], "another stream").has(0)
-
-
-def test_a_table_of_many_writes_holds_the_last_row_of_each_key(spark, tmp_path):
-    rng, want = random.Random(5), {}
-    for batch in range(7):  # written whole after each third
-        table = jobs.Table(spark, str(tmp_path / "t"), ["ws"], "run", most=2)
-        rows = {rng.randint(1, 6): rng.random() for _ in range(3)}
-        held = table.of(spark.createDataFrame([(k,) for k in rows], "ws long"))
-        assert {r["ws"]: r["x"] for r in (held.collect() if held is not None else [])} == {k: x for k, x in want.items() if k in rows}
-        table.write(spark.createDataFrame(list(rows.items()), "ws long, x double"), batch)
-        want |= rows
-        assert {r["ws"]: r["x"] for r in table.read().collect()} == want and len(table.places) <= 3
-    again = jobs.Table(spark, str(tmp_path / "t"), ["ws"], "run", most=2)
-    assert {r["ws"]: r["x"] for r in again.read().collect()} == want and again.has(6) and not again.has(7)
+        spark.createDataFrame([(w, "p", size if w == 1 else 1, "2020-01-01") for w in (1, 2)], "ws long, path string, size long, mtime string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        files = spark.readStream.schema("ws long, path string, size long, mtime string").parquet(str(tmp_path / "in"))
+        jobs.drain_each(jobs.changed_timelines(files), str(tmp_path), lambda batch, _: seen.append(sorted(r["ws"] for r in batch.collect())), str(tmp_path / "log"))
+    assert [x for x in seen if x] == [[1, 2], [1]]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """Each time a new run: Spark's state and the changes so far are found by their folder alone."""
+    rows = log(spark, [("hypothesized", 0.0, 1.0), ("verified", 1.0, 2.0), ("hypothesized", 3.0, 4.0), ("verified", 9.0, 1.0), ("corrected", 5.0, 6.0), ("hypothesized", 7.0, 8.0)])
+    steps = [("assembled", True), ("approved", True), ("proposed", True), ("assembled", False), ("proposed", False), ("assembled", True)]
+    lines = spark.createDataFrame([("w", "seq-001", k, status, sequences.RANKS[status], legacy, True) for k, (status, legacy) in enumerate(steps, 1)], "ws string, seq_id string, line_no long, status string, rank int, legacy boolean, strict boolean")
+    want = [1, 2, 3, 3, 5, 5]  # older lines go back until one of today's form is accepted
+    for k in range(1, 7):
+        for name, df in (("claims", rows), ("sequences", lines)):
+            df.filter(F.col("line_no") == k).write.mode("append").parquet(str(tmp_path / name))
+        stream = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+        got = jobs.drain_updates(jobs.latest_claims(stream("claims", rows)), ["ws", "cp_id"], "", str(tmp_path / "a"))
+        names = sorted(rows.columns)
+        assert got.select(names).collect() == ledger.latest(rows.filter(F.col("line_no") <= k)).select(names).collect()
+        got = jobs.drain_updates(jobs.latest_sequences(stream("sequences", lines)), ["ws", "seq_id"], "", str(tmp_path / "b"))
+        assert [r["line_no"] for r in got.collect()] == [want[k - 1]]
 
 
 def test_segments_are_cut_at_pauses_and_numbered(spark):
@@ -429,3 +417,25 @@ def test_qualifiers(spark):
     got = {(r["clause"], r["term"]) for r in knowledge.qualifier_drops(only, rows, ["likely"]).collect()}
     assert got == {("**facts stand", "facts"), ("the  sign  here", "sign")}
     assert spark.range(1).select(tx.lifted(F.lit("a (b (c) d) e) (f"))).first()[0] == ["a   e) (f", "c", "b   d"]
+
+
+def test_lines_past_assembled_need_claims_that_carry_them(spark):
+    cuts = "array<struct<s:double,e:double,ord:long,cp_ids:array<string>,signals:array<string>>>"
+    cut = lambda *ids, s=0.0, e=10.0: (s, e, 1, list(ids), ["x"])
+    cases = [("approved", [cut("good")], None, True), ("approved", [cut("weak")], None, False), ("approved", [cut("weak")], {"weak": "h"}, True), ("approved", [cut("open")], None, False), ("approved", [cut()], None, False),
+             ("assembled", [cut()], None, True), ("assembled", [cut("none")], None, False), ("approved", [cut("good", s=0.0, e=19.0)], None, False), ("approved", [cut("good", "next", s=0.0, e=19.0)], None, True), ("approved", [cut("next")], None, False)]
+    rows = [("w", k, f"seq-{k:03d}", "x", status, c, 30.0, False, pins) for k, (status, c, pins, _) in enumerate(cases)]
+    lines = spark.createDataFrame(rows, f"ws string, line_no long, seq_id string, intent string, status string, cuts {cuts}, duration double, legacy boolean, pins map<string,string>")
+    held = [("good", "verified", True, 0.0, 10.0), ("weak", "verified", False, 0.0, 10.0), ("open", "hypothesized", True, 0.0, 10.0), ("next", "corrected", True, 10.0, 20.0)]
+    claims = spark.createDataFrame([("w", *c) for c in held], "ws string, cp_id string, status string, supported boolean, s double, e double")
+    assert sorted(r["line_no"] for r in sequences.latest_mixed(lines, claims).collect()) == [k for k, c in enumerate(cases) if c[3]]
+
+
+def test_shapes_of_sequence_lines(spark):
+    alt = "array<struct<s:double,e:double,reason:string>>"
+    rows = [(None, None, None), ([(0.0, 1.0, "why")], ["me"], {"cp": "h"}), ([(0.0, 99.0, "why")], [], {}), ([(0.0, 1.0, " ")], [], {}), ([], [""], {}), ([], [], {"cp": " "}), ([(2.0, 1.0, "why")], None, None), ([None], None, None)]
+    df = spark.createDataFrame([(k, 9.0, *r) for k, r in enumerate(rows)], f"k int, duration double, alternatives {alt}, overrides array<string>, pins map<string,string>")
+    assert [r[0] for r in df.orderBy("k").select(sequences.shape_reason()).collect()] == [None, None, "alternative_span", "alternative_reason", "override", "pin", "alternative_span", "alternative_span"]
+    refs = ["cp-1", "a\nb", " ", "a\x0cb", "tab\tis fine", "a\ufffe", "\u2028", None]
+    df = spark.createDataFrame([(k, [r]) for k, r in enumerate(refs)] + [(8, []), (9, None)], "k int, refs array<string>")
+    assert [r[0] for r in df.orderBy("k").select(sequences.good_refs(F.col("refs"))).collect()] == [True, False, False, False, True, False, False, False, True, True]
