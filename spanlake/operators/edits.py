@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import frame_clock, nominal_rate, srt_ts
+from . import scans
 from .spans import band_join, merge_spans, overlap_join, overlaps, subtract
 
 SEQ = ["ws", "seq_id"]
@@ -17,20 +18,18 @@ def cut_edges(cuts: DataFrame) -> DataFrame:
     return cuts.select("ws", F.explode(F.array(F.round("s", 3), F.round("e", 3))).alias("t")).distinct()
 
 
-def word_alignment(edges: DataFrame, words: DataFrame, width: float = 8.0) -> DataFrame:
+def word_alignment(edges: DataFrame, words: DataFrame, width: float = 8.0, piece: float = scans.SECONDS) -> DataFrame:
     """edges (ws, t) with in_word, prev_end, next_start, gap, tail_gap from words (ws, s, e, word).
 
     in_word: the first word (by s, e, word) with s < t < e. prev_end: the greatest end up to t,
-    next_start: the least start from t, both found in one sorted pass over words
-    and edges. gap and tail_gap (6 digits) are null inside a word.
+    next_start: the least start from t, both found in sorted passes over words
+    and edges, in pieces of `piece` seconds. gap and tail_gap (6 digits) are null inside a word.
     """
-    ends = words.select("ws", F.col("e").alias("t"), F.lit(0).alias("kind"))
-    at = edges.select("ws", "t", F.lit(1).alias("kind"))
-    starts = words.select("ws", F.col("s").alias("t"), F.lit(2).alias("kind"))
-    order = Window.partitionBy("ws").orderBy("t", "kind")
-    before = F.last(F.when(F.col("kind") == 0, F.col("t")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("kind") == 2, F.col("t")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    around = ends.union(at).union(starts).withColumn("prev_end", before).withColumn("next_start", after).filter("kind = 1").drop("kind")
+    row = lambda df, t, kind: df.select("ws", t.alias("t"), F.lit(kind).alias("kind"))
+    marks = row(words, F.col("e"), 0).union(row(edges, F.col("t"), 1)).union(row(words, F.col("s"), 2))
+    order, where = ["t", "kind"], scans.cut(F.col("t"), piece)
+    ended = scans.filled(marks, "prev_end", F.when(F.col("kind") == 0, F.col("t")), order, where, ["ws"])
+    around = scans.filled(ended, "next_start", F.when(F.col("kind") == 2, F.col("t")), order, where, ["ws"], after=True).filter("kind = 1").drop("kind")
     inside = overlap_join(edges.select("ws", F.col("t").alias("s"), (F.col("t") + 1e-9).alias("e"), "t"), words.select("ws", F.col("s").alias("rs"), F.col("e").alias("re"), "word"), width).filter("rs < t AND t < re")
     held = inside.groupBy("ws", "t").agg(F.min_by("word", F.struct("rs", "re", "word")).alias("in_word"))
     out = around.join(held, ["ws", "t"], "left")

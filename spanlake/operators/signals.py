@@ -8,28 +8,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 
-def loud_spans(loud: DataFrame, dt: float = 0.5, gap: int = 1, top: int = 5) -> DataFrame:
+
+def loud_spans(loud: DataFrame, dt: float = 0.5, gap: int = 1, top: int = 5, piece: float = scans.ROWS) -> DataFrame:
     """The `top` loudest spans (ws, s, e, score, peak_db) of each video's series (ws, idx, t, db; idx from 0, t = idx dt).
 
     Windows at or over max(lower 75 % order statistic, median + 3) join over at
     most `gap` windows between them and are padded by one window; score is the
-    sum of what exceeds the median. Fewer than 4 finite values: none.
+    sum of what exceeds the median. Fewer than 4 finite values: none. Values
+    are ranked by their counts, in pieces of one decibel; runs are found in
+    pieces of `piece` windows.
     """
     hot = loud.filter("db IS NOT NULL AND NOT isnan(db)")
-    rank = F.row_number().over(Window.partitionBy("ws").orderBy("db", "idx"))
-    counted = hot.withColumn("rank", rank).withColumn("n", F.count("*").over(Window.partitionBy("ws")))
-    p75 = F.max(F.when(F.col("rank") == F.floor(0.75 * (F.col("n") - 1)) + 1, F.col("db")))
-    middle = F.avg(F.when((F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2) + 1), F.col("db")))
-    limits = counted.groupBy("ws").agg(F.count("*").alias("n"), p75.alias("p75"), middle.alias("median")).filter("n >= 4").select("ws", "median", F.greatest("p75", F.col("median") + 3.0).alias("limit"))
+    counts = hot.groupBy("ws", "db").agg(F.count("*").alias("n"))
+    upto = scans.running(counts, "upto", F.col("n"), ["db"], scans.cut(F.greatest(F.least("db", F.lit(1e6)), F.lit(-1e6)), 1.0), ["ws"])
+    ranked = upto.join(counts.groupBy("ws").agg(F.sum("n").alias("all")), "ws")
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("db")))
+    n = F.col("all")
+    middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    limits = ranked.groupBy("ws", "all").agg(at(F.floor(0.75 * (n - 1)) + 1).alias("p75"), middle.alias("median")).filter(n >= 4).select("ws", "median", F.greatest("p75", F.col("median") + 3.0).alias("limit"))
     ends = loud.groupBy("ws").agg(F.max("idx").alias("most"))
-    order = Window.partitionBy("ws").orderBy("idx")
     over = hot.join(limits, "ws").filter("db >= limit")
-    new = F.coalesce((F.col("idx") - F.lag("idx").over(order) > gap + 1).cast("int"), F.lit(1))
-    numbered = over.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("ws", "run").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.round(F.sum(F.col("db") - F.col("median")), 1).alias("score"), F.round(F.max("db"), 1).alias("peak_db"))
+    numbered = scans.runs(over, ["idx"], lambda a, b: b["idx"] - a["idx"] > gap + 1, ["idx"], scans.cut(F.col("idx"), piece), ["ws"])
+    spans = numbered.groupBy("ws", "run").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.round(F.sum(F.col("db") - F.col("median")), 1).alias("score"), F.round(F.max("db"), 1).alias("peak_db"))
     first, last = F.greatest(F.col("a") - 1, F.lit(0)), F.least(F.col("b") + 1, F.col("most"))
-    spans = runs.join(ends, "ws").select("ws", F.round(first * dt, 3).alias("s"), F.round(last * dt + dt, 3).alias("e"), "score", "peak_db")
+    spans = spans.join(ends, "ws").select("ws", F.round(first * dt, 3).alias("s"), F.round(last * dt + dt, 3).alias("e"), "score", "peak_db")
     best = F.row_number().over(Window.partitionBy("ws").orderBy(F.desc("score"), "s"))
     return spans.withColumn("place", best).filter(F.col("place") <= top).drop("place")
 
@@ -90,15 +94,14 @@ def confirm_by_color(scenes: DataFrame, color: DataFrame, width: float = 0.75, l
     return scenes.join(near, ["ws", "t"], "left").withColumn("color", F.coalesce("color", F.lit(0.0))).withColumn("color_confirmed", F.col("color") >= least)
 
 
-def audio_events(hits: DataFrame, length: float = 1.5, gap: float = 2.0) -> DataFrame:
-    """Runs (ws, label, s, e, peak_conf) of hits (ws, label, t, conf).
+def audio_events(hits: DataFrame, length: float = 1.5, gap: float = 2.0, piece: float = scans.SECONDS) -> DataFrame:
+    """Runs (ws, label, s, e, peak_conf) of hits (ws, label, t, conf), in pieces of `piece` seconds.
 
     A hit extends the event just before it, whatever its label, only if the
     label is the same and it begins at most `gap` after that event's end.
     """
-    order = Window.partitionBy("ws").orderBy("t", "label", "conf")
-    same = (F.lag("label").over(order) == F.col("label")) & (F.col("t") - F.round(F.lag("t").over(order) + length, 2) <= gap)
-    numbered = hits.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = lambda a, b: (a["label"] != b["label"]) | (b["t"] - F.round(a["t"] + length, 2) > gap)
+    numbered = scans.runs(hits, ["label", "t"], changed, ["t", "label", "conf"], scans.cut(F.col("t"), piece), ["ws"])
     return numbered.groupBy("ws", "run", "label").agg(F.min("t").alias("s"), F.round(F.max("t") + length, 2).alias("e"), F.max("conf").alias("peak_conf")).drop("run")
 
 
@@ -109,30 +112,25 @@ def screen_samples(lines: DataFrame, least: float = 0.3) -> DataFrame:
     return lines.filter(F.col("conf") >= least).groupBy("ws", "t").agg(F.trim(F.array_join(F.transform(placed, lambda x: x["line"]), " ")).alias("text"))
 
 
-def screen_text_spans(samples: DataFrame, every: float) -> DataFrame:
-    """Runs (ws, s, e, text) of equal text over the non-blank samples (ws, t, text, duration); blanks do not break a run."""
+def screen_text_spans(samples: DataFrame, every: float, piece: float = scans.SECONDS) -> DataFrame:
+    """Runs (ws, s, e, text) of equal text over the non-blank samples (ws, t, text, duration), in pieces of `piece` seconds; blanks do not break a run."""
     lines = samples.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter("text <> ''")
-    order = Window.partitionBy("ws").orderBy("t")
-    numbered = lines.withColumn("new", (F.coalesce(F.lag("text").over(order) != F.col("text"), F.lit(True))).cast("int")).withColumn("run", F.sum("new").over(order))
+    numbered = scans.runs(lines, ["text"], lambda a, b: a["text"] != b["text"], ["t", "text"], scans.cut(F.col("t"), piece), ["ws"])
     return numbered.groupBy("ws", "run", "text").agg(F.min("t").alias("s"), F.max(F.least(F.col("t") + every, F.col("duration"))).alias("e")).select("ws", "s", "e", "text")
 
 
-def active_regions(motion: DataFrame, dt: float, dwell: float = 1.0) -> DataFrame:
-    """Runs (ws, s, e, roi) of the region with most motion (ws, idx, t, roi, roi_order, motion), first region on ties.
+def active_regions(motion: DataFrame, dt: float, dwell: float = 1.0, piece: float = scans.SECONDS) -> DataFrame:
+    """Runs (ws, s, e, roi) of the region with most motion (ws, idx, t, roi, roi_order, motion), first region on ties, in pieces of `piece` seconds.
 
     Runs shorter than `dwell` join the run kept before them; the first run always stays.
     """
     best = motion.groupBy("ws", "idx", "t").agg(F.min_by("roi", F.struct(-F.col("motion"), F.col("roi_order"))).alias("roi"))
-
-    def runs(rows: DataFrame, order: str) -> DataFrame:
-        w = Window.partitionBy("ws").orderBy(order)
-        new = F.coalesce(F.lag("roi").over(w) != F.col("roi"), F.lit(True)).cast("int")
-        return rows.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    first = runs(best, "idx").groupBy("ws", "run", "roi").agg(F.min("t").alias("s"), (F.max("t") + dt).alias("e"))
+    other = lambda a, b: a["roi"] != b["roi"]
+    first = scans.runs(best, ["roi"], other, ["idx"], scans.cut(F.col("t"), piece), ["ws"]).groupBy("ws", "run", "roi").agg(F.min("t").alias("s"), (F.max("t") + dt).alias("e"))
     kept = F.when((F.col("run") == 1) | (F.col("e") - F.col("s") >= dwell), F.col("roi"))
-    absorbed = first.withColumn("roi", F.last(kept, ignorenulls=True).over(Window.partitionBy("ws").orderBy("run")))
-    return runs(absorbed.drop("run"), "s").groupBy("ws", "run", "roi").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("ws", "s", "e", "roi")
+    absorbed = scans.filled(first, "roi", kept, ["run"], scans.cut(F.col("s"), piece), ["ws"])
+    again = scans.runs(absorbed.drop("run"), ["roi"], other, ["s"], scans.cut(F.col("s"), piece), ["ws"])
+    return again.groupBy("ws", "run", "roi").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("ws", "s", "e", "roi")
 
 
 def hellinger(p: str, q: str):
@@ -141,10 +139,10 @@ def hellinger(p: str, q: str):
     return F.sqrt(F.greatest(F.lit(0.0), 1 - shared))
 
 
-def color_distance(series: DataFrame) -> DataFrame:
-    """(ws, idx, distance) of each histogram (ws, idx, hist) from the one before."""
-    before = series.withColumn("before", F.lag("hist").over(Window.partitionBy("ws").orderBy("idx")))
-    return before.filter("before IS NOT NULL").select("ws", "idx", hellinger("before", "hist").alias("distance"))
+def color_distance(series: DataFrame, piece: float = scans.ROWS) -> DataFrame:
+    """(ws, idx, distance) of each histogram (ws, idx, hist) from the one before, in pieces of `piece` numbers."""
+    paired = scans.before(series, "before", F.col("hist"), ["idx"], scans.cut(F.col("idx"), piece), ["ws"])
+    return paired.filter("before IS NOT NULL").select("ws", "idx", hellinger("before", "hist").alias("distance"))
 
 
 def hs_histogram(frames: DataFrame, bins: tuple[int, int] = (36, 32)) -> DataFrame:

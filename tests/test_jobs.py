@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanlake.functions import labels as lb
 from spanlake.functions import text as tx
 from spanlake.functions import times as tm
-from spanlake.operators import images, knowledge, ledger, search, sequences, signals, spans, summary, transcript
+from spanlake.operators import edits, images, knowledge, ledger, search, sequences, signals, spans, summary, transcript
 from spanlake.sources import readers
 from spanlake.sources.adapters import view
 from spanlake.sources.tables import folder, saved
@@ -439,3 +439,23 @@ def test_shapes_of_sequence_lines(spark):
     refs = ["cp-1", "a\nb", " ", "a\x0cb", "tab\tis fine", "a\ufffe", "\u2028", None]
     df = spark.createDataFrame([(k, [r]) for k, r in enumerate(refs)] + [(8, []), (9, None)], "k int, refs array<string>")
     assert [r[0] for r in df.orderBy("k").select(sequences.good_refs(F.col("refs"))).collect()] == [True, False, False, False, True, False, False, False, True, True]
+
+
+def test_pieces_of_any_size_give_the_same_rows(spark, tiny):
+    """Scans of long recordings: cut into pieces of a row or two, of a minute, and not at all."""
+    rng = random.Random(12)
+    hits = [(w, rng.choice("ab"), k * 1.5 + rng.choice([0, 2, 40]), rng.random()) for w in "xy" for k in range(120)]
+    hits = spark.createDataFrame(hits, "ws string, label string, t double, conf double")
+    loud = spark.createDataFrame([(w, k, k / 2, None if k % 13 == 0 else float(rng.choice([-60, -50, -50, -20, -10, rng.uniform(-60, 0)]))) for w in "xy" for k in range(150)], "ws string, idx int, t double, db double")
+    motion = spark.createDataFrame([(w, k, k / 4, roi, n, float(rng.randint(0, 3))) for w in "xy" for k in range(150) for n, roi in enumerate("lr")], "ws string, idx int, t double, roi string, roi_order int, motion double")
+    hist = spark.createDataFrame([(w, k, [p, 1 - p]) for w in "xy" for k in range(0, 200, 3) for p in [rng.random()]], "ws string, idx int, hist array<double>")
+    edges = spark.createDataFrame([(w, rng.randint(0, 400) / 4) for w in "xy" for _ in range(60)], "ws string, t double").distinct()
+    words = spark.createDataFrame([(w, s, s + rng.choice([0.5, 1.0, 7.0]), f"w{k}") for w in "xy" for k in range(50) for s in [rng.randint(0, 380) / 4]], "ws string, s double, e double, word string")
+    text = hits.select("ws", "t", F.when(F.col("conf") < 0.2, " ").otherwise(F.col("label")).alias("text"), F.lit(300.0).alias("duration"))
+    jobs_ = {
+        "audio": lambda p: signals.audio_events(hits, piece=p), "loud": lambda p: signals.loud_spans(loud, top=99, piece=p), "text": lambda p: signals.screen_text_spans(text, 2.0, piece=p),
+        "regions": lambda p: signals.active_regions(motion, 0.25, piece=p), "color": lambda p: signals.color_distance(hist, piece=p), "words": lambda p: edits.word_alignment(edges, words, piece=p),
+    }
+    for name, job in jobs_.items():
+        whole, *parts = (sorted(map(repr, job(p).collect())) for p in (1e9, 60.0, 1.25))
+        assert len(whole) > 8 and all(x == whole for x in parts), name
