@@ -28,8 +28,8 @@ def word_alignment(edges: DataFrame, words: DataFrame, width: float = 8.0, piece
     row = lambda df, t, kind: df.select("ws", t.alias("t"), F.lit(kind).alias("kind"))
     marks = row(words, F.col("e"), 0).union(row(edges, F.col("t"), 1)).union(row(words, F.col("s"), 2))
     order, where = ["t", "kind"], scans.cut(F.col("t"), piece)
-    ended = scans.filled(marks, "prev_end", F.when(F.col("kind") == 0, F.col("t")), order, where, ["ws"])
-    around = scans.filled(ended, "next_start", F.when(F.col("kind") == 2, F.col("t")), order, where, ["ws"], after=True).filter("kind = 1").drop("kind")
+    ends, starts = {"prev_end": F.when(F.col("kind") == 0, F.col("t"))}, {"next_start": F.when(F.col("kind") == 2, F.col("t"))}
+    around = scans.filled(marks, ends, starts, order, where, ["ws"]).filter("kind = 1").drop("kind")
     inside = overlap_join(edges.select("ws", F.col("t").alias("s"), (F.col("t") + 1e-9).alias("e"), "t"), words.select("ws", F.col("s").alias("rs"), F.col("e").alias("re"), "word"), width).filter("rs < t AND t < re")
     held = inside.groupBy("ws", "t").agg(F.min_by("word", F.struct("rs", "re", "word")).alias("in_word"))
     out = around.join(held, ["ws", "t"], "left")

@@ -142,7 +142,7 @@ def rewrite_map(moves: DataFrame) -> DataFrame:
 
 
 #: Pairs of labels that one group solves, at most.
-GROUP = 100_000
+GROUP = 500_000
 
 
 def first_leaders(pairs: pd.DataFrame) -> pd.DataFrame:

@@ -35,17 +35,23 @@ def running(rows: DataFrame, name: str, amount: Column, order: list[str], piece:
     return both.withColumn(name, F.col(_INNER) + F.col(_CARRY)).drop(_PIECE, _NEW, _INNER, _CARRY)
 
 
-def filled(rows: DataFrame, name: str, value: Column, order: list[str], piece: Column, keys: list[str], after: bool = False) -> DataFrame:
-    """rows with `name`: the last value that is not null up to each row, itself included, or the first from it on (`after`)."""
-    inner = rows.withColumn(_PIECE, piece).withColumn(_NEW, value)
-    pick, near = (F.min_by, F.first) if after else (F.max_by, F.last)
-    ends = inner.groupBy(*keys, _PIECE).agg(pick(_NEW, F.when(F.col(_NEW).isNotNull(), F.struct(*order))).alias(_CARRY))
-    others = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
-    own = (0, Window.unboundedFollowing) if after else (Window.unboundedPreceding, 0)
-    carried = near(_CARRY, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(*others))
-    inside = near(_NEW, ignorenulls=True).over(Window.partitionBy(*keys, _PIECE).orderBy(*order).rowsBetween(*own))
-    both = inner.withColumn(_INNER, inside).join(ends.withColumn(_CARRY, carried), [*keys, _PIECE])
-    return both.withColumn(name, F.coalesce(_INNER, _CARRY)).drop(_PIECE, _NEW, _INNER, _CARRY)
+def filled(rows: DataFrame, last: dict[str, Column], first: dict[str, Column], order: list[str], piece: Column, keys: list[str]) -> DataFrame:
+    """rows with a column for each name of `last`: the last value that is not null up to each row, itself included; and of `first`: the first from it on."""
+    values = {**last, **first}
+    inner = rows.withColumn(_PIECE, piece).withColumns({f"{_NEW}_{c}": x for c, x in values.items()})
+    new = lambda c: F.col(f"{_NEW}_{c}")
+    at = lambda c: F.when(new(c).isNotNull(), F.struct(*order))
+    ends = inner.groupBy(*keys, _PIECE).agg(*[(F.max_by if c in last else F.min_by)(new(c), at(c)).alias(f"{_CARRY}_{c}") for c in values])
+    by_key, own = Window.partitionBy(*keys).orderBy(_PIECE), Window.partitionBy(*keys, _PIECE).orderBy(*order)
+
+    def near(c: str, x: Column, w: Window, inside: bool) -> Column:
+        if c in last:
+            return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0 if inside else -1))
+        return F.first(x, ignorenulls=True).over(w.rowsBetween(0 if inside else 1, Window.unboundedFollowing))
+
+    carried = ends.select(*keys, _PIECE, *[near(c, F.col(f"{_CARRY}_{c}"), by_key, False).alias(f"{_CARRY}_{c}") for c in values])
+    both = inner.withColumns({f"{_NEW}_{c}": near(c, new(c), own, True) for c in values}).join(carried, [*keys, _PIECE])
+    return both.withColumns({c: F.coalesce(new(c), F.col(f"{_CARRY}_{c}")) for c in values}).drop(_PIECE, *[f"{x}_{c}" for c in values for x in (_NEW, _CARRY)])
 
 
 def before(rows: DataFrame, name: str, value: Column, order: list[str], piece: Column, keys: list[str]) -> DataFrame:

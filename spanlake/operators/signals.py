@@ -128,7 +128,7 @@ def active_regions(motion: DataFrame, dt: float, dwell: float = 1.0, piece: floa
     other = lambda a, b: a["roi"] != b["roi"]
     first = scans.runs(best, ["roi"], other, ["idx"], scans.cut(F.col("t"), piece), ["ws"]).groupBy("ws", "run", "roi").agg(F.min("t").alias("s"), (F.max("t") + dt).alias("e"))
     kept = F.when((F.col("run") == 1) | (F.col("e") - F.col("s") >= dwell), F.col("roi"))
-    absorbed = scans.filled(first, "roi", kept, ["run"], scans.cut(F.col("s"), piece), ["ws"])
+    absorbed = scans.filled(first, {"roi": kept}, {}, ["run"], scans.cut(F.col("s"), piece), ["ws"])
     again = scans.runs(absorbed.drop("run"), ["roi"], other, ["s"], scans.cut(F.col("s"), piece), ["ws"])
     return again.groupBy("ws", "run", "roi").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("ws", "s", "e", "roi")
 
