@@ -86,21 +86,23 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with at most about so many bytes of text, and their texts (null: '').
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about so many bytes in a text or binary column; a longer value makes a slice of its own: it is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
-    A text longer than that makes a slice of its own: it is never cut.
-    """
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """`by_bytes` of Arrow batches, each slice with its texts (null: '')."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < batch.num_rows:
-            done = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + chars, side="right")))
-            part = batch.slice(at, to - at)
+        for part in by_bytes(batch, text, chars):
             yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
-            at = to
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

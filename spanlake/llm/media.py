@@ -14,14 +14,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, record_batch
+from .common import by_bytes, materialize, pieces, record_batch
 
 SIDE = 24
 SAMPLE = SIDE * SIDE
@@ -234,8 +234,30 @@ def track_of(data: bytes, found: dict[bytes, tuple[int, int]]) -> Track:
     return Track(codec, length / scale if rate else 0.0, offsets, sizes, keys, shown / scale)
 
 
-def fragment_samples(data: bytes, start: int, moof: int, defaults: dict[int, tuple], clock: dict[int, int], runs: list[tuple[int, int]]) -> tuple[int, list[tuple]]:
-    """(track, [(offset, size, duration, shown, sync)]) of one track fragment: tfhd at `start`, its trun boxes in `runs`."""
+def base_time(data: bytes, found: tuple[int, int]) -> int:
+    """When a fragment's first sample is decoded, by its tfdt box."""
+    box_ = Reader(data, *found)
+    return box_.one(">Q" if box_.flags()[0] == 1 else ">I")
+
+
+def edit_shift(data: bytes, found: dict[bytes, tuple[int, int]], movie_rate: int) -> float:
+    """Seconds that a track's times move by its edit list: later by the empty edits at its start, earlier by where its first other edit begins. Later edits are not followed."""
+    if b"elst" not in found:
+        return 0.0
+    head, box_ = Reader(data, *found[b"mdhd"]), Reader(data, *found[b"elst"])
+    head.take(">QQ" if head.flags()[0] == 1 else ">II")
+    rate, wide, delay = head.one(">I") or 1, box_.flags()[0] == 1, 0
+    for _ in range(box_.one(">I")):
+        lasts, begins = box_.take(">Qq" if wide else ">Ii")
+        box_.take(">I")
+        if begins >= 0:
+            return delay / (movie_rate or 1) - begins / rate
+        delay += lasts
+    return 0.0
+
+
+def fragment_samples(data: bytes, start: int, moof: int, defaults: dict[int, tuple], clock: dict[int, int], runs: list[tuple[int, int]], timed: tuple[int, int] | None = None) -> tuple[int, list[tuple]]:
+    """(track, [(offset, size, duration, shown, sync)]) of one track fragment: tfhd at `start`, its trun boxes in `runs`, its tfdt box `timed`; without that it follows the one before."""
     head = Reader(data, start, len(data))
     flags = head.flags()[1]
     track = head.one(">I")
@@ -245,7 +267,7 @@ def fragment_samples(data: bytes, start: int, moof: int, defaults: dict[int, tup
     duration = head.one(">I") if flags & 8 else duration
     size = head.one(">I") if flags & 16 else size
     bits = head.one(">I") if flags & 32 else bits
-    out, at, now = [], base, clock.get(track, 0)
+    out, at, now = [], base, clock.get(track, 0) if timed is None else base_time(data, timed)
     for a, b in runs:
         run = Reader(data, a, b)
         version, flags = run.flags()
@@ -272,8 +294,8 @@ def tracks(data: bytes) -> list[Track | None]:
     """All tracks in order, with the samples of movie fragments after those of their tables; null for one that is broken."""
     found: list[dict[bytes, tuple[int, int]]] = []
     defaults: dict[int, tuple] = {}
-    fragments: list[tuple[int, int, list[tuple[int, int]]]] = []
-    moof = 0
+    fragments: list[list] = []  # of each: where its tfhd is, where its moof begins, its runs, its tfdt
+    moof = movie_rate = 0
     try:
         for path, start, end in boxes(data):
             if path == (b"moov", b"trak"):
@@ -288,7 +310,13 @@ def tracks(data: bytes) -> list[Track | None]:
             elif path == (b"moof",):
                 moof = start - (8 if data[start - 4 : start] == b"moof" else 16)
             elif path == (b"moof", b"traf", b"tfhd"):
-                fragments.append((start, moof, []))
+                fragments.append([start, moof, [], None])
+            elif path == (b"moof", b"traf", b"tfdt") and fragments:
+                fragments[-1][3] = start, end
+            elif path == (b"moov", b"mvhd"):
+                box_ = Reader(data, start, end)
+                box_.take(">QQ" if box_.flags()[0] == 1 else ">II")
+                movie_rate = box_.one(">I")
             elif path == (b"moof", b"traf", b"trun") and fragments:
                 fragments[-1][2].append((start, end))
     except ValueError:
@@ -306,25 +334,33 @@ def tracks(data: bytes) -> list[Track | None]:
             out.append(track_of(data, boxes_))
         except ValueError:
             out.append(None)
-    clock: dict[int, int] = {}
-    in_tables = [t.seconds if t is not None and len(t.sizes) else 0.0 for t in out]
-    for start, moof, runs in fragments:
+    rates, clock = {}, {}
+    for number, k in numbers.items():
+        if (t := out[k]) is not None:
+            head = Reader(data, *found[k][b"mdhd"])
+            head.take(">QQ" if head.flags()[0] == 1 else ">II")
+            rates[number] = head.one(">I") or 1
+            clock[number] = round(t.seconds * rates[number]) if len(t.sizes) else 0  # fragments follow what is in the tables
+    for start, moof, runs, timed in fragments:
         try:
-            track, samples = fragment_samples(data, start, moof, defaults, clock, runs)
+            track, samples = fragment_samples(data, start, moof, defaults, clock, runs, timed)
         except ValueError:
             continue
-        t = out[numbers[track]] if track in numbers else None
+        t = out[numbers[track]] if track in rates else None
         if t is None or not samples:
             continue
         at, size, lasts, shown, sync = (np.array(x) for x in zip(*samples, strict=True))
-        head = Reader(data, *found[numbers[track]][b"mdhd"])
-        head.take(">QQ" if head.flags()[0] == 1 else ">II")
-        rate = head.one(">I") or 1
-        base = in_tables[numbers[track]]
         out[numbers[track]] = Track(
-            t.codec, (t.seconds if len(t.sizes) else 0.0) + float(lasts.sum()) / rate, np.r_[t.offsets, at], np.r_[t.sizes, size],
-            np.r_[t.keys, len(t.sizes) + np.flatnonzero(sync)].astype(np.int64), np.r_[t.times, base + shown / rate],
+            t.codec, (t.seconds if len(t.sizes) else 0.0) + float(lasts.sum()) / rates[track], np.r_[t.offsets, at], np.r_[t.sizes, size],
+            np.r_[t.keys, len(t.sizes) + np.flatnonzero(sync)].astype(np.int64), np.r_[t.times, shown / rates[track]],
         )
+    for k, t in enumerate(out):
+        try:
+            shift = edit_shift(data, found[k], movie_rate) if t is not None else 0.0
+        except ValueError:
+            shift = 0.0
+        if shift:
+            out[k] = replace(t, times=t.times + shift)
     return out
 
 
@@ -386,8 +422,7 @@ def describe(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_bytes(batch, "media"):
                 rows = [row(*x) for x in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
                 yield record_batch(schema, *(list(c) for c in zip(*rows, strict=True)))
 

@@ -205,11 +205,11 @@ def be(kind, *x):
     return np.array(x, kind).tobytes()
 
 
-def movie(tables, number=1, rate=1000, extra=b"", length=2500):
+def movie(tables, number=1, rate=1000, extra=b"", length=2500, of_track=b""):
     """moov with one track of the given sample tables."""
     head = media.full(b"tkhd", 3, be(">u4", 0, 0, number, 0, 0))
     mdia = media.box(b"mdia", media.full(b"mdhd", 0, be(">u4", 0, 0, rate, length)), media.box(b"minf", media.box(b"stbl", *tables)))
-    return media.box(b"moov", media.box(b"trak", head, mdia), extra)
+    return media.box(b"moov", media.box(b"trak", head, of_track, mdia), extra)
 
 
 ENTRY = media.full(b"stsd", 0, be(">u4", 1), media.box(b"avc1", bytes(28)))
@@ -266,6 +266,28 @@ def test_fragments_and_tracks():
     assert len(both) == 1 and len(both[0].sizes) == 0 and media.index(media.box(b"moov", second)) is None
 
 
+def test_times_of_fragments_and_edits():
+    """A fragment's own base time counts, fragments without one follow on, and edit lists move all times."""
+    trex = media.box(b"mvex", media.full(b"trex", 0, be(">u4", 1, 1, 40, 3, 0x10000)))
+    empty = [ENTRY, *[media.full(k, 0, be(">u4", 0)) for k in (b"stts", b"stsc", b"stco")], media.full(b"stsz", 0, be(">u4", 0, 0))]
+
+    def fragment(*timed):
+        make = lambda n: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", 0x20000, be(">u4", 1)), *timed, media.full(b"trun", 0x1 | 0x4, be(">u4", 2, n, 0))))
+        return make(len(make(0)) + 8) + media.box(b"mdat", b"abcdef")
+
+    base = lambda t: media.full(b"tfdt", 0, be(">u4", t))
+    wide = media.full(b"tfdt", 1 << 24, be(">u8", 60_000))
+    data = movie(empty, extra=trex, length=0) + fragment(base(50_000)) + fragment() + fragment(wide)
+    track = media.index(data)
+    assert np.allclose(track.times, [50, 50.04, 50.08, 50.12, 60, 60.04]) and [k[2] for k in track.keyframes()] == [50.0, 50.08, 60.0]
+    assert abs(track.seconds - 0.24) < 1e-9
+    mvhd = media.full(b"mvhd", 0, be(">u4", 0, 0, 600, 0))
+    for edits, shift in (([(300, 0xFFFFFFFF), (600, 40)], 0.5 - 0.04), ([(600, 80)], -0.08), ([(300, 0xFFFFFFFF)], 0.0), ([], 0.0)):
+        elst = media.box(b"edts", media.full(b"elst", 0, be(">u4", len(edits), *[x for a, b in edits for x in (a, b, 0x10000)])))
+        moved = media.index(movie(empty, extra=mvhd + trex, length=0, of_track=elst) + fragment(base(0)))
+        assert np.allclose(moved.times, [shift, 0.04 + shift])
+
+
 def test_unreadable_rows_are_null(spark):
     rows = [(1, 3, bytearray(media.pack(b"x" * 576))), (2, 0, None), (3, 0, bytearray(b"")), (4, 5, bytearray(b"plain")), (None, 3, bytearray(media.pack(b"x" * 576)[:-1]))]
     found = {r["doc_id"]: r for r in media.describe(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
