@@ -22,26 +22,33 @@ def transcript_support(claims: DataFrame, refs: DataFrame, segments: DataFrame)
     return claims.select("ws", "cp_id").join(found, ["ws", "cp_id"], "left").select("ws", "cp_id", F.coalesce("ok", F.lit(False)).alias("transcript_support"))
 
 
-def visual_issue() -> Column:
-    """Why an image (tracked, kind, decodable, timestamps, t, span_s, span_e) does not support [s, e), null if it does."""
+def visual_issues() -> Column:
+    """array of reasons why an image (tracked, kind, decodable, timestamps, t, span_s, span_e) does not support [s, e), empty if it does.
+
+    An image that cannot be decoded, or is not there, is that alone; all others
+    that apply are told: untracked, filmstrip, and time_unavailable or outside_span.
+    """
     inside = lambda t: (F.col("s") <= t) & (t < F.col("e"))
     timed = (
         F.when(F.size("timestamps") > 0, F.exists("timestamps", inside))
         .when(F.col("t").isNotNull(), inside(F.col("t")))
         .when(F.col("span_s").isNotNull() & F.col("span_e").isNotNull(), overlaps(F.col("s"), F.col("e"), F.col("span_s"), F.col("span_e")))
     )
-    return (
-        F.when(F.col("tracked").isNull() | ~F.col("tracked"), "untracked")
-        .when(~F.coalesce("decodable", F.lit(False)), "undecodable")
-        .when(F.coalesce(F.col("kind") == "filmstrip", F.lit(False)), "filmstrip")
-        .when(timed.isNull(), "time_unavailable")
-        .when(~timed, "outside_span")
-    )
+    found = F.array(
+        F.when(~F.coalesce("tracked", F.lit(False)), "untracked"), F.when(F.coalesce(F.col("kind") == "filmstrip", F.lit(False)), "filmstrip"),
+        F.when(timed.isNull(), "time_unavailable").when(~timed, "outside_span"),
+    )
+    unseen = F.when(F.col("tracked").isNull() & F.coalesce("decodable", F.lit(False)), F.array(F.lit("untracked")))
+    return unseen.when(~F.coalesce("decodable", F.lit(False)), F.array(F.lit("undecodable"))).otherwise(F.array_compact(found))
 
 
 def visual_evidence(claims: DataFrame, refs: DataFrame, images: DataFrame) -> DataFrame:
-    """(ws, cp_id, path, issue) of every visual reference (ws, cp_id, path); issue is null where the image supports the claim."""
-    return claims.select("ws", "cp_id", "s", "e").join(refs, ["ws", "cp_id"]).join(images, ["ws", "path"], "left").select("ws", "cp_id", "path", visual_issue().alias("issue"))
+    """(ws, cp_id, path, issue): a row for each fault of a visual reference (ws, cp_id, path), one with a null issue where the image supports the claim.
+
+    images has a row for each file that is there; tracked is null where no event names it.
+    """
+    each = claims.select("ws", "cp_id", "s", "e").join(refs, ["ws", "cp_id"]).join(images, ["ws", "path"], "left")
+    return each.select("ws", "cp_id", "path", F.explode_outer(visual_issues()).alias("issue"))
 
 
 def modality(visual: Column, transcript: Column) -> Column:

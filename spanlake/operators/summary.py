@@ -173,9 +173,9 @@ def tail_candidates(videos: DataFrame, points: int = 5, span: float = 2.5, margi
 
 
 def tail_stability(pairs: DataFrame) -> DataFrame:
-    """(ws, t): the tail candidate most like a neighbour, the later on ties; pairs (ws, t, ssim) with ssim to the next candidate."""
+    """(ws, t): the tail candidate most like a neighbour, the later on ties; pairs (ws, t, ssim) with ssim to the next candidate, null where it could not be measured. Without any measure there is no row."""
     w = Window.partitionBy("ws").orderBy("t")
-    best = pairs.withColumn("best", F.greatest(F.coalesce("ssim", F.lit(-1.0)), F.coalesce(F.lag("ssim").over(w), F.lit(-1.0))))
+    best = pairs.withColumn("best", F.greatest("ssim", F.lag("ssim").over(w))).filter("best IS NOT NULL")
     return best.groupBy("ws").agg(F.max_by("t", F.struct("best", "t")).alias("t"))
 
 
@@ -185,6 +185,17 @@ def keywords(tags: str | Column, labels: str | Column, first: int = 6, cap: int
 
 
 def index_rows(rows: DataFrame, limit_bytes: int, share: float = 0.6) -> DataFrame:
-    """rows (grp, ws, name, line) in order of name, with folded: whether the lines of all together exceed the share of the limit and only groups are listed."""
-    total = rows.agg(F.sum(F.octet_length("line"))).first()[0] or 0
-    return rows.select("grp", "ws", "name", F.lit(total > share * limit_bytes).alias("folded")).orderBy("name")
+    """Rows of a corpus index (kind, grp, name, line, folded): analysed videos, then those that wait, of rows (grp, name, line, pending).
+
+    Where the lines of the analysed ones exceed the share of the limit together
+    they fold to a line per group, with how many it has; those that wait are
+    listed by name either way.
+    """
+    ready = rows.filter("NOT pending")
+    total = ready.agg((F.coalesce(F.sum(F.octet_length("line")), F.lit(0)) > share * limit_bytes).alias("folded"))
+    folded = total.scalar()
+    each = ready.withColumn("folded", folded)
+    shown = each.filter("NOT folded").select(F.lit("video").alias("kind"), "grp", "name", "line", "folded")
+    groups = each.filter("folded").groupBy("grp", "folded").agg(F.count("*").alias("n")).select(F.lit("group").alias("kind"), "grp", F.col("grp").alias("name"), F.concat_ws(" ", F.col("grp"), F.col("n").cast("string")).alias("line"), "folded")
+    waiting = rows.filter("pending").withColumn("folded", folded).select(F.lit("pending").alias("kind"), "grp", "name", F.lit(None).cast("string").alias("line"), "folded")
+    return shown.unionByName(groups).unionByName(waiting)

@@ -95,19 +95,22 @@ REFS = """refs AS (SELECT ws, cp_id, 0 AS ref, CASE WHEN event_id % 9 = 0 THEN '
   UNION ALL SELECT ws, cp_id, 1, 'number', cast(floor(s / 6) AS bigint) + 1 FROM latest WHERE event_id % 7 <> 0 AND event_id % 3 = 0),
 segs AS (SELECT ws, 'number' AS id_kind, idx AS id_key, 6e0 * idx AS s, 6e0 * idx + 5.5e0 AS e FROM v_loud WHERE db IS NOT NULL)"""
 IMAGES = """imgrefs AS (SELECT ws, cp_id, concat('frames/', cast(cast(s AS bigint) // 4 AS varchar), '.jpg') AS path FROM latest WHERE event_id % 5 <> 0),
-imgs AS (SELECT ws, concat('frames/', cast(idx AS varchar), '.jpg') AS path, idx % 6 <> 0 AS tracked, CASE WHEN idx % 10 = 3 THEN 'filmstrip' ELSE 'frame' END AS kind, idx % 11 <> 0 AS decodable,
-  CASE WHEN idx % 4 = 0 THEN NULL ELSE 4e0 * idx + (idx % 5) END AS t FROM v_loud)"""
+imgs AS (SELECT ws, concat('frames/', cast(idx AS varchar), '.jpg') AS path, CASE WHEN idx % 13 <> 0 THEN idx % 6 <> 0 END AS tracked, CASE WHEN idx % 10 = 3 THEN 'filmstrip' ELSE 'frame' END AS kind, idx % 11 <> 0 AS decodable,
+  CASE WHEN idx % 7 = 2 THEN [4e0 * idx + (idx % 5), 4e0 * idx + 9] ELSE [] END AS stamps, CASE WHEN idx % 4 = 0 THEN NULL ELSE 4e0 * idx + (idx % 5) END AS t,
+  CASE WHEN idx % 8 = 4 THEN 4e0 * idx + (idx % 3) END AS span_s, CASE WHEN idx % 8 = 4 THEN 4e0 * idx + (idx % 3) + 2 END AS span_e FROM v_loud)"""
 LEVELS = f"""{REFS}, {IMAGES},
 tr AS (SELECT ws, cp_id, bool_and(ok) AS ok FROM (SELECT l.ws, l.cp_id, r.ref, bool_or(coalesce(greatest(l.s, g.s) < least(l.e, g.e), false)) AS ok FROM latest l JOIN refs r USING (ws, cp_id) LEFT JOIN segs g ON g.ws = r.ws AND g.id_kind = r.id_kind AND g.id_key = r.id_key GROUP BY ALL) GROUP BY ws, cp_id),
-vis AS (SELECT l.ws, l.cp_id, r.path, CASE WHEN i.tracked IS NULL OR NOT i.tracked THEN 'untracked' WHEN NOT i.decodable THEN 'undecodable' WHEN i.kind = 'filmstrip' THEN 'filmstrip' WHEN i.t IS NULL THEN 'time_unavailable' WHEN NOT (l.s <= i.t AND i.t < l.e) THEN 'outside_span' END AS issue
-  FROM latest l JOIN imgrefs r USING (ws, cp_id) LEFT JOIN imgs i ON i.ws = r.ws AND i.path = r.path),
+vis AS (SELECT ws, cp_id, path, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS issue FROM (SELECT l.ws, l.cp_id, r.path, CASE WHEN i.path IS NULL OR NOT i.decodable THEN ['undecodable'] WHEN i.tracked IS NULL THEN ['untracked'] ELSE list_filter([CASE WHEN NOT i.tracked THEN 'untracked' END, CASE WHEN i.kind = 'filmstrip' THEN 'filmstrip' END,
+  CASE WHEN len(i.stamps) > 0 THEN CASE WHEN len([x FOR x IN i.stamps IF l.s <= x AND x < l.e]) = 0 THEN 'outside_span' END WHEN i.t IS NOT NULL THEN CASE WHEN NOT (l.s <= i.t AND i.t < l.e) THEN 'outside_span' END
+    WHEN i.span_s IS NOT NULL THEN CASE WHEN NOT greatest(l.s, i.span_s) < least(l.e, i.span_e) THEN 'outside_span' END ELSE 'time_unavailable' END], lambda x: x IS NOT NULL) END AS x
+  FROM latest l JOIN imgrefs r USING (ws, cp_id) LEFT JOIN imgs i ON i.ws = r.ws AND i.path = r.path)),
 vs AS (SELECT ws, cp_id, bool_or(issue IS NULL) AS ok FROM vis GROUP BY ws, cp_id),
-levels AS (SELECT l.ws, l.cp_id, l.status, l.has_ve, coalesce(tr.ok, false) AS transcript_support, coalesce(vs.ok, false) AS visual_support FROM latest l LEFT JOIN tr USING (ws, cp_id) LEFT JOIN vs USING (ws, cp_id)),
+levels AS (SELECT l.ws, l.cp_id, l.status, l.has_ve, l.event_id, coalesce(tr.ok, false) AS transcript_support, coalesce(vs.ok, false) AS visual_support FROM latest l LEFT JOIN tr USING (ws, cp_id) LEFT JOIN vs USING (ws, cp_id)),
 lev AS (SELECT *, CASE WHEN transcript_support AND visual_support THEN 'cross_modal' WHEN visual_support THEN 'visual_only' WHEN transcript_support THEN 'transcript_only' ELSE 'unsupported' END AS level FROM levels),
 settled AS (SELECT * FROM lev WHERE status <> 'hypothesized'),
 issues AS (SELECT ws, cp_id, 'missing_support' AS code, NULL AS artifact FROM settled WHERE level = 'unsupported'
   UNION ALL SELECT vis.ws, vis.cp_id, concat('visual_', issue), path FROM vis JOIN settled s ON s.ws = vis.ws AND s.cp_id = vis.cp_id WHERE issue IS NOT NULL
-  UNION ALL SELECT ws, cp_id, 'correction_note_missing', NULL FROM settled WHERE status = 'corrected'
+  UNION ALL SELECT ws, cp_id, 'correction_note_missing', NULL FROM settled WHERE status = 'corrected' AND event_id % 3 <> 0
   UNION ALL SELECT ws, cp_id, 'legacy_unstructured', NULL FROM settled WHERE has_ve = 1 AND level = 'unsupported')"""
 
 
@@ -121,13 +124,15 @@ def grounded(v):
     segs = loud.filter("db IS NOT NULL").select("ws", F.lit("number").alias("id_kind"), F.col("idx").cast("long").alias("id_key"), (F.col("idx") * 6.0).alias("s"), (F.col("idx") * 6.0 + 5.5).alias("e"))
     refs = c.filter(F.col("event_id") % 5 != 0).select("ws", "cp_id", F.concat(F.lit("frames/"), F.floor(F.col("s") / 4).cast("string"), F.lit(".jpg")).alias("path"))
     idx = F.col("idx")
+    begin = F.when(idx % 8 == 4, idx * 4.0 + idx % 3)
     images = loud.select(
-        "ws", F.concat(F.lit("frames/"), idx.cast("string"), F.lit(".jpg")).alias("path"), (idx % 6 != 0).alias("tracked"), F.when(idx % 10 == 3, "filmstrip").otherwise("frame").alias("kind"),
-        (idx % 11 != 0).alias("decodable"), F.array().cast("array<double>").alias("timestamps"), F.when(idx % 4 != 0, idx * 4.0 + idx % 5).alias("t"), F.lit(None).cast("double").alias("span_s"), F.lit(None).cast("double").alias("span_e"),
+        "ws", F.concat(F.lit("frames/"), idx.cast("string"), F.lit(".jpg")).alias("path"), F.when(idx % 13 != 0, idx % 6 != 0).alias("tracked"), F.when(idx % 10 == 3, "filmstrip").otherwise("frame").alias("kind"),
+        (idx % 11 != 0).alias("decodable"), F.when(idx % 7 == 2, F.array(idx * 4.0 + idx % 5, idx * 4.0 + 9)).otherwise(F.array().cast("array<double>")).alias("timestamps"), F.when(idx % 4 != 0, idx * 4.0 + idx % 5).alias("t"),
+        begin.alias("span_s"), (begin + 2).alias("span_e"),
     )
     visual = evidence.visual_evidence(c, refs, images)
     visual = saved(visual, "visual")
-    levels = evidence.support_levels(c.withColumns({"note": F.lit(None).cast("string"), "legacy": F.col("has_ve") == 1}), evidence.transcript_support(c, one.unionByName(two), segs), visual)
+    levels = evidence.support_levels(c.withColumns({"note": F.when(F.col("event_id") % 3 == 0, "why").when(F.col("event_id") % 3 == 1, " "), "legacy": F.col("has_ve") == 1}), evidence.transcript_support(c, one.unionByName(two), segs), visual)
     return levels, visual
 
 

@@ -11,9 +11,14 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of this process only where none is set (local tests)."""
+    """spark.checkpoint.dir, which all executors share. Only a local session without one (tests) gets a folder of this process; on a cluster its lack is an error.
+
+    Tables that jobs write there are not removed by them: that is left to the folder's owner.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         found = _own[0]
