@@ -10,7 +10,7 @@ from ..operators import edits, knowledge, projections, search, summary
 from ..sources.tables import folder, saved
 from .base import Book
 from .edit_queries import claims, refs
-from .text_queries import names, terms
+from .text_queries import WORDS, names, terms
 from .timeline_queries import LEVELS, REPLAY, grounded
 from .summary_queries import TOLD, told
 
@@ -36,9 +36,26 @@ def search_docs(v):
     return all_docs(v, every_screen(v)).groupBy("family", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
-@book.add()
+#: Each document stands twice: for queries of one word, which search no windows, and for the others.
+EVERYWHERE = f"""{REPLAY}, l3 AS (SELECT *, lead(s, 1) OVER w AS s1, lead(e, 1) OVER w AS e1, lead(text, 1) OVER w AS t1, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2, lead(text, 2) OVER w AS t2 FROM v_seg WINDOW w AS (PARTITION BY ws ORDER BY pos)),
+a0 AS (SELECT 'transcript' AS family, concat('t-', ws, '-', pos) AS doc, ws, 'transcript' AS source, s, e, text, CAST([] AS STRUCT(s DOUBLE, e DOUBLE, text VARCHAR)[]) AS members FROM v_seg UNION ALL
+  SELECT 'transcript', concat('w-', ws, '-', pos), ws, 'window', s, CASE WHEN s2 - e1 <= 5 THEN e2 ELSE e1 END, CASE WHEN s2 - e1 <= 5 THEN concat_ws(' ', text, t1, t2) ELSE concat_ws(' ', text, t1) END,
+    CASE WHEN s2 - e1 <= 5 THEN [{{'s': s, 'e': e, 'text': text}}, {{'s': s1, 'e': e1, 'text': t1}}, {{'s': s2, 'e': e2, 'text': t2}}] ELSE [{{'s': s, 'e': e, 'text': text}}, {{'s': s1, 'e': e1, 'text': t1}}] END FROM l3 WHERE s1 - e <= 5 UNION ALL
+  SELECT 'understanding', concat('c-', ws, '-', cp_id), ws, 'checkpoint', s, e, hypothesis, [] FROM latest UNION ALL SELECT 'screen', concat('o-', ws, '-', s), ws, 'ocr', s, s + 2, concat('sign ', role), [] FROM v_seg),
+d AS (SELECT concat(family, '/', n) AS family, doc, text, lower(strip_accents(text)) AS folded FROM a0, range(1, 3) r(n) WHERE n = 2 OR len(members) = 0),
+{WORDS[WORDS.index("ln AS (") :]},
+kq AS (SELECT query, sum(times) AS k, list({{'term': term, 'times': times}}) AS ts FROM q GROUP BY query),
+al AS (SELECT a.*, ts FROM (SELECT * FROM bm UNION ALL SELECT * FROM sb) a JOIN kq USING (query) WHERE suffix(family, CASE WHEN k = 1 THEN '/1' ELSE '/2' END)),
+nw AS (SELECT query, family, al.place, al.doc, ws, CASE WHEN len(members) > 0 THEN 'transcript' ELSE source END AS source, CASE WHEN len(members) > 0 THEN members[list_position(n, list_max(n))].s ELSE s END AS s, CASE WHEN len(members) > 0 THEN members[list_position(n, list_max(n))].e ELSE e END AS e
+  FROM (SELECT al.*, a0.ws, a0.source, a0.s, a0.e, members, [list_sum([t.times * (length(m.text) - length(replace(m.text, t.term, ''))) / length(t.term) FOR t IN ts]) FOR m IN members] AS n FROM al JOIN a0 USING (doc)) al),
+fi AS (SELECT *, row_number() OVER (PARTITION BY query, family ORDER BY place, doc) AS own FROM (SELECT *, row_number() OVER (PARTITION BY query, ws, source, s, e ORDER BY place, doc) AS r FROM nw) WHERE r = 1),
+fu AS (SELECT query, ws, source, s, e, round(sum(1 / (60 + own)), 4) AS score FROM fi GROUP BY ALL)"""
+
+
+@book.add(f"WITH {EVERYWHERE} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ws, source, s, e) AS place FROM fu) WHERE place <= 10")
 def search_with_windows(v):
-    """Corpus search over all families, window hits narrowed to the member that says most of the query."""
+    """Corpus search over all families, window hits narrowed to the member that says most of the query; one-word queries search no windows."""
+    v.keep("v_event")
     found = all_docs(v, every_screen(v)).withColumn("folded", tx.fold(F.col("text")))
     d = saved(found.repartition(found.sparkSession.sparkContext.defaultParallelism * 2), "docs")
     return search.search(d, terms(v), 10)
