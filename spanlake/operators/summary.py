@@ -35,9 +35,20 @@ def video_facts(videos: DataFrame, segments: DataFrame, scenes: DataFrame | None
     return out.withColumn("speech_ratio", F.when(F.col("duration") > 0, F.round(F.least(F.col("spoken") / F.col("duration"), F.lit(1.0)), 4)).otherwise(F.lit(0.0))).drop("spoken")
 
 
-def brief(facts: DataFrame, readiness: DataFrame) -> DataFrame:
-    """One summary row per video: facts, mode, readiness."""
-    return facts.withColumn("mode", content_mode()).join(readiness.drop("duration"), "ws", "left")
+def heads(rows: DataFrame, name: str, item: Column, order: list, most: int) -> DataFrame:
+    """(ws, name, name_total): the first `most` items of each video's rows in order, and how many there are."""
+    place = F.row_number().over(Window.partitionBy("ws").orderBy(*order))
+    placed = rows.select("ws", place.alias("place"), item.alias("item"))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "item"))))
+    return placed.groupBy("ws").agg(F.transform(first, lambda x: x["item"]).alias(name), F.count("*").alias(f"{name}_total"))
+
+
+def brief(facts: DataFrame, readiness: DataFrame, *parts: DataFrame) -> DataFrame:
+    """One summary row per video: facts, mode, readiness, and the columns of `parts` (ws, ...), such as `heads` of bursts, scenes, events, gaps, chapters, intent hits, or the hotwords' drift; null where a part lacks the video."""
+    out = facts.withColumn("mode", content_mode()).join(readiness.drop("duration"), "ws", "left")
+    for part in parts:
+        out = out.join(part, "ws", "left")
+    return out
 
 
 def video_summary(facts: DataFrame, ready: DataFrame, levels: DataFrame, narratives: DataFrame, length: int = 80) -> DataFrame:

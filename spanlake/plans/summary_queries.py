@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, knowledge, sequences, signals, summary, transcript
+from ..operators import evidence, knowledge, projections, search, sequences, signals, spans, summary, transcript
 from ..sources.tables import folder, saved
 from .base import Book
 from .text_queries import LEADERS, names
-from .timeline_queries import COVERAGE, HITS, REPLAY, SUPPORT, claims, grounded
+from .timeline_queries import COVERAGE, HITS, LOUDEST, REPLAY, SUPPORT, claims, grounded
 from .timeline_queries import ready as ready_by_support
 
 book = Book()
 
-FACTS = f"""{HITS}, sc AS (SELECT ws, count(*) AS n FROM hits GROUP BY ws), sg AS (SELECT ws, count(*) AS n, sum(e - s) AS sp, count(*) FILTER (CASE WHEN conf IS NOT NULL THEN conf < 0.6 ELSE logprob < -1 OR no_speech_prob > 0.5 END) AS u FROM v_seg GROUP BY ws),
+FACTS = f"""{HITS}, {LOUDEST}, hl AS (SELECT ws, count(*) AS n FROM lsp GROUP BY ws), sc AS (SELECT ws, count(*) AS n FROM hits GROUP BY ws), sg AS (SELECT ws, count(*) AS n, sum(e - s) AS sp, count(*) FILTER (CASE WHEN conf IS NOT NULL THEN conf < 0.6 ELSE logprob < -1 OR no_speech_prob > 0.5 END) AS u FROM v_seg GROUP BY ws),
 oc AS (SELECT ws, count(*) AS n FROM v_hits WHERE label = 'view' GROUP BY ws),
-fc AS (SELECT v.ws, v.duration, coalesce(sg.n, 0) AS segments, coalesce(sg.u, 0) AS uncertain, coalesce(sc.n, 0) AS scenes, CAST(NULL AS BIGINT) AS highlights, coalesce(oc.n, 0) AS ocr_spans, round(least(coalesce(sp, 0) * 10 / duration, 1), 4) AS speech_ratio
-  FROM v_videos v LEFT JOIN sg USING (ws) LEFT JOIN sc USING (ws) LEFT JOIN oc USING (ws)),
-md AS (SELECT *, CASE WHEN speech_ratio < 0.35 AND ocr_spans / (duration / 60) >= 5 AND ocr_spans >= 5 THEN 'caption-led' WHEN segments = 0 AND ocr_spans > 0 THEN 'silent with text' WHEN segments = 0 THEN 'silent'
+fc AS (SELECT v.ws, v.duration, coalesce(sg.n, 0) AS segments, coalesce(sg.u, 0) AS uncertain, coalesce(sc.n, 0) AS scenes, coalesce(hl.n, 0) AS highlights, coalesce(oc.n, 0) AS ocr_spans, round(least(coalesce(sp, 0) * 10 / duration, 1), 4) AS speech_ratio
+  FROM v_videos v LEFT JOIN sg USING (ws) LEFT JOIN sc USING (ws) LEFT JOIN oc USING (ws) LEFT JOIN hl USING (ws)),
+md AS (SELECT *, CASE WHEN speech_ratio < 0.35 AND ocr_spans / (duration / 60) >= 5 AND ocr_spans >= 5 THEN 'caption-led' WHEN segments = 0 AND scenes <= 1 AND highlights = 0 THEN 'loop' WHEN segments = 0 AND ocr_spans > 0 THEN 'silent with text' WHEN segments = 0 THEN 'silent'
   WHEN speech_ratio >= 0.35 AND ocr_spans > 0 THEN 'text-on-screen' WHEN speech_ratio < 0.35 THEN 'visual-led' ELSE 'speech-led' END AS mode FROM fc)"""
 
 
 def facts(v):
+    v.keep("v_event")
     hits = signals.scene_hits(v("v_scene"), 0.25)
     seg = v("v_seg").withColumn("e", F.col("s") + (F.col("e") - F.col("s")) * 10)  # long segments, so that all modes occur
-    return summary.video_facts(v("v_videos"), seg, hits, None, v("v_hits").filter("label = 'view'"))
+    return summary.video_facts(v("v_videos"), seg, hits, signals.loud_spans(v("v_loud")), v("v_hits").filter("label = 'view'"))
 
 
 @book.add(f"WITH {FACTS} SELECT * FROM md")
@@ -32,10 +33,39 @@ def content_mode(v):
     return facts(v).withColumn("mode", summary.content_mode())
 
 
-@book.add(COVERAGE.rstrip() + f", {FACTS} SELECT md.*, s.* EXCLUDE (ws) FROM md LEFT JOIN status s ON s.ws = md.ws")
+#: A question that claims and transcripts are searched for, and how its words stand without their particle.
+QUESTION, ASKED = "What do purchases and the erroring views say?", ["what", "do", "purchase", "and", "the", "error", "view", "say"]
+HEADS = f"""ae AS (SELECT ws, label, min(t) AS s, round(max(t) + 1.5, 2) AS e FROM (SELECT *, sum(nw) OVER (PARTITION BY ws ORDER BY t, label, conf ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, CASE WHEN lag(label) OVER w = label AND t - round(lag(t) OVER w + 1.5, 2) <= 2.0 THEN 0 ELSE 1 END AS nw FROM v_hits WINDOW w AS (PARTITION BY ws ORDER BY t, label, conf))) GROUP BY ws, run, label),
+b1 AS (SELECT ws, (list(concat(s, '-', e, ' ', score) ORDER BY score DESC, s))[1:3] AS bursts, count(*) AS bursts_total FROM lsp GROUP BY ws), b2 AS (SELECT ws, (list(concat(t, '') ORDER BY t))[1:5] AS scene_times, count(*) AS scene_times_total FROM hits GROUP BY ws),
+b3 AS (SELECT ws, (list(concat(label, ' ', s, '-', e) ORDER BY e - s DESC, s, label))[1:3] AS events, count(*) AS events_total FROM ae GROUP BY ws), b4 AS (SELECT ws, (list(concat(s, '-', e) ORDER BY s))[1:5] AS open_spans, count(*) AS open_spans_total FROM gap GROUP BY ws),
+b5 AS (SELECT ws, [concat(75 * i, ' part ', i) FOR i IN range(6)] AS chapters, 8 AS chapters_total FROM v_videos WHERE ws % 2 = 0), b6 AS (SELECT ws, CASE WHEN ws % 3 = 0 THEN NULL WHEN ws % 5 = 0 THEN 'legacy' WHEN ws % 2 = 0 THEN 'same' ELSE 'changed' END AS drift FROM v_videos),
+b7 AS (SELECT ws, (list(cp_id ORDER BY first_line, cp_id))[1:3] AS asked_claims FROM latest WHERE {" OR ".join(f"contains(lower(concat(cp_id, ' ', hypothesis)), '{x}')" for x in ASKED)} GROUP BY ws)"""
+
+
+@book.add(COVERAGE.rstrip() + f""", {FACTS}, {HEADS} SELECT md.*, s.* EXCLUDE (ws), bursts, bursts_total, scene_times, scene_times_total, events, events_total, open_spans, open_spans_total, chapters, chapters_total, drift, asked_claims
+  FROM md LEFT JOIN status s ON s.ws = md.ws LEFT JOIN b1 ON b1.ws = md.ws LEFT JOIN b2 ON b2.ws = md.ws LEFT JOIN b3 ON b3.ws = md.ws LEFT JOIN b4 ON b4.ws = md.ws LEFT JOIN b5 ON b5.ws = md.ws LEFT JOIN b6 ON b6.ws = md.ws LEFT JOIN b7 ON b7.ws = md.ws""", long="chapters_total")
 def brief(v):
-    status = evidence.coverage_status(claims(v), v("v_videos"))
-    return summary.brief(facts(v), status)
+    """A row per video: facts, readiness, top signals, gaps, chapters, drift of hotwords, and claims that a question is about."""
+    v.keep("v_event")
+    held, videos, text = claims(v), v("v_videos"), F.concat
+    start, number = F.col("s").cast("string"), lambda c: F.col(c).cast("string")
+    span = text(start, F.lit("-"), number("e"))
+    chapters = videos.filter("ws % 2 = 0").select("ws", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    made = videos.select("ws", F.when(F.col("ws") % 3 == 0, "captions").otherwise("whisper").alias("source"), (F.col("ws") % 5 != 0).alias("stamped"), F.when(F.col("ws") % 2 == 0, "alpha beta gamma").otherwise("delta gamma").alias("hotwords"), F.lit("").alias("rejected"), F.lit("gamma").alias("prior"))
+    told = held.select("ws", F.col("first_line").alias("pos"), F.col("first_line").alias("s"), F.lower(F.concat_ws(" ", "cp_id", "hypothesis")).alias("folded"), "cp_id")
+    question = videos.limit(1).select(F.lit(0).alias("query"), F.explode(search.intent_terms(F.lit(QUESTION), ["s", "ing"])).alias("term"))
+    asked = search.intent_hits(told, question, 3, by_count=False).join(told.select("ws", "pos", "cp_id"), ["ws", "pos"])
+    return summary.brief(
+        facts(v), evidence.coverage_status(held, videos),
+        summary.heads(signals.loud_spans(v("v_loud")), "bursts", text(span, F.lit(" "), number("score")), [F.desc("score"), "s"], 3),
+        summary.heads(signals.scene_hits(v("v_scene"), 0.25), "scene_times", number("t"), ["t"], 5),
+        summary.heads(signals.audio_events(v("v_hits")), "events", text(F.col("label"), F.lit(" "), span), [F.desc(F.col("e") - F.col("s")), "s", "label"], 3),
+        summary.heads(spans.coverage_gaps(held, videos), "open_spans", span, ["s"], 5),
+        summary.heads(chapters, "chapters", text((F.col("k") * 75).cast("string"), F.lit(" part "), number("k")), ["k"], 6),
+        projections.hotword_drift(made, "alpha beta"),
+        summary.heads(asked, "asked_claims", F.col("cp_id"), ["pos"], 3).drop("asked_claims_total"),
+    )
 
 
 @book.add(f"WITH {FACTS} SELECT mode, label AS tag, count(*) AS hits FROM v_hits h JOIN md ON md.ws = h.ws GROUP BY ALL")
