@@ -63,6 +63,12 @@ def reason_slug(reason: Column, cap: int = 40) -> Column:
     return F.when(short == "", F.lit("")).otherwise(F.concat(F.lit("-"), short))
 
 
+def entity_slug(label: Column, cap: int = 80) -> Column:
+    """A label as a file name: what paths and links cannot hold becomes _, blanks at the ends go; _ where nothing is left. Case and letters stay."""
+    named = F.substring(strip(F.regexp_replace(label, r'[\\/:*?"<>|#\[\]^\n]', "_")), 1, cap)
+    return F.when(named == "", F.lit("_")).otherwise(named)
+
+
 def tag_format(tag: Column) -> Column:
     """A tag without blanks: those inside become hyphens."""
     return F.regexp_replace(F.regexp_replace(tag, r"^\s+|\s+$", ""), r"\s+", "-")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_suffix
+from ..functions.text import clean_metadata_text, strip_suffix
 
 
 def harvest(corrections: DataFrame, suffixes: list[str], verb_ends: list[str], least: int = 2) -> DataFrame:
@@ -17,11 +17,33 @@ def harvest(corrections: DataFrame, suffixes: list[str], verb_ends: list[str], l
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     stems = lambda c: F.array_distinct(F.transform(words(c), lambda w: strip_suffix(w, suffixes)))
     new = F.array_except(stems(F.col("corrected")), stems(F.col("asr")))
-    ends = "(" + "|".join(verb_ends) + ")$"
-    good = F.filter(new, lambda w: (F.length(w) >= least) & w.rlike(r"^[\p{L}\p{N}]+$") & ~w.rlike(ends))
+    good = F.filter(new, lambda w: good_term(w, verb_ends, least))
     return corrections.filter(~F.col("corrected").rlike(r"^\s*\(")).select("ws", F.explode(good).alias("term")).groupBy("ws", "term").agg(F.count("*").alias("n"))
 
 
+def good_term(word: Column, verb_ends: list[str], least: int = 2) -> Column:
+    """Whether a word can be a term: letters and digits alone, `least` of them or more, without a verb's ending."""
+    return (F.length(word) >= least) & word.rlike(r"^[\p{L}\p{N}]+$") & ~word.rlike("(" + "|".join(verb_ends) + ")$")
+
+
+def flat_glossary(words: DataFrame, suffixes: list[str], verb_ends: list[str], legacy: str = "legacy") -> DataFrame:
+    """(term, ws, n): a flat list of words (word), as glossaries were once kept, gated as harvested terms are: each once, under the legacy mark."""
+    stems = words.select(strip_suffix(F.col("word"), suffixes).alias("term")).filter(good_term(F.col("term"), verb_ends)).distinct()
+    return stems.select("term", F.lit(legacy).alias("ws"), F.lit(1).cast("long").alias("n"))
+
+
+def glossary_change(store: DataFrame, merged: DataFrame) -> DataFrame:
+    """(added, total): how many terms a merge brought in, and how many there are."""
+    new = merged.select("term").distinct().join(store.select("term").distinct().withColumn("old", F.lit(True)), "term", "left")
+    return new.agg(F.count_if(F.col("old").isNull()).alias("added"), F.count("*").alias("total"))
+
+
+def prior_words(text: Column, stop: list[str]) -> Column:
+    """Distinct content words of metadata in order of appearance: runs of two or more digits, Latin or Hangul letters, without noise, numbers and stop words (lower case)."""
+    words = F.regexp_extract_all(clean_metadata_text(text), F.lit("[0-9A-Za-z가-힣]{2,}"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.rlike("^[0-9]+$") & ~F.lower(w).isin(*stop)))
+
+
 def merge_glossary(store: DataFrame, harvested: DataFrame, legacy: str = "legacy") -> DataFrame:
     """(term, ws, n): counts of harvested timelines replace their old ones, others stay; the legacy mark goes where a real source exists."""
     renewed = harvested.select("ws").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import times as tm
 from ..operators import edits, images, signals, storage, terms
+from ..sources import readers
 from ..sources.tables import saved
 from .base import Book
 from .timeline_queries import HITS, LOUDEST, REPLAY, SUPPRESSED, claims, islands_sql
@@ -348,10 +349,27 @@ inc AS MATERIALIZED (SELECT cast(ws AS varchar) AS ws, term, n FROM hv WHERE ws
 mg AS MATERIALIZED (SELECT term, ws, n FROM kept WHERE ws <> 'legacy' UNION ALL SELECT k.term, k.ws, k.n FROM kept k ANTI JOIN (SELECT DISTINCT term FROM kept WHERE ws <> 'legacy') r ON r.term = k.term WHERE k.ws = 'legacy')"""
 
 
-def merged(v):
+def glossaries(v):
     h = harvested(v).withColumn("w", F.col("ws")).withColumn("ws", F.col("ws").cast("string"))
     store = h.filter("w % 2 = 0").select("ws", "term", (F.col("n") + 1).alias("n")).union(h.filter("length(term) % 3 = 0").select(F.lit("legacy"), "term", F.lit(1).cast("long")).distinct())
-    return terms.merge_glossary(store, h.filter("w % 3 = 0"))
+    return store, h.filter("w % 3 = 0")
+
+
+def merged(v):
+    return terms.merge_glossary(*glossaries(v))
+
+
+@book.add(f"WITH {HARVEST}, {MERGED} SELECT (SELECT count(DISTINCT term) FROM mg WHERE term NOT IN (SELECT term FROM store)) AS added, (SELECT count(DISTINCT term) FROM mg) AS total")
+def glossary_change(v):
+    store, new = glossaries(v)
+    return terms.glossary_change(store, terms.merge_glossary(store, new))
+
+
+@book.add(r"""SELECT DISTINCT term, 'legacy' AS ws, CAST(1 AS BIGINT) AS n FROM (SELECT CASE WHEN suffix(x, 'ly') AND length(x) >= 4 THEN x[1 : length(x) - 2] WHEN suffix(x, 's') AND length(x) >= 3 THEN x[1 : length(x) - 1] ELSE x END AS term
+  FROM (SELECT unnest(string_split_regex(text, '\s+')) AS x FROM benchmark)) WHERE length(term) >= 2 AND regexp_full_match(term, '[\p{L}\p{N}]+') AND NOT regexp_matches(term, '(ing|ed)$')""")
+def flat_glossary(v):
+    """All words of the benchmark as a glossary of the old form."""
+    return terms.flat_glossary(v("benchmark").select(F.explode(F.split("text", r"\s+")).alias("word")), ["ly", "s"], ["ing", "ed"])
 
 
 @book.add(f"WITH {HARVEST}, {MERGED} SELECT * FROM mg")
@@ -365,15 +383,25 @@ def hotwords(v):
     return terms.hotwords(merged(v))
 
 
-@book.add(r"""WITH f AS (SELECT page_id AS ws, 'title' AS field, 1 AS place, string_split(url, '/') AS tk FROM pages UNION ALL SELECT page_id, 'description', 3, list_filter(string_split_regex(html, '[^a-zA-Z]+'), lambda x: x <> '') FROM pages),
+@book.add(r"""WITH raw AS (SELECT page_id AS ws, 'title' AS field, 1 AS place, concat('The ', url, ' 12:30 #tag 2024') AS x FROM pages UNION ALL SELECT page_id, 'description', 3, html FROM pages),
+cl AS (SELECT ws, field, place, translate(regexp_replace(x, 'https?://\S+|@\S+|#\S+|\b\d{1,2}:\d{2}(:\d{2})?\b|[▶►★☆♥♡]', ' ', 'g'), '[]()<>{}|·,、/\\"''“”‘’!?~*_', '                         ') AS x FROM raw),
+f AS (SELECT ws, field, place, list_filter(regexp_extract_all(x, '[0-9A-Za-z가-힣]{2,}'), lambda w: NOT regexp_full_match(w, '[0-9]+') AND lower(w) NOT IN ('the', 'and', 'div')) AS tk FROM cl),
 e AS (SELECT ws, field, place, unnest(range(len(tk))) AS pos, tk FROM f), x AS (SELECT ws, field, place, pos, tk[pos + 1] AS term FROM e),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ws, term ORDER BY place, pos) AS r FROM x) WHERE r = 1), k AS (SELECT *, row_number() OVER (PARTITION BY ws, field ORDER BY pos) AS k FROM u),
 n AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY CASE WHEN k > CASE field WHEN 'title' THEN 6 ELSE 4 END THEN 1 ELSE 0 END, place, pos) AS n FROM k) SELECT ws, term, field FROM n WHERE n <= 12""")
 def prior_terms(v):
-    p = v("pages")
-    words = F.filter(F.split("html", "[^a-zA-Z]+"), lambda x: x != "")
-    fields = p.select(F.col("page_id").alias("ws"), F.lit("title").alias("field"), F.split("url", "/").alias("tokens")).union(p.select("page_id", F.lit("description"), words))
-    return terms.prior_terms(fields, {"title": 6, "uploader": 2, "description": 4}, ["title", "uploader", "description"])
+    """Titles with noise and whole pages as descriptions; numbers and stop words are no terms."""
+    p, stop = v("pages"), ["the", "and", "div"]
+    title = F.concat(F.lit("The "), "url", F.lit(" 12:30 #tag 2024"))
+    row = lambda field, text: p.select(F.col("page_id").alias("ws"), F.lit(field).alias("field"), terms.prior_words(text, stop).alias("tokens"))
+    return terms.prior_terms(row("title", title).union(row("description", F.col("html"))), {"title": 6, "uploader": 2, "description": 4}, ["title", "uploader", "description"])
+
+
+@book.add("SELECT DISTINCT ws, 'title' AS field, trim(regexp_replace(CASE WHEN strpos(f, '.') > 1 THEN f[1 : length(f) - strpos(reverse(f), '.')] ELSE f END, '[._-]+', ' ', 'g')) AS text FROM (SELECT ws, concat(CASE WHEN ws % 7 = 0 THEN '.' ELSE '' END, 'cut-of_', string_split(path, '/')[-1]) AS f FROM v_files) WHERE ws % 7 <> 0")
+def local_priors(v):
+    """Titles from file names; hidden files give none."""
+    hidden = F.when(F.col("ws") % 7 == 0, ".").otherwise("")
+    return readers.local_priors(v("v_files").select("ws", F.concat(F.lit("a/"), hidden, F.lit("cut-of_"), F.regexp_extract("path", "([^/]*)$", 1)).alias("path"))).distinct()
 
 
 # scalar functions

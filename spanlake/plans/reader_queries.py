@@ -221,3 +221,23 @@ CASE WHEN starts_with(reason, 'burst') THEN '오디오 피크 확인 (' || reaso
 def name_functions(v):
     made = v("part").sparkSession.sql(f"WITH {NAMED} SELECT * FROM nm", part=v("part"))
     return made.select("p_partkey", tx.reason_slug(F.col("reason")).alias("slug"), tx.tag_format(F.col("tag")).alias("tag"), lb.reason_label(F.col("reason")).alias("label"), lb.md_target(F.col("target")).alias("target"))
+
+
+@book.add(r"""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(x, '[\\/:*?"<>|#\[\]^\n]', '_', 'g'))[1:80], ''), '_') AS slug,
+  replace(replace(replace(regexp_replace(regexp_replace(x, '\s*[\r\n]+\s*', ' ', 'g'), '([\\`*_{}\[\]()#+!|~-])', '\\\1', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS inert
+FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN concat(' ', p_name, ': <', p_type, '> [a](b)', chr(10), '  # x') WHEN 1 THEN ' ' WHEN 2 THEN repeat(concat(p_name, '/'), 9) ELSE concat('R&D *', p_brand, '* 영상 ~|') END AS x FROM part)""")
+def page_names(v):
+    """Labels as file names and as inert Markdown."""
+    n = F.col("p_size") % 4
+    x = F.when(n == 0, F.concat(F.lit(" "), "p_name", F.lit(": <"), "p_type", F.lit("> [a](b)\n  # x"))).when(n == 1, " ").when(n == 2, F.repeat(F.concat("p_name", F.lit("/")), F.lit(9))).otherwise(F.concat(F.lit("R&D *"), "p_brand", F.lit("* 영상 ~|")))
+    return v("part").select("p_partkey", tx.entity_slug(x).alias("slug"), lb.escape_markdown(x).alias("inert"))
+
+
+@book.add("SELECT ws, CASE ws % 4 WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE n END AS n FROM (SELECT ws, count(*) AS n FROM v_seg GROUP BY ws)", long="n")
+def signal_counts(v):
+    """Signal files: with items, with none, broken, and not there."""
+    seg = v("v_seg").groupBy("ws").agg(F.to_json(F.collect_list(F.struct("pos", "s"))).alias("items"))
+    value = F.when(F.col("ws") % 4 == 1, "[]").when(F.col("ws") % 4 == 2, "{").otherwise(F.col("items"))
+    root = written(seg.filter("ws % 4 <> 3").select("ws", value.alias("value")), ["ws"])
+    found = readers.signal_counts(seg.sparkSession, root, seg.select(F.concat(F.lit("ws="), F.col("ws").cast("string")).alias("ws")), FILES)
+    return found.select(key(), "n")
