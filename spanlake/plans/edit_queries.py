@@ -326,8 +326,9 @@ def capture_reasons(v):
 
 # terms
 
-HARVEST = r"""cor AS (SELECT ws, text AS asr, lead(text) OVER (PARTITION BY ws ORDER BY pos) AS corrected FROM v_seg), st AS (SELECT ws, row_number() OVER () AS id, corrected, list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(corrected, '\s+') if x <> '']) AS a,
-  list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(asr, '\s+') if x <> '']) AS b FROM cor WHERE corrected IS NOT NULL AND NOT starts_with(corrected, '(')),
+#: Each turn corrects the one before it; some are notes, with and without blanks ahead of the parenthesis.
+HARVEST = r"""cor AS (SELECT ws, text AS asr, concat(CASE pos % 5 WHEN 0 THEN chr(9) || ' (note ' WHEN 1 THEN '(' ELSE '' END, lead(text) OVER (PARTITION BY ws ORDER BY pos)) AS corrected, lead(text) OVER (PARTITION BY ws ORDER BY pos) IS NULL AS ends FROM v_seg), st AS (SELECT ws, row_number() OVER () AS id, corrected, list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(corrected, '\s+') if x <> '']) AS a,
+  list_distinct([CASE WHEN x LIKE '%ly' AND length(x) >= 4 THEN x[1:-3] WHEN x LIKE '%s' AND length(x) >= 3 THEN x[1:-2] ELSE x END for x in string_split_regex(asr, '\s+') if x <> '']) AS b FROM cor WHERE NOT ends AND NOT regexp_matches(corrected, '^\s*\(')),
 hv AS MATERIALIZED (SELECT ws, term, count(*) AS n FROM (SELECT ws, unnest([x for x in a if NOT list_contains(b, x)]) AS term FROM st) WHERE length(term) >= 2 AND regexp_full_match(term, '[\p{L}\p{N}]+') AND NOT regexp_matches(term, '(ing|ed)$') GROUP BY ALL)"""
 
 
@@ -335,7 +336,8 @@ def harvested(v):
     from pyspark.sql import Window
 
     seg = v("v_seg")
-    pairs = seg.select("ws", F.col("text").alias("asr"), F.lead("text").over(Window.partitionBy("ws").orderBy("pos")).alias("corrected")).filter("corrected IS NOT NULL")
+    ahead = F.when(F.col("pos") % 5 == 0, "\t (note ").when(F.col("pos") % 5 == 1, "(").otherwise("")
+    pairs = seg.select("ws", F.col("text").alias("asr"), ahead.alias("ahead"), F.lead("text").over(Window.partitionBy("ws").orderBy("pos")).alias("next")).filter("next IS NOT NULL").select("ws", "asr", F.concat("ahead", "next").alias("corrected"))
     return terms.harvest(pairs, ["ly", "s"], ["ing", "ed"])
 
 
