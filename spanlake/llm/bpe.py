@@ -15,8 +15,8 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, record_batch
 
-#: Encoded words that a Python worker keeps before it starts anew.
-STORE = 200_000
+#: Encoded words that a task keeps before it starts anew.
+STORE = 120_000
 #: Over any token id.
 WIDE = 1 << 31
 
@@ -66,8 +66,8 @@ class PairIndexBpe:
         self.letter = np.array([self.vocab[letters[b]] for b in range(256)], np.int64)
         self.final = np.array([self.vocab[letters[b] + self.end] for b in range(256)], np.int64)
         self.text = {i: str(i) for i in self.names}
-        #: The ids of each stored word.
-        self.store: dict[str, list[int]] = {}
+        #: The ids of each stored word, as 32-bit numbers in a row.
+        self.store: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """Pieces of a text in order: special tokens as they are, else what the pattern finds."""
@@ -84,8 +84,8 @@ class PairIndexBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no rule for a sigma that ends a word
         return self.pattern.findall(text.lower())
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word (without blanks), by one pair index over all of them."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Token ids of each word (without blanks), as in the store, by one pair index over all of them."""
         if not words:
             return []
         data = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
@@ -137,8 +137,8 @@ class PairIndexBpe:
                     heappush(heap, rank)
                     break
         end = np.array(symbol)
-        ids = end[end >= 0].tolist()
-        ends = np.cumsum(end >= 0)[np.flatnonzero(end == -1)].tolist()
+        ids = end[end >= 0].astype(np.uint32).tobytes()
+        ends = (4 * np.cumsum(end >= 0)[np.flatnonzero(end == -1)]).tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def learn(self, words: set[str]) -> None:
@@ -149,14 +149,14 @@ class PairIndexBpe:
             new = list(words)
         plain = [w for w in new if w not in self.special]
         self.store.update(zip(plain, self.merge(plain), strict=True))
-        self.store.update((w, [self.special[w]]) for w in new if w in self.special)
+        self.store.update((w, np.uint32(self.special[w]).tobytes()) for w in new if w in self.special)
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
         each = [self.words(t) for t in texts]
         self.learn(set().union(*each))
         ids = self.store.__getitem__
-        return [list(chain.from_iterable(map(ids, x))) for x in each]
+        return [np.frombuffer(b"".join(map(ids, x)), np.uint32).tolist() for x in each]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids, special tokens included. The file has no decoder step, so tokens are joined by a space; unknown ids are left out."""
@@ -174,12 +174,22 @@ _loaded: dict[str, PairIndexBpe] = {}
 
 
 def loaded(path: str) -> PairIndexBpe:
-    """The encoder of a file, once per Python worker, with its store of words."""
+    """The encoder of a file, once per Python worker."""
     if path not in _loaded:
         _loaded[path] = PairIndexBpe(path)
     return _loaded[path]
 
 
+@contextmanager
+def kept_words(path: str) -> Iterator[PairIndexBpe]:
+    """The encoder of a file; the words that it keeps go with the task, as the worker goes on to other stages."""
+    bpe = loaded(path)
+    try:
+        yield bpe
+    finally:
+        bpe.store.clear()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs' doc_id with ids (array of int), n_tokens and the decoded text, for every row.
 
@@ -188,10 +198,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for part, texts in pieces(batches, "text"):
-            ids = bpe.encode_many(texts)
-            yield record_batch(schema, part.column(0), ids, [len(x) for x in ids], [bpe.decode(x) for x in ids])
+        with kept_words(path) as bpe:
+            for part, texts in pieces(batches, "text"):
+                ids = bpe.encode_many(texts)
+                yield record_batch(schema, part.column(0), ids, [len(x) for x in ids], [bpe.decode(x) for x in ids])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
 
@@ -208,9 +218,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for part, texts in pieces(batches, "text"):
-            found = bpe.encode_many(texts)
-            yield record_batch(schema, part.column(0), [len(x) for x in found], [digest(bpe.joined(x)) for x in found], [digest(bpe.decode(x)) for x in found])
+        with kept_words(path) as bpe:
+            for part, texts in pieces(batches, "text"):
+                found = bpe.encode_many(texts)
+                yield record_batch(schema, part.column(0), [len(x) for x in found], [digest(bpe.joined(x)) for x in found], [digest(bpe.decode(x)) for x in found])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
