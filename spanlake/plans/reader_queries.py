@@ -116,13 +116,14 @@ def pick_caption(v):
     return readers.pick_caption(each.select("ws", F.concat(F.lit("v"), F.col("ws").cast("string"), F.col("end")).alias("file")))
 
 
-@book.add("""SELECT p_partkey AS ws, cast(p_size AS double) AS duration, CASE WHEN p_size % 4 <> 0 THEN p_size * 16 END AS width, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 30000 / 1001 ELSE 25e0 END AS fps, p_size % 2 = 0 AS has_audio, CASE WHEN p_size % 4 = 0 THEN 'no video stream' END AS error FROM part""", long="width")
+@book.add("""SELECT p_partkey AS ws, CASE WHEN p_size % 5 <> 0 THEN cast(p_size AS double) END AS duration, CASE WHEN p_size % 4 <> 0 THEN p_size * 16 END AS width, CASE WHEN p_size % 4 = 0 OR p_size % 7 = 0 THEN 0 WHEN p_size % 3 = 0 THEN 30000 / 1001 ELSE 25e0 END AS fps, p_size % 2 = 0 AS has_audio, CASE WHEN p_size % 4 = 0 THEN 'no video stream' WHEN p_size % 5 = 0 THEN 'no duration' END AS error FROM part""", long="width")
 def normalize_probe(v):
-    rate = F.when(F.col("p_size") % 3 == 0, "30000/1001").otherwise("25/1")
-    video = F.struct(F.lit("video").alias("codec_type"), (F.col("p_size") * 16).alias("width"), rate.alias("avg_frame_rate"), rate.alias("r_frame_rate"))
-    audio = F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("string").alias("avg_frame_rate"), F.lit(None).cast("string").alias("r_frame_rate"))
+    rate = F.when(F.col("p_size") % 7 == 0, "N/A").when(F.col("p_size") % 3 == 0, "30000/1001").otherwise("25/1")
+    height = F.lit(8).alias("height")
+    video = F.struct(F.lit("video").alias("codec_type"), (F.col("p_size") * 16).alias("width"), height, rate.alias("avg_frame_rate"), rate.alias("r_frame_rate"))
+    audio = F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("string").alias("avg_frame_rate"), F.lit(None).cast("string").alias("r_frame_rate"))
     streams = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, audio), F.when(F.col("p_size") % 4 != 0, video)))
-    probe = json(streams.alias("streams"), F.struct(F.col("p_size").cast("string").alias("duration")).alias("format"))
+    probe = json(streams.alias("streams"), F.struct(F.when(F.col("p_size") % 5 == 0, "N/A").otherwise(F.col("p_size").cast("string")).alias("duration")).alias("format"))
     found = readers.normalize_probe(v("part").select(F.col("p_partkey").alias("ws"), probe.alias("value")))
     return found.select("ws", "duration", "width", "fps", "has_audio", "error")
 
