@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import edits, knowledge, projections, search, summary
-from ..sources.tables import folder, saved
+from ..sources.tables import saved
 from .base import Book
-from .edit_queries import claims, refs
-from .text_queries import WORDS, names, terms
+from .edit_queries import claims
+from .text_queries import WORDS, terms
 from .timeline_queries import LEVELS, REPLAY, grounded
 from .summary_queries import TOLD, told
 
