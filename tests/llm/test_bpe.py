@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -71,6 +72,29 @@ def test_dac_round_trip_and_random_access():
         empty.token(0)
 
 
+def test_cheaper_steps_give_the_library_s_ids(lib):
+    own = token_files.Encoder(PATH)
+    every = [f"x{chr(c)}y'S{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = ["_", "-", "'ll", "'VE", "'", "''s", "'re", "7", "42", "\t", "\r\n", "\x0b", "\x1f", "\x7f", "<|ENDOFTEXT|>", "Don't", "it'd've", "\u2028", "\u00a0", "\u0301", "ǅ"]
+    rng = random.Random(7)
+    texts = [*random_texts(), *("".join(rng.choice(PARTS + marks) for _ in range(rng.randint(0, 60))) for _ in range(4000)), *("".join(rng.choice([m for m in PARTS + marks if m.isascii()]) for _ in range(rng.randint(0, 30))) for _ in range(4000))]
+    assert own.plain is not None and own.is_plain("A b\tC'S\n<|endoftext|>1") and not own.is_plain("a\x1cb") and not own.is_plain("é")
+    assert 500 < sum(map(own.is_plain, texts)) < len(texts)
+    for part in [texts, *(every[i : i + 50_000] for i in range(0, len(every), 50_000))]:
+        want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(part, add_special_tokens=False)]
+        assert own.encode_many(part) == want
+
+
+def test_another_file_runs_as_it_is(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    own, lib = token_files.Encoder(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    assert own.plain is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(["A b", "a  b"])] == [lib.encode(t, add_special_tokens=False).ids for t in ("A b", "a  b")]
+
+
 def test_files_in_order(spark, lib, monkeypatch):
     docs = odd_docs(spark)
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
