@@ -15,6 +15,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import string
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from .common import pieces, record_batch
 
@@ -47,6 +51,12 @@ SPLIT = {
 PIECES = r"\p{L}++|'(?:[stmd]|re|ve|ll)|\p{N}|[^\s\p{L}\p{N}]++"
 #: ASCII control characters that are no blanks.
 CONTROLS = bytes([*range(9), *range(14, 32), 127])
+#: Code points that `Marked` takes: Latin, Greek and Cyrillic, two bytes at most.
+ALPHABETS = 0x590
+#: What a code point is to SPLIT.
+BLANK, LETTER, NUMBER, OTHER = range(4)
+#: A piece that `Marked` hands to the model has about so many blanks, as the model's queue grows with it.
+BLANKS = 128
 
 
 def write_dac(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -111,12 +121,129 @@ class DacFile:
         return out
 
 
+class Marked:
+    """The library's model on whole texts in symbols that say where a word ends, for files with the steps NORMALIZER and SPLIT.
+
+    The library's cost is mostly a fixed one for each piece of the split. Here
+    each byte has two symbols, one of them for the last byte of a piece, and the
+    model's tokens are spelled in these. No merge of the file starts with a last
+    byte, so none reaches beyond a piece, and a whole text needs no split: the
+    ids are those of the file. `takes` says for which texts: those of code points
+    below ALPHABETS that NFC leaves as they are, without added tokens. What is a
+    letter, a number or a blank, and its lower case, is asked of the library, once a code point.
+    """
+
+    CUT, SEPARATOR = "\n", "\ufefe"  # no byte's symbols
+
+    def __init__(self, spec: dict):
+        inner, last = self._symbols()
+        letters = byte_letters()
+        spelled = self._spelled(spec["model"], {letters[b]: x for b, x in inner.items()}, {letters[b]: x for b, x in last.items()})
+        vocab = {spelled[token]: i for token, i in spec["model"]["vocab"].items()}
+        self.lib = Tokenizer(models.BPE(vocab=vocab, merges=[(spelled[a], spelled[b]) for a, b in spec["model"]["merges"]], cache_capacity=0))
+        self.lib.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.CUT)
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        if any(x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("added tokens are sought after other steps")
+        self.kind = np.zeros(ALPHABETS + 1, np.uint8)
+        self.lower = np.zeros(ALPHABETS + 1, np.uint16)
+        symbols = np.zeros((2, ALPHABETS + 1, 2), "<u2")
+        symbols[:, ALPHABETS, 0] = ord(self.SEPARATOR)
+        nfc, lowercase = normalizers.NFC(), normalizers.Lowercase()
+        kinds = [(k, pre_tokenizers.Split(Regex(p), "removed", invert=True)) for k, p in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (OTHER, r"[^\s\p{L}\p{N}]"))]
+        strange = []
+        for c in map(chr, range(ALPHABETS)):
+            low = lowercase.normalize_str(c)
+            if len(low) != 1 or ord(low) >= ALPHABETS or nfc.normalize_str(c) != c or unicodedata.combining(c):
+                strange.append(c)
+                continue
+            self.lower[ord(c)] = ord(low)
+            self.kind[ord(c)] = kind = next((k for k, split in kinds if split.pre_tokenize_str(low)), BLANK)
+            if kind != BLANK:
+                *head, tail = low.encode()
+                for i, end in enumerate((inner[tail], last[tail])):
+                    symbols[i, ord(c), : len(head) + 1] = [*(ord(inner[b]) for b in head), ord(end)]
+        self.symbols = symbols.reshape(-1, 2).view("<u4").ravel()  # of inner code points, then of last ones; 0 where there is no second
+        self.foreign = re.compile(f"[{re.escape(''.join(strange))}{chr(ALPHABETS)}-{chr(sys.maxunicode)}]")
+
+    @classmethod
+    def _symbols(cls) -> tuple[dict[int, str], dict[int, str]]:
+        """The symbols of bytes inside of a piece and at its end; those of ASCII texts in lower case are ASCII themselves, which the library reads fastest."""
+        common = string.ascii_lowercase + string.punctuation
+        pairs = [*((ord(c), False) for c in common), *((ord(c), True) for c in common + string.digits)]
+        pairs += [(b, end) for b in range(256) for end in (False, True) if (b, end) not in pairs]
+        names = (chr(c) for c in range(1, 0x800) if chr(c) != cls.CUT)
+        symbols = dict(zip(pairs, names, strict=False))
+        return ({b: symbols[b, end] for b in range(256)} for end in (False, True))
+
+    @staticmethod
+    def _spelled(model: dict, inner: dict[str, str], last: dict[str, str]) -> dict[str, str]:
+        """The tokens of a model in the symbols of their bytes; ValueError where the model has anything else."""
+        end = model.get("end_of_word_suffix")
+        if not end or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("not a plain model with ends of words")
+        out = inner | {c + end: x for c, x in last.items()}
+        ends = {c + end for c in last}
+        for a, b in model["merges"]:
+            if a not in out or b not in out or a in ends or out.setdefault(a + b, out[a] + out[b]) != out[a] + out[b]:
+                raise ValueError(f"a merge of other parts: {a} {b}")
+            if b in ends:
+                ends.add(a + b)
+        if out.keys() != model["vocab"].keys():
+            raise ValueError("the vocabulary has more or less than bytes and merges")
+        return out
+
+    def takes(self, text: str) -> bool:
+        return (text.isascii() or not self.foreign.search(text)) and not any(x in text for x in self.added)
+
+    def mark(self, texts: list[str]) -> list[str]:
+        """The symbols of texts that `takes` has taken."""
+        points = np.frombuffer(chr(ALPHABETS).join(texts).encode("utf-16-le"), "<u2")
+        kind = self.kind[points]
+        last = kind == NUMBER
+        last[:-1] |= kind[:-1] != kind[1:]
+        last[-1:] = True
+        quotes = np.flatnonzero(points == ord("'"))
+        if len(quotes):
+            quotes = quotes[(quotes == 0) | (kind[quotes - 1] != OTHER)]  # others are inside a run
+            low = self.lower[np.r_[points, [ALPHABETS] * 2].astype(np.uint16)]
+            first, second = low[quotes + 1], low[quotes + 2]
+            short = np.isin(first, [*b"stmd"])
+            long = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+            last[quotes[short | long]] = False
+            last[quotes[short] + 1] = True
+            last[quotes[long] + 2] = True
+        symbols = self.symbols[points + last * np.uint16(ALPHABETS + 1)]
+        symbols[np.flatnonzero((kind == BLANK) & (points != ALPHABETS))[::BLANKS]] = ord(self.CUT)
+        pairs = symbols.view("<u2")
+        return pairs[pairs != 0].tobytes().decode("utf-16-le").split(self.SEPARATOR)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [packed(self.lib.encode_batch_fast([t], add_special_tokens=False)[0].ids) for t in self.mark(texts)]
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in the library's ByteLevel: visible characters of Latin-1 for themselves, the others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """The tokenizers library on whole texts, without truncation, padding or special tokens of its own.
 
     The library keeps up to CACHE words that it has merged, in place of 10,000. Where
     a file has the steps NORMALIZER and SPLIT, the library gets equal ones that
-    cost less. `lib` leaves out the change of blanks to spaces, as no piece of
+    cost less. Most texts of Latin, Greek or Cyrillic letters go to it as `marked` has them. For the
+    others, `lib` leaves out the change of blanks to spaces, as no piece of
     the split has a blank, and splits by PIECES. `plain` gets the ASCII texts
     without control characters other than blanks; NFC and the letters of bytes
     leave such a text as it is, so it lacks these too. Any other file runs as it is.
@@ -128,6 +255,7 @@ class Encoder:
             spec = json.load(f)
         self.lib = self._from(path)
         self.plain: Tokenizer | None = None
+        self.marked: Marked | None = None
         if spec["model"]["type"] == "BPE":
             self.lib.model._resize_cache(CACHE)
         if spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLIT:
@@ -137,6 +265,10 @@ class Encoder:
             self.plain = self._from(path)
             self.plain.model = self.lib.model  # one store of merged words for both
             self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Lowercase(), split
+            try:
+                self.marked = Marked(spec)
+            except ValueError:  # a model of another kind: it gets the other steps
+                pass
 
     @staticmethod
     def _from(path: str) -> Tokenizer:
@@ -152,11 +284,17 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
-        plain = [self.is_plain(t) for t in texts]
-        for lib, kind in ((self.plain, True), (self.lib, False)):
-            if chosen := [i for i, p in enumerate(plain) if p is kind]:
+        rest = range(len(texts))
+        if self.marked is not None:
+            taken = [self.marked.takes(t) for t in texts]
+            chosen, rest = ([i for i, x in enumerate(taken) if x is kind] for kind in (True, False))
+            for i, ids in zip(chosen, self.marked.encode_many([texts[i] for i in chosen]) if chosen else [], strict=True):
+                out[i] = ids
+        plain = {i for i in rest if self.is_plain(texts[i])}
+        for lib, chosen in ((self.plain, [i for i in rest if i in plain]), (self.lib, [i for i in rest if i not in plain])):
+            if chosen:
                 for i, e in zip(chosen, lib.encode_batch_fast([texts[i] for i in chosen], add_special_tokens=False), strict=True):
-                    out[i] = np.asarray(array("I", e.ids)).astype("<u4", copy=False).tobytes()
+                    out[i] = packed(e.ids)
         return out
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +86,50 @@ def test_cheaper_steps_give_the_library_s_ids(lib):
         assert own.encode_many(part) == want
 
 
+def test_whole_texts_in_symbols_give_the_library_s_ids(lib, monkeypatch):
+    own = token_files.Encoder(PATH)
+    rng = random.Random(11)
+    marks = ["'", "''", "'S", "'re", "'Ve", "'ll", "'lx", "'d", "'tis", "it's", "DON'T", "!'s", "1's", "\t", " ", "  ", "\n", "\xa0", "\x85", "\x1c", "\0", "12", "É", "ß", "ſ", "Ǆ", "ΑΣ", "ж", "Ж", "²", "_", "--", "<|", "ab", "THE", "tion"]
+    texts = ["", " ", "'", "'s", "a'", "x" * 5000, "ab " * 1000, *("".join(rng.choice(marks) for _ in range(rng.randint(1, 50))) for _ in range(5000))]
+    points = [c for c in range(0x590) if own.marked.takes(chr(c))]
+    texts += ["".join(chr(rng.choice(points)) for _ in range(40)) for _ in range(3000)]
+    assert all(map(own.marked.takes, texts)) and len(points) > 1200
+    assert not any(map(own.marked.takes, ["e\u0301", "İ", "\u037e", "中", "😀", "a <|endoftext|>"]))
+    want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    for blanks in (1, 2, token_files.BLANKS):
+        monkeypatch.setattr(token_files, "BLANKS", blanks)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
+
+
+def test_encoding_costs_less_than_half_of_the_file_s_steps(lib):
+    rng = random.Random(3)
+    syllables = ["the", "ing", "er", "on", "é", "tion", "a", "st", "ción", "eau", "sh", "in"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(600)) for _ in range(150)]
+    own = token_files.Encoder(PATH)
+
+    def cost(run):
+        spent = []
+        for _ in range(3):
+            began = time.process_time()
+            run(texts)
+            spent.append(time.process_time() - began)
+        return min(spent)
+
+    assert cost(own.encode_many) < 0.4 * cost(lambda x: [e.ids for e in lib.encode_batch_fast(x, add_special_tokens=False)])
+
+
+@pytest.mark.parametrize("merge", [("a</w>", "b"), ("a</w>", "b</w>")])
+def test_a_model_that_merges_beyond_words_keeps_its_split(tmp_path, merge):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"].append(list(merge))
+    spec["model"]["vocab"]["".join(merge)] = len(spec["model"]["vocab"])
+    (tmp_path / "beyond.json").write_text(json.dumps(spec))
+    own, lib = token_files.Encoder(str(tmp_path / "beyond.json")), Tokenizer.from_file(str(tmp_path / "beyond.json"))
+    assert own.marked is None and own.plain is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(["a b a bc", "ab"])] == [lib.encode(t, add_special_tokens=False).ids for t in ("a b a bc", "ab")]
+
+
 def test_another_file_runs_as_it_is(tmp_path):
     with open(PATH, encoding="utf-8") as f:
         spec = json.load(f)
