@@ -15,10 +15,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import string
 import sys
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -51,10 +49,8 @@ SPLIT = {
 PIECES = r"\p{L}++|'(?:[stmd]|re|ve|ll)|\p{N}|[^\s\p{L}\p{N}]++"
 #: ASCII control characters that are no blanks.
 CONTROLS = bytes([*range(9), *range(14, 32), 127])
-#: Code points that `Marked` takes: Latin, Greek and Cyrillic, two bytes at most.
-ALPHABETS = 0x590
 #: What a code point is to SPLIT.
-BLANK, LETTER, NUMBER, OTHER = range(4)
+BLANK, LETTER, NUMBER, OTHER, UNASKED = range(5)
 #: A piece that `Marked` hands to the model has about so many blanks, as the model's queue grows with it.
 BLANKS = 128
 
@@ -122,49 +118,33 @@ class DacFile:
 
 
 class Marked:
-    """The library's model on whole texts in symbols that say where a word ends, for files with the steps NORMALIZER and SPLIT.
+    """The library's model on whole texts in symbols that say where a piece ends, for files with the steps NORMALIZER and SPLIT.
 
     The library's cost is mostly a fixed one for each piece of the split. Here
     each byte has two symbols, one of them for the last byte of a piece, and the
     model's tokens are spelled in these. No merge of the file starts with a last
     byte, so none reaches beyond a piece, and a whole text needs no split: the
-    ids are those of the file. `takes` says for which texts: those of code points
-    below ALPHABETS that NFC leaves as they are, without added tokens. What is a
-    letter, a number or a blank, and its lower case, is asked of the library, once a code point.
+    ids are those of the file. Texts are normalised by the library, those of
+    Latin-1 by `lower`, which is the same. Whether a code point is a letter, a number
+    or a blank is asked of the library, once. Texts with added tokens are not for this.
     """
 
     CUT, SEPARATOR = "\n", "\ufefe"  # no byte's symbols
 
     def __init__(self, spec: dict):
-        inner, last = self._symbols()
+        if any(x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("added tokens are sought after other steps")
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.inner, self.last = self._symbols()
         letters = byte_letters()
-        spelled = self._spelled(spec["model"], {letters[b]: x for b, x in inner.items()}, {letters[b]: x for b, x in last.items()})
+        spelled = self._spelled(spec["model"], *({letters[b]: x for b, x in kind.items()} for kind in (self.inner, self.last)))
         vocab = {spelled[token]: i for token, i in spec["model"]["vocab"].items()}
         self.lib = Tokenizer(models.BPE(vocab=vocab, merges=[(spelled[a], spelled[b]) for a, b in spec["model"]["merges"]], cache_capacity=0))
         self.lib.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.CUT)
-        self.added = [x["content"] for x in spec["added_tokens"]]
-        if any(x["normalized"] for x in spec["added_tokens"]):
-            raise ValueError("added tokens are sought after other steps")
-        self.kind = np.zeros(ALPHABETS + 1, np.uint8)
-        self.lower = np.zeros(ALPHABETS + 1, np.uint16)
-        symbols = np.zeros((2, ALPHABETS + 1, 2), "<u2")
-        symbols[:, ALPHABETS, 0] = ord(self.SEPARATOR)
-        nfc, lowercase = normalizers.NFC(), normalizers.Lowercase()
-        kinds = [(k, pre_tokenizers.Split(Regex(p), "removed", invert=True)) for k, p in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (OTHER, r"[^\s\p{L}\p{N}]"))]
-        strange = []
-        for c in map(chr, range(ALPHABETS)):
-            low = lowercase.normalize_str(c)
-            if len(low) != 1 or ord(low) >= ALPHABETS or nfc.normalize_str(c) != c or unicodedata.combining(c):
-                strange.append(c)
-                continue
-            self.lower[ord(c)] = ord(low)
-            self.kind[ord(c)] = kind = next((k for k, split in kinds if split.pre_tokenize_str(low)), BLANK)
-            if kind != BLANK:
-                *head, tail = low.encode()
-                for i, end in enumerate((inner[tail], last[tail])):
-                    symbols[i, ord(c), : len(head) + 1] = [*(ord(inner[b]) for b in head), ord(end)]
-        self.symbols = symbols.reshape(-1, 2).view("<u4").ravel()  # of inner code points, then of last ones; 0 where there is no second
-        self.foreign = re.compile(f"[{re.escape(''.join(strange))}{chr(ALPHABETS)}-{chr(sys.maxunicode)}]")
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.two, self.four = np.zeros((2, 0x800), "<u4"), np.zeros((2, sys.maxunicode + 1), "<u8")  # symbols of a code point's bytes, inside and at the end of a piece
+        self.kind = np.full(sys.maxunicode + 1, UNASKED, np.uint8)
+        self.splits = [(k, pre_tokenizers.Split(Regex(p), "removed", invert=True)) for k, p in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (OTHER, r"[^\s\p{L}\p{N}]"))]
 
     @classmethod
     def _symbols(cls) -> tuple[dict[int, str], dict[int, str]]:
@@ -194,32 +174,63 @@ class Marked:
         return out
 
     def takes(self, text: str) -> bool:
-        return (text.isascii() or not self.foreign.search(text)) and not any(x in text for x in self.added)
-
-    def mark(self, texts: list[str]) -> list[str]:
-        """The symbols of texts that `takes` has taken."""
-        points = np.frombuffer(chr(ALPHABETS).join(texts).encode("utf-16-le"), "<u2")
+        return not any(x in text for x in self.added)
+
+    def ask(self, c: int) -> None:
+        self.kind[c] = kind = next((k for k, split in self.splits if split.pre_tokenize_str(chr(c))), BLANK)
+        if kind != BLANK:
+            *head, tail = chr(c).encode()
+            for i, end in enumerate((self.inner[tail], self.last[tail])):
+                self.four[i, c] = int.from_bytes("".join([*(self.inner[b] for b in head), end]).encode("utf-16-le"), "little")
+                if c < 0x800:
+                    self.two[i, c] = self.four[i, c]
+
+    def mark(self, texts: list[str], latin: bool) -> list[str]:
+        """The symbols of texts that `takes` has taken; latin: all are of Latin-1."""
+        texts = [t.lower() if latin else self.normal.normalize_str(t) for t in texts]
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("latin-1"), np.uint8) if latin else np.frombuffer(joined.encode("utf-32-le"), "<u4")
         kind = self.kind[points]
+        if (kind == UNASKED).any():
+            for c in np.unique(points[kind == UNASKED]).tolist():
+                self.ask(c)
+            kind = self.kind[points]
         last = kind == NUMBER
         last[:-1] |= kind[:-1] != kind[1:]
         last[-1:] = True
         quotes = np.flatnonzero(points == ord("'"))
         if len(quotes):
             quotes = quotes[(quotes == 0) | (kind[quotes - 1] != OTHER)]  # others are inside a run
-            low = self.lower[np.r_[points, [ALPHABETS] * 2].astype(np.uint16)]
-            first, second = low[quotes + 1], low[quotes + 2]
+            after = np.r_[points, 0, 0]
+            first, second = after[quotes + 1], after[quotes + 2]
             short = np.isin(first, [*b"stmd"])
             long = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
             last[quotes[short | long]] = False
             last[quotes[short] + 1] = True
             last[quotes[long] + 2] = True
-        symbols = self.symbols[points + last * np.uint16(ALPHABETS + 1)]
-        symbols[np.flatnonzero((kind == BLANK) & (points != ALPHABETS))[::BLANKS]] = ord(self.CUT)
-        pairs = symbols.view("<u2")
-        return pairs[pairs != 0].tobytes().decode("utf-16-le").split(self.SEPARATOR)
+        table = self.two if latin or points.max(initial=0) < 0x800 else self.four
+        symbols = table.ravel()[points + last * np.uint32(table.shape[1])]
+        symbols[np.flatnonzero(kind == BLANK)[::BLANKS]] = ord(self.CUT)
+        symbols[np.cumsum([len(t) + 1 for t in texts])[:-1] - 1] = ord(self.SEPARATOR)
+        bytewise = symbols.view("<u2")
+        return bytewise[bytewise != 0].tobytes().decode("utf-16-le").split(self.SEPARATOR)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [packed(self.lib.encode_batch_fast([t], add_special_tokens=False)[0].ids) for t in self.mark(texts)]
+        out = [b""] * len(texts)
+        narrow = [is_latin(t) for t in texts]
+        for latin in (True, False):
+            if chosen := [i for i, x in enumerate(narrow) if x is latin]:
+                for i, marked in zip(chosen, self.mark([texts[i] for i in chosen], latin), strict=True):
+                    out[i] = packed(self.lib.encode_batch_fast([marked], add_special_tokens=False)[0].ids)
+        return out
+
+
+def is_latin(text: str) -> bool:
+    """Whether all of a text is Latin-1."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def byte_letters() -> list[str]:
@@ -242,8 +253,8 @@ class Encoder:
 
     The library keeps up to CACHE words that it has merged, in place of 10,000. Where
     a file has the steps NORMALIZER and SPLIT, the library gets equal ones that
-    cost less. Most texts of Latin, Greek or Cyrillic letters go to it as `marked` has them. For the
-    others, `lib` leaves out the change of blanks to spaces, as no piece of
+    cost less: `marked`, where the model allows it, for texts without added
+    tokens. For the others, `lib` leaves out the change of blanks to spaces, as no piece of
     the split has a blank, and splits by PIECES. `plain` gets the ASCII texts
     without control characters other than blanks; NFC and the letters of bytes
     leave such a text as it is, so it lacks these too. Any other file runs as it is.
@@ -288,7 +299,7 @@ class Encoder:
         if self.marked is not None:
             taken = [self.marked.takes(t) for t in texts]
             chosen, rest = ([i for i, x in enumerate(taken) if x is kind] for kind in (True, False))
-            for i, ids in zip(chosen, self.marked.encode_many([texts[i] for i in chosen]) if chosen else [], strict=True):
+            for i, ids in zip(chosen, self.marked.encode_many([texts[i] for i in chosen]), strict=True):
                 out[i] = ids
         plain = {i for i in rest if self.is_plain(texts[i])}
         for lib, chosen in ((self.plain, [i for i in rest if i in plain]), (self.lib, [i for i in rest if i not in plain])):
