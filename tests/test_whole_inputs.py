@@ -25,3 +25,12 @@ def test_search_reads_the_signs_of_every_turn(spark, tiny, tmp_path):
     spark.read.parquet(f"{tiny}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
     found = entry.queries()["search_with_windows"](spark, str(tmp_path)).collect()
     assert sorted((r["source"], r["s"]) for r in found) == [("ocr", 6.0 * k) for k in range(6)]
+
+
+def test_sessions_count_hits_of_late_files(spark, tmp_path):
+    """Files come in any order of time; hits that are just the gap apart are two sessions."""
+    for at in (20 * 86400, 0, 10 * 86400):
+        rows = [(k, at + t, 1, "view") for k, t in enumerate((0, 3600, 3600 + 6 * 3600))]
+        spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    found = entry.queries()["stream_audio_sessions"](spark, str(tmp_path)).selectExpr("unix_seconds(start) AS s", "unix_seconds(end) AS e", "n").collect()
+    assert sorted(map(tuple, found)) == sorted(x for at in (0, 10 * 86400, 20 * 86400) for x in ((at, at + 7 * 3600, 2), (at + 7 * 3600, at + 13 * 3600, 1)))
