@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import beside, page_links, word_starts
 from ..sources.tables import saved
+from . import scans
 
 
 def entity_index(labels: DataFrame) -> DataFrame:
@@ -99,24 +102,77 @@ def alias_pairs(labels: DataFrame, least: float = 0.5) -> DataFrame:
     return a.join(b, "token").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
 
 
-def reachable(links: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
-    """(page, depth): pages that links (src, dst) reach from roots (page), breadth first.
+#: Links that one group follows, at most twice as many; a page with more has its links in no group.
+BLOCK = 200_000
 
-    Each round joins the last frontier only; rounds are written to `folder`
+
+def link_blocks(links: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(page, block): pages that have links (src, dst), in their order, cut where a block has `size` links."""
+    n = F.when(F.col("n") <= size, F.col("n"))
+    each = saved(links.groupBy("src").agg(F.count("*").alias("n")).orderBy("src").select(F.col("src").alias("page"), n.alias("n"), F.spark_partition_id().alias("part")), "degrees")
+    at = scans.running(each, "at", F.coalesce("n", F.lit(0)), ["page"], F.col("part"), [])
+    return at.filter("n IS NOT NULL").select("page", F.floor((F.col("at") - 1) / size).cast("long").alias("block"))
+
+
+def followed(links: pd.DataFrame, depths: pd.DataFrame) -> pd.DataFrame:
+    """(page, depth, block) of pages that get a lower depth by links (src, dst) of a block, from its depths (page, depth, block, new)."""
+    after: dict = {}
+    for a, b in zip(links["src"], links["dst"], strict=True):
+        after.setdefault(a, []).append(b)
+    least, lower = {}, {}
+    for page, depth in depths.loc[~depths["new"], ["page", "depth"]].itertuples(index=False):
+        least[page] = min(depth, least.get(page, depth))
+    heap = list(depths.loc[depths["new"], ["depth", "page"]].itertuples(index=False, name=None))
+    heapify(heap)
+    while heap:
+        depth, page = heappop(heap)
+        if page not in least or depth < least[page]:
+            least[page] = lower[page] = depth
+            for b in after.get(page, ()):
+                if b not in least or depth + 1 < least[b]:
+                    heappush(heap, (depth + 1, b))
+    return pd.DataFrame({"page": list(lower), "depth": list(lower.values()), "block": depths["block"].iloc[0] if len(depths) else 0})
+
+
+def reachable(links: DataFrame, roots: DataFrame, folder: str, size: int = BLOCK) -> DataFrame:
+    """(page, depth): pages that links (src, dst) reach from roots (page), with the least number of links.
+
+    Pages are cut in their order into blocks of about `size` links. A round
+    follows the links inside the blocks where a depth has changed to their end,
+    a group a block, and then joins what has changed with the links between
+    blocks. So a long chain of pages near each other takes a round a block, and
+    no graph takes more rounds than its depth. Rounds are written to `folder`
     (shared by all executors), which cuts the lineage.
     """
     spark: SparkSession = links.sparkSession
     path = f"{folder}/reach-{uuid.uuid4().hex}"
-    frontier, depth = roots.select("page").distinct(), 0
+    held = saved(links.select("src", "dst"), "links")
+    blocks = saved(link_blocks(held, size), "blocks")
+    placed = held.join(blocks.toDF("src", "block"), "src", "left").join(blocks.toDF("dst", "to"), "dst", "left")
+    placed = saved(placed.select("src", "dst", "block", "to"), "placed")
+    placed.filter("block = to").select("src", "dst", "block").repartition("block").write.partitionBy("block").parquet(f"{path}/inside")
+    inside = spark.read.schema(StructType([*held.schema.fields, StructField("block", LongType())])).parquet(f"{path}/inside")
+    across = saved(placed.filter("NOT coalesce(block = to, false)").select("src", F.col("dst").alias("page"), F.col("to").alias("block")), "across")
+    kind = f"page {roots.schema['page'].dataType.simpleString()}, depth long, block long"
+    changed = roots.select("page").distinct().withColumn("depth", F.lit(0).cast("long")).join(blocks, "page", "left")
+    depths, round_ = None, 0
     while True:
-        frontier.withColumn("depth", F.lit(depth).cast("long")).write.parquet(f"{path}/depth={depth:06d}")
-        seen = spark.read.schema("page " + frontier.schema["page"].dataType.simpleString()).option("recursiveFileLookup", True).parquet(path)
-        last = spark.read.parquet(f"{path}/depth={depth:06d}").select("page")
-        frontier = links.join(last, links["src"] == last["page"]).select(F.col("dst").alias("page")).distinct().join(seen, "page", "left_anti")
-        if frontier.isEmpty():
-            out = spark.read.option("recursiveFileLookup", True).schema("page " + last.schema["page"].dataType.simpleString() + ", depth long").parquet(path)
-            return out
-        depth += 1
+        changed = saved(changed.select("page", "depth", "block"), "changed")
+        active = [r["block"] for r in changed.select("block").distinct().collect()]  # as many as blocks of links
+        if not active:
+            return depths.groupBy("page").agg(F.min("depth").alias("depth")) if depths else changed.select("page", "depth")
+        some = F.col("block").isin([b for b in active if b is not None])
+        marked = changed.filter("block IS NOT NULL").withColumn("new", F.lit(True))
+        if depths:
+            marked = marked.unionByName(depths.filter(some).withColumn("new", F.lit(False)))
+        lower = inside.filter(some).groupBy("block").cogroup(marked.groupBy("block")).applyInPandas(followed, kind)
+        lower.unionByName(changed.filter("block IS NULL")).write.parquet(f"{path}/depths/round={round_:06d}")
+        last = spark.read.schema(kind).parquet(f"{path}/depths/round={round_:06d}")
+        depths = spark.read.schema(kind).option("recursiveFileLookup", True).parquet(f"{path}/depths")
+        told = across.join(last.select(F.col("page").alias("src"), "depth"), "src").groupBy("page", "block").agg((F.min("depth") + 1).alias("depth"))
+        least = depths.groupBy("page").agg(F.min("depth").alias("least"))
+        changed = told.join(least, "page", "left").filter("least IS NULL OR depth < least")
+        round_ += 1
 
 
 def link_rows(pages: DataFrame) -> DataFrame:

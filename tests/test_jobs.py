@@ -357,6 +357,31 @@ def test_links_with_balanced_parentheses(spark):
     assert sorted(r["page"] for r in got) == ["b.md", "c.md"]
 
 
+def test_reachable_in_blocks(spark, monkeypatch):
+    """Depths are those of a walk breadth first whatever the blocks, and a long chain takes a round a block."""
+    rng, rounds = random.Random(5), []
+    chain = [(k, k + d) for k in range(600) for d in (1, 3) if k % 7 or d == 1]
+    wild = [(rng.randrange(300), rng.randrange(330)) for _ in range(500)] + [(0, k) for k in range(0, 300, 4)] + [(5, None)]
+    names = [(f"p{a:03d}", f"p{b:03d}") for a, b in chain[:400]] + [("p390", "p002")]
+    kept = knowledge.saved
+    monkeypatch.setattr(knowledge, "saved", lambda df, name="table": rounds.append(name) or kept(df, name))
+    for links, root, size in ((chain, 0, 100), (wild, 0, 40), (names, "p000", 150)):
+        near, want, front = {}, {root: 0}, [root]
+        for a, b in links:
+            near.setdefault(a, []).append(b)
+        for a in front:  # which grows
+            for b in near.get(a, ()):
+                if b not in want:
+                    want[b] = want[a] + 1
+                    front.append(b)
+        kind = "string" if root == "p000" else "long"
+        table, roots = spark.createDataFrame(links, f"src {kind}, dst {kind}"), spark.createDataFrame([(root,)], f"page {kind}")
+        rounds.clear()
+        assert {r["page"]: r["depth"] for r in knowledge.reachable(table, roots, folder(spark), size).collect()} == want
+        assert links is not chain or rounds.count("changed") <= len(chain) // size + 3
+    assert knowledge.reachable(table, roots.limit(0), folder(spark)).count() == 0
+
+
 def test_labels_and_texts_at_any_depth(spark):
     cases = {'[["a",{"label":"b"}],"c"]': ["a", "b", "c"], '{"label":["a"]}': [], '{"label":"x","y":{"label":"z"}}': ["x"], "plain": ["plain"], "[draft": ["[draft"], "[draft]": ["[draft]"], "": [], '[[[["d"]]],1,null,true]': ["d"], '["q\\"]}","\\u00e9"]': ['q"]}', "é"]}
     rows = spark.createDataFrame([(x,) for x in [*cases, None]], "x string").select("x", readers.flatten_labels(F.col("x")).alias("labels"), lb.said(F.col("x")).alias("said")).collect()
