@@ -379,6 +379,10 @@ def test_reachable_in_blocks(spark, monkeypatch):
         rounds.clear()
         assert {r["page"]: r["depth"] for r in knowledge.reachable(table, roots, folder(spark), size).collect()} == want
         assert links is not chain or rounds.count("changed") <= len(chain) // size + 3
+    rounds.clear()
+    table, pages = spark.createDataFrame([(k, k + 1) for k in range(100)], "src long, dst long"), spark.range(103).toDF("page")
+    assert sorted(r["page"] for r in knowledge.orphan_pages(table, pages, pages.filter("page = 10"), folder(spark)).collect()) == [*range(10), 101, 102]
+    assert rounds.count("changed") <= 3  # a chain of a hundred links
     assert knowledge.reachable(table, roots.limit(0), folder(spark)).count() == 0
 
 
