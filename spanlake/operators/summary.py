@@ -164,10 +164,21 @@ def chapter_spans(videos: DataFrame) -> DataFrame:
     return videos.filter(F.size("chapters") > 0).select("ws", F.inline("chapters"))
 
 
+#: Videos whose windows make a partition.
+VIDEOS = 2048
+
+
 def strip_plan(videos: DataFrame, longest: float = 112.0, step: float = 7.0, most: int = 16) -> DataFrame:
-    """(ws, strip, s, e, cells, mids): windows of at most `longest` seconds, each in cells at most `step` apart (`most` at most), with their mid-points. Bounds are rounded first, and mid-points lie between rounded bounds."""
+    """(ws, strip, s, e, cells, mids): windows of at most `longest` seconds, each in cells at most `step` apart (`most` at most), with their mid-points. Bounds are rounded first, and mid-points lie between rounded bounds.
+
+    Videos come in order of duration, VIDEOS to a partition: those of one length
+    have equal windows, which take little room next to each other, and a file of
+    so many does not outgrow Parquet's dictionary of times.
+    """
     n = F.greatest(F.ceil(F.col("duration") / longest), F.lit(1))
-    each = videos.filter("duration > 0").select("ws", "duration", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("strip"))
+    known = videos.filter("duration > 0").select("ws", "duration")
+    ordered = known.repartitionByRange(known.count() // VIDEOS + 1, "duration", "ws").sortWithinPartitions("duration", "ws")
+    each = ordered.select("ws", "duration", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("strip"))
     s, e = F.col("duration") * F.col("strip") / F.col("n"), F.col("duration") * (F.col("strip") + 1) / F.col("n")
     cells = F.greatest(F.least(F.ceil(F.col("duration") / F.col("n") / step), F.lit(most)), F.lit(1)).cast("int")
     rows = each.select("ws", "strip", F.round(s, 3).alias("s"), F.round(e, 3).alias("e"), cells.alias("cells"))

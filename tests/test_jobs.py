@@ -231,6 +231,15 @@ def test_strip_plan(spark):
     assert rows[2]["mids"] == [2.5, 7.5] and rows[1]["mids"][0] == 115.5
 
 
+def test_equal_strips_take_little_room(spark, tmp_path):
+    """Windows of videos of one length stand next to each other, in files that their dictionary of times fits in."""
+    d = spark.range(12_000).selectExpr("id AS ws", "1100 + (id * 7919 % 1000) / 64D AS duration")
+    size = lambda df, name: df.write.parquet(f"{tmp_path}/{name}") or sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    plan = summary.strip_plan(d)
+    assert 5 * size(plan, "plan") < size(plan.orderBy(F.hash("ws", "strip")), "mixed")
+    assert spark.read.parquet(f"{tmp_path}/plan").count() == 12_000 * 10
+
+
 def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
     schema = "ts timestamp, ws long, value long"
     for k, hours in enumerate([[0, 1], [60], [61], [2], [100]]):  # hour 2 comes when its day is closed; the filter is a batch behind
