@@ -1,6 +1,8 @@
 """Queries read the whole of what they are given."""
 
 import __spark_entry__ as entry
+from spanlake.plans.reader_queries import FILES, written
+from spanlake.sources import readers
 
 
 def test_cues_cover_every_word(spark, tmp_path):
@@ -34,3 +36,11 @@ def test_sessions_count_hits_of_late_files(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     found = entry.queries()["stream_audio_sessions"](spark, str(tmp_path)).selectExpr("unix_seconds(start) AS s", "unix_seconds(end) AS e", "n").collect()
     assert sorted(map(tuple, found)) == sorted(x for at in (0, 10 * 86400, 20 * 86400) for x in ((at, at + 7 * 3600, 2), (at + 7 * 3600, at + 13 * 3600, 1)))
+
+
+def test_folders_of_small_files_are_dealt_out(spark):
+    """Many tasks write them."""
+    rows = spark.range(60).selectExpr("id AS ws", "id % 2 AS grp", "concat('text ', id) AS value")
+    found = readers.whole(spark, written(rows, ["grp", "ws"]), FILES)
+    assert {r["value"] for r in found.collect()} == {f"text {k}\n" for k in range(60)}
+    assert found.select("file").distinct().count() > 8  # part-00012-...: a number a task
