@@ -44,3 +44,14 @@ def test_folders_of_small_files_are_dealt_out(spark):
     found = readers.whole(spark, written(rows, ["grp", "ws"]), FILES)
     assert {r["value"] for r in found.collect()} == {f"text {k}\n" for k in range(60)}
     assert found.select("file").distinct().count() > 8  # part-00012-...: a number a task
+
+
+def test_folders_are_listed_by_few_tasks(spark):
+    root = written(spark.range(60).selectExpr("id AS ws", "concat('text ', id) AS value"), ["ws"])
+    spark.sparkContext.setJobGroup("listing", "listing")
+    pages = readers.read_pages(spark, root, FILES)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    held = spark.sparkContext.statusTracker()
+    tasks = [held.getStageInfo(s).numTasks for j in held.getJobIdsForGroup("listing") for s in held.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert pages.count() == 60
